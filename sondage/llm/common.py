@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +32,35 @@ def words_of(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow binary column, and the offsets of its rows in them."""
+    if pa.types.is_large_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int64)
+    else:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``key``, in tables of about ``least`` rows or more
+    that never part the rows of one key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = t[key].to_numpy()
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        if cut:
+            yield t.slice(0, cut)
+            held = t.slice(cut).combine_chunks().to_batches()
+        else:
+            held = t.to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import quality_rules, simhash, url_filters
+from sondage.llm import quality_rules, simhash, suffix_dedup, url_filters
 from sondage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op6_simhash, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op3_suffix_dedup, op6_simhash, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
