@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import chat_format, quality_rules, secret_scan, simhash, suffix_dedup, url_filters
+from sondage.llm import chat_format, html_extract, quality_rules, secret_scan, simhash, suffix_dedup, url_filters
 from sondage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), 2)
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask_of(quality_rules.BASE))) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op3_suffix_dedup, op4_secret_scan, op5_chat_format, op6_simhash, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op3_suffix_dedup, op4_secret_scan, op5_chat_format, op6_simhash, op9_html_extract, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
