@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import chat_format, html_extract, quality_rules, secret_scan, simhash, suffix_dedup, url_filters
+from sondage.llm import chat_format, decontaminate, html_extract, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, url_filters
 from sondage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -36,6 +40,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, quality_classifier.ratings_of(table(spark, sf_dir, "labels")))
+    scored = quality_classifier.score(docs, model)
+    return scored.withColumn("kept", F.col("p_top") >= quality_classifier.KEEP)
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -46,5 +61,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op3_suffix_dedup, op4_secret_scan, op5_chat_format, op6_simhash, op9_html_extract, op10_quality_rules)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_url_filters, op3_suffix_dedup, op4_secret_scan, op5_chat_format,
+        op6_simhash, op7_decontaminate, op8_quality_classifier, op9_html_extract, op10_quality_rules,
+    )
+}
 ORACLES: dict[str, str] = {}
