@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.sqlmath import norm_cdf
-from sondage.operators import clean, counts, describe, frame, outliers, select
+from sondage.operators import anomaly as anom
+from sondage.operators import boot, clean, cluster, counts, describe, frame, outliers, plotdata, reduce, remedies, select, smd
+from sondage.operators import glrm as low_rank
+from sondage.operators import missing as miss
+from sondage.sources import example
+from sondage.streaming import describe as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,3 +321,201 @@ def sample_groups(spark, sf):
     sizes = df.groupBy("c_nationkey").agg(F.count("*").alias("k"))
     got = drawn.groupBy("c_nationkey").agg(F.count("*").alias("got")).join(sizes, "c_nationkey")
     return got.agg(F.count("*").alias("n_groups"), F.bool_and(F.col("got") == F.col("k")).alias("whole"))
+
+
+@query(" UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS variable, CASE WHEN l_returnflag <> 'A' THEN round((m - m0) / sqrt((v + v0) / 2), 6) END AS smd FROM (SELECT l_returnflag, avg({c}) m, var_samp({c}) v FROM lineitem GROUP BY 1), (SELECT avg({c}) m0, var_samp({c}) v0 FROM lineitem WHERE l_returnflag = 'A')" for c in LINE))
+def smd_numeric(spark, sf):
+    return rounded(smd.smd_numeric(read(spark, sf, "lineitem"), "l_returnflag", list(LINE)))
+
+
+@query("WITH g AS (SELECT l_returnflag, avg((l_linestatus = 'O')::INT) m FROM lineitem GROUP BY 1) SELECT l_returnflag, 'l_linestatus' AS variable, CASE WHEN l_returnflag <> 'A' THEN round((m - m0) / sqrt((m * (1 - m) + m0 * (1 - m0)) / 2), 6) END AS smd FROM g, (SELECT m m0 FROM g WHERE l_returnflag = 'A')")
+def smd_binary(spark, sf):
+    return rounded(smd.smd_binary(read(spark, sf, "lineitem"), "l_returnflag", ["l_linestatus"]))
+
+
+@query()
+def smd_levels(spark, sf):
+    got = smd.smd_levels(read(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+    return spark.createDataFrame(list(got.items()), "o_orderstatus string, smd double")
+
+
+@query("WITH k AS (SELECT l_orderkey, count(*) k FROM lineitem GROUP BY 1) SELECT 'l_orderkey' AS cluster, count(*) AS n_clusters, sum(k)::BIGINT AS n_rows, 0::BIGINT AS n_no_cluster, round(avg(k), 6) AS rows_mean, min(k) AS rows_min, quantile_cont(k, 0.25)::DOUBLE AS rows_p25, quantile_cont(k, 0.5)::DOUBLE AS rows_p50, quantile_cont(k, 0.75)::DOUBLE AS rows_p75, max(k) AS rows_max FROM k")
+def cluster_sizes(spark, sf):
+    return rounded(smd.describe_clusters(read(spark, sf, "lineitem"), "l_orderkey", ["l_quantity", "l_returnflag"])["clusters"])
+
+
+_BITS = " || ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in "abcde")
+
+
+@query(f"WITH {_GAPS} SELECT {_BITS} AS pattern, count(*) AS n, length(replace({_BITS}, '0', ''))::BIGINT AS n_missing FROM g GROUP BY ALL")
+def na_patterns(spark, sf):
+    return miss.patterns(_gaps(read(spark, sf, "orders")), list("abcde"))
+
+
+@query(f"WITH {_GAPS} SELECT count(*) FILTER (c IS NULL AND b IS NOT NULL) + count(*) FILTER (b IS NULL AND a IS NOT NULL) = 0 AS monotone FROM g")
+def na_monotone(spark, sf):
+    df = _gaps(read(spark, sf, "orders"))
+    return spark.createDataFrame([(miss.monotone(df, list("abc")),)], "monotone boolean")
+
+
+@query(f"WITH {_GAPS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{v}' AS missing_in, '{w}' AS related_to, count({w}) AS n, round(corr(({v} IS NULL)::INT, {w}) FILTER ({w} IS NOT NULL), 6) AS r FROM g" for v in "ad" for w in ("o_totalprice", "d", "e") if v != w) + ")")
+def na_screen_numeric(spark, sf):
+    return rounded(miss.screen_numeric(_gaps(read(spark, sf, "orders")), ["a", "d"], ["o_totalprice", "d", "e"]))
+
+
+@query(f"WITH {_GAPS}, t AS (" + " UNION ALL ".join(f"SELECT '{v}' v, '{w}' w, {w} l, count(*) n, sum(({v} IS NULL)::INT) m FROM g GROUP BY {w}" for v in "ae" for w in ("o_orderstatus", "o_orderpriority")) + "), s AS (SELECT v, w, sum(n) n, sum(m) m, count(*) k, sum(m * m / n::DOUBLE) s FROM t GROUP BY v, w) SELECT v AS missing_in, w AS related_to, n::BIGINT AS n, k AS levels, round((s - m * m / n::DOUBLE) / (m / n::DOUBLE * (1 - m / n::DOUBLE)), 5) AS chi2, round(sqrt((s - m * m / n::DOUBLE) / (m / n::DOUBLE * (1 - m / n::DOUBLE)) / n), 6) AS v FROM s")
+def na_screen_categorical(spark, sf):
+    return rounded(miss.screen_categorical(_gaps(read(spark, sf, "orders")), ["a", "e"], ["o_orderstatus", "o_orderpriority"]), chi2=5)
+
+
+@query()
+def check_missing(spark, sf):
+    got = miss.check_missing(_gaps(read(spark, sf, "orders")).drop("o_orderkey", "a", "b", "c"), "o_totalprice", ["o_orderstatus"])
+    rows = [("verdict", got["verdict"], None), *[(f"{t['missing_in']} ~ outcome", str(t["flag"]), t["p_value"]) for t in got["outcome_test"]], *[(f"{a['missing_in']} ~ {a['related_to']}", str(a["flag"]), a["p_value"]) for a in got["associations"]]]
+    return spark.createDataFrame(rows, "item string, value string, p_value double")
+
+
+@query(" UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS variable, round((mc - m) / sqrt(s2 / nc * (n - nc) / (n - 1)), 6) AS v FROM (SELECT l_returnflag, avg({c}) mc, count(*) nc FROM lineitem GROUP BY 1), (SELECT avg({c}) m, var_pop({c}) s2, count(*) n FROM lineitem)" for c in LINE))
+def vtest_mean(spark, sf):
+    return rounded(cluster.vtest_mean(read(spark, sf, "lineitem"), "l_returnflag", LINE))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS variable, round(1 - sum(k * v) / max(n * s2), 8) AS separation FROM (SELECT count(*) k, var_pop({c}) v FROM lineitem GROUP BY l_linenumber), (SELECT count(*) n, var_pop({c}) s2 FROM lineitem)" for c in LINE))
+def separation_eta2(spark, sf):
+    return rounded(cluster.separation(read(spark, sf, "lineitem"), "l_linenumber", LINE), 8)
+
+
+@query(" UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS variable, v AS value, n, round(n / (sum(n) OVER (PARTITION BY l_returnflag)), 6) AS share, round((sum(n) OVER (PARTITION BY v)) / (sum(n) OVER ()), 6) AS share_all FROM (SELECT l_returnflag, {c}::VARCHAR v, count(*) n FROM lineitem GROUP BY 1, 2)" for c in ("l_linestatus", "l_linenumber")))
+def profile_frequencies(spark, sf):
+    return rounded(cluster.frequencies(read(spark, sf, "lineitem"), "l_returnflag", ["l_linestatus", "l_linenumber"]))
+
+
+@query("WITH b AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi, ceil(log2(count(*)) + 1) k FROM orders), w AS (SELECT lo, (hi - lo) / k w, k FROM b) SELECT least(floor((o_totalprice - lo) / w), k - 1)::BIGINT AS bin, round(lo + least(floor((o_totalprice - lo) / w), k - 1) * w, 4) AS lower, round(lo + (least(floor((o_totalprice - lo) / w), k - 1) + 1) * w, 4) AS upper, count(*) AS n FROM orders, w GROUP BY ALL")
+def histogram(spark, sf):
+    return rounded(plotdata.histogram(read(spark, sf, "orders"), "o_totalprice"), 4)
+
+
+@query("WITH b AS (SELECT min(l_quantity) lx, (max(l_quantity) - min(l_quantity)) / 60 wx, min(l_extendedprice) ly, (max(l_extendedprice) - min(l_extendedprice)) / 60 wy FROM lineitem) SELECT least(floor((l_quantity - lx) / wx), 59)::BIGINT AS x_bin, least(floor((l_extendedprice - ly) / wy), 59)::BIGINT AS y_bin, count(*) AS n FROM lineitem, b GROUP BY ALL")
+def bin2d(spark, sf):
+    return plotdata.bin2d(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("SELECT l_returnflag, round(avg(l_tax), 8) AS center, round(avg(l_tax) - stddev_samp(l_tax) / sqrt(count(*)), 8) AS lower, round(avg(l_tax) + stddev_samp(l_tax) / sqrt(count(*)), 8) AS upper, count(*) AS n FROM lineitem GROUP BY 1")
+def stat_error(spark, sf):
+    return rounded(plotdata.stat_error(read(spark, sf, "lineitem"), "l_tax", "l_returnflag"), 8)
+
+
+@query("SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem GROUP BY 1")
+def trend_lm(spark, sf):
+    return rounded(plotdata.trend(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_linestatus"]), slope=4, intercept=3)
+
+
+@query(f"WITH {_ORDER_CELLS}, {_HINGE.format(k='')}, f AS (SELECT *, x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) AS ok FROM c JOIN h USING (variable)) SELECT variable, round(q1, 4) AS q1, round(q3, 4) AS q3, min(x) FILTER (ok) AS low, round(median(x), 4) AS median, max(x) FILTER (ok) AS high, count(*) FILTER (NOT ok) AS n_out FROM f GROUP BY ALL")
+def box(spark, sf):
+    return rounded(plotdata.box(read(spark, sf, "orders"), "o_totalprice"), 4)
+
+
+@query("WITH c AS (SELECT p_name v, count(*) n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) k FROM c) SELECT CASE WHEN k <= 20 THEN v ELSE '(other)' END AS value, sum(n)::BIGINT AS n FROM r GROUP BY 1")
+def bar(spark, sf):
+    return plotdata.bar(read(spark, sf, "part"), "p_name")
+
+
+@query("SELECT l_linenumber AS x, round(avg(l_quantity), 6) AS mean, count(l_quantity) AS n FROM lineitem GROUP BY 1")
+def line(spark, sf):
+    return rounded(plotdata.line(read(spark, sf, "lineitem"), "l_linenumber", "l_quantity"))
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS observed, count(*) AS n FROM lineitem GROUP BY 1")
+def boot_ci_observed(spark, sf):
+    return rounded(boot.observed(read(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"]))
+
+
+@query()
+def boot_ci(spark, sf):
+    return boot.boot_ci(read(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], R=500)
+
+
+@query()
+def boot_diff(spark, sf):
+    return spark.createDataFrame(boot.boot_diff(read(spark, sf, "lineitem"), "l_tax", "l_returnflag", R=500)[0])
+
+
+@query("SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, 0::BIGINT AS na, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY ALL")
+def stream_windowed(spark, sf):
+    schema = read(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque*")
+    out = stream.drained(stream.windowed(events, "ts", "value", ["event_type"]), "stream")
+    return rounded(out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "na", "mean", "lo", "hi"))
+
+
+@query()
+def reduce_famd(spark, sf):
+    got = reduce.reduce(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice", "p_type"])
+    return spark.createDataFrame(got.eig)
+
+
+@query("SELECT 1::BIGINT AS dim, round(1 + abs(r), 6) AS eigenvalue FROM (SELECT corr(l_quantity, l_extendedprice) r FROM lineitem) UNION ALL SELECT 2, round(1 - abs(r), 6) FROM (SELECT corr(l_quantity, l_extendedprice) r FROM lineitem)")
+def reduce_pca(spark, sf):
+    """Two standardised columns have eigenvalues 1 + |r| and 1 - |r|."""
+    df = read(spark, sf, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber"))
+    got = reduce.reduce(df, "id", ["l_quantity", "l_extendedprice"])
+    return rounded(spark.createDataFrame(got.eig).select("dim", "eigenvalue"))
+
+
+@query()
+def reduce_na(spark, sf):
+    got = reduce.reduce_na(_gaps(read(spark, sf, "orders")), "o_orderkey", list("abcde"))
+    return spark.createDataFrame(got.eig)
+
+
+@query()
+def cluster_k3(spark, sf):
+    red = reduce.reduce(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice", "p_type"], 3)
+    return cluster.cluster(red.coords, "p_partkey", 3).clusters
+
+
+@query()
+def var_contrib(spark, sf):
+    return spark.createDataFrame(cluster.var_contrib(read(spark, sf, "orders"), "o_orderstatus", "o_orderkey", ["o_totalprice", "o_orderpriority"]))
+
+
+@query()
+def profile(spark, sf):
+    got = cluster.profile(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice", "p_type"], 3, B=39)
+    return spark.createDataFrame(got.characterization)
+
+
+@query()
+def anomaly(spark, sf):
+    df = read(spark, sf, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return anom.anomaly(df, "id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], rank=2)
+
+
+@query()
+def iforest(spark, sf):
+    return anom.iforest(read(spark, sf, "orders").withColumn("day", F.unix_date(F.col("o_orderdate").cast("date"))), "o_orderkey", ["o_totalprice", "day"])
+
+
+@query()
+def glrm(spark, sf):
+    df = read(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), *LINE, (F.col("l_linestatus") == "O").alias("open"))
+    return low_rank.glrm(df, "id", [*LINE, "open"], maxit=15).scores
+
+
+@query()
+def cleaning_loop(spark, sf):
+    df = read(spark, sf, "part").withColumns({"k": F.lit(1), "size2": F.col("p_size")})
+    table = remedies.remedies(remedies.check_data(df))
+    done = remedies.apply(remedies.apply(df, table, "drop_cols/k", "one value", recheck=False), remedies.remedies(remedies.check_frame(df.drop("k"))), "keep_one/p_size,size2", "copies")
+    return spark.createDataFrame([(e["step"], e["key"], e["reason"]) for e in done.log], "step long, key string, reason string")
+
+
+@query()
+def data_id(spark, sf):
+    df = read(spark, sf, "orders")
+    return spark.createDataFrame([(clean.data_id(df, ["o_orderkey"]), clean.data_id(df))], "placed string, as_set string")
+
+
+@query()
+def example_panel(spark, sf):
+    return example.example_data(spark)
