@@ -10,11 +10,12 @@ the same folded stream.
 
 1. Scan: each page's folded stream, and the characters of each container.
    Equal streams of a host are counted before anything meets by host, and hosts
-   are folded in salted parts first: a host with a third of all pages sends its
-   few different streams only.
-2. Align the streams of a host into its wrapper, and find its *region*: an
-   article or main element if the wrapper has one, else the container of text
-   slots that holds most text over all pages of the host.
+   are folded in salted parts, ever fewer: a host with a third of all pages sends
+   its different streams only, and no task aligns all of those.
+2. Align the streams of a host into its wrapper. Its text slots, with the
+   containers around them, give the *region*: an article or main element if a slot
+   lies in one, else the container of slots that holds most text over all pages of
+   the host.
 3. Extract: the text blocks of the region, without boilerplate elements.
 
 Blocks are decoded, white space becomes one space, and blocks are joined by two
@@ -33,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html import unescape
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -55,8 +57,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Parts of class and id names of what isn't the article.
 MARKS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies share sharing social related recommended newsletter subscribe popup modal footer".split())
 CONTENT = ("article", "main")
-#: Parts into which a host's streams are folded first.
-SALT = 16
+#: Parts into which a host's streams are folded, one step after the other; each divides the one before.
+SALTS = (4096, 64, 1)
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
@@ -67,7 +69,7 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     marks = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
     boiler = tag in BOILERPLATE or found.get("role") in ROLES or (tag not in ("html", "body") and not marks.isdisjoint(MARKS))
     name = "main" if found.get("role") == "main" and tag in ("div", "section") else tag
-    return ".".join([name, *sorted(found.get("class", "").split()[:3])]), boiler
+    return ".".join([name, *sorted(found.get("class", "").split()[:3])]).replace("/", "_"), boiler
 
 
 def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
@@ -275,12 +277,63 @@ def _fold_host(host: str, rows: pd.DataFrame) -> tuple[str, str, int, dict[str,
 
 
 def _fold_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([_fold_host(key[0], rows)], columns=["host", "stream", "n", "mass"])
+    return pd.DataFrame([(*_fold_host(key[0], rows), int(key[1]))], columns=["host", "stream", "n", "mass", "salt"])
+
+
+#: A container around a slot: its label, whether it may be missing, and whether it may repeat.
+Around = tuple[str, bool, bool]
+
+
+def slots(wrapper: tuple[Item, ...]) -> set[tuple[Around, ...]]:
+    """The containers around each text slot of the wrapper, outermost first. One
+    that opens in an optional group may be missing, and so may one that closes in
+    an optional group which it doesn't open in."""
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    found: set[tuple[Around, ...]] = set()
+    number = count()
+
+    def walk(items: tuple[Item, ...], options: tuple[int, ...], repeats: bool) -> None:
+        for x in items:
+            if not isinstance(x, str):
+                walk(x[1], (*options, next(number)) if x[0] == "?" else options, repeats or x[0] == "+")
+            elif x == "#":
+                found.add(tuple(s[:3] for s in stack))
+            elif x[0] != "/":
+                if x.split(".")[0] in CONTAINERS:
+                    stack.append((x, bool(options), repeats, options))
+            elif (i := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == x[1:]), -1)) >= 0:
+                if stack[i][3][: len(options)] == options:
+                    del stack[i:]
+                else:
+                    stack[i:] = [(label, True, again, within) for label, _, again, within in stack[i:]]
+
+    walk(wrapper, (), False)
+    return found
+
+
+def fits(path: str, slot: tuple[Around, ...]) -> bool:
+    """Whether a slot of the wrapper can lie in the containers of ``path``."""
+    labels = path.split("/")[1:]
+    ends = {0}
+    for label, missing, repeats in slot:
+        new = set(ends) if missing else set()
+        for at in ends:
+            while at < len(labels) and labels[at] == label:
+                at += 1
+                new.add(at)
+                if not repeats:
+                    break
+        ends = new
+    return len(labels) in ends
 
 
 def region_of(wrapper: tuple[Item, ...], mass: dict[str, int]) -> str:
-    """``article`` or ``main`` if the wrapper has such an element that holds text, else the path of the container with most text."""
-    held = Counter({p: n for p, n in mass.items() if n})
+    """``article`` or ``main`` if a text slot of the wrapper lies in such an
+    element, else the container of slots with most text; of texts that lie in no
+    slot, the same."""
+    known = slots(wrapper)
+    full = {p: n for p, n in mass.items() if n}
+    held = Counter({p: n for p, n in full.items() if any(fits(p, s) for s in known)} or full)
     for name in CONTENT:
         if any(part.split(".")[0] == name for p in held for part in p.split("/")):
             return name
@@ -309,13 +362,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     counts = streams.groupBy("host", "stream").agg(F.sum("n").alias("n"))
     masses = flat.groupBy("k").agg(F.map_from_entries(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "held")))).alias("mass"))
     each = counts.join(masses.select("k.host", "k.stream", "mass"), ["host", "stream"])
-    salt = F.pmod(F.xxhash64("stream"), F.lit(SALT))
-    part = each.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(_fold_rows, STREAMS)
-    return part.groupBy("host").applyInPandas(_fold_rows, STREAMS).mapInPandas(_finish, WRAPPERS)
+    rows = each.withColumn("salt", F.xxhash64("stream"))
+    for n in SALTS:
+        rows = rows.withColumn("salt", F.pmod("salt", F.lit(n)).cast("long")).groupBy("host", "salt").applyInPandas(_fold_rows, f"{STREAMS}, salt long")
+    return rows.drop("salt").mapInPandas(_finish, WRAPPERS)
 
 
 def main_text(html: str, region: str | None) -> str:
-    blocks, _ = parse(html)
+    blocks, tokens = parse(html)
     kept = [x for x in blocks if not x[1] and not x[2]]
 
     def within(region: str) -> list[str]:
@@ -328,7 +382,7 @@ def main_text(html: str, region: str | None) -> str:
         mass: Counter = Counter()
         for x in kept:
             mass[x[0]] += len(x[3])
-        found = within(region_of((), mass)) if mass else []
+        found = within(region_of(tuple(tokens), mass)) if mass else []
     return "\n\n".join(found)
 
 

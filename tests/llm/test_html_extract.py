@@ -63,6 +63,20 @@ def test_wrapper_matches_what_it_was_inferred_from():
     assert "|" not in h.spell(wrapper)
 
 
+def test_slots_of_a_wrapper():
+    streams = ["body div.a # /div.a nav # /nav /body", "body div.b # /div.b div.c p # /p p # /p /div.c /body", "body div.b p # /p div.c # /div.c /div.b /body"]
+    wrapper = h.fold(tuple(streams[0].split()))
+    for s in streams[1:]:
+        wrapper = h.align(wrapper, h.fold(tuple(s.split())))
+    held = lambda p: any(h.fits(p, s) for s in h.slots(wrapper))
+    assert all(map(held, ("/body/div.a", "/body/nav", "/body/div.b", "/body/div.c", "/body/div.b/div.c")))
+    assert not any(map(held, ("/body/aside", "/div.a", "", "/body/div.a/div.a/div.a")))
+    assert h.region_of(wrapper, {"/body/aside": 99, "/body/div.c": 5, "/body/div.b": 4}) == "/body/div.c"
+    assert h.region_of(wrapper, {"/body/aside": 99}) == "/body/aside"
+    deep = h.fold(("div",) * 300 + ("#",) + ("/div",) * 300)
+    assert h.region_of(deep, {"/div" * 300: 1}) == "/div" * 300
+
+
 def test_wrappers_of_a_host(spark):
     df = spark.createDataFrame([(i, "http://Host/x", "<div>" + "<p>t</p>" * (1 + i % 3) + ("<h2>q</h2>" if i % 2 else "") + "</div>", 1, 2, 3) for i in range(50)], PAGE)
     r = h.wrappers(h._pages(df, "page_id", "url", "html")).collect()
