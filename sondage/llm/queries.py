@@ -68,4 +68,39 @@ QUERIES: dict[str, Query] = {
         op6_simhash, op7_decontaminate, op8_quality_classifier, op9_html_extract, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+
+#: Code points of a role or message once it is escaped.
+_ESCAPED = "length(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))"
+
+#: SQL where it can express an operator. Fitted models, tries, suffix sorting, tilings, Viterbi paths and wrappers are
+#: held against brute-force versions in the tests instead.
+ORACLES: dict[str, str] = {
+    "op5_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat_format.TURN + chat_format.TEXT + chat_format.END)} + {_ESCAPED.format(x="role")} + {_ESCAPED.format(x="text")})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op10_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS k FROM g) WHERE k > 1),
+c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  len(lines) AS n_lines, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper
+  FROM w LEFT JOIN c USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR (n_lines >= 10 AND 100 * n_dup_lines > 50 * n_lines)
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_upper > 40 * word_chars) AS kept
+FROM b""",
+}
