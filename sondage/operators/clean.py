@@ -122,11 +122,17 @@ def recode_errors(df: DataFrame, errors: Sequence, replacement=None, rows: Colum
 
 
 def repair_encoding(df: DataFrame, col: str, encoding: str = "windows-1252") -> DataFrame:
-    """Binary text as UTF-8; bytes that aren't are read in ``encoding`` if that can be undone."""
-    other = F.decode(F.col(col), encoding)
+    """Binary text as UTF-8; bytes that aren't are read in the single-byte ``encoding``
+    if that can be undone, else null. Spark decodes few encodings itself, so the
+    characters are put in place of those of ISO 8859-1."""
+    table = {chr(b): bytes([b]).decode(encoding, "replace") for b in range(256)}
+    moved = {c: to for c, to in table.items() if to not in (c, "\ufffd")}
+    none = "".join(f"\\x{{{ord(c):02X}}}" for c, to in table.items() if to == "\ufffd")
+    plain = F.decode(F.col(col), "iso-8859-1")
+    other = F.translate(plain, "".join(moved), "".join(moved.values()))
+    undone = ~plain.rlike(f"[{none}]") if none else F.lit(True)
     valid = F.expr(f"is_valid_utf8(cast(`{col}` AS string))")
-    text = F.when(valid, F.decode(F.col(col), "UTF-8")).when(F.encode(other, encoding) == F.col(col), other)
-    return df.withColumn(col, text)
+    return df.withColumn(col, F.when(valid, F.decode(F.col(col), "UTF-8")).when(undone, other))
 
 
 def data_id(df: DataFrame, key: Sequence[str] | None = None) -> str:

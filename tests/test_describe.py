@@ -65,10 +65,10 @@ def test_hinges_and_outliers(spark):
         n4 = math.floor((len(s) + 3) / 2) / 2
         at = lambda r: s[int(r) - 1]  # noqa: B023, E731
         want = ((at(math.floor(n4)) + at(math.ceil(n4))) / 2, (at(len(s) + 1 - math.floor(n4)) + at(len(s) + 1 - math.ceil(n4))) / 2)
-        df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, x double")
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double")
         r = outliers.hinges(df, ["x"]).first()
         assert (r.q1, r.q3) == want
-    df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 1, 1, 1, None, 50])], "id long, x double")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 1.0, 1.0, 1.0, None, 50.0])], "id long, x double")
     rows = {r.id: r for r in outliers.outliers(df, "id", "x").collect()}
     assert rows[4].score is None and rows[5].score == 0.0
     assert [r.id for r in outliers.outliers_all(df, "id", method="zscore", threshold=1.5).collect()] == [5]
@@ -117,6 +117,8 @@ def test_cleaning(spark):
         clean.drop_cols(x, ["q"])
     raw = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"caf\xe9"),)], "b binary")
     assert [r.b for r in clean.repair_encoding(raw, "b").collect()] == ["é", "café"]
+    raw = spark.createDataFrame([(bytearray(b"\x80 5 \x93q\x94"),), (bytearray(b"caf\xe9 \x81"),), (None,)], "b binary")
+    assert [r.b for r in clean.repair_encoding(raw, "b").collect()] == ["€ 5 “q”", None, None]
 
 
 def test_fingerprint(spark):
