@@ -36,7 +36,7 @@ from sondage.plans.shared import materialize
 SEED, COVERAGE = 5, 0.8
 MOST_SEEDS = 1_000_000
 #: Bytes of text that are split into words at once, and words that a task remembers.
-PIECE, REMEMBERED = 1 << 20, 1 << 19
+PIECE, REMEMBERED = 1 << 20, 1 << 17
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLANKS = b" \t\n\x0b\x0c\r"
 _M = np.uint64(0x9E3779B97F4A7C15)

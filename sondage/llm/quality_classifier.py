@@ -38,7 +38,7 @@ BUCKETS, SAMPLE, PASSES, PENALTY = 1 << 18, 12_000, 40, 1e-5
 #: How clearly a feature must tell grades apart to get a weight.
 LEAST_Z = 5.0
 #: Words that a task remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GRADES = 3
 _CLASS = bytes(

@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts that a task remembers, bytes of text taken at once, and the longest part that is solved together with others.
-REMEMBERED, PIECE, SHORT = 1 << 19, 1 << 20, 64
+REMEMBERED, PIECE, SHORT = 1 << 18, 1 << 20, 64
 PARTS = re.compile(rb" *[^ \n]+|\n| +")
 
 
@@ -233,9 +233,10 @@ def encode(model: Model, texts: list[bytes]) -> list[np.ndarray]:
     mark = MARK.encode()
     parts = [PARTS.findall(b" " + (t.replace(mark, b" ") if mark in t else t)) if t else [] for t in texts]
     known = model.solved
-    if len(known) >= REMEMBERED:
-        known.clear()
     new = list(dict.fromkeys(p for ps in parts for p in ps if p not in known))
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = list(dict.fromkeys(p for ps in parts for p in ps))
     for i in range(0, len(new), 1 << 14):
         known.update(zip(new[i : i + (1 << 14)], solve(model, new[i : i + (1 << 14)]), strict=True))
     return [np.frombuffer(b"".join(map(known.__getitem__, ps)), np.int32) for ps in parts]
