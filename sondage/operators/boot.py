@@ -71,10 +71,35 @@ def observed(df: DataFrame, col: str, by: Sequence[str] = (), stat: str = "mean"
     return keyed(df, by).groupBy(*by).agg(f.alias("observed"), F.count(x).alias("n"))
 
 
-def _interval(kind: str, obs: float, r: np.ndarray, conf: float, x: np.ndarray, w: np.ndarray, stat: str) -> tuple[float, float]:
-    a = (1 - conf) / 2
+def leave_one_out(stat: str, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The statistic without one copy of each of the sorted values, in closed form."""
+    n = int(w.sum())
+    m = x @ w / n
+    if stat == "mean":
+        return (n * m - x) / (n - 1)
+    if stat in ("var", "sd"):
+        if n < 3:
+            return np.zeros(len(x))
+        v = np.maximum(w @ (x - m) ** 2 - n / (n - 1) * (x - m) ** 2, 0) / (n - 2)
+        return v if stat == "var" else np.sqrt(v)
+    c = np.cumsum(w)
+    at = lambda r: x[np.searchsorted(c, r + 1)]
+    gone = c - 1
+    mid = [np.where(r < gone, at(r), at(min(r + 1, n - 1))) for r in ((n - 2) // 2, (n - 1) // 2)]
+    return (mid[0] + mid[1]) / 2
+
+
+def acceleration(stat: str, x: np.ndarray, w: np.ndarray) -> float:
+    """Of the BCa interval (Efron 1987), from leaving one value out."""
+    jack = leave_one_out(stat, x, w)
+    d = jack @ w / w.sum() - jack
+    return float((w @ d**3) / (6 * (w @ d**2) ** 1.5 or 1))
+
+
+def _interval(kind: str, obs: float, r: np.ndarray, conf: float, acc: float = 0.0) -> tuple[float, float]:
+    a, nd = (1 - conf) / 2, NormalDist()
     if kind == "normal":
-        z = NormalDist().inv_cdf(1 - a)
+        z = nd.inv_cdf(1 - a)
         bias, s = r.mean() - obs, r.std(ddof=1)
         return obs - bias - z * s, obs - bias + z * s
     lo, hi = np.quantile(r, [a, 1 - a])
@@ -83,17 +108,7 @@ def _interval(kind: str, obs: float, r: np.ndarray, conf: float, x: np.ndarray,
     below = (r < obs).mean()
     if kind == "percentile" or below in (0, 1):
         return float(lo), float(hi)
-    z0, nd = NormalDist().inv_cdf(below), NormalDist()
-    n = w.sum()
-    # leaving one value out changes the statistic alike for all its copies
-    jack = np.array([_stat(stat, x, w - (np.arange(len(x)) == i)) for i in range(len(x))]) if len(x) <= 2000 else np.array([])
-    if len(jack):
-        m = jack @ w / n
-        d = m - jack
-        acc = float((w @ d**3) / (6 * (w @ d**2) ** 1.5 or 1))
-    else:
-        d = x - x @ w / n
-        acc = float((w @ d**3) / (6 * (w @ d**2) ** 1.5 or 1))
+    z0 = nd.inv_cdf(below)
     ends = [nd.cdf(z0 + (z0 + z) / (1 - acc * (z0 + z))) for z in (nd.inv_cdf(a), nd.inv_cdf(1 - a))]
     return tuple(float(q) for q in np.quantile(r, ends))
 
@@ -116,7 +131,7 @@ def boot_ci(df: DataFrame, col: str, by: Sequence[str] = (), stat: str = "mean",
                     upper.append(None)
                     continue
                 x, w = np.array([e["x"] for e in v]), np.array([e["cnt"] for e in v])
-                lo, hi = _interval(ci_type, o, np.asarray(r), conf, x, w, stat)
+                lo, hi = _interval(ci_type, o, np.asarray(r), conf, acceleration(stat, x, w) if ci_type == "bca" else 0.0)
                 lower.append(lo)
                 upper.append(hi)
             yield p[list(by)].assign(stat=stat, observed=p["observed"], lower=lower, upper=upper, conf=conf, R=R, ci_type=ci_type, n=p["n"])
@@ -124,9 +139,10 @@ def boot_ci(df: DataFrame, col: str, by: Sequence[str] = (), stat: str = "mean",
     return both.mapInPandas(run, ", ".join([*(f"`{b}` {types[b]}" for b in by), "stat string, observed double, lower double, upper double, conf double, R long, ci_type string, n long"]))
 
 
-def boot_diff(df: DataFrame, col: str, group: str, stat: str = "mean", R: int = 2000, conf: float = 0.95, adjust: str = "max_t", seed: int = 1, ref=None) -> tuple[pd.DataFrame, np.ndarray]:
+def boot_diff(df: DataFrame, col: str, group: str, stat: str = "mean", R: int = 2000, conf: float = 0.95, adjust: str = "max_t", seed: int = 1, ref=None, ci_type: str = "percentile") -> tuple[pd.DataFrame, np.ndarray]:
     """All pairs of groups (or each against ``ref``): D = to - from, simultaneous by
-    the largest |Z| of each replicate (Westfall & Young 1993). Groups are few."""
+    the largest |Z| of each replicate (Westfall & Young 1993). Without it intervals are
+    of ``ci_type``, where BCa corrects the bias only. Groups are few."""
     obs = {r[group]: (r.observed, r.n) for r in observed(df, col, [group], stat).collect() if r.n >= 2}
     rep = draws(df, col, [group], stat, R, seed).toPandas().pivot(index="rep", columns=group, values="value")
     names = sorted(obs)
@@ -145,10 +161,10 @@ def boot_diff(df: DataFrame, col: str, group: str, stat: str = "mean", R: int =
         p, p_adj = (z >= raw).mean(0), (top[:, None] >= raw).mean(0)
     else:
         m = len(pairs) if adjust == "bonferroni" else 1
-        a = (1 - conf) / 2 / m
-        lower, upper = np.quantile(d, [a, 1 - a], axis=0)
+        ends = np.array([_interval(ci_type, float(o), d[:, i], 1 - (1 - conf) / m) for i, o in enumerate(point)])
+        lower, upper = ends[:, 0], ends[:, 1]
         p = np.minimum(1, 2 * np.minimum((d <= 0).mean(0), (d >= 0).mean(0)))
         p_adj = np.minimum(1, m * p)
-    out = pd.DataFrame({"stat": stat, "from": [a for a, _ in pairs], "to": [b for _, b in pairs], "observed": point, "lower": lower, "upper": upper, "conf": conf, "R": R, "adjust": adjust, "n_comparisons": len(pairs), "n_from": [obs[a][1] for a, _ in pairs], "n_to": [obs[b][1] for _, b in pairs], "p_value": p, "p_adj": p_adj, "p_superiority": (d > 0).mean(0)})
+    out = pd.DataFrame({"stat": stat, "from": [a for a, _ in pairs], "to": [b for _, b in pairs], "observed": point, "lower": lower, "upper": upper, "conf": conf, "R": R, "ci_type": ci_type, "adjust": adjust, "n_comparisons": len(pairs), "n_from": [obs[a][1] for a, _ in pairs], "n_to": [obs[b][1] for _, b in pairs], "p_value": p, "p_adj": p_adj, "p_superiority": (d > 0).mean(0)})
     out["excludes_zero"] = (out.lower > 0) | (out.upper < 0)
     return out, d

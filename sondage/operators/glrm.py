@@ -2,7 +2,11 @@
 
 Only the column factors Y are kept between passes. A pass solves each row's scores
 given Y in its task, and adds up the normal equations of every column, p matrices
-of rank + 1; so the scores are never stored or shuffled, and come from Y at the end."""
+of rank + 1; so the scores are never stored or shuffled, and come from Y at the end.
+
+Numbers (standardised) have quadratic loss, flags and two levels logistic loss, more
+levels multinomial loss over one column each, and counts Poisson loss if asked for.
+Each loss is divided by that of the best constant, so that columns weigh alike."""
 
 from __future__ import annotations
 
@@ -10,14 +14,75 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators.describe import finite
 from sondage.operators.linalg import matrix_sum, project
 from sondage.operators.select import class_of, sample_rows
+from sondage.plans.shared import materialize
 
 GRID = (0.1, 0.5, 1, 2, 5, 10, 20, 50, 100)
+MOST_LEVELS = 200
+
+
+@dataclass
+class Loss:
+    """What each column of the encoded matrix is: its loss, the block of levels it
+    belongs to, the weight of its loss and the offset of the best constant."""
+
+    kind: np.ndarray
+    block: np.ndarray
+    weight: np.ndarray
+    offset: np.ndarray
+
+    def means(self, eta: np.ndarray) -> np.ndarray:
+        mu = np.where(self.kind == "logistic", 1 / (1 + np.exp(-np.clip(eta, -30, 30))), eta)
+        mu = np.where(self.kind == "poisson", np.exp(np.clip(eta, -30, 30)), mu)
+        for at in self.levels():
+            e = np.exp(eta[:, at] - eta[:, at].max(1, keepdims=True))
+            mu[:, at] = e / e.sum(1, keepdims=True)
+        return mu
+
+    def levels(self) -> list[np.ndarray]:
+        return [np.flatnonzero(self.block == b) for b in np.unique(self.block[self.kind == "multinomial"])]
+
+    def working(self, eta: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and targets of the quadratic that touches each cell's loss and lies
+        above it between the two; missing cells weigh nothing."""
+        seen = ~np.isnan(a)
+        y = np.where(seen, a, 0.0)
+        mu = self.means(eta)
+        w = np.select([self.kind == "logistic", self.kind == "multinomial", self.kind == "poisson"], [0.25, 0.5, np.maximum(np.maximum(mu, y), 0.01)], 1.0)
+        return w * self.weight * seen, eta + (y - mu) / w
+
+    def total(self, a: np.ndarray, eta: np.ndarray) -> float:
+        seen = ~np.isnan(a)
+        y = np.where(seen, a, 0.0)
+        e = np.clip(eta, -30, 30)
+        count = np.exp(e) - y * e + np.where(y > 0, y * np.log(np.maximum(y, 1e-300)) - y, 0.0)
+        cell = np.select([self.kind == "logistic", self.kind == "poisson"], [np.logaddexp(0, eta) - y * eta, count], (y - eta) ** 2 / 2)
+        for at in self.levels():
+            top = eta[:, at].max(1, keepdims=True)
+            cell[:, at] = -y[:, at] * (eta[:, at] - top - np.log(np.exp(eta[:, at] - top).sum(1, keepdims=True)))
+        return float((cell * self.weight * seen).sum())
+
+    def scores(self, a: np.ndarray, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 12) -> np.ndarray:
+        k = y.shape[1]
+        x = np.zeros((len(a), k))
+        for _ in range(1 if (self.kind == "quadratic").all() else steps):
+            w, t = self.working(x @ y.T + offset, a)
+            left = np.einsum("np,pk,pl->nkl", w, y, y) + lam * np.eye(k)
+            x = np.linalg.solve(left, np.einsum("np,pk->nk", w * (t - offset), y)[:, :, None])[:, :, 0]
+        return x
+
+
+@dataclass
+class Encoding:
+    names: list[str]
+    of: list[str]
+    cells: list[Column]
+    loss: Loss
 
 
 @dataclass
@@ -31,61 +96,75 @@ class Glrm:
     scores: DataFrame
 
 
-def _working(eta: np.ndarray, a: np.ndarray, logistic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and targets of the quadratic that touches each cell's loss; missing cells weigh nothing."""
-    seen = ~np.isnan(a)
-    y = np.where(seen, a, 0.0)
-    mu = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
-    w = np.where(logistic, 0.25, 1.0) * seen
-    t = np.where(logistic, eta + (y - mu) * 4, y)
-    return w, t
-
-
-def _scores(a: np.ndarray, y: np.ndarray, offset: np.ndarray, logistic: np.ndarray, lam: float, steps: int = 8) -> np.ndarray:
-    k = y.shape[1]
-    x = np.zeros((len(a), k))
-    for _ in range(steps if logistic.any() else 1):
-        w, t = _working(x @ y.T + offset, a, logistic)
-        left = np.einsum("np,pk,pl->nkl", w, y, y) + lam * np.eye(k)
-        x = np.linalg.solve(left, np.einsum("np,pk->nk", w * (t - offset), y)[:, :, None])[:, :, 0]
-    return x
-
-
-def _loss(a: np.ndarray, eta: np.ndarray, logistic: np.ndarray) -> float:
-    seen = ~np.isnan(a)
-    y = np.where(seen, a, 0.0)
-    cell = np.where(logistic, np.logaddexp(0, eta) - y * eta, (y - eta) ** 2 / 2)
-    return float((cell * seen).sum())
-
-
-def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: float = 1.0, maxit: int = 50, tol: float = 1e-7, seed: int = 1) -> Glrm:
-    """Numbers (standardised) have quadratic loss, flags logistic loss."""
-    losses = ["logistic" if class_of(df.schema[c].dataType) == "logical" else "quadratic" for c in names]
-    stats = df.agg(*[F.struct(F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")) for c in names]).first()
-    cells = [finite(c).alias(c) if lo == "logistic" else ((finite(c) - F.lit(s.m)) / F.lit(s.s or 1.0)).alias(c) for c, lo, s in zip(names, losses, stats, strict=True)]
-    rows = df.select(key, *[F.coalesce(x, F.lit(float("nan"))).alias(c) for c, x in zip(names, cells, strict=True)]).persist()
-    logistic = np.array([lo == "logistic" for lo in losses])
-    p = len(names)
-    start = np.array([tuple(r) for r in sample_rows(rows, [key], n=2000, seed=seed).select(*names).collect()]).reshape(-1, p)
-    offset = np.where(logistic, 0.0, 0.0)
-    filled = np.where(np.isnan(start), np.nanmean(start, axis=0, keepdims=True), start) if len(start) else start
-    y = np.linalg.svd(filled - filled.mean(0), full_matrices=False)[2][:rank].T if len(start) else np.zeros((p, rank))
+def encode(df: DataFrame, names: Sequence[str], poisson: Sequence[str] = ()) -> Encoding:
+    """One pass for all numbers and flags, one small count of levels for each category."""
+    labels, of, cells, kind, block, weight, offset = [], [], [], [], [], [], []
+
+    def add(c: str, label: str, cell: Column, k: str, best: float, start: float, b: int) -> None:
+        labels.append(label), of.append(c), cells.append(cell), kind.append(k), block.append(b), weight.append(1 / max(best, 1e-12)), offset.append(start)  # noqa: B018
+
+    numbers = [c for c in names if class_of(df.schema[c].dataType) in ("numeric", "logical")]
+    aggs = [F.struct(F.avg(finite(c)).alias("m"), F.stddev_pop(finite(c)).alias("s"), F.avg(F.when(finite(c) > 0, finite(c) * F.log(finite(c))).otherwise(F.when(finite(c) == 0, 0.0))).alias("e"), F.min(finite(c)).alias("lo")).alias(f"c{i}") for i, c in enumerate(numbers)]
+    stats = dict(zip(numbers, df.agg(*aggs).first(), strict=True)) if numbers else {}
+    for b, c in enumerate(names):
+        if c in stats:
+            m, s, e, lo = stats[c]
+            m = m or 0.0
+            if c in poisson:
+                if lo is not None and lo < 0:
+                    raise ValueError(f"{c} has negative values, so it can't have Poisson loss")
+                m = max(m, 1e-9)
+                add(c, c, finite(c), "poisson", (e or 0.0) - m * np.log(m), float(np.log(m)), b)
+            elif class_of(df.schema[c].dataType) == "logical":
+                p = min(max(m, 1e-6), 1 - 1e-6)
+                add(c, c, finite(c), "logistic", -(p * np.log(p) + (1 - p) * np.log(1 - p)), float(np.log(p / (1 - p))), b)
+            else:
+                add(c, c, (finite(c) - F.lit(m)) / F.lit(s or 1.0), "quadratic", 0.5, 0.0, b)
+            continue
+        text = F.col(c).cast("string")
+        rows = df.select(text.alias("l")).where("l is not null").groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(MOST_LEVELS + 1).collect()
+        if not 2 <= len(rows) <= MOST_LEVELS:
+            raise ValueError(f"{c} must have 2 to {MOST_LEVELS} levels")
+        share = np.array([r.n for r in rows], float) / sum(r.n for r in rows)
+        best = float(-(share * np.log(share)).sum())
+        if len(rows) == 2:
+            add(c, f"{c}={rows[1].l}", (text == F.lit(rows[1].l)).cast("double"), "logistic", best, float(np.log(share[1] / share[0])), b)
+            continue
+        for r, p in zip(rows, share, strict=True):
+            add(c, f"{c}={r.l}", (text == F.lit(r.l)).cast("double"), "multinomial", best, float(np.log(p)), b)
+    return Encoding(labels, of, cells, Loss(np.array(kind), np.array(block), np.array(weight), np.array(offset)))
+
+
+def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: float = 1.0, maxit: int = 50, tol: float = 1e-7, seed: int = 1, poisson: Sequence[str] = (), encoding: Encoding | None = None) -> Glrm:
+    """Scores of rows and archetypes of columns. ``lam`` penalises both."""
+    enc = encoding or encode(df, names, poisson)
+    loss, p = enc.loss, len(enc.names)
+    cols = [f"a{i}" for i in range(p)]
+    rows = df.select(key, *[F.coalesce(x, F.lit(float("nan"))).alias(c) for c, x in zip(cols, enc.cells, strict=True)]).persist()
+    start = np.array([tuple(r) for r in sample_rows(rows, [key], n=2000, seed=seed).select(*cols).collect()]).reshape(-1, p)
+    y = np.zeros((p, rank))
+    if len(start):
+        filled = np.where(np.isnan(start), np.nan_to_num(np.nanmean(start, axis=0, keepdims=True)), start)
+        filled = (filled - filled.mean(0)) / np.maximum(filled.std(0), 1e-9)
+        top = np.linalg.svd(filled, full_matrices=False)[2][:rank].T
+        y[:, : top.shape[1]] = top
+    offset = loss.offset.copy()
     trace: list[float] = []
     try:
         for _ in range(maxit):
 
             def sums(a: np.ndarray, y: np.ndarray = y, offset: np.ndarray = offset) -> np.ndarray:
-                x = _scores(a, y, offset, logistic, lam)
+                x = loss.scores(a, y, offset, lam)
                 eta = x @ y.T + offset
-                w, t = _working(eta, a, logistic)
+                w, t = loss.working(eta, a)
                 z = np.column_stack([x, np.ones(len(x))])
                 left = np.einsum("np,nk,nl->pkl", w, z, z).reshape(p, -1)
                 right = np.einsum("np,nk->pk", w * t, z)
                 cost = np.zeros((p, 1))
-                cost[0] = _loss(a, eta, logistic) + lam / 2 * (x**2).sum()
+                cost[0] = loss.total(a, eta) + lam / 2 * (x**2).sum()
                 return np.column_stack([left, right, cost])
 
-            got = matrix_sum(rows, names, sums)
+            got = matrix_sum(rows, cols, sums)
             k1 = rank + 1
             left, right, cost = got[:, : k1 * k1].reshape(p, k1, k1), got[:, k1 * k1 : -1], got[0, -1] + lam / 2 * float((y**2).sum())
             trace.append(cost)
@@ -93,28 +172,28 @@ def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: floa
                 break
             new = np.linalg.solve(left + lam * np.diag([1.0] * rank + [1e-9]), right[:, :, None])[:, :, 0]
             y, offset = new[:, :rank], new[:, rank]
-        out = project(rows, key, names, lambda a: _scores(a, y, offset, logistic, lam), [f"dim{i + 1}" for i in range(rank)])
-        from sondage.plans.shared import materialize
-
-        return Glrm(y, offset, losses, list(names), trace, lam, materialize(out, "glrm"))
+        out = project(rows, key, cols, lambda a: loss.scores(a, y, offset, lam), [f"dim{i + 1}" for i in range(rank)])
+        return Glrm(y, offset, loss.kind.tolist(), enc.names, trace, lam, materialize(out, "glrm"))
     finally:
         rows.unpersist()
 
 
-def choose_lambda(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, held: float = 0.1, seed: int = 1) -> float:
-    """The penalty with the least error on held-out cells, from large to small; stops after two worse."""
+def choose_lambda(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, held: float = 0.1, seed: int = 1, poisson: Sequence[str] = ()) -> float:
+    """The penalty with the least loss on held-out cells, from large to small; stops after two worse."""
     hide = lambda c: F.pmod(F.xxhash64(key, F.lit(c), F.lit(seed)), F.lit(1000)) < int(1000 * held)
-    open_ = df.select(key, *[F.when(~hide(c), F.col(c)).alias(c) for c in names])
+    enc = encode(df, names, poisson)
+    loss, p = enc.loss, len(enc.names)
+    parts = [Encoding(enc.names, enc.of, [F.when(~hide(c) if open_ else hide(c), x) for c, x in zip(enc.of, enc.cells, strict=True)], enc.loss) for open_ in (True, False)]
+    both = df.select(*[F.coalesce(x, F.lit(float("nan"))).alias(f"b{i}") for i, x in enumerate([*parts[0].cells, *parts[1].cells])])
     best, pick, worse = np.inf, GRID[-1], 0
-    stats = df.agg(*[F.struct(F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")) for c in names]).first()
     for lam in reversed(GRID):
-        m = glrm(open_, key, names, rank, lam, maxit=15, seed=seed)
-        both = df.join(m.scores, key)
-        err = F.lit(0.0)
-        for j, c in enumerate(names):
-            eta = F.lit(float(m.offset[j])) + sum((F.col(f"dim{i + 1}") * F.lit(float(m.archetypes[j, i])) for i in range(rank)), F.lit(0.0))
-            err = err + F.when(hide(c) & finite(c).isNotNull(), ((finite(c) - F.lit(stats[j].m)) / F.lit(stats[j].s or 1.0) - eta) ** 2).otherwise(0.0)
-        e = both.agg(F.sum(err)).first()[0]
+        m = glrm(df, key, names, rank, lam, maxit=15, seed=seed, encoding=parts[0])
+
+        def error(a: np.ndarray, y: np.ndarray = m.archetypes, off: np.ndarray = m.offset, lam: float = lam) -> np.ndarray:
+            eta = loss.scores(a[:, :p], y, off, lam) @ y.T + off
+            return np.array([[loss.total(a[:, p:], eta)]])
+
+        e = float(matrix_sum(both, both.columns, error)[0, 0])
         if e < best:
             best, pick, worse = e, lam, 0
         else:
