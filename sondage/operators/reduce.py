@@ -19,6 +19,7 @@ from sondage.operators.counts import missing
 from sondage.operators.describe import finite
 from sondage.operators.linalg import matrix_sum, project
 from sondage.operators.select import class_of
+from sondage.operators.timecode import encode as encode_time
 
 MOST_LEVELS = 200
 
@@ -62,8 +63,11 @@ def encode(df: DataFrame, key: str, names: Sequence[str]) -> tuple[DataFrame, li
     return df.select(key, *[x.alias(f"z{i}") for i, x in enumerate(cells)]), what
 
 
-def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5) -> Reduction:
-    """pca, mca or famd by the classes of the columns. A dimension's sign makes its largest loading positive."""
+def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: str = "cycles") -> Reduction:
+    """pca, mca or famd by the classes of the columns. A dimension's sign makes its largest
+    loading positive. Time columns become numbers as ``timecode.encode`` says."""
+    coded = encode_time(df, key, names, time)
+    df, names = coded.df, coded.names
     kinds = {class_of(df.schema[c].dataType) for c in names}
     method = "pca" if kinds == {"numeric"} else "famd" if "numeric" in kinds else "mca"
     z, what = encode(df, key, names)
