@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.sqlmath import norm_cdf
 from sondage.operators import anomaly as anom
-from sondage.operators import boot, clean, cluster, counts, describe, frame, outliers, plotdata, reduce, remedies, select, smd
+from sondage.operators import boot, clean, cluster, counts, describe, frame, outliers, plotdata, reduce, remedies, select, smd, timecode
 from sondage.operators import glrm as low_rank
 from sondage.operators import missing as miss
 from sondage.sources import example
@@ -435,6 +435,11 @@ def boot_ci(spark, sf):
     return boot.boot_ci(read(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], R=500)
 
 
+@query()
+def boot_ci_bca(spark, sf):
+    return boot.boot_ci(read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], "sd", R=500, ci_type="bca")
+
+
 @query()
 def boot_diff(spark, sf):
     return spark.createDataFrame(boot.boot_diff(read(spark, sf, "lineitem"), "l_tax", "l_returnflag", R=500)[0])
@@ -502,6 +507,32 @@ def glrm(spark, sf):
     return low_rank.glrm(df, "id", [*LINE, "open"], maxit=15).scores
 
 
+@query()
+def glrm_mixed(spark, sf):
+    """Poisson, multinomial and quadratic losses together."""
+    df = read(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
+    return low_rank.glrm(df, "id", ["l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"], maxit=10, poisson=["l_linenumber"]).scores
+
+
+@query("SELECT o_orderkey, round(epoch_us(o_orderdate) / 86400e6 - min(epoch_us(o_orderdate) / 86400e6) OVER (), 6) AS o_orderdate_elapsed FROM orders")
+def time_elapsed(spark, sf):
+    df = read(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return rounded(timecode.encode(df, "o_orderkey", ["o_orderdate"], "elapsed").df.drop("o_orderdate"))
+
+
+@query("SELECT o_orderkey, round((dayofweek(d) + h) / 7, 6) AS wday, round((day(d) - 1 + h) / day(last_day(d)), 6) AS mday, round((dayofyear(d) - 1 + h) / 366, 6) AS yday FROM (SELECT o_orderkey, o_orderdate d, (hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate)) / 86400 h FROM orders)")
+def time_places(spark, sf):
+    df = read(spark, sf, "orders")
+    at = timecode.places(df, "o_orderdate")
+    return rounded(df.select("o_orderkey", *[at[a].share.alias(a) for a in ("wday", "mday", "yday")]))
+
+
+@query()
+def reduce_time(spark, sf):
+    got = reduce.reduce(read(spark, sf, "orders"), "o_orderkey", ["o_orderdate", "o_totalprice", "o_orderpriority"], 3)
+    return spark.createDataFrame(got.eig)
+
+
 @query()
 def cleaning_loop(spark, sf):
     df = read(spark, sf, "part").withColumns({"k": F.lit(1), "size2": F.col("p_size")})
