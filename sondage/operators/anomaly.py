@@ -1,8 +1,10 @@
 """Rows that are implausible as a combination.
 
 Reconstruction: principal components fitted to the most regular rows; the score
-is the squared distance from their span, judged against data simulated from the
-fitted structure. Isolation forest: trees grown on the driver from bounded hashed
+is the squared distance from their span, judged against ``B`` data sets of all n
+rows simulated from the fitted structure: blocks of them are drawn in the tasks,
+keyed by block, and meet the scores in ranges of the score, where they are sorted
+and counted. Noise scale and covariance come from all rows. Isolation forest: trees grown on the driver from bounded hashed
 samples, scores in the tasks."""
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from sondage.operators.linalg import matrix_sum, project
 from sondage.operators.select import sample_rows
 
 SAMPLE = 20_000
+#: Simulated rows drawn by one generator; simulated values in a range of the score.
+BLOCK, RANGE = 1 << 15, 1 << 18
 
 
 def _gram(z: DataFrame, cols: Sequence[str]) -> np.ndarray:
@@ -32,15 +38,30 @@ def _span(gram: np.ndarray, rank: int) -> np.ndarray:
 
 
 def rank_of(x: np.ndarray, B: int = 30, q: float = 0.95, seed: int = 1) -> int:
-    """Horn's parallel analysis on a bounded sample: components above those of permuted columns."""
+    """Horn's parallel analysis: components above those of permuted columns."""
     rng = np.random.default_rng(seed)
-    real = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
     null = [np.sort(np.linalg.eigvalsh(np.corrcoef(np.column_stack([rng.permutation(c) for c in x.T]).T)))[::-1] for _ in range(B)]
+    return _above(np.corrcoef(x.T), null, q)
+
+
+def _above(corr: np.ndarray, null: list[np.ndarray], q: float) -> int:
+    real = np.sort(np.linalg.eigvalsh(corr))[::-1]
     above = real > np.quantile(null, q, axis=0)
     k = int(np.argmin(above)) if not above.all() else len(real)
     return min(max(1, k), len(real) - 1)
 
 
+def rank_of_many(corr: np.ndarray, n: int, B: int = 30, q: float = 0.95, seed: int = 1) -> int:
+    """The same from the correlations of all ``n`` rows: over permutations a correlation
+    has mean 0 and variance 1/(n - 1), and is normal in the limit."""
+    rng = np.random.default_rng(seed)
+    null = []
+    for _ in range(B):
+        e = np.triu(rng.normal(0, (n - 1) ** -0.5, corr.shape), 1)
+        null.append(np.sort(np.linalg.eigvalsh(e + e.T + np.eye(len(corr))))[::-1])
+    return _above(corr, null, q)
+
+
 def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None, trim: float = 0.25, B: int = 39, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """(key, score, driver, p, p_adj, flag) of complete rows, most anomalous first to sort by ``score``."""
     p = len(names)
@@ -54,38 +75,80 @@ def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = No
     z = x.select(key, *[((F.col(c) - F.lit(stats[i + 1].m)) / F.lit(stats[i + 1].s or 1.0)).alias(c) for i, c in enumerate(names)])
     z = z.persist()
     try:
-        sample = np.array([tuple(r) for r in sample_rows(z, [key], n=min(n, SAMPLE), seed=seed).select(*names).collect()])
-        k = rank_of(sample, seed=seed) if rank is None else rank
-        v = _span(_gram(z, names), k)
+        gram = _gram(z, names)
+        if rank is not None:
+            k = rank
+        elif n <= SAMPLE:
+            k = rank_of(np.array([tuple(r) for r in sample_rows(z, [key], n=n, seed=seed).select(*names).collect()]), seed=seed)
+        else:
+            k = rank_of_many(gram / np.sqrt(np.outer(gram.diagonal(), gram.diagonal())), n, seed=seed)
+        v = _span(gram, k)
         for _ in range(3):  # refit on the rows that fit best
             s = project(z, key, list(names), lambda a, v=v: ((a - a @ v @ v.T) ** 2).sum(1, keepdims=True), ["s"])
             cut = s.agg(F.percentile("s", F.lit(1 - trim))).first()[0]
             v = _span(_gram(z.join(s.where(F.col("s") <= cut), key, "left_semi"), names), k)
         proj = v @ v.T
-        res = sample - sample @ proj
-        scale = 1.4826 * np.median(np.abs(res - np.median(res, 0)), 0) * np.sqrt(p / (p - k))
-        common = np.cov((sample @ v).T).reshape(k, k)
-        rng = np.random.default_rng(seed)
-
-        def simulate(rows: int) -> np.ndarray:
+        rs = [f"r{i}" for i in range(p)]
+        res = project(z, key, list(names), lambda a: np.column_stack([a - a @ proj, ((a - a @ proj) ** 2).sum(1)]), [*rs, "s"])
+        *mid, real_mid = res.agg(*[F.percentile(c, F.lit(0.5)) for c in [*rs, "s"]]).first()
+        mad = res.agg(*[F.percentile(F.abs(F.col(c) - F.lit(m)), F.lit(0.5)) for c, m in zip(rs, mid, strict=True)]).first()
+        scale = 1.4826 * np.array(mad, float) * np.sqrt(p / (p - k))
+        common = v.T @ gram @ v * n / (n - 1)
+        spark = df.sparkSession
+
+        def drawn(rep: int, block: int) -> np.ndarray:
+            """Scores of one block of the simulated data set ``rep``."""
+            rows = min(BLOCK, n - block * BLOCK)
+            rng = np.random.default_rng([seed, rep, block])
             y = rng.multivariate_normal(np.zeros(k), common, rows) @ v.T + rng.normal(0, 1, (rows, p)) * scale
             return ((y - y @ proj) ** 2).sum(1)
 
-        real = (res**2).sum(1)
-        ratio = np.median(real) / max(np.median([np.median(simulate(len(sample))) for _ in range(3)]), 1e-300)
-        null = np.sort(np.concatenate([simulate(len(sample)) for _ in range(B)])) * ratio
+        blocks = -(-n // BLOCK)
+
+        def simulated(first: int, reps: int, f, schema: str) -> DataFrame:
+            """``f`` of each block's number and scores, over data sets ``first`` and following."""
+
+            def run(batches):
+                for b in batches:
+                    for i in b["id"].to_numpy().tolist():
+                        yield f(first + i // blocks, drawn(first + i // blocks, i % blocks))
+
+            many = spark.range(reps * blocks)
+            return many.repartition(min(reps * blocks, 4 * spark.sparkContext.defaultParallelism), "id").mapInArrow(run, schema)
+
+        batch = lambda **x: pa.RecordBatch.from_arrays([pa.array(c) for c in x.values()], list(x))
+        trial = simulated(B, 3, lambda rep, s: batch(rep=np.full(len(s), rep), s=s), "rep long, s double")
+        ratio = real_mid / max(np.median([r.m for r in trial.groupBy("rep").agg(F.percentile("s", F.lit(0.5)).alias("m")).collect()]), 1e-300)
+
+        # ranges of the score that hold about RANGE simulated values each
+        parts = max(1, n * B // RANGE)
+        at = np.linspace(0, 1, parts + 1)[1:-1]
+        edges = np.unique(np.quantile(drawn(B + 3, 0) * ratio, at)) if len(at) else np.empty(0)
+        place = lambda s: np.searchsorted(edges, s, "right")
+        tally = simulated(0, B, lambda _, s: batch(cell=np.arange(len(edges) + 1), n=np.bincount(place(s * ratio), minlength=len(edges) + 1)), "cell long, n long")
+        held = {r.cell: r.n for r in tally.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+        count = np.array([held[i] for i in range(len(edges) + 1)])
+        higher = count.sum() - np.cumsum(count)
+        null = simulated(0, B, lambda _, s: batch(cell=place(s * ratio), s=s * ratio), "cell long, s double")
 
         def judge(a: np.ndarray) -> np.ndarray:
             r = a - a @ proj
             s = (r**2).sum(1)
-            above = len(null) - np.searchsorted(null, s, "left")
-            return np.column_stack([s, np.abs(r).argmax(1), (1 + above) / (len(null) + 1)])
+            return np.column_stack([s, np.abs(r).argmax(1), place(s)])
 
-        out = project(z, key, list(names), judge, ["score", "at", "p"])
-        out = bh(out, "p", n)
-        driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
+        def compare(real: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
+            s = np.sort(sims["s"].to_numpy())
+            cell = real["cell"].to_numpy().astype(int)
+            above = len(s) - np.searchsorted(s, real["score"].to_numpy(), "left") + higher[cell]
+            return pd.DataFrame({key: real[key], "score": real["score"], "at": real["at"], "p": (1 + above) / (n * B + 1)})
+
+        real = project(z, key, list(names), judge, ["score", "at", "cell"]).withColumn("cell", F.col("cell").cast("long"))
+        kind = dict(df.dtypes)[key]
+        out = real.groupBy("cell").cogroup(null.groupBy("cell")).applyInPandas(compare, f"`{key}` {kind}, score double, at double, p double")
         from sondage.plans.shared import materialize
 
+        out = bh(materialize(out, "anomaly-p"), "p", n)
+        driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
         return materialize(out.select(key, "score", driver.alias("driver"), "p", "p_adj", (F.col("p_adj") < alpha).alias("flag")), "anomaly")
     finally:
         z.unpersist()
