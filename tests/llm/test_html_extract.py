@@ -71,14 +71,75 @@ def test_slots_of_a_wrapper():
     held = lambda p: any(h.fits(p, s) for s in h.slots(wrapper))
     assert all(map(held, ("/body/div.a", "/body/nav", "/body/div.b", "/body/div.c", "/body/div.b/div.c")))
     assert not any(map(held, ("/body/aside", "/div.a", "", "/body/div.a/div.a/div.a")))
-    assert h.region_of(wrapper, {"/body/aside": 99, "/body/div.c": 5, "/body/div.b": 4}) == "/body/div.c"
-    assert h.region_of(wrapper, {"/body/aside": 99}) == "/body/aside"
+    assert h.region_of(wrapper, {"/body/aside": 99, "/body/div.b/div.c": 5, "/body/div.b": 4}) == ("/body/div.b", frozenset())
+    assert h.region_of(wrapper, {"/body/div.c": 5, "/body/div.b": 4})[0] == "/body"
+    assert h.region_of(wrapper, {"/body/aside": 99})[0] == "/body/aside"
     deep = h.fold(("div",) * 300 + ("#",) + ("/div",) * 300)
-    assert h.region_of(deep, {"/div" * 300: 1}) == "/div" * 300
+    assert h.region_of(deep, {"/div" * 300: 1})[0] == "/div" * 300
 
 
 def test_wrappers_of_a_host(spark):
-    df = spark.createDataFrame([(i, "http://Host/x", "<div>" + "<p>t</p>" * (1 + i % 3) + ("<h2>q</h2>" if i % 2 else "") + "</div>", 1, 2, 3) for i in range(50)], PAGE)
+    df = spark.createDataFrame([(i, "http://Host/x", "<div>" + "".join(f"<p>{i} {k}</p>" for k in range(1 + i % 3)) + ("<h2>q</h2>" if i % 5 else "") + "</div>", 1, 2, 3) for i in range(50)] * 2, PAGE)
     r = h.wrappers(h._pages(df, "page_id", "url", "html")).collect()
-    assert len(r) == 1 and (r[0].host, r[0].n_pages, r[0].region) == ("host", 50, "/div")
-    assert r[0].wrapper == "div ( p # /p )+ ( h2 # /h2 )? /div"
+    assert len(r) == 1 and (r[0].host, r[0].n_pages, r[0].region, r[0].shells) == ("host", 50, "/div", [])
+    q = h.Block("", (), True, "q", 1).key
+    assert r[0].wrapper == f"div ( p # /p )+ ( h2 ={q} /h2 )? /div" and r[0].fixed == [q]
+
+
+def story(i, n=3):
+    return [f"Paragraph {k} of story {i}, which no other page has." for k in range(n + i % 3)]
+
+
+NOTE = "We keep small files on your machine and show this note on every page of the site."
+#: Layouts without an article element: what holds the texts, and what comes of them.
+LAYOUTS = {
+    "split": lambda i: f"<div class='post'><div class='intro'><p>{story(i)[0]}</p></div><div class='body'>{''.join(f'<p>{t}</p>' for t in story(i)[1:])}</div></div>",
+    "sections": lambda i: "<div>" + "".join(f"<section class='s{k}'><p>{t}</p></section>" for k, t in enumerate(story(i))) + "</div>",
+    "named": lambda i: f"<article class='post social'>{''.join(f'<p>{t}</p>' for t in story(i))}</article>",
+    "shell": lambda i: f"<div class='layout sidebar' id='comments-open'><div class='share-price'>{''.join(f'<p>{t}</p>' for t in story(i))}</div></div>",
+    "form": lambda i: f"<form>{''.join(f'<p>{t}</p>' for t in story(i))}</form>",
+}
+COMMENTS = "<ol class='commentlist'><li>Reader {0} agrees with it</li></ol><section class='responses'><p>Reader {0} doesn't</p></section>"
+
+
+def layout(kind, i):
+    return f"<html><body><div><p>{NOTE}</p></div>{LAYOUTS[kind](i)}{COMMENTS.format(i)}<div><p>All rights kept by the site.</p><ul><li><a href='/{i}'>Story {i} again</a></li></ul></div></body></html>"
+
+
+def test_layouts_without_article(spark):
+    """Wrappers part the article from texts that no name or tag marks."""
+    rows = [(100 * k + i, f"http://{kind}.example.com/{i}", layout(kind, i)) for k, kind in enumerate(LAYOUTS) for i in range(12)]
+    want = {100 * k + i: "\n\n".join(story(i)) for k, _ in enumerate(LAYOUTS) for i in range(12)}
+    assert {r[0]: r[1] for r in texts(spark, rows)} == want
+
+
+def test_without_wrappers_the_notes_stay(spark):
+    for kind in LAYOUTS:
+        alone = h.main_text(layout(kind, 1), None)
+        assert (NOTE in alone) == (kind not in ("named",))
+        # with class names alone, a form or a sidebar that holds the article is lost
+        assert all(t in alone for t in story(1)) == (kind not in ("shell", "form"))
+
+
+def test_one_page_of_a_host(spark):
+    """With one page, or copies of one, all its texts are slots."""
+    rows = [(k, "http://once/x", "<body><div><p>Note.</p></div><div class='post'><p>Only story.</p></div></body>") for k in range(4)]
+    assert {r[1] for r in texts(spark, rows)} == {"Note.\n\nOnly story."}
+
+
+def test_copies_of_an_article_stay(spark):
+    """A host most of whose pages hold one article keeps it."""
+    rows = [(k, f"http://h/{k}", f"<body><nav>{k}</nav><article><h1>Same</h1><p>Same story.</p></article></body>") for k in range(9)]
+    assert {r[1] for r in texts(spark, rows)} == {"Same\n\nSame story."}
+
+
+def test_template_texts_within_an_article(spark):
+    """A box of constant text in an article goes; a constant paragraph among others stays."""
+    page = "<body><article><header><h1>Story {0}</h1><p>by {0}</p></header><div><p>Join our list.</p></div><p>Text {0}.</p><p>Licensed freely.</p></article></body>"
+    rows = [(k, f"http://h/{k}", page.format(k)) for k in range(5)]
+    assert {r[0]: r[1] for r in texts(spark, rows)} == {k: f"Story {k}\n\nText {k}.\n\nLicensed freely." for k in range(5)}
+
+
+def test_names(spark):
+    assert all(map(h._marked, ("cookie-notice", "top-menu", "site-footer", "related-posts", "ad", "ad-300x250", "post-comments", "newsletter_signup")))
+    assert not any(map(h._marked, ("has-sidebar", "no-sidebar", "share-price", "tag-social", "comments-open", "post", "main-content", "", "adopt")))
