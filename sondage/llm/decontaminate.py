@@ -229,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that no item contaminates, all columns kept. A row goes if
     its id and text agree with a contaminated one's."""
-    key = F.xxhash64(F.col("doc_id"), text_of("text"))
-    keyed = docs.withColumn("__key", key)
-    bad = contaminated(keyed, benchmark, id_col="__key", coverage=coverage).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(materialize(bad, "contaminated"), "__key", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id"), text_of("text")).alias("key"), F.col("text"))
+    bad = contaminated(rows, benchmark, id_col="key", coverage=coverage).select(F.col("doc_id").alias("key")).distinct()
+    stays = rows.drop("text").join(materialize(bad, "contaminated"), "key", "left_anti")
+    return stays.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
