@@ -1,26 +1,33 @@
 """URL filters: host and path rules first, then a character language-model ratio.
 
-Two smoothed variable-order Markov models are counted over the URLs, one for
-accepted and one for rejected examples. A URL's score is the difference of its
-log-likelihoods under both, divided by its length; the threshold is calibrated
-on examples that the models haven't seen.
-
-The examples are weak labels: a host one of whose parts (split at ``.``, ``-``
-and ``_``) is a term of ``terms`` is a rejected one, any other host an accepted
-one. The models generalise from them by spelling. Interpolation is Witten-Bell:
+Two smoothed variable-order Markov models are counted: one for accepted URLs, one
+for rejected ones. A URL's score is the difference of its log-likelihoods under
+both, divided by its length; the threshold is calibrated on examples that the
+models haven't seen.
+
+No URL of the table has a label. Accepted examples are the table's own URLs, of
+which most are taken to be good; rejected examples are the same URLs with the name
+of the site replaced by one made of words of ``TERMS``, a parameter, so that both
+kinds differ in names alone. Names are parted in two folds, and a URL is scored by
+models that have seen the accepted names of the other fold only: a bad name that
+the table holds can't vouch for itself, and what decides is how it is spelled, not
+whether a term is in it. Held-out rejected names calibrate the threshold against
+all the table's URLs. Interpolation is Witten-Bell:
 ``P_k(c|ctx) = (n(ctx,c) + t(ctx) P_{k-1}) / (n(ctx) + t(ctx))`` with ``t`` the
 number of different characters seen after the context.
 
 Everything is DataFrame expressions. URLs are scored once per distinct spelling
-(digits are one class), so repeated URLs cost one row. Defined results: a null
-URL, or one without ``://``, has empty host and path, no rule, and is judged on
-the empty spelling; without examples of either kind the method allows; null ids
-and repeated rows pass through; an empty table gives an empty result.
+(digits are one class), so repeated URLs cost one row, and a site with many pages
+counts by its different spellings. Defined results: a null URL, or one without
+``://``, has empty host and path, no rule, and is allowed; without terms the method
+allows; null ids and repeated rows pass through; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +37,18 @@ from sondage.plans.shared import materialize
 
 #: (action, host/path) rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Parts of host names that mark rejected examples; a parameter.
-TERMS = ("adult", "ads", "bet", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
+#: Words of which names of rejected sites are made; a parameter.
+TERMS = tuple(
+    "ad adult ads affiliate bet bets betting bonus buy cam casino cash cheap cialis click coupon crack credit dating deal deals discount download earn escort farm fast fat fetish free gamble gambling games girls hack hot jackpot "
+    "keygen live loan loans lottery lucky meds millionaire money nude offer online payday pharma pharmacy pill pills poker popup porn prize profit promo replica rich sale seo sex sexy slots spam spin track tracker traffic torrent "
+    "viagra video warez watches webcam weight win winner x xxx".split()
+)
+#: Labels of a host that come before the name of its site.
+SERVICES = ("www", "m", "blog", "mobile", "news", "shop", "forum", "en", "de", "fr", "es")
 #: Characters of context of the longest order.
 ORDER = 4
-#: One in so many distinct spellings is kept for calibration.
-HELD_OUT = 5
+#: One in so many rejected names is kept for calibration, and the folds of the table's own names.
+HELD_OUT, FOLDS = 5, 2
 #: Probability of a character under the empty model.
 UNIFORM = 1 / 128
 #: Width of the bins in which the threshold is searched, and its bound.
@@ -99,10 +112,44 @@ def fit(examples: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def score(spellings: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``spelling, score``: the mean log ratio of its characters. The model holds
-    every gram of the spellings it was fitted on; an unknown one counts zero."""
-    parts = spellings.select("spelling", F.explode(_grams(F.col("spelling"), order)).alias("gram"))
-    return parts.join(model, "gram", "left").groupBy("spelling").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
+    """``fold, spelling, score``: the mean log ratio of its characters under the
+    model of its fold, which holds every gram of the spellings it was fitted on; an
+    unknown one counts zero."""
+    parts = spellings.select("fold", "spelling", F.explode(_grams(F.col("spelling"), order)).alias("gram"))
+    return parts.join(model, ["fold", "gram"], "left").groupBy("fold", "spelling").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
+
+
+def site_name(host: Column, services: Sequence[str] = SERVICES) -> Column:
+    """The first label of the host that isn't a service's, of those before its last one."""
+    labels = F.split(host, "[.]")
+    return F.coalesce(F.get(F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1))), lambda x: ~x.isin(*services)), F.lit(0)), F.lit(""))
+
+
+def rejected_name(key: Column, terms: Sequence[str]) -> Column:
+    """One or two of the terms, joined by a hyphen or by nothing."""
+    words = F.array(*[F.lit(t) for t in terms])
+    word = lambda i: F.get(words, F.pmod(F.xxhash64(key, F.lit(i)), F.lit(len(terms))).cast("int"))
+    kind = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(4))
+    return F.when(kind == 0, word(0)).when(kind == 1, F.concat(word(0), word(1))).otherwise(F.concat_ws("-", word(0), word(1)))
+
+
+def examples(parts: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(fold, spelling, n_acc, n_rej, h_acc, h_rej) for each model: what it counts,
+    what it is calibrated on (``h_``), and zeros for what it scores alone."""
+    own = parts.where("spelling <> ''").select("spelling", "host", "path").distinct()
+    name = site_name(F.col("host"))
+    fold = F.pmod(F.xxhash64(name), F.lit(FOLDS)).cast("int")
+    own = own.groupBy("spelling").agg(F.min_by(F.struct("host", "path"), F.struct("host", "path")).alias("x")).select("spelling", "x.*").select("*", fold.alias("fold"), name.alias("name"))
+    bad = own.where("name <> ''").withColumn("new", rejected_name(F.col("spelling"), terms) if terms else F.lit(None).cast("string")).where("new is not null")
+    at = F.expr("locate(name, host)")
+    renamed = F.concat(F.expr("substring(host, 1, locate(name, host) - 1)"), F.col("new"), F.expr("substring(host, locate(name, host) + length(name))"))
+    bad = bad.where(at > 0).select(spelling(renamed, F.col("path")).alias("spelling"), (F.pmod(F.xxhash64("new"), F.lit(HELD_OUT)) == 0).alias("held"), F.xxhash64("spelling").alias("key"))
+    each = F.explode(F.array(*[F.lit(f) for f in range(FOLDS)])).alias("model")
+    rows = own.select("spelling", each, (F.col("fold") != F.col("model")).cast("int").alias("n_acc"), F.lit(0).alias("n_rej"), (F.col("fold") == F.col("model")).cast("int").alias("h_acc"), F.lit(0).alias("h_rej"))
+    half = F.pmod("key", F.lit(FOLDS)) == F.col("model")
+    worse = bad.select("*", each).select("spelling", "model", F.lit(0).alias("n_acc"), (~F.col("held")).cast("int").alias("n_rej"), F.lit(0).alias("h_acc"), (F.col("held") & half).cast("int").alias("h_rej"))
+    sums = [F.sum(c).alias(c) for c in ("n_acc", "n_rej", "h_acc", "h_rej")]
+    return rows.unionByName(worse).groupBy(F.col("model").alias("fold"), "spelling").agg(*sums)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -132,15 +179,11 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, terms: Sequen
     parts = urls.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     parts = parts.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), spelling(F.col("host"), F.col("path")).alias("spelling"))
-    marked = F.arrays_overlap(F.split("host", "[._-]"), F.array(*[F.lit(t) for t in terms]))
-    held = F.pmod(F.xxhash64("spelling"), F.lit(HELD_OUT)) == 0
-    n = F.col("n")
-    distinct = parts.groupBy("spelling", marked.alias("bad")).agg(F.count("*").alias("n"))
-    examples = distinct.groupBy("spelling").agg(
-        *[F.sum(F.when((held if h else ~held) & (F.col("bad") if k == "rej" else ~F.col("bad")), n).otherwise(0)).alias(f"{'h' if h else 'n'}_{k}") for h in (False, True) for k in ("acc", "rej")]
-    )
-    examples = materialize(examples, "url-spellings")
-    scored = materialize(score(examples, fit(examples, order), order).join(examples.select("spelling", "h_acc", "h_rej"), "spelling"), "url-scores")
+    known = materialize(examples(parts, terms), "url-spellings")
+    models = [fit(known.where(F.col("fold") == f), order).withColumn("fold", F.lit(f)) for f in range(FOLDS)]
+    judged = known.where("h_acc + h_rej > 0")
+    scored = score(judged, reduce(DataFrame.unionByName, models), order)
+    scored = materialize(scored.join(judged.select("fold", "spelling", "h_acc", "h_rej"), ["fold", "spelling"]), "url-scores")
     least = calibrate(scored)
     method = F.when(F.col("score") < F.lit(least), "block").otherwise("allow")
-    return parts.join(scored.select("spelling", "score"), "spelling", "left").select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")
+    return parts.join(scored.where("h_acc > 0").select("spelling", "score"), "spelling", "left").select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")

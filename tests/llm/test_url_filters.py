@@ -1,7 +1,10 @@
 import math
+import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sondage.llm import queries
 from sondage.llm import url_filters as u
 
@@ -66,3 +69,41 @@ def test_spelled_like_rejected_hosts(spark):
     spam = rows.host.str.contains("pills|bets|casino|adult|spam|ads-")
     assert (rows[spam].verdict == "block").mean() > 0.95
     assert (rows[~spam].verdict == "allow").mean() > 0.98
+
+
+def test_model_and_terms_differ(spark):
+    """Names spelled like rejected ones are blocked without holding a term; a term in a common name is allowed."""
+    rng = random.Random(3)
+    part = lambda: rng.choice("ther on ing tion ble er an re st in at ed or es ly".split())
+    clean = ["".join(part() for _ in range(rng.randrange(2, 5))) for _ in range(300)]
+    bad = ["cazino-winn", "pokerz-bonuz", "pilll-cheep", "betz-sloots", "gammbling-prizes"]
+    odd = ["live-theringeronationering", "theresaleronting", "onthestfreeration"]
+    hosts = [f"www.{x}.example.com" for x in clean + bad + odd]
+    rows = [(i * 10 + k, f"https://{x}/en/{rng.randrange(9999)}{end}", 1, "r", "s") for i, x in enumerate(hosts) for k, end in enumerate(("", "/", ".html"))]
+    got = {r.page_id: r.verdict for r in u.judge(spark.createDataFrame(rows, PAGE)).collect()}
+    of = lambda names: [got[i * 10 + k] for i, x in enumerate(hosts) if any(n in x for n in names) for k in range(3)]
+    words = {w for x in bad for w in x.split("-")}
+    assert words.isdisjoint(u.TERMS) and {"live", "sale", "free"} <= set(u.TERMS)
+    assert set(of(bad)) == {"block"} and set(of(odd)) == {"allow"}
+    assert sum(v == "allow" for v in of(clean)) >= 0.98 * 900
+
+
+def test_threshold_against_every_cut(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(1, 1), 1, 0) for _ in range(80)] + [(rng.gauss(-1, 1), 0, 1) for _ in range(50)]
+    got = u.calibrate(spark.createDataFrame(rows, "score double, h_acc long, h_rej long"))
+    rate = lambda c: sum(r[2] for r in rows if r[0] < c) / 50 - sum(r[1] for r in rows if r[0] < c) / 80
+    assert rate(got) >= max(rate(k * u.BIN) for k in range(-500, 500)) - 1e-9
+    one = spark.createDataFrame(rows[:80], "score double, h_acc long, h_rej long")
+    assert u.calibrate(one) == float("-inf") == u.calibrate(one.limit(0))
+
+
+def test_examples(spark):
+    df = spark.createDataFrame([("www.theron.org/a", "www.theron.org", "/a"), ("www.theron.org/a", "www.theron.org", "/a"), ("x", "x", ""), ("", "", "")], "spelling string, host string, path string")
+    rows = u.examples(df, ("bet",)).collect()
+    own = [r for r in rows if r.h_acc]
+    assert sorted(r.spelling for r in own) == ["www.theron.org/a", "x"] and all(r.n_acc == 0 for r in own)
+    assert {r.spelling for r in rows} - {"www.theron.org/a", "x"} <= {f"{a}{w}{b}" for w in ("bet", "betbet", "bet-bet") for a, b in (("www.", ".org/a"), ("", ""))}
+    assert not any(r.n_rej for r in u.examples(df, ()).collect())
+    names = spark.createDataFrame([("www.a.b.c",), ("m",), ("blog.www.com",), ("a.com",), ("",)], "h string").select(u.site_name(F.col("h")).alias("n")).collect()
+    assert [r.n for r in names] == ["a", "", "", "a", ""]
