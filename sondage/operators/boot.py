@@ -1,107 +1,232 @@
 """Bootstrap intervals of a statistic, and of differences between groups.
 
-Only distinct values and their counts are resampled: a replicate is a multinomial
-draw over them. The table of counts is dealt out by (group, replicate block), so
-replicates are the unit of work, and the generator of a block is seeded by it:
-results don't depend on the partitioning. Groups with more than ``MOST`` different
-values are resampled as Poisson sums over value bins of 1/MOST of the range each,
-whose means are kept exactly."""
+Every replicate is a resample of all values of the group, drawn from the counts of
+its different values, whatever their number.
+
+* Means and variances need sums alone. The different values of a group are parted
+  by a hash into parts of about the square root of their number; a replicate first
+  deals the n draws over the parts (a multinomial draw, the same in every task, as
+  it is seeded by group and replicate) and then within each part over its values,
+  which is the multinomial draw over all values. Parts are tasks; their sums are
+  added up.
+* A median needs two order statistics of the resample, whose ranks in the data
+  follow from order statistics of uniform draws (beta-distributed). So ranks are
+  drawn and read from the running counts of the values.
+* A statistic of the caller's own is an aggregate of Spark, a function of a value
+  column and a weight column. Its replicates have Poisson weights, drawn in Spark.
+
+Generators are seeded by group, part and replicate: results don't depend on the
+partitioning."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.operators.describe import finite, keyed
+from sondage.operators.describe import finite, keyed, running
+from sondage.plans.shared import materialize
 
-MOST, BLOCK = 20_000, 50
+#: Different values of a part, at least; replicates drawn at once.
+PART, BLOCK = 4096, 64
+#: A statistic: a name, or an aggregate of (values, weights).
+Stat = str | Callable[[Column, Column], Column]
 
 
-def _stat(name: str, x: np.ndarray, w: np.ndarray) -> float:
-    n = w.sum()
-    if name == "mean":
-        return float(x @ w / n)
-    if name in ("var", "sd"):
-        m = x @ w / n
-        v = float(w @ (x - m) ** 2 / (n - 1)) if n > 1 else float("nan")
-        return v if name == "var" else v**0.5
-    c = np.cumsum(w)
-    lo, hi = np.searchsorted(c, (n - 1) // 2 + 1), np.searchsorted(c, n // 2 + 1)
-    return float((x[lo] + x[hi]) / 2)
+def _same(a: str, b: str, by: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for c in by:
+        on = on & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return on
 
 
 def values(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
-    """(by..., x, cnt), at most ``MOST`` rows a group."""
-    x = finite(col)
-    v = keyed(df, by).select(*by, x.alias("x")).where("x is not null").groupBy(*by, "x").agg(F.count("*").alias("cnt"))
-    spread = v.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("k"))
-    on = [F.col(f"v.{b}") == F.col(f"s.{b}") for b in by] or [F.lit(True)]
-    both = v.alias("v").join(spread.alias("s"), on).select(*[F.col(f"v.{b}").alias(b) for b in by], "x", "cnt", "lo", "hi", "k")
-    cell = F.when(F.col("k") <= MOST, F.col("x")).otherwise(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (MOST - 1)))
-    return both.groupBy(*by, cell.alias("cell")).agg((F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("x"), F.sum("cnt").alias("cnt")).drop("cell")
+    """(by..., x, cnt): the different finite values of each group."""
+    return keyed(df, by).select(*by, finite(col).alias("x")).where("x is not null").groupBy(*by, "x").agg(F.count("*").alias("cnt"))
 
 
-def draws(df: DataFrame, col: str, by: Sequence[str] = (), stat: str = "mean", R: int = 2000, seed: int = 1) -> DataFrame:
-    """(by..., rep, value): replicates of the statistic."""
-    v = values(df, col, by)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((R - 1) // BLOCK))).alias("block")
+def _key(group: Sequence) -> list[int]:
+    return [zlib.crc32(str(g).encode()) for g in group]
+
+
+def _sums(rows: pd.DataFrame, weight: np.ndarray, R: int, seed: int, group: Sequence, part: int) -> np.ndarray:
+    """Of one part: the draws, their sum and their sum of squares about the centre, by replicate."""
+    rows = rows.sort_values("x")
+    x, w = rows["x"].to_numpy() - rows["centre"].iloc[0], rows["cnt"].to_numpy()
+    n, share = int(weight.sum()), w / w.sum()
+    terms = np.column_stack([np.ones(len(x)), x, x * x])
+    out = np.empty((R, 3))
+    for at in range(0, R, BLOCK):
+        reps = range(at, min(R, at + BLOCK))
+        held = np.random.default_rng([seed, at, *_key(group)]).multinomial(n, weight / n, len(reps))[:, part]
+        own = np.random.default_rng([seed, at, part + 1, *_key(group)])
+        out[at : at + len(reps)] = own.multinomial(held, share) @ terms
+    return out
+
+
+def _sum_draws(vals: DataFrame, by: Sequence[str], stat: str, R: int, seed: int) -> DataFrame:
+    n, total = F.sum("cnt"), F.sum(F.col("x") * F.col("cnt"))
+    groups = vals.groupBy(*by).agg((total / n).alias("centre"), F.count("*").alias("k"))
+    size = F.greatest(F.lit(float(PART)), F.sqrt("k"))
+    parts = F.ceil(F.col("k") / size).cast("int")
+    dealt = vals.alias("v").join(groups.alias("g"), _same("v", "g", by)).select(*[F.col(f"v.{c}").alias(c) for c in by], "x", "cnt", "centre", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"))
+    dealt = materialize(dealt, "boot-values")
+    weights = dealt.groupBy(*by, "part").agg(F.sum("cnt").alias("held"))
+    weights = weights.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "held"))).alias("weights"))
+    rows = dealt.alias("v").join(weights.alias("w"), _same("v", "w", by)).select(*[F.col(f"v.{c}").alias(c) for c in by], "part", "x", "cnt", "centre", "weights")
+    # a part's weights are needed once, on its first row
+    first = F.row_number().over(_window([*by, "part"], "x")) == 1
+    rows = rows.select(*by, "part", "x", "cnt", "centre", F.when(first, F.col("weights")).alias("weights"))
+    types = {f.name: f.dataType.simpleString() for f in vals.schema}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        *group, block = key
-        rows = rows.sort_values("x")
-        x, w = rows["x"].to_numpy(), rows["cnt"].to_numpy()
-        rng = np.random.default_rng([seed, int(block), *[zlib.crc32(str(g).encode()) for g in group]])
-        reps = np.arange(block * BLOCK, min(R, (block + 1) * BLOCK))
-        got = [_stat(stat, x, rng.multinomial(w.sum(), w / w.sum())) for _ in reps]
-        return pd.DataFrame({**dict(zip(by, group, strict=True)), "rep": reps, "value": got})
+        *group, part = key
+        listed = rows["weights"].dropna().iloc[0]
+        held = np.array([e["held"] for e in listed])
+        at = [e["part"] for e in listed].index(part)
+        got = _sums(rows, held, R, seed, group, at)
+        return pd.DataFrame({**dict(zip(by, group, strict=True)), "rep": np.arange(R), "s0": got[:, 0], "s1": got[:, 1], "s2": got[:, 2], "centre": rows["centre"].iloc[0]})
+
+    got = rows.groupBy(*by, "part").applyInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in by), "rep long, s0 double, s1 double, s2 double, centre double"]))
+    sums = got.groupBy(*by, "rep").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("centre").alias("centre"))
+    mean = F.col("s1") / F.col("s0")
+    var = F.when(F.col("s0") > 1, F.greatest(F.lit(0.0), F.col("s2") - F.col("s0") * mean * mean) / (F.col("s0") - 1))
+    value = {"mean": F.col("centre") + mean, "var": var, "sd": F.sqrt(var)}[stat]
+    return sums.select(*by, "rep", value.alias("value"))
+
+
+def _window(by: Sequence[str], order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*by).orderBy(order)
+
+
+#: Cells in which ranks and values meet.
+CELLS = 1024
+
+
+def _median_draws(vals: DataFrame, by: Sequence[str], R: int, seed: int) -> DataFrame:
+    upto = running(vals, by)
+    sizes = vals.groupBy(*by).agg(F.sum("cnt").alias("n"))
+    types = {f.name: f.dataType.simpleString() for f in vals.schema}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for *group, n in p.itertuples(index=False):
+                rng = np.random.default_rng([seed, *_key(group)])
+                low, high = (n - 1) // 2 + 1, n // 2 + 1
+                u = rng.beta(low, n - low + 1, R)
+                v = u if low == high else 1 - (1 - u) * rng.beta(n - low, 1, R)
+                ranks = np.minimum(np.column_stack([u, v]) * n, n - 1).astype(np.int64) + 1
+                yield pd.DataFrame({**{c: [g] * (2 * R) for c, g in zip(by, group, strict=True)}, "rep": np.repeat(np.arange(R), 2), "rank": ranks.ravel()})
+
+    ranks = materialize(sizes.select(*by, "n").mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in by), "rep long, rank long"])), "boot-ranks")
+    span = ranks.groupBy(*by).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
 
-    types = {f.name: f.dataType.simpleString() for f in v.schema}
-    return v.select("*", blocks).groupBy(*by, "block").applyInPandas(run, ", ".join([*(f"`{b}` {types[b]}" for b in by), "rep long", "value double"]))
+    def with_span(rows: DataFrame) -> DataFrame:
+        return rows.alias("r").join(span.alias("s"), _same("r", "s", by)).select(*[F.col(f"r.{c}").alias(c) for c in by], *[F.col(f"r.{c}") for c in rows.columns if c not in by], "lo", "hi")
 
+    def cell(rank: Column) -> Column:
+        return F.floor((rank - F.col("lo")) * CELLS / (F.col("hi") - F.col("lo") + 1))
 
-def observed(df: DataFrame, col: str, by: Sequence[str] = (), stat: str = "mean") -> DataFrame:
+    here = with_span(upto).where((F.col("upto") >= F.col("lo")) & (F.col("upto") - F.col("cnt") < F.col("hi")))
+    first, last = F.greatest(F.col("upto") - F.col("cnt") + 1, F.col("lo")), F.least("upto", "hi")
+    here = here.select(*by, "x", "upto", "cnt", F.explode(F.sequence(cell(first), cell(last))).alias("cell"))
+    asked = with_span(ranks).select(*by, "rep", "rank", cell(F.col("rank")).alias("cell"))
+    on = _same("a", "h", [*by, "cell"]) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("cnt"))
+    return asked.alias("a").join(here.alias("h"), on).groupBy(*[F.col(f"a.{c}").alias(c) for c in by], "rep").agg(F.avg("x").alias("value"))
+
+
+def _poisson_draws(vals: DataFrame, by: Sequence[str], stat: Callable[[Column, Column], Column], R: int, seed: int) -> DataFrame:
+    reps = np.arange(R)
+    types = {f.name: f.dataType.simpleString() for f in vals.schema}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for *group, x, cnt in p[[*by, "x", "cnt"]].itertuples(index=False):
+                w = np.random.default_rng([seed, *_key(group), int(np.float64(x).view(np.uint64))]).poisson(cnt, R)
+                hit = w > 0
+                yield pd.DataFrame({**{c: [g] * int(hit.sum()) for c, g in zip(by, group, strict=True)}, "rep": reps[hit], "x": x, "w": w[hit]})
+
+    drawn = vals.mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in by), "rep long, x double, w long"]))
+    return drawn.groupBy(*by, "rep").agg(stat(F.col("x"), F.col("w")).cast("double").alias("value"))
+
+
+def draws(df: DataFrame, col: str, by: Sequence[str] = (), stat: Stat = "mean", R: int = 2000, seed: int = 1) -> DataFrame:
+    """(by..., rep, value): replicates of the statistic."""
+    vals = values(df, col, by)
+    if callable(stat):
+        return _poisson_draws(vals, by, stat, R, seed)
+    return _median_draws(vals, by, R, seed) if stat == "median" else _sum_draws(vals, by, stat, R, seed)
+
+
+def observed(df: DataFrame, col: str, by: Sequence[str] = (), stat: Stat = "mean") -> DataFrame:
     x = finite(col)
-    f = {"mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "sd": F.stddev_samp(x), "var": F.var_samp(x)}[stat]
-    return keyed(df, by).groupBy(*by).agg(f.alias("observed"), F.count(x).alias("n"))
-
-
-def leave_one_out(stat: str, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The statistic without one copy of each of the sorted values, in closed form."""
-    n = int(w.sum())
-    m = x @ w / n
-    if stat == "mean":
-        return (n * m - x) / (n - 1)
-    if stat in ("var", "sd"):
-        if n < 3:
-            return np.zeros(len(x))
-        v = np.maximum(w @ (x - m) ** 2 - n / (n - 1) * (x - m) ** 2, 0) / (n - 2)
-        return v if stat == "var" else np.sqrt(v)
-    c = np.cumsum(w)
-    at = lambda r: x[np.searchsorted(c, r + 1)]
-    gone = c - 1
-    mid = [np.where(r < gone, at(r), at(min(r + 1, n - 1))) for r in ((n - 2) // 2, (n - 1) // 2)]
-    return (mid[0] + mid[1]) / 2
-
-
-def acceleration(stat: str, x: np.ndarray, w: np.ndarray) -> float:
-    """Of the BCa interval (Efron 1987), from leaving one value out."""
-    jack = leave_one_out(stat, x, w)
-    d = jack @ w / w.sum() - jack
-    return float((w @ d**3) / (6 * (w @ d**2) ** 1.5 or 1))
+    if callable(stat):
+        out = values(df, col, by).groupBy(*by).agg(stat(F.col("x"), F.col("cnt")).cast("double").alias("observed"), F.sum("cnt").alias("n"))
+    elif stat == "median":
+        out = _middle(running(values(df, col, by), by), by).select(*by, ((F.col("b1") + F.col("b2")) / 2).alias("observed"), "n")
+    else:
+        f = {"mean": F.avg(x), "sd": F.stddev_samp(x), "var": F.var_samp(x)}[stat]
+        return keyed(df, by).groupBy(*by).agg(f.alias("observed"), F.count(x).alias("n"))
+    groups = keyed(df, by).groupBy(*by).agg(F.count(x).alias("held"))
+    both = groups.alias("g").join(out.alias("o"), _same("g", "o", by), "left")
+    return both.select(*[F.col(f"g.{c}").alias(c) for c in by], "observed", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _middle(upto: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n, a0, a1, c0, c1, b1, b2): values at the ranks that a median needs.
+    ``b`` are those of the whole group; ``a``, ``c`` those of the group less one
+    value, below and above which it was."""
+    n = upto.groupBy(*by).agg(F.max("upto").alias("n"))
+    at = upto.alias("u").join(n.alias("n"), _same("u", "n", by)).select(*[F.col(f"u.{c}").alias(c) for c in by], "x", "cnt", "upto", "n")
+
+    def holds(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("cnt") <= rank), F.col("x")))
+
+    end = F.col("n") - 1
+    low, high = F.floor((F.col("n") - 2) / 2), F.floor(end / 2)
+    ranks = {"a0": low, "a1": F.least(low + 1, end), "c0": high, "c1": F.least(high + 1, end), "b1": F.floor(end / 2), "b2": F.floor(F.col("n") / 2)}
+    return at.groupBy(*by, "n").agg(*[holds(r).alias(k) for k, r in ranks.items()])
+
+
+def acceleration(df: DataFrame, col: str, by: Sequence[str], stat: str) -> DataFrame:
+    """(by..., acc) of the BCa interval (Efron 1987): from the statistic without one
+    copy of each value, in closed form, weighted by its count."""
+    vals = values(df, col, by)
+    if stat == "median":
+        upto = running(vals, by)
+        rows = upto.alias("v").join(_middle(upto, by).alias("g"), _same("v", "g", by))
+        gone = F.col("upto") - 1
+        low, high = F.floor((F.col("n") - 2) / 2), F.floor((F.col("n") - 1) / 2)
+        jack = (F.when(low < gone, F.col("a0")).otherwise(F.col("a1")) + F.when(high < gone, F.col("c0")).otherwise(F.col("c1"))) / 2
+    else:
+        n, mean = F.sum("cnt"), F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")
+        m = vals.groupBy(*by).agg(n.alias("n"), mean.alias("m"))
+        far = vals.alias("v").join(m.alias("g"), _same("v", "g", by)).select(*[F.col(f"v.{c}").alias(c) for c in by], "cnt", "n", "m", (F.col("x") - F.col("m")).alias("d"))
+        ss = far.groupBy(*by, "n", "m").agg(F.sum(F.col("d") * F.col("d") * F.col("cnt")).alias("ss"))
+        rows = vals.alias("v").join(ss.alias("g"), _same("v", "g", by))
+        d, size = F.col("x") - F.col("m"), F.col("n")
+        var = F.when(size > 2, F.greatest(F.lit(0.0), F.col("ss") - size / (size - 1) * d * d) / (size - 2)).otherwise(0.0)
+        jack = {"mean": (size * F.col("m") - F.col("x")) / (size - 1), "var": var, "sd": F.sqrt(var)}[stat]
+    rows = rows.where("n > 1").select(*[F.col(f"v.{c}").alias(c) for c in by], "cnt", jack.alias("jack"))
+    mean = rows.groupBy(*by).agg((F.sum(F.col("jack") * F.col("cnt")) / F.sum("cnt")).alias("jm"))
+    d = F.col("jm") - F.col("jack")
+    cubes = rows.alias("r").join(mean.alias("m"), _same("r", "m", by)).groupBy(*[F.col(f"r.{c}").alias(c) for c in by]).agg(F.sum(d * d * d * F.col("cnt")).alias("d3"), F.sum(d * d * F.col("cnt")).alias("d2"))
+    return cubes.select(*by, F.when(F.col("d2") > 0, F.col("d3") / (6 * F.pow("d2", F.lit(1.5)))).otherwise(0.0).alias("acc"))
 
 
 def _interval(kind: str, obs: float, r: np.ndarray, conf: float, acc: float = 0.0) -> tuple[float, float]:
     a, nd = (1 - conf) / 2, NormalDist()
     if kind == "normal":
         z = nd.inv_cdf(1 - a)
-        bias, s = r.mean() - obs, r.std(ddof=1)
-        return obs - bias - z * s, obs - bias + z * s
+        s = r.std(ddof=1)
+        return obs - z * s, obs + z * s
     lo, hi = np.quantile(r, [a, 1 - a])
     if kind == "basic":
         return 2 * obs - hi, 2 * obs - lo
@@ -113,33 +238,41 @@ def _interval(kind: str, obs: float, r: np.ndarray, conf: float, acc: float = 0.
     return tuple(float(q) for q in np.quantile(r, ends))
 
 
-def boot_ci(df: DataFrame, col: str, by: Sequence[str] = (), stat: str = "mean", R: int = 2000, conf: float = 0.95, ci_type: str = "percentile", seed: int = 1) -> DataFrame:
-    """(by..., stat, observed, lower, upper, conf, R, ci_type, n)."""
+def boot_ci(df: DataFrame, col: str, by: Sequence[str] = (), stat: Stat = "mean", R: int = 2000, conf: float = 0.95, ci_type: str = "percentile", seed: int = 1) -> DataFrame:
+    """(by..., stat, observed, lower, upper, conf, R, ci_type, n). A statistic of the
+    caller's own has no closed jackknife, so BCa corrects its bias alone."""
+    if ci_type not in ("percentile", "bca", "normal", "basic"):
+        raise ValueError(f"unknown ci_type {ci_type!r}")
+    if not 0 < conf < 1 or R < 2:
+        raise ValueError("conf must lie between 0 and 1, and R be 2 or more")
     obs = observed(df, col, by, stat)
     types = {f.name: f.dataType.simpleString() for f in obs.schema}
-    rep = draws(df, col, by, stat, R, seed)
-    reps = rep.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("reps"))
-    vals = values(df, col, by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x", "cnt"))).alias("vals"))
-    both = obs.join(reps, list(by) or F.lit(True), "left").join(vals, list(by) or F.lit(True), "left")
+    reps = draws(df, col, by, stat, R, seed).groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("reps"))
+    both = obs.alias("o").join(reps.alias("r"), _same("o", "r", by), "left").select(*[F.col(f"o.{c}").alias(c) for c in by], "observed", "n", "reps")
+    if ci_type == "bca" and not callable(stat):
+        acc = acceleration(df, col, by, stat)
+        both = both.alias("o").join(acc.alias("a"), _same("o", "a", by), "left").select(*[F.col(f"o.{c}").alias(c) for c in by], "observed", "n", "reps", "acc")
+    else:
+        both = both.withColumn("acc", F.lit(0.0))
+    label = "custom" if callable(stat) else stat
 
     def run(parts):
         for p in parts:
             lower, upper = [], []
-            for o, n, r, v in zip(p["observed"], p["n"], p["reps"], p["vals"], strict=True):
-                if n < 2 or r is None:
+            for o, n, r, acc in zip(p["observed"], p["n"], p["reps"], p["acc"], strict=True):
+                if n < 2 or r is None or not len(r):
                     lower.append(None)
                     upper.append(None)
                     continue
-                x, w = np.array([e["x"] for e in v]), np.array([e["cnt"] for e in v])
-                lo, hi = _interval(ci_type, o, np.asarray(r), conf, acceleration(stat, x, w) if ci_type == "bca" else 0.0)
+                lo, hi = _interval(ci_type, o, np.asarray(r), conf, acc or 0.0)
                 lower.append(lo)
                 upper.append(hi)
-            yield p[list(by)].assign(stat=stat, observed=p["observed"], lower=lower, upper=upper, conf=conf, R=R, ci_type=ci_type, n=p["n"])
+            yield p[list(by)].assign(stat=label, observed=p["observed"], lower=lower, upper=upper, conf=conf, R=R, ci_type=ci_type, n=p["n"])
 
     return both.mapInPandas(run, ", ".join([*(f"`{b}` {types[b]}" for b in by), "stat string, observed double, lower double, upper double, conf double, R long, ci_type string, n long"]))
 
 
-def boot_diff(df: DataFrame, col: str, group: str, stat: str = "mean", R: int = 2000, conf: float = 0.95, adjust: str = "max_t", seed: int = 1, ref=None, ci_type: str = "percentile") -> tuple[pd.DataFrame, np.ndarray]:
+def boot_diff(df: DataFrame, col: str, group: str, stat: Stat = "mean", R: int = 2000, conf: float = 0.95, adjust: str = "max_t", seed: int = 1, ref=None, ci_type: str = "percentile") -> tuple[pd.DataFrame, np.ndarray]:
     """All pairs of groups (or each against ``ref``): D = to - from, simultaneous by
     the largest |Z| of each replicate (Westfall & Young 1993). Without it intervals are
     of ``ci_type``, where BCa corrects the bias only. Groups are few."""
@@ -165,6 +298,6 @@ def boot_diff(df: DataFrame, col: str, group: str, stat: str = "mean", R: int =
         lower, upper = ends[:, 0], ends[:, 1]
         p = np.minimum(1, 2 * np.minimum((d <= 0).mean(0), (d >= 0).mean(0)))
         p_adj = np.minimum(1, m * p)
-    out = pd.DataFrame({"stat": stat, "from": [a for a, _ in pairs], "to": [b for _, b in pairs], "observed": point, "lower": lower, "upper": upper, "conf": conf, "R": R, "ci_type": ci_type, "adjust": adjust, "n_comparisons": len(pairs), "n_from": [obs[a][1] for a, _ in pairs], "n_to": [obs[b][1] for _, b in pairs], "p_value": p, "p_adj": p_adj, "p_superiority": (d > 0).mean(0)})
+    out = pd.DataFrame({"stat": "custom" if callable(stat) else stat, "from": [a for a, _ in pairs], "to": [b for _, b in pairs], "observed": point, "lower": lower, "upper": upper, "conf": conf, "R": R, "ci_type": ci_type, "adjust": adjust, "n_comparisons": len(pairs), "n_from": [obs[a][1] for a, _ in pairs], "n_to": [obs[b][1] for _, b in pairs], "p_value": p, "p_adj": p_adj, "p_superiority": (d > 0).mean(0)})
     out["excludes_zero"] = (out.lower > 0) | (out.upper < 0)
     return out, d

@@ -432,17 +432,17 @@ def boot_ci_observed(spark, sf):
 
 @query()
 def boot_ci(spark, sf):
-    return boot.boot_ci(read(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], R=500)
+    return boot.boot_ci(read(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"])
 
 
 @query()
 def boot_ci_bca(spark, sf):
-    return boot.boot_ci(read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], "sd", R=500, ci_type="bca")
+    return boot.boot_ci(read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], "sd", ci_type="bca")
 
 
 @query()
 def boot_diff(spark, sf):
-    return spark.createDataFrame(boot.boot_diff(read(spark, sf, "lineitem"), "l_tax", "l_returnflag", R=500)[0])
+    return spark.createDataFrame(boot.boot_diff(read(spark, sf, "lineitem"), "l_tax", "l_returnflag")[0])
 
 
 @query("SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, 0::BIGINT AS na, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY ALL")
