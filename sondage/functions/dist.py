@@ -67,6 +67,11 @@ def t_sf2(t: float, df: float) -> float:
     return beta_i(df / 2, 0.5, df / (df + t * t))
 
 
+def norm_sf2(z: float) -> float:
+    """Both tails of the normal distribution beyond ``z``."""
+    return math.erfc(z / math.sqrt(2))
+
+
 def t_ppf(p: float, df: float) -> float:
     lo, hi = -1e6, 1e6
     for _ in range(200):

@@ -34,6 +34,11 @@ def finite(c: str | Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate of columns that are missing at the same rows; null where one doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def quantile_name(q: float) -> str:
     return f"p{100 * q:g}"
 

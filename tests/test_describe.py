@@ -144,3 +144,19 @@ def test_frame_issues(spark):
     assert {("constant", "cohort"), ("id_like", "row"), ("duplicate_columns", "score, score2"), ("collinear", "income, double"), ("aliased_factors", "grp, code"), ("rank_deficient", "double"), ("rank_deficient", "sum")} <= found
     assert frame.rank_deficient(df, ["visits", "claims", "sum"]) == [("sum", ["visits", "claims"])]
     assert frame.rank_deficient(df, ["visits", "claims"]) == []
+
+
+def test_frame_rank_and_units(spark):
+    rows = [(f"g{i % 4}", f"h{i % 4 // 2}", float(i % 4 // 2 * 3), float(i * i % 37), i % 4 == 0, float(i % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, h string, age double, x double, first boolean, w double")
+    found = {(r.issue, r.columns) for r in frame.frame_issues(df).collect()}
+    assert ("nested", "g, h") in found and ("unit_level", "age, h") in found and ("unit_level", "age, g") in found
+    # the indicator of one level is a combination of the category's indicators; the nested pair isn't told twice
+    assert ("rank_deficient", "first") in found or ("nested", "g, first") in found
+    assert not any(i == "rank_deficient" and c in ("h", "g") for i, c in found)
+    many = df.withColumn("m", F.concat_ws("-", "x", "w"))
+    assert ("rank_unchecked", "m") in {(r.issue, r.columns) for r in frame.frame_issues(many).collect()}
+    assert ("rank_unchecked", "age, x, w") in {(r.issue, r.columns) for r in frame.frame_issues(spark.createDataFrame([(1.0, 2.0, 5.0), (1.0, 7.0, 5.0), (3.0, 2.0, 6.0)], "age double, x double, w double")).collect()}
+    sums = df.withColumn("s", F.col("age") + F.when(F.col("g") == "g1", 2.0).otherwise(0.0) + F.col("w"))
+    assert ("s", ["g", "w"]) in frame.rank_deficient(sums, ["g", "x", "w", "s"])
+    assert frame.unit_level(df, ["g", "h", "age", "x"]) == [("age", "g"), ("age", "h")]
