@@ -33,6 +33,13 @@ def _fit(x: DataFrame, k: int, seed: int, starts: int):
     return min((KMeans(k=k, seed=seed + i, maxIter=50).fit(x) for i in range(starts)), key=lambda m: m.summary.trainingCost)
 
 
+def _cost(x: DataFrame, names: Sequence[str], k: int, seed: int, starts: int) -> float:
+    """The sum of squares within k clusters."""
+    if k == 1:
+        return sum(x.agg(*[F.var_pop(c) * F.count(c) for c in names]).first())
+    return _fit(x, k, seed, starts).summary.trainingCost
+
+
 def gap_search(x: DataFrame, names: Sequence[str], k_max: int, B: int, seed: int) -> tuple[int, pd.DataFrame]:
     """The gap statistic (Tibshirani et al. 2001): uniform reference sets in the box of
     the data, by the first k within one standard error of the next maximum."""
@@ -40,13 +47,13 @@ def gap_search(x: DataFrame, names: Sequence[str], k_max: int, B: int, seed: int
     box = x.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")) for c in names]).first()
     rows = []
     for k in range(1, k_max + 1):
-        own = np.log(_fit(x, k, seed, 2).summary.trainingCost)
+        own = np.log(_cost(x, names, k, seed, 2))
         ref = []
         for b in range(B):
             unit = lambda j: (F.xxhash64("id", F.lit(seed * 1000 + b), F.lit(j)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))  # noqa: B023, E731
             sim = spark.range(n).select(*[(F.lit(box[j].lo) + unit(j) * (box[j].hi - box[j].lo)).alias(c) for j, c in enumerate(names)])
             sim = VectorAssembler(inputCols=list(names), outputCol="features").transform(sim)
-            ref.append(np.log(_fit(sim, k, seed, 1).summary.trainingCost))
+            ref.append(np.log(_cost(sim, names, k, seed, 1)))
         rows.append((k, np.mean(ref) - own, np.std(ref) * (1 + 1 / B) ** 0.5))
     t = pd.DataFrame(rows, columns=["k", "gap", "se"])
     for i in range(len(t) - 1):
@@ -65,12 +72,16 @@ def cluster(coords: DataFrame, key: str, k: int | None = None, k_max: int = 6, B
         gap = None
         if k is None:
             k, gap = gap_search(x, names, k_max, B, seed)
-        model = _fit(x, k, seed, nstart)
-        sizes = model.transform(x).groupBy("prediction").agg(F.count("*").alias("n"), F.min(key).alias("first")).orderBy(F.desc("n"), "first").collect()
+        if k == 1:
+            *middle, n = x.agg(*map(F.avg, names), F.count("*")).first()
+            sizes, centers = [n], np.array([middle], float)
+        else:
+            model = _fit(x, k, seed, nstart)
+            found = model.transform(x).groupBy("prediction").agg(F.count("*").alias("n"), F.min(key).alias("first")).orderBy(F.desc("n"), "first").collect()
+            sizes, centers = [r.n for r in found], np.array([model.clusterCenters()[r.prediction] for r in found])
     finally:
         x.unpersist()
-    centers = np.array([model.clusterCenters()[r.prediction] for r in sizes])
-    n = sum(r.n for r in sizes)
+    n = sum(sizes)
 
     def place(z: np.ndarray) -> np.ndarray:
         d = np.sqrt(np.maximum(((z[:, None] - centers[None]) ** 2).sum(2), 0))
@@ -80,7 +91,7 @@ def cluster(coords: DataFrame, key: str, k: int | None = None, k_max: int = 6, B
 
     rows = project(coords, key, names, place, ["cluster", "silhouette"]).withColumn("cluster", F.col("cluster").cast("long"))
     least = max(1, int(np.ceil(small_frac * n)))
-    small = [i + 1 for i, r in enumerate(sizes) if r.n < least]
+    small = [i + 1 for i, size in enumerate(sizes) if size < least]
     rows = rows.withColumns({"is_small_cluster": F.col("cluster").isin(small or [-1]), "is_ambiguous": F.col("silhouette") < ambiguous})
     table = rows.groupBy("cluster").agg(F.count("*").alias("size"), (100 * F.count("*") / n).alias("pct"), F.avg("silhouette").alias("mean_silhouette"))
     return Clusters(k, rows, table, centers, gap)
@@ -153,41 +164,101 @@ def separation(df: DataFrame, cluster_col: str, names: Sequence[str]) -> DataFra
     return out.select("variable", F.when(F.col("between") + F.col("within") > 0, F.col("between") / (F.col("between") + F.col("within"))).alias("separation"))
 
 
-def var_contrib(df: DataFrame, cluster_col: str, key: str, names: Sequence[str], B: int = 199, seed: int = 1, most: int = 20_000) -> pd.DataFrame:
-    """Separation against shuffled labels on a hashed sample of at most ``most`` rows; BH over the columns."""
-    from sondage.operators.frame import cramer_v
-    from sondage.operators.select import sample_rows
+#: Rows of a part in which labels are shuffled, at least.
+PART = 1 << 16
+
+
+def _deal(rng: np.random.Generator, labels: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """How many of each label fall in each part when all rows are shuffled."""
+    left, out = labels.copy(), np.empty((len(parts), len(labels)), np.int64)
+    for i, n in enumerate(parts):
+        out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals") if i + 1 < len(parts) else left
+        left = left - out[i]
+    return out
+
+
+def shuffled_separations(df: DataFrame, cluster_col: str, key: str, names: Sequence[str], B: int, seed: int) -> dict[str, np.ndarray]:
+    """For each number the separation of the clusters, and of B shufflings of all rows'
+    labels. Rows are parted by a hash of their key; a shuffling first deals the labels
+    over the parts (the same in every task, as it is seeded by the shuffling) and then
+    shuffles those of each part, which is a shuffling of all rows."""
+    x = [finite(c).alias(f"x{i}") for i, c in enumerate(names)]
+    rows = df.where(F.col(cluster_col).isNotNull())
+    n = rows.count()
+    parts = int(np.ceil(n / max(PART, np.sqrt(n)))) or 1
+    part = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)).cast("int").alias("part")
+    sizes = [F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]
+    table = rows.select(F.col(cluster_col).cast("string").alias("g"), part, *x)
+    held = table.groupBy("g", "part").agg(*sizes).toPandas()
+    groups = sorted(held.g.unique())
+    moments = table.agg(*[F.struct(F.avg(f"x{i}").alias("m"), (F.var_pop(f"x{i}") * F.count(f"x{i}")).alias("ss")) for i in range(len(names))]).first()
+    by_part = {i: held.pivot_table(index="part", columns="g", values=f"n{i}", aggfunc="sum", fill_value=0).reindex(columns=groups, fill_value=0) for i in range(len(names))}
+    order = by_part[0].index.to_numpy() if names else np.empty(0)
+    label_n = {i: t.sum().to_numpy().astype(np.int64) for i, t in by_part.items()}
+    part_n = {i: t.sum(axis=1).to_numpy().astype(np.int64) for i, t in by_part.items()}
+    means = [m.m or 0.0 for m in moments]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at, out = int(np.searchsorted(order, rows["part"].iloc[0])), []
+        rows = rows.sort_values(["g", *[f"x{i}" for i in range(len(names))]])
+        code = rows["g"].map({g: i for i, g in enumerate(groups)}).to_numpy()
+        for i in range(len(names)):
+            v = rows[f"x{i}"].to_numpy(float) - means[i]
+            there = ~np.isnan(v)
+            v = v[there]
+            sums = np.empty((B + 1, len(groups)))
+            sums[0] = np.bincount(code[there], v, len(groups))
+            own = np.random.default_rng([seed, 7, i, at])
+            for b in range(1, B + 1):
+                counts = _deal(np.random.default_rng([seed, b, i]), label_n[i], part_n[i])[at]
+                edge = np.concatenate([[0], np.cumsum(own.permutation(v))])
+                ends = np.cumsum(counts)
+                sums[b] = edge[ends] - edge[ends - counts]
+            out.append(pd.DataFrame({"variable": i, "rep": np.repeat(np.arange(B + 1), len(groups)), "g": np.tile(np.arange(len(groups)), B + 1), "s": sums.ravel()}))
+        return pd.concat(out)
+
+    got = table.groupBy("part").applyInPandas(run, "variable long, rep long, g long, s double").groupBy("variable", "rep", "g").agg(F.sum("s").alias("s"))
+    size = df.sparkSession.createDataFrame([(i, k, int(c)) for i, t in label_n.items() for k, c in enumerate(t)], "variable long, g long, n long")
+    between = got.join(F.broadcast(size), ["variable", "g"]).where("n > 0").groupBy("variable", "rep").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), (F.sum("s") * F.sum("s") / F.sum("n")).alias("all"))
+    out = {c: np.full(B + 1, np.nan) for c in names}
+    for r in between.collect():
+        if (ss := moments[r.variable].ss) and ss > 0:
+            out[names[r.variable]][r.rep] = (r.between - r["all"]) / ss
+    return out
+
+
+def table_v(t: np.ndarray) -> float:
+    """Cramér's V of a table of counts."""
+    t = t[t.sum(1) > 0][:, t.sum(0) > 0]
+    if min(t.shape) < 2:
+        return float("nan")
+    e = np.outer(t.sum(1), t.sum(0)) / t.sum()
+    return float(np.sqrt(((t - e) ** 2 / e).sum() / t.sum() / (min(t.shape) - 1)))
 
+
+def var_contrib(df: DataFrame, cluster_col: str, key: str, names: Sequence[str], B: int = 199, seed: int = 1) -> pd.DataFrame:
+    """Separation against shuffled labels of all rows; BH over the columns. A category's
+    shuffled tables follow from its counts by level and cluster alone (they are
+    multivariate hypergeometric)."""
     numbers = [c for c in names if class_of(df.schema[c].dataType) == "numeric"]
     factors = [c for c in names if c not in numbers]
-    real = {r.variable: r.separation for r in separation(df, cluster_col, numbers).collect()} if numbers else {}
-    real |= {c: cramer_v(df, c, cluster_col).first().v for c in factors}
-    pdf = sample_rows(df.where(F.col(cluster_col).isNotNull()), [key], n=most, seed=seed).select(cluster_col, *[finite(c).alias(c) if c in numbers else F.col(c).cast("string").alias(c) for c in names]).toPandas()
-    rng = np.random.default_rng(seed)
-    labels = pd.factorize(pdf[cluster_col])[0]
+    found = shuffled_separations(df, cluster_col, key, numbers, B, seed) if numbers else {}
+    if factors:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in factors]))
+        cells = df.where(F.col(cluster_col).isNotNull()).select(F.col(cluster_col).cast("string").alias("g"), each.alias("c")).where("c.level is not null").groupBy("c.variable", "c.level", "g").agg(F.count("*").alias("n")).toPandas()
+        for i, c in enumerate(factors):
+            t = cells[cells.variable == c].pivot_table(index="level", columns="g", values="n", aggfunc="sum", fill_value=0).to_numpy().astype(np.int64)
+            rng = np.random.default_rng([seed, 11, i])
+            found[c] = np.array([table_v(t), *(table_v(_deal(rng, t.sum(0), t.sum(1))) for _ in range(B))]) if t.size else np.full(B + 1, np.nan)
     rows = []
     for c in names:
-        if c in numbers:
-            x = pdf[c].to_numpy(float)
-            x = np.where(np.isnan(x), np.nanmean(x), x)
-            x = x - x.mean()
-
-            def sep(g, x=x):
-                s, k = np.bincount(g, x), np.bincount(g)
-                return float((s**2 / np.maximum(k, 1)).sum() / max((x**2).sum(), 1e-300))
-        else:
-            codes = pd.factorize(pdf[c])[0]
-
-            def sep(g, codes=codes):
-                t = np.histogram2d(codes, g, bins=(codes.max() + 1, g.max() + 1), range=((-0.5, codes.max() + 0.5), (-0.5, g.max() + 0.5)))[0]
-                e = np.outer(t.sum(1), t.sum(0)) / t.sum()
-                return float(np.sqrt(((t - e) ** 2 / np.maximum(e, 1e-300)).sum() / t.sum() / max(1, min(t.shape) - 1)))
-        null = [sep(rng.permutation(labels)) for _ in range(B)]
-        here = sep(labels)
-        rows.append((c, class_of(df.schema[c].dataType), real.get(c), float(np.mean(null)), (1 + sum(v >= here for v in null)) / (B + 1)))
-    out = pd.DataFrame(rows, columns=["variable", "type", "separation", "permuted", "p"])
-    out["p_adj"] = p_adjust(out.p.tolist(), "BH")
-    out["verdict"] = np.select([out.separation >= 0.9, out.p_adj > 0.05, out.separation >= 0.15], ["defines", "chance", "carries"], "weak")
+        real, null = found[c][0], found[c][1:]
+        missing = np.isnan(real)
+        rows.append((c, class_of(df.schema[c].dataType), None if missing else float(real), None if missing else float(null.mean()), None if missing else float((1 + (null >= real - 1e-12).sum()) / (B + 1))))
+    out = pd.DataFrame(rows, columns=["variable", "type", "separation", "permuted", "p"]).astype({"separation": float, "permuted": float, "p": float})
+    out["p_adj"] = p_adjust([None if np.isnan(p) else p for p in out.p], "BH")
+    out["p_adj"] = out.p_adj.astype(float)
+    out["verdict"] = np.select([out.separation >= 0.9, ~(out.p_adj <= 0.05), out.separation >= 0.15], ["defines", "chance", "carries"], "weak")
     return out.sort_values("separation", ascending=False, kind="stable")
 
 
