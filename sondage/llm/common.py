@@ -49,18 +49,17 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Itera
     """Rows that come sorted by ``key``, in tables of about ``least`` rows or more
     that never part the rows of one key."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-        if sum(x.num_rows for x in held) < least:
+        if not b.num_rows:
             continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        k = t[key].to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        if cut:
-            yield t.slice(0, cut)
-            held = t.slice(cut).combine_chunks().to_batches()
-        else:
-            held = t.to_batches()
+        last = b[key][b.num_rows - 1]
+        if size >= least and last != held[-1][key][held[-1].num_rows - 1]:
+            # what is held, and the rows of its last key in this batch
+            cut = int(np.searchsorted(b[key].to_numpy(), last.as_py(), "left"))
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            b, held, size = b.slice(cut), [], 0
+        held.append(b)
+        size += b.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

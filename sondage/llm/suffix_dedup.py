@@ -15,14 +15,16 @@ hash. Equal windows have equal anchors at equal offsets, so nothing is missed.
 3. Those slices are cut from the texts and their suffixes sorted, gram by gram:
    a multikey quicksort a machine word at a time down to ``SHALLOW`` bytes, then
    blind tries for the groups that still tie. Suffixes that share a leaf are equal
-   over ``LENGTH`` bytes, and all but the earliest are removed.
+   over ``LENGTH`` bytes, and all but the earliest are removed. A gram with very many
+   different slices is parted: by ranges of the offset at which a window starts, and
+   by the bytes that all windows of the range hold, so that equal windows still meet.
 4. The removed intervals are gathered by document and applied.
 
 Defined results: a null text is empty; a null doc_id comes before all others;
 rows that agree in doc_id and text are one document and return the same row
 each; rows that share a doc_id alone are ordered by a hash of their text; an
 empty table gives an empty result; other columns are ignored. Texts may be of
-any length below two gigabytes.
+any length below two gigabytes; long ones are walked a stretch at a time.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ from sondage.plans.shared import materialize
 LENGTH, GRAM, SHALLOW = 100, 32, 32
 #: Bytes that are hashed at once, and slices that are sorted at once.
 CHUNK, SLICES = 1 << 20, 20_000
+#: Bytes around a stretch of a long text, at least two windows.
+MARGIN = 2 * LENGTH
+#: Different slices of a gram beyond which they are parted by offset and surroundings, the number of offset ranges, and the mark of such rows in ``sides``.
+MANY, RANGES, PARTED = 512, 4, 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -116,21 +122,37 @@ def merged(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.nd
 
 
 RUN, MET = 1, 0
-#: kind RUN: an interval to remove, with ``low`` = text hash and start, ``other`` = end. kind MET: an anchor, with ``low`` = text hash and position, ``other`` = slice hash.
-ROWS = "kind byte, gram long, other long, doc_id long, low long, sides int"
+#: kind RUN: an interval to remove, with ``at`` = start, ``other`` = end. kind MET: an anchor, with ``at`` = position, ``other`` = slice hash. ``sub`` is the text's hash.
+ROWS = "kind byte, gram long, other long, doc_id long, sub long, at int, sides int"
 
 
-def _rows(kind, gram, other, doc, low, sides) -> pa.RecordBatch:
+def _rows(kind, gram, other, doc, sub, at, sides) -> pa.RecordBatch:
     n = len(doc)
-    cols = [pa.array(np.broadcast_to(np.int8(kind), n)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (gram, other, doc, low)), pa.array(np.asarray(sides).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, ["kind", "gram", "other", "doc_id", "low", "sides"])
+    longs = (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (gram, other, doc, sub))
+    cols = [pa.array(np.broadcast_to(np.int8(kind), n)), *longs, pa.array(np.asarray(at).astype(np.int32)), pa.array(np.asarray(sides).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "gram", "other", "doc_id", "sub", "at", "sides"])
 
 
 def _runs(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
     """RUN rows; ``group`` numbers the documents, which ``doc`` and ``sub`` give by number."""
     start, end, group = merged(start, end, group)
-    low = (sub[group] << 32) | start
-    return _rows(RUN, _mix(low.view(np.uint64) ^ doc[group].view(np.uint64)), end, doc[group], low, np.zeros(len(low)))
+    spread = _mix((sub[group] ^ doc[group] ^ (start << 20)).view(np.uint64))
+    return _rows(RUN, spread, end, doc[group], sub[group], start, np.zeros(len(start)))
+
+
+def _parts(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first document, one past the last, first byte, one past the last byte) of about
+    ``CHUNK`` bytes: whole documents, or a stretch of a long one."""
+    size, first = end - begin, 0
+    while first < len(begin):
+        if size[first] > CHUNK:
+            for at in range(0, int(size[first]), CHUNK):
+                yield first, first + 1, at, min(at + CHUNK, int(size[first]))
+            first += 1
+            continue
+        last = max(first + 1, int(np.searchsorted(np.cumsum(size[first:]), CHUNK, "right")) + first)
+        yield first, last, 0, CHUNK
+        first = last
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +162,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((sub, ids))
         order = order[np.r_[True, (ids[order][1:] != ids[order][:-1]) | (sub[order][1:] != sub[order][:-1])]] if len(order) else order
         ids, sub, begin, end = ids[order], sub[order], off[:-1][order], off[1:][order]
-        size, found, first = end - begin, [], 0
-        while first < len(ids):
-            last = max(first + 1, int(np.searchsorted(np.cumsum(size[first:]), CHUNK, "right")) + first)
-            part = np.concatenate([data[x:y] for x, y in zip(begin[first:last], end[first:last], strict=True)])
-            doc, *rest = anchors(part, np.r_[0, np.cumsum(size[first:last])])
-            found.append((doc + first, *rest))
-            first = last
+        found = []
+        for first, last, lo, hi in _parts(begin, end):
+            if last == first + 1:
+                # windows with an anchor in the stretch lie within ``MARGIN`` of it
+                near = max(0, lo - MARGIN)
+                part = data[begin[first] + near : min(end[first], begin[first] + hi + MARGIN)]
+                doc, at, *rest = anchors(part, np.array([0, len(part)]))
+                keep = (at + near >= lo) & (at + near < hi)
+                found.append((doc[keep] + first, at[keep] + near, *(x[keep] for x in rest)))
+            else:
+                part = np.concatenate([data[x:y] for x, y in zip(begin[first:last], end[first:last], strict=True)])
+                doc, *rest = anchors(part, np.r_[0, np.cumsum((end - begin)[first:last])])
+                found.append((doc + first, *rest))
         if not found:
             continue
         doc, pos, gram, whole, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -158,7 +186,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.flatnonzero(~again)
         for s in range(0, len(one), 1 << 16):
             i = one[s : s + (1 << 16)]
-            yield _rows(MET, gram[i], whole[i], ids[doc[i]], (sub[doc[i]] << 32) | pos[i], left[i] * 128 + right[i])
+            yield _rows(MET, gram[i], whole[i], ids[doc[i]], sub[doc[i]], pos[i], left[i] * 128 + right[i])
 
 
 def _number(doc: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,26 +199,42 @@ def _number(doc: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_keys(batches, "gram", 1 << 17):
-        kind, gram, other, doc, low, sides = (t[c].to_numpy() for c in ("kind", "gram", "other", "doc_id", "low", "sides"))
+        kind, gram, other, doc, sub, at, sides = (t[c].to_numpy() for c in ("kind", "gram", "other", "doc_id", "sub", "at", "sides"))
         run = kind == RUN
         if run.any():
-            yield _rows(RUN, gram[run], other[run], doc[run], low[run], sides[run])
+            yield _rows(RUN, gram[run], other[run], doc[run], sub[run], at[run], sides[run])
         met = np.flatnonzero(~run)
-        met = met[np.lexsort((low[met], doc[met], other[met], gram[met]))]
-        gram, other, doc, low, sides = (x[met] for x in (gram, other, doc, low, sides))
+        met = met[np.lexsort((at[met], sub[met], doc[met], other[met], gram[met]))]
+        gram, other, doc, sub, at, sides = (x[met] for x in (gram, other, doc, sub, at, sides))
         if not len(met):
             continue
         same_gram = np.r_[False, gram[1:] == gram[:-1]]
         same = same_gram & np.r_[False, other[1:] == other[:-1]]
-        twice = same & np.r_[False, (doc[1:] == doc[:-1]) & (low[1:] == low[:-1])]
+        twice = same & np.r_[False, (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (at[1:] == at[:-1])]
         gone = same & ~twice
         if gone.any():
-            at, left, right = low[gone] & 0xFFFFFFFF, sides[gone] // 128, sides[gone] % 128
-            ids, sub, group = _number(doc[gone], low[gone] >> 32)
-            yield _runs(ids, sub, at - left, at + right, group)
+            here, left, right = at[gone].astype(np.int64), sides[gone] // 128, sides[gone] % 128
+            ids, subs, group = _number(doc[gone], sub[gone])
+            yield _runs(ids, subs, here - left, here + right, group)
         g = np.cumsum(~same_gram) - 1
-        open_ = ~same & (np.bincount(g, weights=~same)[g] > 1)
-        yield _rows(MET, gram[open_], other[open_], doc[open_], low[open_], sides[open_])
+        slices = np.bincount(g, weights=~same)[g]
+        open_ = ~same & (slices > 1)
+        yield _rows(MET, gram[open_], other[open_], doc[open_], sub[open_], at[open_], sides[open_] + np.where(slices[open_] > MANY, PARTED, 0))
+
+
+#: The offsets of the ranges: a window starts so many bytes before its anchor.
+BOUNDS = np.linspace(0, LENGTH - GRAM + 1, RANGES + 1).astype(np.int64)
+
+
+def _key(gram: np.ndarray, data: np.ndarray, begin: np.ndarray, size: int, part: int) -> np.ndarray:
+    """A hash of a gram, a range and the ``size`` bytes from ``begin``, which all windows of the range hold."""
+    h = gram.view(np.uint64) ^ np.uint64(part + 1)
+    for at in range(0, size, 8):
+        word = np.zeros(len(begin), np.uint64)
+        for i in range(at, min(at + 8, size)):
+            word = (word << np.uint64(8)) | data[begin + i].astype(np.uint64)
+        h = _mix((h ^ word) * np.uint64(_B))
+    return h.view(np.int64)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +245,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner, bounds = want.flatten(), np.asarray(want.offsets)
         bounds = bounds - bounds[0]
         row = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        gram, low, sides = (np.asarray(inner.field(c)) for c in ("gram", "low", "sides"))
-        at, left, right = off[row] + (low & 0xFFFFFFFF), sides // 128, sides % 128
-        for s in range(0, len(row), 1 << 15):
-            e = slice(s, s + (1 << 15))
-            parts = [data[x:y].tobytes() for x, y in zip(at[e] - left[e], at[e] + right[e], strict=True)]
-            r = row[e]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[e]), pa.array(ids[r]), pa.array((sub[r] << 32) | (low[e] & 0xFFFFFFFF)), pa.array(left[e].astype(np.int32)), pa.array(parts, pa.binary())], ["gram", "doc_id", "low", "left", "slice"])
+        gram, pos, sides = (np.asarray(inner.field(c)) for c in ("gram", "at", "sides"))
+        parted, sides = sides >= PARTED, sides % PARTED
+        at, left, right = off[row] + pos, (sides // 128).astype(np.int64), (sides % 128).astype(np.int64)
+        whole = np.flatnonzero(~parted)
+        todo = [(whole, gram[whole], 0, LENGTH - GRAM)]
+        for k in range(RANGES):
+            lo, hi = int(BOUNDS[k]), int(BOUNDS[k + 1]) - 1
+            some = np.flatnonzero(parted & (left >= lo) & (LENGTH - right <= hi))
+            todo.append((some, _key(gram[some], data, at[some] - lo, LENGTH - (hi - lo), k), lo, hi))
+        for rows, key, lo, hi in todo:
+            for s in range(0, len(rows), 1 << 15):
+                i = rows[s : s + (1 << 15)]
+                before, after = np.minimum(left[i], hi), np.minimum(right[i], LENGTH - lo)
+                parts = [data[x:y].tobytes() for x, y in zip(at[i] - before, at[i] + after, strict=True)]
+                r, n = row[i], len(i)
+                cols = [pa.array(key[s : s + (1 << 15)]), pa.array(ids[r]), pa.array(sub[r]), pa.array(pos[i].astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(np.full(n, lo, np.int32)), pa.array(np.full(n, hi, np.int32)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "doc_id", "sub", "at", "left", "lo", "hi", "slice"])
 
 
 def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
@@ -266,12 +320,16 @@ def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int =
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = LENGTH - GRAM
     for t in whole_keys(batches, "gram", SLICES):
-        gram, doc, low, left = (t[c].to_numpy() for c in ("gram", "doc_id", "low", "left"))
+        gram, doc, sub, at, left, lo, hi = (t[c].to_numpy() for c in ("gram", "doc_id", "sub", "at", "left", "lo", "hi"))
         column = t["slice"].combine_chunks()
         data, off = buffers(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
-        order = np.lexsort((low, doc, gram))
-        order = order[np.r_[True, (gram[order][1:] != gram[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (low[order][1:] != low[order][:-1])]]
-        gram, doc, low, left, begin, size = gram[order], doc[order], low[order], left[order].astype(np.int64), off[:-1][order], np.diff(off)[order]
+        order = np.lexsort((at, sub, doc, gram))
+        again = np.zeros(len(order), bool)
+        again[1:] = True
+        for x in (gram, doc, sub, at):
+            again[1:] &= x[order][1:] == x[order][:-1]
+        order = order[~again]
+        gram, doc, sub, at, left, lo, hi, begin, size = gram[order], doc[order], sub[order], at[order].astype(np.int64), left[order].astype(np.int64), lo[order], hi[order], off[:-1][order], np.diff(off)[order]
         g = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
         most, least = np.zeros(len(g), np.int64), np.full(len(g), LENGTH)
         # offsets never meet each other, so a large gram is sorted a few offsets at a time
@@ -279,16 +337,15 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for o0 in range(0, reach + 1, step):
             k = np.arange(o0, min(o0 + step, reach + 1))
             row, o = np.repeat(np.arange(len(g)), len(k)), np.tile(k, len(g))
-            fits = (o <= left[row]) & (left[row] - o + LENGTH <= size[row])
+            fits = (o <= left[row]) & (left[row] - o + LENGTH <= size[row]) & (o >= lo[row]) & (o <= hi[row])
             row, o = row[fits], o[fits]
-            again = repeats(data, begin[row] + left[row] - o, g[row] * (reach + 1) + o)
-            np.maximum.at(most, row[again], o[again])
-            np.minimum.at(least, row[again], o[again])
+            found = repeats(data, begin[row] + left[row] - o, g[row] * (reach + 1) + o)
+            np.maximum.at(most, row[found], o[found])
+            np.minimum.at(least, row[found], o[found])
         gone = least < LENGTH
         if gone.any():
-            at = low[gone] & 0xFFFFFFFF
-            ids, sub, group = _number(doc[gone], low[gone] >> 32)
-            yield _runs(ids, sub, at - most[gone], at - least[gone] + LENGTH, group)
+            ids, subs, group = _number(doc[gone], sub[gone])
+            yield _runs(ids, subs, at[gone] - most[gone], at[gone] - least[gone] + LENGTH, group)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,19 +376,18 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = text_of(text_col)
     given = F.col(id_col).cast("long")
-    return df.select(given.alias("given"), F.coalesce(given, F.lit(NONE_FIRST)).alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("sub"), text.cast("binary").alias("bytes"))
+    return df.select(given.alias("given"), F.coalesce(given, F.lit(NONE_FIRST)).alias("doc_id"), F.xxhash64(text).alias("sub"), text.cast("binary").alias("bytes"))
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
     """From ``keyed`` documents: (doc_id, sub, start, end), intervals to remove; they may overlap."""
     met = docs.select("doc_id", "sub", "bytes").mapInArrow(_scan, ROWS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_by_gram, ROWS)
     met = materialize(met, "suffix-anchors")
-    sub = F.expr("shiftright(low, 32)")
-    want = met.where(F.col("kind") == MET).groupBy("doc_id", sub.alias("sub")).agg(F.collect_list(F.struct("gram", "low", "sides")).alias("want"))
-    slices = docs.select("doc_id", "sub", "bytes").join(want, ["doc_id", "sub"]).mapInArrow(_cut, "gram long, doc_id long, low long, left int, slice binary")
+    want = met.where(F.col("kind") == MET).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("gram", "at", "sides")).alias("want"))
+    slices = docs.select("doc_id", "sub", "bytes").join(want, ["doc_id", "sub"]).mapInArrow(_cut, "gram long, doc_id long, sub long, at int, left int, lo int, hi int, slice binary")
     sorted_ = slices.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort, ROWS)
     both = met.where(F.col("kind") == RUN).unionByName(sorted_)
-    return both.select("doc_id", sub.alias("sub"), F.expr("low & 4294967295").alias("start"), F.col("other").alias("end"))
+    return both.select("doc_id", "sub", F.col("at").cast("long").alias("start"), F.col("other").alias("end"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
