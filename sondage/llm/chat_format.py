@@ -7,6 +7,8 @@ A conversation is a log of events: ``(conv_id, turn, seq, kind, role, text)``.
 * ``regenerate`` empties it, and later deltas start anew;
 * ``delete`` removes it until a later event of that turn.
 
+A message's role is that of its last event that names one.
+
 The log is first folded by (conversation, turn), which spreads a long
 conversation over the cluster, and only finished messages meet by conversation,
 sorted by turn, to be rendered:
@@ -56,17 +58,32 @@ def unescape(text: str) -> str:
 
 
 def as_events(messages: DataFrame, delta: int = DELTA) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as the log that streaming them leaves.
-    Rows that share a turn are messages of their own, in the order of role and
-    text, so they are numbered within it."""
+    """Rows (conv_id, turn, role, text) as a log that streaming them may leave. Of
+    three messages one is streamed as it is; one after a draft that is regenerated;
+    and of one a draft is edited into the first part of the message, which goes on.
+    Edits and regenerations name no role. Rows that share a turn are messages of
+    their own, in the order of role and text, so they are numbered within it."""
     text = text_of("text")
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     # a turn's rows, nearly always one, are numbered
     each = rows.withColumn("part", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / delta).cast("int"))
-    chunks = F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i * delta + 1, F.lit(delta))))
-    return each.select("conv_id", "turn", "part", "role", chunks.alias("seq", "text")).withColumn("kind", F.lit("delta"))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "part"), F.lit(3))
+    none = F.lit(None).cast("string")
+
+    def event(seq: Column, kind: Column, role: Column, text: Column) -> Column:
+        return F.struct(seq.cast("int").alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+
+    draft = event(F.lit(-2), F.lit("delta"), F.col("role"), F.reverse(F.substring(F.col("text"), 1, F.lit(delta))))
+    again = event(F.lit(-1), F.lit("regenerate"), none, none)
+
+    def chunk(i: Column) -> Column:
+        edits = (way == 2) & (i == 0)
+        return event(i, F.when(edits, "edit").otherwise("delta"), F.when(~edits, F.col("role")), F.substring(F.col("text"), i * delta + 1, F.lit(delta)))
+
+    before = F.when(way == 1, F.array(draft, again)).when(way == 2, F.array(draft)).otherwise(F.slice(F.array(draft), 1, 0))
+    return each.select("conv_id", "turn", "part", F.explode(F.concat(before, F.transform(starts, chunk))).alias("e")).select("conv_id", "turn", "part", "e.*")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -74,7 +91,7 @@ def fold(events: DataFrame) -> DataFrame:
     the messages of one turn and may be missing."""
     if "part" not in events.columns:
         events = events.withColumn("part", F.lit(0))
-    event = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), text_of("text").alias("text"))
+    event = F.struct("seq", "kind", "role", text_of("text").alias("text"))
     log = events.groupBy("conv_id", "turn", "part").agg(F.sort_array(F.collect_list(event)).alias("log"))
     resets = F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i + 1).otherwise(0))
     log = log.withColumn("reset", F.array_max(resets))
@@ -83,7 +100,8 @@ def fold(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("reset") > 0, last["kind"])
     text = F.when(kind == "edit", F.concat(last["text"], after)).otherwise(after)
     alive = kind.isNull() | (kind != "delete") | (F.col("reset") < F.size("log"))
-    role = F.element_at(F.transform("log", lambda e: e["role"]), -1)
+    named = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
+    role = F.coalesce(F.get(F.reverse(named), F.lit(0)), F.lit(""))
     return log.where(alive).select("conv_id", "turn", "part", role.alias("role"), text.alias("text"))
 
 
