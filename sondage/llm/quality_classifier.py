@@ -170,9 +170,10 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    """From documents (doc_id, text) and ratings (doc_id, grade)."""
+    """From documents (doc_id, text) and ratings (doc_id, grade). Of rows that share an
+    id the first text is taken, so the sample bounds the rows."""
     chosen = ratings.where("doc_id is not null and grade is not null").select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "grade").limit(sample)
-    rated = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    rated = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
     rows = rated.mapInArrow(_features, "grade int, at array<int>, value array<float>").toArrow().combine_chunks()
     if not rows.num_rows:
         return fit_rows(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))

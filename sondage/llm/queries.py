@@ -11,10 +11,12 @@ from sondage.llm import chat_format, decontaminate, html_extract, quality_classi
 from sondage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The piece model of the queries and the pipeline; operators take its path as a parameter.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

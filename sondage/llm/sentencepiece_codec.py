@@ -11,7 +11,9 @@ spaces become marks; decoding turns marks into spaces, bytes into characters
 
 No piece crosses from another character to a mark, or holds a newline; so a text
 is cut before marks and at newlines, and each different part is solved once per
-task and remembered, up to ``REMEMBERED`` parts. Models of which that isn't true
+task and remembered, up to ``REMEMBERED`` parts. A long part is matched a stretch at
+a time, with the Viterbi scores of the last places carried over, and long texts are
+cut between parts. Models of which that isn't true, or that normalise texts before,
 are refused.
 
 The model file is a parameter and is read on the driver; tasks get its pieces,
@@ -25,6 +27,8 @@ from __future__ import annotations
 
 import codecs
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,11 +39,12 @@ from pyspark.sql import functions as F
 
 from sondage.llm.common import buffers, text_of
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts that a task remembers, bytes of text taken at once, and the longest part that is solved together with others.
 REMEMBERED, PIECE, SHORT = 1 << 18, 1 << 20, 64
+#: Longest part that is remembered, bytes of parts solved at once, and bytes of one part that are matched at once.
+LONGEST_KNOWN, AT_ONCE = 1 << 10, 1 << 17
 PARTS = re.compile(rb" *[^ \n]+|\n| +")
 
 
@@ -106,9 +111,14 @@ class Model:
         return self.__dict__ | {"solved": {}}
 
 
-def load(path: str = MODEL) -> Model:
+def load(path: str) -> Model:
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
+    with open(path, "rb") as f:
+        spec = sentencepiece_model_pb2.ModelProto.FromString(f.read()).normalizer_spec
+    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
+        raise ValueError("the model normalises texts before it encodes them")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     normal = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)])
@@ -213,50 +223,127 @@ def solve(model: Model, parts: list[bytes]) -> list[bytes]:
                 out[j] = _write(model, parts[j], [(int(x), int(y), int(z)) for x, y, z in zip(a[i][keep[i]], b[i][keep[i]], p[i][keep[i]], strict=True)])
     for j in np.flatnonzero(length > SHORT).tolist():
         lo, hi = np.searchsorted(s, [begin[j], begin[j] + length[j]])
-        size = int(length[j])
-        total, came, took = [float("-inf")] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-        total[0] = 0.0
-        for x, y, z, w in zip((s[lo:hi] - begin[j]).tolist(), (e[lo:hi] - begin[j]).tolist(), v[lo:hi].tolist(), score[lo:hi].tolist(), strict=True):
-            t = total[x] + w
-            if t > total[y]:
-                total[y], came[y], took[y] = t, x, z
-        path, y = [], size
-        while y:
-            path.append((came[y], y, took[y]))
-            y = came[y]
-        out[j] = _write(model, parts[j], path[::-1])
+        frontier = Frontier(int(length[j]))
+        frontier.extend(s[lo:hi] - begin[j], e[lo:hi] - begin[j], v[lo:hi], score[lo:hi])
+        out[j] = frontier.path(model, parts[j])
     return out
 
 
+class Frontier:
+    """The Viterbi pass over one part: scores of the places that pieces still reach, and
+    of each place passed the last piece and its length."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.total = size, {0: 0.0}
+        self.length, self.took = np.zeros(size + 1, np.uint16), np.zeros(size + 1, np.int32)
+
+    def extend(self, s: np.ndarray, e: np.ndarray, v: np.ndarray, score: np.ndarray) -> None:
+        """Takes matches by start, all of which come after those before."""
+        total, at, length, took = self.total, -1, self.length, self.took
+        here = 0.0
+        for x, y, z, w in zip(s.tolist(), e.tolist(), v.tolist(), score.tolist(), strict=True):
+            if x != at:
+                at, here = x, total.pop(x)
+            t = here + w
+            if y not in total or t > total[y]:
+                total[y] = t
+                length[y], took[y] = y - x, z
+
+    def path(self, model: Model, part: bytes) -> bytes:
+        at, ids = self.size, array("i")
+        while at:
+            n, v = int(self.length[at]), int(self.took[at])
+            if v >= 0:
+                ids.append(v)
+            else:
+                ids.extend(model.byte_ids[c] for c in reversed(part[at - n : at]))
+            at -= n
+        ids.reverse()
+        return ids.tobytes()
+
+
+def solve_long(model: Model, part: bytes) -> bytes:
+    """``solve`` of one part, ``AT_ONCE`` bytes of starts at a time."""
+    frontier = Frontier(len(part))
+    for at in range(0, len(part), AT_ONCE):
+        data = np.frombuffer(part, np.uint8, min(len(part) - at, AT_ONCE + model.longest + 4), at)
+        s, e, v = matches(model, data, np.full(len(data), len(data)))
+        own = s < AT_ONCE
+        s, e, v = s[own], e[own], v[own]
+        frontier.extend(s + at, e + at, v, np.where(v >= 0, model.scores[v], model.unknown))
+    return frontier.path(model, part)
+
+
+def stretches(text: bytes, size: int) -> Iterator[bytes]:
+    """A text, cut where a part begins, about ``size`` bytes at a time."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.rfind(b"\n", at, at + size) + 1
+        if cut <= at:
+            cut = text.rfind(b" ", at + 1, at + size)
+            while cut > at and text[cut - 1] == 32:
+                cut -= 1
+        if cut <= at:
+            # no blank within: up to the next one
+            nearest = [x for x in (text.find(b" ", at + size), text.find(b"\n", at + size)) if x >= 0]
+            cut = min(nearest) if nearest else len(text)
+            while cut > at and cut < len(text) and text[cut] == 32 and text[cut - 1] == 32:
+                cut -= 1
+            if cut <= at:
+                cut = len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def encode(model: Model, texts: list[bytes]) -> list[np.ndarray]:
     """Piece ids of UTF-8 texts."""
     mark = MARK.encode()
-    parts = [PARTS.findall(b" " + (t.replace(mark, b" ") if mark in t else t)) if t else [] for t in texts]
+    return _encode_parts(model, [PARTS.findall(b" " + (t.replace(mark, b" ") if mark in t else t)) if t else [] for t in texts])
+
+
+def _encode_parts(model: Model, parts: list[list[bytes]]) -> list[np.ndarray]:
     known = model.solved
     new = list(dict.fromkeys(p for ps in parts for p in ps if p not in known))
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = list(dict.fromkeys(p for ps in parts for p in ps))
-    for i in range(0, len(new), 1 << 14):
-        known.update(zip(new[i : i + (1 << 14)], solve(model, new[i : i + (1 << 14)]), strict=True))
-    return [np.frombuffer(b"".join(map(known.__getitem__, ps)), np.int32) for ps in parts]
+    long = {p: solve_long(model, p) if len(p) > AT_ONCE else solve(model, [p])[0] for p in new if len(p) > LONGEST_KNOWN}
+    new = [p for p in new if len(p) <= LONGEST_KNOWN]
+    ends = np.cumsum([len(p) for p in new])
+    at = 0
+    while at < len(new):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        known.update(zip(new[at:last], solve(model, new[at:last]), strict=True))
+        at = last
+    get = known.__getitem__ if not long else lambda p: long[p] if p in long else known[p]
+    return [np.frombuffer(b"".join(map(get, ps)), np.int32) for ps in parts]
+
+
+def encode_long(model: Model, text: bytes) -> np.ndarray:
+    """``encode`` of one long text."""
+    mark = MARK.encode()
+    whole = b" " + (text.replace(mark, b" ") if mark in text else text)
+    return np.concatenate([_encode_parts(model, [PARTS.findall(part)])[0] for part in stretches(whole, PIECE)])
 
 
 def decode(model: Model, ids: np.ndarray) -> bytes:
     """UTF-8 bytes of the text."""
-    text = b"".join(map(model.pieces.__getitem__, ids.tolist()))
+    text = b"".join(b"".join(map(model.pieces.__getitem__, ids[i : i + (1 << 18)].tolist())) for i in range(0, len(ids), 1 << 18))
     return text.removeprefix(b" ").decode("utf-8", "each_byte").encode()
 
 
 # as in the public library, every byte that is no part of a character is one U+FFFD
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
-#: Models by their number, so that a worker's later tasks remember what earlier ones solved.
+#: The model that a worker used last, by the number of its file, so that later tasks remember what earlier ones solved.
 _MODELS: dict[int, Model] = {}
 
 
 def _encode(model: Model, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if number not in _MODELS:
+            _MODELS.clear()
         here = _MODELS.setdefault(number, model)
         for b in batches:
             data, off = buffers(b["bytes"])
@@ -264,7 +351,7 @@ def _encode(model: Model, number: int):
             while first < b.num_rows:
                 last = max(first + 1, int(np.searchsorted(off, off[first] + PIECE, "right")) - 1)
                 texts = [data[off[i] : off[i + 1]].tobytes() for i in range(first, last)]
-                ids = encode(here, texts)
+                ids = encode(here, texts) if off[last] - off[first] <= PIECE else [encode_long(here, t) for t in texts]
                 back = [decode(here, x) == t for x, t in zip(ids, texts, strict=True)]
                 fallback = [int(np.count_nonzero(~here.normal[x])) for x in ids]
                 n = np.array([len(x) for x in ids], np.int64)
@@ -277,17 +364,17 @@ def _encode(model: Model, number: int):
     return run
 
 
-def encoded(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_pieces, n_bytes, exact) of each row: the piece ids, how many
     there are and how many of them are single bytes, and whether decoding them gives
     the text back."""
     model = load(path)
-    number = int.from_bytes(np.random.default_rng().bytes(7), "little")
+    number = zlib.crc32(path.encode())
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("bytes"))
     return rows.mapInArrow(_encode(model, number), "doc_id long, ids array<int>, n_pieces long, n_bytes long, exact boolean")
 
 
-def decoded(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decoded(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of piece ids; null ids give the empty text."""
     model = load(path)
 
