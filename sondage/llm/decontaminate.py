@@ -81,23 +81,36 @@ def seeds_of(ids: np.ndarray, length: int = SEED) -> np.ndarray:
     return h
 
 
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs_of(at_item: np.ndarray, at_doc: np.ndarray, length: np.ndarray | None = None) -> Runs:
+    """Seeds (or runs of them) of one item that follow each other along a diagonal, as
+    runs: start in the item, start in the document, number of seeds."""
+    length = np.ones(len(at_item), np.int64) if length is None else length
+    order = np.lexsort((at_item, at_doc - at_item))
+    i, j, n = at_item[order], at_doc[order], length[order]
+    if not len(i):
+        return i, j, n
+    first = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (i[1:] != i[:-1] + n[:-1])])
+    return i[first], j[first], np.add.reduceat(n, first)
+
+
 def tile(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in item, start in document, length) from the seeds at
     which item and document agree: longest first, then leftmost in the item, then
     leftmost in the document."""
     span = np.arange(least)
     real = (item[at_item[:, None] + span] == doc[at_doc[:, None] + span]).all(1)
-    at_item, at_doc = at_item[real], at_doc[real]
-    order = np.lexsort((at_item, at_doc - at_item))
-    i, j = at_item[order], at_doc[order]
-    if not len(i):
-        return []
-    new = np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)]
-    first = np.flatnonzero(new)
-    length = np.diff(np.r_[first, len(i)]) + least - 1
-    heap = [(-int(n), int(a), int(b)) for n, a, b in zip(length, i[first], j[first], strict=True)]
+    return tile_runs(len(item), runs_of(at_item[real], at_doc[real]), least)
+
+
+def tile_runs(size: int, runs: Runs, least: int = SEED) -> list[tuple[int, int, int]]:
+    """``tile`` from the runs of seeds, for an item of ``size`` words."""
+    i, j, seeds = runs
+    heap = [(-int(n), int(a), int(b)) for n, a, b in zip(seeds + least - 1, i, j, strict=True)]
     heapq.heapify(heap)
-    free_item, marked, tiles = np.ones(len(item), bool), set(), []
+    free_item, marked, tiles = np.ones(size, bool), set(), []
     while heap:
         n, a, b = heapq.heappop(heap)
         n = -n
@@ -139,30 +152,46 @@ class Items:
         at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
         if not len(at):
             return
-        k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, pos, at = self.item[k], self.pos[k], np.repeat(at, n)
-        order = np.argsort(item, kind="stable")
-        item, pos, at = item[order], pos[order], at[order]
-        edge = np.r_[np.flatnonzero(np.r_[True, item[1:] != item[:-1]]), len(item)]
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            found = covered(self.words[item[s]], words, pos[s:e], at[s:e], coverage)
-            if found:
-                yield (self.ids[item[s]], *found)
-
-
-def covered(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray, coverage: float) -> tuple[float, int, int] | None:
-    """Coverage, tiles and longest tile, if the item is covered enough. Tiles lie
-    within seeds, so seeds that cover too little end it before tiling."""
-    reach = np.zeros(len(item) + SEED, np.int8)
-    for k in range(SEED):
-        reach[at_item + k] = 1
-    if reach.sum() < coverage * len(item):
+        found: dict[int, list[Runs]] = {}
+        upto, span, first = np.cumsum(n), np.arange(SEED), 0
+        while first < len(at):
+            # so many seeds at once; runs along a diagonal go on from one stretch to the next
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + STRETCH, "right")))
+            m = n[first:last]
+            k = np.repeat(lo[first:last], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            item, pos, place = self.item[k], self.pos[k], np.repeat(at[first:last], m)
+            order = np.argsort(item, kind="stable")
+            item, pos, place = item[order], pos[order], place[order]
+            edge = np.r_[np.flatnonzero(np.r_[True, item[1:] != item[:-1]]), len(item)]
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                own = self.words[item[s]]
+                real = (own[pos[s:e, None] + span] == words[place[s:e, None] + span]).all(1)
+                found.setdefault(int(item[s]), []).append(runs_of(pos[s:e][real], place[s:e][real]))
+            first = last
+        for item, parts in sorted(found.items()):
+            runs = parts[0] if len(parts) == 1 else runs_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            if got := covered(len(self.words[item]), runs, coverage):
+                yield (self.ids[item], *got)
+
+
+#: Seeds of a document that are listed with their items at once.
+STRETCH = 1 << 18
+
+
+def covered(size: int, runs: Runs, coverage: float) -> tuple[float, int, int] | None:
+    """Coverage, tiles and longest tile, if an item of ``size`` words is covered enough.
+    Tiles lie within runs, so runs that cover too little end it before tiling."""
+    i, _, seeds = runs
+    reach = np.zeros(size + 1, np.int64)
+    np.add.at(reach, i, 1)
+    np.add.at(reach, i + seeds + SEED - 1, -1)
+    if np.count_nonzero(np.cumsum(reach)) < coverage * size:
         return None
-    tiles = tile(item, doc, at_item, at_doc)
+    tiles = tile_runs(size, runs)
     words = sum(t[2] for t in tiles)
-    if words < coverage * len(item):
+    if words < coverage * size:
         return None
-    return words / len(item), len(tiles), max(t[2] for t in tiles)
+    return words / size, len(tiles), max(t[2] for t in tiles)
 
 
 FOUND = "doc_id long, item_id long, coverage double, n_tiles long, longest long"

@@ -100,3 +100,23 @@ def test_planted_leaks(spark):
     items = [(r.item_id, squash(r.text)) for r in bench.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for t in [squash(r.text)] for i, x in items if x in t}
     assert want and want <= found and len(found) <= len(want) * 1.02
+
+
+def test_repetitive_texts_in_bounded_memory():
+    """Equal words meet an item of equal words at every place; stretches of seeds give one pass's result."""
+    import tracemalloc
+
+    known = d.WordIds()
+    rng = random.Random(9)
+    items = d.Items([(1, d.word_ids(b"la " * 60, known)), (2, d.word_ids(" ".join(rng.choice("ab") for _ in range(40)).encode(), known))])
+    words = d.word_ids(b"la " * 100_000 + " ".join(rng.choice("ab") for _ in range(30_000)).encode(), known)
+    tracemalloc.start()
+    got = {i: x for i, *x in items.matches(words, 0.0)}
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert got[1] == [1.0, 1, 60]
+    h, g = d.seeds_of(items.words[1]), d.seeds_of(words)
+    j = np.flatnonzero(np.isin(g, h))
+    k, at = np.nonzero(h[:, None] == g[None, j])
+    tiles = d.tile(items.words[1], words, k, j[at])
+    assert got[2] == [sum(t[2] for t in tiles) / 40, len(tiles), max(t[2] for t in tiles)]
