@@ -46,7 +46,7 @@ CHUNK, SLICES = 1 << 20, 20_000
 #: Bytes around a stretch of a long text, at least two windows.
 MARGIN = 2 * LENGTH
 #: Different slices of a gram beyond which they are parted by offset and surroundings, the number of offset ranges, and the mark of such rows in ``sides``.
-MANY, RANGES, PARTED = 512, 4, 1 << 20
+MANY, RANGES, PARTED = 4096, 4, 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 _LOW = np.uint64(0xFFFFFFFF)
