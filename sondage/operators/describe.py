@@ -7,6 +7,7 @@ Groups with a null key are left out of grouped output.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,13 +49,15 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
     p_zero, [dispersion]). Quantiles are exact, or KLL sketches with ``approx``;
     skewness and kurtosis are the sample-adjusted G1 and G2 (Joanes & Gill 1998)."""
     df, names = keyed(df, by), numeric_names(df, which, by)
+    if not names:
+        raise ValueError("no numeric column is left")
     parts = []
     for at in range(0, len(names), CHUNK):
         chunk = names[at : at + CHUNK]
         aggs = [F.count("*").alias("obs")]
         for i, c in enumerate(chunk):
             x, raw = finite(c), F.col(c).cast("double")
-            q = F.percentile_approx(x, list(map(float, probs)), 10000) if approx else F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
+            q = F.percentile_approx(x, list(map(float, probs)), 10000) if approx else F.when(F.count(x) > 0, F.array(*[F.min(x) if p == 0 else F.max(x) if p == 1 else F.lit(None).cast("double") for p in probs]))
             whole = F.bool_and((F.abs(x - F.round(x)) <= 1e-8) & (x >= 0))
             aggs.append(F.struct(
                 F.count(x).alias("n"), F.count_if(raw.isNull() | F.isnan(raw)).alias("na"), F.count_if(F.abs(raw) == float("inf")).alias("n_inf"),
@@ -63,9 +66,11 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
             ).alias(f"c{i}"))
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"c{i}").alias("x")) for i, c in enumerate(chunk)]))
         parts.append(df.groupBy(*by).agg(*aggs).select(*by, "obs", cells.alias("c")).select(*by, "c.variable", "obs", "c.x.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = reduce(DataFrame.unionByName, parts)
+    if not approx and any(0 < p < 1 for p in probs):
+        # only the ends of a column come with its moments
+        inner = quantiles(df, names, by, probs).withColumnRenamed("q", "inner")
+        out = out.join(inner, [*by, "variable"], "left").withColumn("q", F.coalesce("inner", "q")).drop("inner")
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     extra = []
     if skew:
@@ -77,8 +82,8 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
         fits = F.col("whole") & (F.col("mean") > 0) & ~F.col("variable").isin(rating or ["\0"])
         extra.append(F.when(fits, F.col("sd") * F.col("sd") / F.col("mean")).alias("dispersion"))
     total = F.when(n > 0, F.col("sum")).otherwise(F.coalesce("inf_sum", F.lit(float(empty))))
-    quantiles = [F.col("q")[i].alias(quantile_name(p)) for i, p in enumerate(probs)]
-    return out.select(*by, "variable", "obs", "n", "na", "n_inf", total.alias("sum"), "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), *quantiles, *extra[: int(skew) + int(kurt)], "p_zero", *extra[int(skew) + int(kurt) :])
+    at = [F.col("q")[i].alias(quantile_name(p)) for i, p in enumerate(probs)]
+    return out.select(*by, "variable", "obs", "n", "na", "n_inf", total.alias("sum"), "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), *at, *extra[: int(skew) + int(kurt)], "p_zero", *extra[int(skew) + int(kurt) :])
 
 
 def scale_kinds(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
@@ -114,19 +119,67 @@ def cells(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFr
     return df.select(*by, each.alias("c")).select(*by, "c.variable", "c.x").where("x is not null")
 
 
-def running(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct values (keys..., x, cnt) with ``upto``, the count of values up to
-    x in the key. Values are dealt by range, so one long column is counted in many
-    tasks; only the sums of the parts meet by key."""
-    part = values.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id())
-    part = materialize(part, "running")
-    sums = part.groupBy(*keys, "part").agg(F.sum("cnt").alias("held"))
-    before = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("part").alias("__part"), (F.sum("held").over(Window.partitionBy(*keys).orderBy("part")) - F.col("held")).alias("before"))
-    on = F.col("part") == F.col("__part")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
+def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., variable, x, cnt): the different finite values of numeric columns, written once."""
+    keys = [*by, "variable"]
+    return materialize(cells(df, names, by).groupBy(*keys, "x").agg(F.count("*").alias("cnt")), "value-counts")
+
+
+#: A key of more different values than the first number is counted in so many parts.
+WIDE, CUTS = 20_000, 256
+
+
+def running(values: DataFrame, keys: Sequence[str], with_n: bool = False) -> DataFrame:
+    """Distinct values (keys..., x, cnt) with ``upto``, the count of values up to x in
+    the key (and ``n``, the count of all). A key of very many values is cut at its
+    approximate quantiles, so that it is counted in many tasks; only the sums of the
+    parts meet by key. Where the cuts lie doesn't matter for the counts, and they are
+    written, so that a task that runs again finds the same ones."""
+    cuts = F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 2000)
+    held = values.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.when(F.count("*") > WIDE, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    held = materialize(held, "running-cuts")
+
+    def with_keys(a: DataFrame, b: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        on = F.lit(True)
+        for k in (*keys, *more):
+            on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return a.alias("a").join(b.alias("b"), on).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in (*keys, *more)])
+
+    part = F.size(F.filter("cuts", lambda c: c < F.col("x")))
+    parts = with_keys(values.select(*keys, "x", "cnt"), held).withColumn("part", part).drop("cuts")
+    sums = parts.groupBy(*keys, "part").agg(F.sum("cnt").alias("held"))
+    before = sums.select(*keys, "part", (F.sum("held").over(Window.partitionBy(*keys).orderBy("part")) - F.col("held")).alias("before"))
     here = F.sum("cnt").over(Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return part.withColumn("here", here).join(before, on).select(*keys, "x", "cnt", (F.col("here") + F.col("before")).alias("upto"))
+    out = with_keys(parts.withColumn("here", here), before, ["part"]).withColumn("upto", F.col("here") + F.col("before"))
+    return out.select(*keys, "x", "cnt", "upto", *(["n"] if with_n else []))
+
+
+def quantiles_of(values: DataFrame, keys: Sequence[str], probs: Sequence[float], name: str = "q") -> DataFrame:
+    """(keys..., q): exact quantiles of counted values, interpolated between ranks."""
+    rows = running(values, keys, with_n=True)
+
+    def holds(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("cnt") <= rank), F.col("x")))
+
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ends = rows.groupBy(*keys, "n").agg(*[x for i, a in enumerate(at) for x in (holds(F.floor(a)).alias(f"lo{i}"), holds(F.ceil(a)).alias(f"hi{i}"))])
+    share = [a - F.floor(a) for a in at]
+    return ends.select(*keys, F.array(*[F.col(f"lo{i}") * (1 - w) + F.col(f"hi{i}") * w for i, w in enumerate(share)]).alias(name))
+
+
+def quantiles(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), probs: Sequence[float] = (0.5,)) -> DataFrame:
+    """(by..., variable, q): exact quantiles of numeric columns, from running counts of their values."""
+    return quantiles_of(value_counts(df, names, by), [*by, "variable"], probs)
+
+
+def moments(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., variable, n, m, s) of numeric columns, in one pass."""
+    parts = []
+    for at in range(0, len(names), CHUNK):
+        chunk = names[at : at + CHUNK]
+        row = df.groupBy(*by).agg(*[F.struct(F.lit(c).alias("variable"), F.count(finite(c)).alias("n"), F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")).alias(f"c{i}") for i, c in enumerate(chunk)])
+        parts.append(row.select(*by, F.explode(F.array(*[F.col(f"c{i}") for i in range(len(chunk))])).alias("c")).select(*by, "c.*").where("n > 0"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def gauss(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int = MIN_N, cap: float = CAP) -> DataFrame:
@@ -134,35 +187,40 @@ def gauss(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int = MIN_N,
     from the fitted normal distribution (Lilliefors 1967) as an index from 0 to 1."""
     df, names = keyed(df, by), numeric_names(df, which, by)
     keys = [*by, "variable"]
-    values = cells(df, names, by).groupBy(*keys, "x").agg(F.count("*").alias("cnt"))
-    moments = cells(df, names, by).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    steps = running(values, keys).join(moments, keys)
+    held = moments(df, names, by)
+    steps = running(value_counts(df, names, by), keys).join(held, keys)
     phi = F.expr(norm_cdf("((x - m) / s)"))
     far = steps.where("s > 0").select(*keys, F.greatest(F.abs(phi - F.col("upto") / F.col("n")), F.abs(phi - (F.col("upto") - F.col("cnt")) / F.col("n"))).alias("d")).groupBy(*keys).agg(F.max("d").alias("ks_d"))
-    out = moments.join(far, keys, "left")
+    out = held.join(far, keys, "left")
     note = F.when(F.col("n") < min_n, "n too small to assess").when(F.col("s") == 0, "constant (zero variance)").when(F.isnan("s") | (F.col("s") == float("inf")), "values too large to assess")
     excess = F.greatest(F.lit(0.0), (F.col("ks_d") - 0.9 / F.sqrt("n")) / cap)
     return out.withColumn("gauss_note", note).select(*keys, "n", "ks_d", F.when(F.col("gauss_note").isNull(), 1 - F.least(F.lit(1.0), excess)).alias("gauss"), "gauss_note")
 
 
 def categorical(df: DataFrame, by: Sequence[str] = (), which=None, rare_n: int = 5) -> DataFrame:
-    """(by..., variable, obs, n, na, n_empty, n_unique, p_max, n_rare, case_variants, counts_tb)."""
+    """(by..., variable, obs, n, na, n_empty, n_unique, p_max, n_rare, case_variants,
+    counts_tb). The three most frequent values are picked among those of each of
+    ``CUTS`` parts of the values, so no column is ordered in one task."""
     df = keyed(df, by)
     names = [c for c in cols(df, which, by=by) if class_of(df.schema[c].dataType) == "categorical"]
+    if not names:
+        raise ValueError("no categorical column is left")
     keys = [*by, "variable"]
-    value = long_text(df, names, by).groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("value").isNull(), F.desc("n"), F.asc("value")))
+    value = materialize(long_text(df, names, by).groupBy(*keys, "value").agg(F.count("*").alias("n")), "level-counts")
+    order = [F.desc("n"), F.asc("value")]
+    some = value.where("value is not null").withColumn("part", F.pmod(F.xxhash64("value"), F.lit(CUTS)))
+    first = some.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))).where("r <= 3")
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("r <= 3")
+    top = first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat_ws("_", "value", F.col("n").cast("string")).alias("t")))), lambda x: x["t"]), ", ").alias("counts_tb"))
     folded = F.lower(F.trim(F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", "")))
     variants = value.where("value is not null").groupBy(*keys, folded.alias("f")).agg(F.count("*").alias("k")).groupBy(*keys).agg(F.count_if(F.col("k") > 1).alias("case_variants"))
     there = F.col("value").isNotNull()
-    top = F.when(there & (F.col("r") <= 3), F.struct("r", F.concat_ws("_", "value", F.col("n").cast("string")).alias("t")))
-    out = value.withColumn("r", rank).groupBy(*keys).agg(
+    out = value.groupBy(*keys).agg(
         F.sum("n").alias("obs"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("na"),
         F.sum(F.when(F.trim(F.regexp_replace("value", r"[ \t\r\n]", "")) == "", F.col("n")).otherwise(0)).alias("n_empty"), F.count_if(there).alias("n_unique"),
         F.max(F.when(there, F.col("n"))).alias("most"), F.count_if(there & (F.col("n") < rare_n)).alias("n_rare"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(top)), lambda x: x["t"]), ", ").alias("counts_tb"),
     )
-    out = out.join(variants, keys, "left")
+    out = out.join(variants, keys, "left").join(top, keys, "left").withColumn("counts_tb", F.coalesce("counts_tb", F.lit("")))
     return out.select(*keys, "obs", "n", "na", "n_empty", "n_unique", (F.col("most") / F.col("n")).alias("p_max"), "n_rare", F.coalesce("case_variants", F.lit(0)).alias("case_variants"), "counts_tb")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators.counts import numeric_names
-from sondage.operators.describe import cells, finite, keyed, running
+from sondage.operators.describe import cells, finite, keyed, quantiles_of, running, value_counts
+from sondage.plans.shared import materialize
 
 THRESHOLD = {"iqr": 1.5, "mad": 3.5, "zscore": 3.0}
 
@@ -19,10 +20,7 @@ THRESHOLD = {"iqr": 1.5, "mad": 3.5, "zscore": 3.0}
 def hinges(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., variable, q1, q3): Tukey's hinges, from the ranks of distinct values."""
     keys = [*by, "variable"]
-    values = cells(df, names, by).groupBy(*keys, "x").agg(F.count("*").alias("cnt"))
-    ranks = running(values, keys)
-    n4 = values.groupBy(*keys).agg(F.sum("cnt").alias("n")).withColumn("n4", F.floor((F.col("n") + 3) / 2) / 2)
-    at = ranks.join(n4, keys)
+    at = running(value_counts(df, names, by), keys, with_n=True).withColumn("n4", F.floor((F.col("n") + 3) / 2) / 2)
     low, high = F.floor("n4"), F.ceil("n4")
 
     def holds(rank):
@@ -44,8 +42,10 @@ def outliers_all(df: DataFrame, key: str, by: Sequence[str] = (), which=None, me
         iqr = F.col("q3") - F.col("q1")
         score = F.when(iqr > 0, F.greatest((F.col("q1") - x) / iqr, (x - F.col("q3")) / iqr, F.lit(0.0))).otherwise(0.0)
     elif method == "mad":
-        mid = base.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("mid"))
-        bounds = base.join(mid, keys).groupBy(*keys, "mid").agg((1.4826 * F.percentile(F.abs(F.col("x") - F.col("mid")), F.lit(0.5))).alias("mad"))
+        values = value_counts(df, names, by)
+        mid = materialize(quantiles_of(values, keys, [0.5]).select(*keys, F.col("q")[0].alias("mid")), "medians")
+        far = values.join(mid, keys).groupBy(*keys, F.abs(F.col("x") - F.col("mid")).alias("x")).agg(F.sum("cnt").alias("cnt"))
+        bounds = mid.join(quantiles_of(materialize(far, "distances"), keys, [0.5]), keys).select(*keys, "mid", (1.4826 * F.col("q")[0]).alias("mad"))
         score = F.when(F.col("mad") > 0, F.abs(x - F.col("mid")) / F.col("mad")).otherwise(0.0)
     elif method == "zscore":
         bounds = base.groupBy(*keys).agg(F.avg("x").alias("mid"), F.stddev_samp("x").alias("sd"))

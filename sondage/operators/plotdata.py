@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.dist import t_ppf
 from sondage.operators.counts import na_counts
-from sondage.operators.describe import finite, keyed
+from sondage.operators.describe import finite, keyed, quantiles
 from sondage.operators.outliers import hinges
 from sondage.operators.select import class_of
 
@@ -64,7 +64,8 @@ def bin2d(df: DataFrame, x: str, y: str, bins: int = 60) -> DataFrame:
 def density(df: DataFrame, col: str, grid: int = 512) -> pd.DataFrame:
     """(x, y): Gaussian kernel density on a grid, from counts in 1,024 bins and Silverman's bandwidth."""
     x = finite(col)
-    lo, hi, n, sd, q = df.agg(F.min(x), F.max(x), F.count(x), F.stddev_samp(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).first()
+    lo, hi, n, sd, q = df.agg(F.min(x), F.max(x), F.count(x), F.stddev_samp(x), F.lit(None)).first()
+    q = quantiles(df, [col], (), (0.25, 0.75)).first()["q"] if n else None
     spread = min(v for v in (sd or 0, (q[1] - q[0]) / 1.34) if v > 0) if n and sd else 0
     if not spread:
         return pd.DataFrame({"x": [lo], "y": [np.inf]}) if n else pd.DataFrame({"x": [], "y": []})
@@ -96,8 +97,10 @@ def box(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     h = hinges(df, [col], by)
     rows = keyed(df, by).select(*by, finite(col).alias("x")).where("x is not null").join(h, list(by) or F.lit(True))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
+    middle = quantiles(df, [col], by, (0.5,)).select(*by, F.col("q")[0].alias("median"))
+    rows = rows.join(middle, list(by) or F.lit(True))
     inside = (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
-    return rows.groupBy(*by, "variable", "q1", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.percentile("x", F.lit(0.5)).alias("median"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("n_out"))
+    return rows.groupBy(*by, "variable", "q1", "q3", "median").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("n_out")).select(*by, "variable", "q1", "q3", "low", "median", "high", "n_out")
 
 
 def bar(df: DataFrame, col: str, most: int = 20) -> DataFrame:
@@ -119,7 +122,8 @@ def stat_error(df: DataFrame, col: str, by: str, kind: str = "mean") -> DataFram
     g = keyed(df, [by]).groupBy(by)
     if kind == "mean":
         return g.agg(F.avg(x).alias("center"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.count(x).alias("n")).select(by, "center", (F.col("center") - F.col("se")).alias("lower"), (F.col("center") + F.col("se")).alias("upper"), "n")
-    return g.agg(F.percentile(x, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("q"), F.count(x).alias("n")).select(by, F.col("q")[0].alias("center"), F.col("q")[1].alias("lower"), F.col("q")[2].alias("upper"), "n")
+    middle = quantiles(df.where(F.col(by).isNotNull()), [col], [by], (0.5, 0.25, 0.75)).select(by, "q")
+    return g.agg(F.count(x).alias("n")).join(middle, by, "left").select(by, F.col("q")[0].alias("center"), F.col("q")[1].alias("lower"), F.col("q")[2].alias("upper"), "n")
 
 
 def trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
