@@ -86,8 +86,9 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
     return out.select(*by, "variable", "obs", "n", "na", "n_inf", total.alias("sum"), "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), *at, *extra[: int(skew) + int(kurt)], "p_zero", *extra[int(skew) + int(kurt) :])
 
 
-def scale_kinds(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
-    """continuous, rating, either or count, from whole columns."""
+def scales(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[str, float | None, float | None]]:
+    """(kind, lowest, highest) of each column from all its values; the kind is
+    continuous, rating, either (a count or a rating) or count."""
     if not names:
         return {}
     aggs = []
@@ -99,16 +100,22 @@ def scale_kinds(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
     for i, c in enumerate(names):
         lo, hi, whole = row[f"c{i}"]
         if lo is None or not whole:
-            kinds[c] = "continuous"
-        elif (lo >= 1 or lo == -hi) and hi - lo <= 10:
-            kinds[c] = "rating"
+            kind = "continuous"
+        elif (lo >= 1 or (lo < 0 and lo == -hi)) and hi - lo <= 10:
+            kind = "rating"
         elif lo == 0 and hi <= 10:
-            kinds[c] = "either"
+            kind = "either"
         else:
-            kinds[c] = "count" if lo >= 0 else "continuous"
+            kind = "count" if lo >= 0 else "continuous"
+        kinds[c] = (kind, lo, hi)
     return kinds
 
 
+def scale_kinds(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """The kind of each column of ``scales``."""
+    return {c: x[0] for c, x in scales(df, names).items()}
+
+
 def rating_names(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c, k in scale_kinds(df, names).items() if k == "rating"]
 
@@ -173,28 +180,150 @@ def quantiles(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), probs
 
 
 def moments(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., variable, n, m, s) of numeric columns, in one pass."""
+    """(by..., variable, n, m, s, g2, lo, hi, whole) of numeric columns, in one pass."""
     parts = []
     for at in range(0, len(names), CHUNK):
         chunk = names[at : at + CHUNK]
-        row = df.groupBy(*by).agg(*[F.struct(F.lit(c).alias("variable"), F.count(finite(c)).alias("n"), F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")).alias(f"c{i}") for i, c in enumerate(chunk)])
+        row = df.groupBy(*by).agg(*[F.struct(F.lit(c).alias("variable"), F.count(finite(c)).alias("n"), F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s"), F.kurtosis(finite(c)).alias("g2"), F.min(finite(c)).alias("lo"), F.max(finite(c)).alias("hi"), F.bool_and(F.abs(finite(c) - F.round(finite(c))) <= 1e-8).alias("whole")).alias(f"c{i}") for i, c in enumerate(chunk)])
         parts.append(row.select(*by, F.explode(F.array(*[F.col(f"c{i}") for i in range(len(chunk))])).alias("c")).select(*by, "c.*").where("n > 0"))
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Notes where a column is too small, too even or too large to judge.
+TOO_FEW, ONE_VALUE, TOO_LARGE = "too few values to judge", "only one value", "too large to judge"
+
+
+def _index(n: Column, ks_d: Column, cap: float) -> Column:
+    return 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ks_d - 0.9 / F.sqrt(n)) / cap))
+
+
+def _unfit(min_n: int) -> Column:
+    return F.when(F.col("n") < min_n, TOO_FEW).when(F.col("s") == 0, ONE_VALUE).when(F.isnan("s") | (F.col("s") == float("inf")), TOO_LARGE)
+
+
 def gauss(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int = MIN_N, cap: float = CAP) -> DataFrame:
     """(by..., variable, n, ks_d, gauss, gauss_note): the distance of the empirical
     from the fitted normal distribution (Lilliefors 1967) as an index from 0 to 1."""
     df, names = keyed(df, by), numeric_names(df, which, by)
     keys = [*by, "variable"]
-    held = moments(df, names, by)
-    steps = running(value_counts(df, names, by), keys).join(held, keys)
+    held = moments(df, names, by).select(*keys, "n", "m", "s")
+    far = _steps(value_counts(df, names, by), held, keys).where("s > 0").groupBy(*keys).agg(F.max("d").alias("ks_d"))
+    out = held.join(far, keys, "left").withColumn("gauss_note", _unfit(min_n))
+    return out.select(*keys, "n", "ks_d", F.when(F.col("gauss_note").isNull(), _index(F.col("n"), F.col("ks_d"), cap)).alias("gauss"), "gauss_note")
+
+
+def _steps(values: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The running counts of values with their moments, and ``d``, how far the normal distribution is from the step at each."""
     phi = F.expr(norm_cdf("((x - m) / s)"))
-    far = steps.where("s > 0").select(*keys, F.greatest(F.abs(phi - F.col("upto") / F.col("n")), F.abs(phi - (F.col("upto") - F.col("cnt")) / F.col("n"))).alias("d")).groupBy(*keys).agg(F.max("d").alias("ks_d"))
-    out = held.join(far, keys, "left")
-    note = F.when(F.col("n") < min_n, "n too small to assess").when(F.col("s") == 0, "constant (zero variance)").when(F.isnan("s") | (F.col("s") == float("inf")), "values too large to assess")
-    excess = F.greatest(F.lit(0.0), (F.col("ks_d") - 0.9 / F.sqrt("n")) / cap)
-    return out.withColumn("gauss_note", note).select(*keys, "n", "ks_d", F.when(F.col("gauss_note").isNull(), 1 - F.least(F.lit(1.0), excess)).alias("gauss"), "gauss_note")
+    d = F.when(F.col("s") > 0, F.greatest(F.abs(phi - F.col("upto") / F.col("n")), F.abs(phi - (F.col("upto") - F.col("cnt")) / F.col("n"))))
+    return running(values, keys).join(held, list(keys)).withColumn("d", d)
+
+
+#: How a departure from normal is worded, by its code; the order is that in which reasons are told.
+REASONS = {
+    "floor": "{share}% of the values are the lowest one ({end}): a floor, as of a detection limit",
+    "zeros": "{share}% of the values are 0, far more than at the next one: excess zeros, for a two-part model",
+    "rating_floor": "{share}% of the values are the scale's lowest point ({end}), where it tells nobody apart: for an ordinal model",
+    "either_floor": "{share}% of the values are 0, far more than at the next one: excess zeros of a count, or the lowest point of a rating",
+    "ceiling": "{share}% of the values are the highest one ({end}): a ceiling, as of a cap",
+    "rating_ceiling": "{share}% of the values are the scale's highest point ({end}), where it tells nobody apart: for an ordinal model",
+    "either_ceiling": "{share}% of the values are {end}, far more than at the next one: a cap of a count, or the highest point of a rating",
+    "multimodal": "several peaks, maybe of subgroups", "discrete": "few different values ({distinct})", "bounded_zero": "cut off at zero",
+    "right_skewed": "skewed to the right", "left_skewed": "skewed to the left", "heavy_tailed": "heavy tails", "light_tailed": "light tails",
+    "unclear": "not normal, for no one reason",
+}
+#: The share of an index above which nothing but ends is told, and the most reasons of a note.
+FINE, TOLD = 0.95, 2
+
+
+def ends_of(kind: str, distinct: int, n: int, low: tuple[float, int, int], high: tuple[float, int, int], scale: tuple[float, float]) -> list[tuple[str, float, float]]:
+    """(code, share, end) of a floor and a ceiling; ``low`` and ``high`` are the outermost
+    value, its count and that of the next one inward, ``scale`` the ends of the whole column."""
+    from sondage.functions.dist import binom_half_upper
+
+    least, share, ratio, alpha = FLOOR
+    if distinct < (4 if kind in ("rating", "either") else 5):
+        return []
+    out = []
+    for name, (x, c1, c2), end in (("floor", low, scale[0]), ("ceiling", high, scale[1])):
+        if kind != "continuous" and x != end:
+            continue
+        if c1 >= least and c1 / n >= share and c1 >= ratio * c2 and binom_half_upper(c1, c1 + c2) <= alpha:
+            code = f"{kind}_{name}" if kind in ("rating", "either") else "zeros" if name == "floor" and kind == "count" and x == 0 else name
+            out.append((code, c1 / n, x))
+    return out
+
+
+def gauss_check(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int = MIN_N, cap: float = CAP) -> DataFrame:
+    """``gauss`` with its reasons: (by..., variable, n, ks_d, gauss, gauss_kind,
+    gauss_note). A floor or ceiling comes first, whatever the index; other reasons
+    only below ``FINE``. With ``by``, a group is held against the scale of the whole
+    column. All comes from one table of value counts; modes from 1,024 bins a group."""
+    from sondage.functions.kernel import bandwidth, density, peaks
+
+    df, names = keyed(df, by), numeric_names(df, which, by)
+    keys = [*by, "variable"]
+    scale = scales(df, names)
+    held = materialize(moments(df, names, by), "moments")
+    values = value_counts(df, names, by)
+    steps = _steps(values, held, keys)
+
+    def rank(r: Column) -> Column:
+        return F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("cnt") <= r), F.col("x")))
+
+    at = {f"q{p}": F.lit(p / 4) * (F.col("n") - 1) for p in (1, 2, 3)}
+    ends = [x for k, a in at.items() for x in (rank(F.floor(a)).alias(f"{k}a"), rank(F.ceil(a)).alias(f"{k}b"))]
+    pair = F.struct("x", "cnt")
+    seen = steps.groupBy(*keys, "n", "m", "s", "g2", "lo", "hi", "whole").agg(
+        F.max("d").alias("ks_d"), F.count("*").alias("distinct"), F.max(F.when(F.col("x") == F.col("lo"), F.col("cnt"))).alias("lo1"), F.max(F.when(F.col("x") == F.col("hi"), F.col("cnt"))).alias("hi1"),
+        F.min(F.when(F.col("x") > F.col("lo"), pair)).alias("lo2"), F.max(F.when(F.col("x") < F.col("hi"), pair)).alias("hi2"), *ends,
+    )
+    seen = seen.select("*", *[(F.col(f"{k}a") + (F.col(f"{k}b") - F.col(f"{k}a")) * (a - F.floor(a))).alias(k) for k, a in at.items()])
+    seen = seen.withColumn("why", _unfit(min_n))
+    seen = materialize(seen.withColumn("gauss", F.when(F.col("why").isNull(), _index(F.col("n"), F.col("ks_d"), cap))), "gauss")
+    discrete = F.col("whole") & (F.col("distinct") <= F.greatest(F.lit(20.0), F.col("n") / 50))
+    doubtful = seen.where((F.col("gauss") < FINE) & ~discrete).select(*keys, "n", "s", "lo", "hi", "q1", "q3")
+    slot = F.least(F.lit(1023), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).alias("slot")
+    bins = values.join(doubtful, keys).groupBy(*keys, "n", "s", "lo", "hi", "q1", "q3", slot).agg(F.sum("cnt").alias("cnt"))
+    types = {f.name: f.dataType.simpleString() for f in values.schema}
+
+    def count_modes(key: tuple, rows):
+        import pandas as pd
+
+        r = rows.iloc[0]
+        h = bandwidth(r["n"], r["s"], r["q3"] - r["q1"])
+        mid = r["lo"] + (rows["slot"].to_numpy() + 0.5) * (r["hi"] - r["lo"]) / 1024
+        found = peaks(density(mid, rows["cnt"].to_numpy(), h, r["lo"], r["hi"])[1]) if h else 1
+        return pd.DataFrame([(*key, found)], columns=[*keys, "modes"])
+
+    modes = bins.groupBy(*keys).applyInPandas(count_modes, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "modes long"]))
+    both = seen.join(modes, keys, "left")
+
+    def tell(parts):
+        import pandas as pd
+
+        for p in parts:
+            rows = []
+            for r in p.to_dict("records"):
+                n, distinct = int(r["n"]), int(r["distinct"])
+                kind, *whole = scale[r["variable"]]
+                found = [] if r["lo2"] is None else ends_of(kind, distinct, n, (r["lo"], int(r["lo1"]), int(r["lo2"]["cnt"])), (r["hi"], int(r["hi1"]), int(r["hi2"]["cnt"])), tuple(whole))
+                notes = [(code, REASONS[code].format(share=round(100 * share), end=f"{end:.4g}")) for code, share, end in found]
+                if r["why"]:
+                    notes.append(("not_assessed", r["why"]))
+                elif r["gauss"] < FINE:
+                    g2, iqr = r["g2"], r["q3"] - r["q1"]
+                    kurt = ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))
+                    bowley = (r["q3"] + r["q1"] - 2 * r["q2"]) / iqr if iqr > 0 else 0.0
+                    few = bool(r["whole"]) and distinct <= max(20, n / 50)
+                    holds = {"multimodal": not few and (r["modes"] or 0) >= 2, "discrete": few, "bounded_zero": 0 <= r["lo"] < 0.05 * r["s"], "right_skewed": bowley > 0.1, "left_skewed": bowley < -0.1, "heavy_tailed": kurt > 1, "light_tailed": kurt < -1}
+                    more = [(code, REASONS[code].format(distinct=distinct)) for code, yes in holds.items() if yes]
+                    notes += more if more or found else [("unclear", REASONS["unclear"])]
+                gauss = None if r["why"] else r["gauss"]
+                rows.append((*(r[k] for k in keys), n, None if r["why"] else r["ks_d"], gauss, notes[0][0] if notes else "none", "; ".join(t for _, t in notes[:TOLD])))
+            yield pd.DataFrame(rows, columns=[*keys, "n", "ks_d", "gauss", "gauss_kind", "gauss_note"])
+
+    return both.mapInPandas(tell, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "n long, ks_d double, gauss double, gauss_kind string, gauss_note string"]))
 
 
 def categorical(df: DataFrame, by: Sequence[str] = (), which=None, rare_n: int = 5) -> DataFrame:
@@ -301,19 +430,16 @@ FLOOR = (5, 0.02, 2.0, 0.001)
 
 
 def floor_ends(df: DataFrame, col: str) -> dict[str, object]:
-    """Whether a column piles up at an end of its scale: the two outermost values
-    with their counts, as top-k of distinct values, against a fair split."""
-    from sondage.functions.dist import binom_half_upper
-
-    value = df.select(finite(col).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("c"))
+    """Whether a column piles up at an end of its scale: the two outermost values with
+    their counts, against a fair split."""
+    value = value_counts(df, [col])
     low, high = value.orderBy("x").limit(2).collect(), value.orderBy(F.desc("x")).limit(2).collect()
-    n, distinct = value.agg(F.sum("c"), F.count("*")).first()
-    kind = scale_kinds(df, [col])[col]
-    least, share, ratio, alpha = FLOOR
+    n, distinct = value.agg(F.sum("cnt"), F.count("*")).first()
+    kind, *whole = scales(df, [col])[col]
     out: dict[str, object] = {"kind": kind, "floor": False, "ceiling": False}
-    if (distinct or 0) < (4 if kind in ("rating", "either") else 5):
+    if (distinct or 0) < 2:
         return out
-    for name, rows in (("floor", low), ("ceiling", high)):
-        c1, c2 = rows[0]["c"], rows[1]["c"]
-        out[name] = c1 >= least and c1 / n >= share and c1 >= ratio * c2 and binom_half_upper(c1, c1 + c2) <= alpha
+    outer = [(rows[0]["x"], rows[0]["cnt"], rows[1]["cnt"]) for rows in (low, high)]
+    for code, _, _ in ends_of(kind, distinct, n, *outer, tuple(whole)):
+        out["ceiling" if code.endswith("ceiling") else "floor"] = True
     return out

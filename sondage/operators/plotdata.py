@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.dist import t_ppf
+from sondage.functions.kernel import bandwidth, peaks
+from sondage.functions.kernel import density as kernel_density
 from sondage.operators.counts import na_counts
 from sondage.operators.describe import finite, keyed, quantiles
 from sondage.operators.outliers import hinges
@@ -66,30 +68,17 @@ def density(df: DataFrame, col: str, grid: int = 512) -> pd.DataFrame:
     x = finite(col)
     lo, hi, n, sd, q = df.agg(F.min(x), F.max(x), F.count(x), F.stddev_samp(x), F.lit(None)).first()
     q = quantiles(df, [col], (), (0.25, 0.75)).first()["q"] if n else None
-    spread = min(v for v in (sd or 0, (q[1] - q[0]) / 1.34) if v > 0) if n and sd else 0
-    if not spread:
+    h = bandwidth(n, sd or 0.0, q[1] - q[0]) if n else 0.0
+    if not h:
         return pd.DataFrame({"x": [lo], "y": [np.inf]}) if n else pd.DataFrame({"x": [], "y": []})
-    h = 0.9 * spread * n**-0.2
     t = histogram(df, col, 1024).toPandas()
-    at, mid = np.linspace(lo - 3 * h, hi + 3 * h, grid), ((t.lower + t.upper) / 2).to_numpy()
-    y = (np.exp(-(((at[:, None] - mid) / h) ** 2) / 2) @ t.n.to_numpy()) / (n * h * math.sqrt(2 * math.pi))
+    at, y = kernel_density(((t.lower + t.upper) / 2).to_numpy(), t.n.to_numpy(), h, lo, hi, grid)
     return pd.DataFrame({"x": at, "y": y})
 
 
 def modes(df: DataFrame, col: str) -> int:
-    """Peaks above a tenth of the highest, parted by a valley below half of the lower one."""
-    y = density(df, col).y.to_numpy()
-    if len(y) < 3:
-        return min(1, len(y))
-    top = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])) + 1
-    top = [i for i in top if y[i] > 0.1 * y.max()]
-    kept: list[int] = []
-    for i in top:
-        while kept and y[kept[-1] : i].min() >= 0.5 * min(y[kept[-1]], y[i]) and y[i] > y[kept[-1]]:
-            kept.pop()
-        if not kept or y[kept[-1] : i].min() < 0.5 * min(y[kept[-1]], y[i]):
-            kept.append(i)
-    return len(kept)
+    """The ``peaks`` of the density."""
+    return peaks(density(df, col).y.to_numpy())
 
 
 def box(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:

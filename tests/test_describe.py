@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,10 +45,10 @@ def test_planted_defects_are_described(spark):
 
 def test_gauss_notes(spark):
     df = spark.createDataFrame([(float(i), 7.0) for i in range(10)], "x double, c double")
-    assert {r.gauss_note for r in describe.gauss(df).collect()} == {"n too small to assess"}
+    assert {r.gauss_note for r in describe.gauss(df).collect()} == {describe.TOO_FEW}
     df = spark.range(50).select(F.lit(7.0).alias("c"))
     r = describe.gauss(df).first()
-    assert r.gauss is None and r.gauss_note == "constant (zero variance)"
+    assert r.gauss is None and r.gauss_note == describe.ONE_VALUE
 
 
 def test_skewness_by_formula(spark):
@@ -160,3 +161,50 @@ def test_frame_rank_and_units(spark):
     sums = df.withColumn("s", F.col("age") + F.when(F.col("g") == "g1", 2.0).otherwise(0.0) + F.col("w"))
     assert ("s", ["g", "w"]) in frame.rank_deficient(sums, ["g", "x", "w", "s"])
     assert frame.unit_level(df, ["g", "h", "age", "x"]) == [("age", "g"), ("age", "h")]
+
+
+def test_gauss_reasons(spark):
+    """Each kind of departure by a sample that shows it."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    data = {
+        "normal": rng.normal(10, 1, n), "floor": np.maximum(rng.normal(10, 1, n), 9.0), "zeros": np.where(rng.random(n) < 0.4, 0, rng.poisson(20, n)).astype(float),
+        "rating": np.clip(np.round(rng.normal(5.6, 1.2, n)), 1, 5), "two": np.where(rng.random(n) < 0.5, rng.normal(0, 1, n), rng.normal(9, 1, n)), "dice": rng.integers(3, 9, n).astype(float) + 0,
+        "lognormal": rng.lognormal(0, 1, n), "left": -rng.lognormal(0, 0.6, n), "tails": rng.standard_t(2, n), "flat": rng.uniform(-1, 1, n), "one": np.full(n, 2.0),
+    }
+    df = spark.createDataFrame(pd.DataFrame(data))
+    got = {r.variable: r for r in describe.gauss_check(df).collect()}
+    kinds = {c: r.gauss_kind for c, r in got.items()}
+    assert kinds == {"normal": "none", "floor": "floor", "zeros": "zeros", "rating": "rating_ceiling", "two": "multimodal", "dice": "discrete", "lognormal": "bounded_zero", "left": "left_skewed", "tails": "heavy_tailed", "flat": "light_tailed", "one": "not_assessed"}
+    assert got["normal"].gauss_note == "" and got["one"].gauss_note == describe.ONE_VALUE and "skewed to the right" in got["lognormal"].gauss_note
+    assert all(r.gauss_note.count(";") <= 1 for r in got.values())
+    index = {r.variable: r.gauss for r in describe.gauss(df).collect()}
+    assert all(index[c] == r.gauss or abs(index[c] - r.gauss) < 1e-12 for c, r in got.items())
+
+
+def test_group_against_the_scale_of_its_column(spark):
+    """A group whose values start at the second point has no floor of the scale."""
+    rows = [("a", float(v)) for v in [2] * 60 + [3] * 10 + [4] * 8 + [5] * 6 + [6] * 4] + [("b", float(v)) for v in [1] * 60 + [2] * 10 + [3] * 8 + [4] * 6 + [7] * 3]
+    got = {r.g: r.gauss_kind for r in describe.gauss_check(spark.createDataFrame(rows, "g string, x double"), ["g"]).collect()}
+    assert got == {"a": "discrete", "b": "rating_floor"}
+
+
+def test_cut_counts(spark, monkeypatch):
+    """Keys that are counted in parts give the same quantiles, in the presence of ties and groups."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice(["p", "q"], 5000), "x": np.round(rng.lognormal(0, 2, 5000), 2)})
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(describe, "WIDE", 50)
+    monkeypatch.setattr(describe, "CUTS", 16)
+    probs = (0.1, 0.25, 0.5, 0.9, 0.999)
+    got = {r.g: r.q for r in describe.quantiles(df, ["x"], ["g"], probs).collect()}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile(pdf.x[pdf.g == g], probs))
+    run = describe.running(describe.value_counts(df, ["x"]), ["variable"], with_n=True).toPandas().sort_values("x")
+    assert (run.upto == run.cnt.cumsum()).all() and (run.n == 5000).all()
+
+
+def test_no_such_columns(spark):
+    for f, frame_ in ((describe.numeric, spark.createDataFrame([("a",)], "t string")), (describe.categorical, spark.createDataFrame([(1,)], "n int"))):
+        with pytest.raises(ValueError):
+            f(frame_)
