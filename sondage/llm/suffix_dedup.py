@@ -257,11 +257,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, key, lo, hi in todo:
             for s in range(0, len(rows), 1 << 15):
                 i = rows[s : s + (1 << 15)]
+                # no window of another range fits in what is cut
                 before, after = np.minimum(left[i], hi), np.minimum(right[i], LENGTH - lo)
                 parts = [data[x:y].tobytes() for x, y in zip(at[i] - before, at[i] + after, strict=True)]
-                r, n = row[i], len(i)
-                cols = [pa.array(key[s : s + (1 << 15)]), pa.array(ids[r]), pa.array(sub[r]), pa.array(pos[i].astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(np.full(n, lo, np.int32)), pa.array(np.full(n, hi, np.int32)), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["gram", "doc_id", "sub", "at", "left", "lo", "hi", "slice"])
+                r = row[i]
+                cols = [pa.array(key[s : s + (1 << 15)]), pa.array(ids[r]), pa.array(sub[r]), pa.array(pos[i].astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "doc_id", "sub", "at", "left", "slice"])
 
 
 def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
@@ -320,7 +321,7 @@ def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int =
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = LENGTH - GRAM
     for t in whole_keys(batches, "gram", SLICES):
-        gram, doc, sub, at, left, lo, hi = (t[c].to_numpy() for c in ("gram", "doc_id", "sub", "at", "left", "lo", "hi"))
+        gram, doc, sub, at, left = (t[c].to_numpy() for c in ("gram", "doc_id", "sub", "at", "left"))
         column = t["slice"].combine_chunks()
         data, off = buffers(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
         order = np.lexsort((at, sub, doc, gram))
@@ -329,7 +330,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in (gram, doc, sub, at):
             again[1:] &= x[order][1:] == x[order][:-1]
         order = order[~again]
-        gram, doc, sub, at, left, lo, hi, begin, size = gram[order], doc[order], sub[order], at[order].astype(np.int64), left[order].astype(np.int64), lo[order], hi[order], off[:-1][order], np.diff(off)[order]
+        gram, doc, sub, at, left, begin, size = gram[order], doc[order], sub[order], at[order].astype(np.int64), left[order].astype(np.int64), off[:-1][order], np.diff(off)[order]
         g = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
         most, least = np.zeros(len(g), np.int64), np.full(len(g), LENGTH)
         # offsets never meet each other, so a large gram is sorted a few offsets at a time
@@ -337,7 +338,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for o0 in range(0, reach + 1, step):
             k = np.arange(o0, min(o0 + step, reach + 1))
             row, o = np.repeat(np.arange(len(g)), len(k)), np.tile(k, len(g))
-            fits = (o <= left[row]) & (left[row] - o + LENGTH <= size[row]) & (o >= lo[row]) & (o <= hi[row])
+            fits = (o <= left[row]) & (left[row] - o + LENGTH <= size[row])
             row, o = row[fits], o[fits]
             found = repeats(data, begin[row] + left[row] - o, g[row] * (reach + 1) + o)
             np.maximum.at(most, row[found], o[found])
@@ -384,7 +385,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     met = docs.select("doc_id", "sub", "bytes").mapInArrow(_scan, ROWS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_by_gram, ROWS)
     met = materialize(met, "suffix-anchors")
     want = met.where(F.col("kind") == MET).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("gram", "at", "sides")).alias("want"))
-    slices = docs.select("doc_id", "sub", "bytes").join(want, ["doc_id", "sub"]).mapInArrow(_cut, "gram long, doc_id long, sub long, at int, left int, lo int, hi int, slice binary")
+    slices = docs.select("doc_id", "sub", "bytes").join(want, ["doc_id", "sub"]).mapInArrow(_cut, "gram long, doc_id long, sub long, at int, left int, slice binary")
     sorted_ = slices.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort, ROWS)
     both = met.where(F.col("kind") == RUN).unionByName(sorted_)
     return both.select("doc_id", "sub", F.col("at").cast("long").alias("start"), F.col("other").alias("end"))

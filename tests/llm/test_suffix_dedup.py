@@ -82,7 +82,7 @@ def test_gram_with_many_surroundings(spark):
     low = int(at[np.argmin(gram)])
     hot = many[low : low + s.GRAM]
     shared = [word(30) + hot + word(45) for _ in range(9)]
-    texts = [word(rng.randrange(70)) + hot + word(rng.randrange(90)) for _ in range(s.MANY + 500)]
+    texts = [word(rng.randrange(70)) + hot + word(rng.randrange(90)) for _ in range(2 * s.MANY)]
     texts += [word(rng.randrange(50)) + rng.choice(shared) + word(rng.randrange(50)) for _ in range(150)] + [hot * 4, hot * 3 + "x"]
     rng.shuffle(texts)
     df = frames.documents(spark, texts).repartition(3)
