@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators.cluster import bh
-from sondage.operators.describe import finite
+from sondage.operators.describe import finite, quantiles
 from sondage.operators.linalg import matrix_sum, project
-from sondage.operators.select import sample_rows
+from sondage.operators.select import class_of, sample_rows
+from sondage.plans.shared import materialize
 
-SAMPLE = 20_000
+SAMPLE, MOST_LEVELS = 20_000, 200
 #: Simulated rows drawn by one generator; simulated values in a range of the score.
 BLOCK, RANGE = 1 << 15, 1 << 18
 
@@ -145,8 +146,6 @@ def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = No
         real = project(z, key, list(names), judge, ["score", "at", "cell"]).withColumn("cell", F.col("cell").cast("long"))
         kind = dict(df.dtypes)[key]
         out = real.groupBy("cell").cogroup(null.groupBy("cell")).applyInPandas(compare, f"`{key}` {kind}, score double, at double, p double")
-        from sondage.plans.shared import materialize
-
         out = bh(materialize(out, "anomaly-p"), "p", n)
         driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
         return materialize(out.select(key, "score", driver.alias("driver"), "p", "p_adj", (F.col("p_adj") < alpha).alias("flag")), "anomaly")
@@ -154,52 +153,195 @@ def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = No
         z.unpersist()
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple[int, float, int, int, float]]:
-    """Nodes (column, cut, left, right, path length added at a leaf); column -1 is a leaf."""
-    nodes: list[tuple[int, float, int, int, float]] = []
+#: A node: its column (-1 for a leaf), the cut of a number, the levels of a category that go left, both ways on, where a gap goes, and the path length of a leaf.
+Node = tuple[int, float, np.ndarray | None, int, int, bool, float]
+
+
+def _grow(x: np.ndarray, levels: Sequence[int], rng: np.random.Generator, depth: int) -> list[Node]:
+    """A tree over rows of numbers and level codes (``levels`` is 0 for a number); a gap follows the larger side."""
+    nodes: list[Node] = []
 
     def path(n: int) -> float:
         return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
     def build(rows: np.ndarray, d: int) -> int:
         i = len(nodes)
-        nodes.append((-1, 0.0, 0, 0, d + path(len(rows))))
-        lo, hi = x[rows].min(0), x[rows].max(0)
+        nodes.append((-1, 0.0, None, 0, 0, True, d + path(len(rows))))
+        lo, hi = np.fmin.reduce(x[rows]), np.fmax.reduce(x[rows])
         can = np.flatnonzero(hi > lo)
         if d < depth and len(rows) > 1 and len(can):
             c = int(rng.choice(can))
-            cut = rng.uniform(lo[c], hi[c])
-            left = x[rows, c] < cut
-            nodes[i] = (c, cut, build(rows[left], d + 1), build(rows[~left], d + 1), 0.0)
+            v = x[rows, c]
+            cut, go = 0.0, None
+            if levels[c]:
+                here = np.unique(v[~np.isnan(v)]).astype(int)
+                go = rng.random(levels[c]) < 0.5
+                go[here] = rng.permutation(np.arange(len(here)) < rng.integers(1, len(here)))
+                left = go[np.nan_to_num(v).astype(int)]
+            else:
+                cut = rng.uniform(lo[c], hi[c])
+                left = v < cut
+            gap = np.isnan(v)
+            most = bool(left[~gap].sum() * 2 >= (~gap).sum())
+            left = np.where(gap, most, left)
+            nodes[i] = (c, cut, go, build(rows[left], d + 1), build(rows[~left], d + 1), most, 0.0)
         return i
 
     build(np.arange(len(x)), 0)
     return nodes
 
 
-def iforest(df: DataFrame, key: str, names: Sequence[str], ntrees: int = 100, size: int = 256, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """(key, score, flag): isolation forest scores; flagged above the (1 - alpha) quantile."""
-    x = df.select(key, *[finite(c).alias(c) for c in names]).dropna(subset=list(names))
-    sample = np.array([tuple(r) for r in x.orderBy(F.xxhash64(F.lit(seed), key), key).limit(SAMPLE).select(*names).collect()])
-    rng = np.random.default_rng(seed)
-    trees = [[np.array(c) for c in zip(*_grow(sample[rng.choice(len(sample), min(size, len(sample)), replace=False)], rng, 12), strict=True)] for _ in range(ntrees)]
-    m = min(size, len(sample))
-    norm = 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+class Forest:
+    """Trees as arrays, scored over blocks of rows."""
 
-    def score(a: np.ndarray) -> np.ndarray:
+    def __init__(self, trees: Sequence[list[Node]], levels: Sequence[int], size: int) -> None:
+        wide = max([1, *levels])
+        self.trees = []
+        for nodes in trees:
+            go = np.zeros((len(nodes), wide), bool)
+            for i, n in enumerate(nodes):
+                if n[2] is not None:
+                    go[i, : len(n[2])] = n[2]
+            self.trees.append(([np.array([n[k] for n in nodes]) for k in (0, 1, 3, 4, 5, 6)], go))
+        self.category = np.array([k > 0 for k in levels])
+        self.norm = 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size if size > 2 else 1.0
+
+    def score(self, a: np.ndarray) -> np.ndarray:
         total = np.zeros(len(a))
-        for col, cut, left, right, length in trees:
+        for (col, cut, left, right, most, length), go in self.trees:
             at = np.zeros(len(a), int)
-            while (live := col[at] >= 0).any():
-                i = np.flatnonzero(live)
+            while len(i := np.flatnonzero(col[at] >= 0)):
                 n = at[i]
-                at[i] = np.where(a[i, col[n]] < cut[n], left[n], right[n])
+                v = a[i, col[n]]
+                gap = np.isnan(v)
+                code = np.where(self.category[col[n]] & ~gap, v, 0).astype(int)
+                go_left = np.where(gap, most[n], np.where(self.category[col[n]], go[n, code], v < cut[n]))
+                at[i] = np.where(go_left, left[n], right[n])
             total += length[at]
-        return (2 ** (-total / len(trees) / norm))[:, None]
-
-    out = project(x, key, list(names), score, ["score"])
-    limit = out.agg(F.percentile("score", F.lit(1 - alpha))).first()[0]
-    return out.withColumn("flag", F.col("score") > F.lit(limit))
+        return 2 ** (-total / len(self.trees) / self.norm)
+
+
+class Expected:
+    """What the other columns say of each: a number by least squares on them, a category
+    by the commonest level among the ``near`` nearest of a pool of rows (a number's
+    difference over its range and a category's mismatch, averaged)."""
+
+    def __init__(self, gram: np.ndarray, levels: Sequence[int], pool: np.ndarray, near: int) -> None:
+        self.levels, self.pool, self.near = levels, pool, near
+        spread = np.fmax.reduce(pool) - np.fmin.reduce(pool)
+        self.spread = np.where(np.isfinite(spread) & (spread > 0), spread, 1.0)
+        self.coef = {}
+        where = np.cumsum([1, *(max(1, k - 1) for k in levels)])
+        for c, k in enumerate(levels):
+            if not k:
+                x = [i for i in range(len(gram)) if not where[c] <= i < where[c + 1]]
+                self.coef[c] = (x, np.linalg.pinv(gram[np.ix_(x, x)], rcond=1e-10) @ gram[x, where[c]])
+
+    def of(self, a: np.ndarray, c: int) -> np.ndarray:
+        own = a[:, c]
+        if not self.levels[c]:
+            x, coef = self.coef[c]
+            z = design_rows(a, self.levels)
+            got = z[:, x] @ coef
+        else:
+            other = [i for i in range(a.shape[1]) if i != c]
+            d, n = np.zeros((len(a), len(self.pool))), np.zeros((len(a), len(self.pool)))
+            for i in other:
+                far = np.abs(a[:, i, None] - self.pool[None, :, i])
+                far = (far > 0).astype(float) + np.where(np.isnan(far), np.nan, 0) if self.levels[i] else far / self.spread[i]
+                there = ~np.isnan(far)
+                d += np.where(there, far, 0)
+                n += there
+            d = np.where(n > 0, d / np.maximum(n, 1), np.inf)
+            # never the row itself
+            d[(np.nan_to_num(a[:, None], nan=-1e300) == np.nan_to_num(self.pool[None], nan=-1e300)).all(2)] = np.inf
+            nearest = np.argsort(d, 1, kind="stable")[:, : self.near]
+            level = self.pool[nearest, c]
+            count = np.stack([(level == k).sum(1) for k in range(self.levels[c])], 1)
+            got = np.where(count.sum(1) > 0, count.argmax(1), np.nan)
+        return np.where(np.isnan(got) | np.isnan(own), own, got)
+
+
+def design_rows(a: np.ndarray, levels: Sequence[int]) -> np.ndarray:
+    """An intercept, numbers, and indicators of all but the first level."""
+    out = [np.ones(len(a))]
+    for c, k in enumerate(levels):
+        out += [np.where(np.isnan(a[:, c]), np.nan, a[:, c] == j) for j in range(1, max(k, 2))] if k else [a[:, c]]
+    return np.column_stack(out)
+
+
+def iforest(df: DataFrame, key: str, names: Sequence[str], ntrees: int = 500, size: int = 256, alpha: float = 0.05, seed: int = 1, pool: int = 2000, near: int = 10) -> DataFrame:
+    """(key, score, flag, driver): isolation forest scores (Liu, Ting & Zhou 2008) of
+    numbers and categories, gaps allowed; flagged above the (1 - alpha) quantile. The
+    driver of a flagged row is the column whose value, replaced by what the others say
+    of it, lowers the score most. Trees see ``size`` rows each, and categories are
+    looked up among ``pool`` rows, both by hashes of the key; regressions and scores
+    take all rows."""
+    kinds = {c: class_of(df.schema[c].dataType) for c in names}
+    if len(names) < 2:
+        raise ValueError("two columns or more are needed")
+    level_of: dict[str, list[str]] = {}
+    for c in names:
+        if kinds[c] != "numeric":
+            found = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("l")).distinct().orderBy("l").limit(MOST_LEVELS + 1).collect()
+            if len(found) > MOST_LEVELS:
+                raise ValueError(f"{c} has more than {MOST_LEVELS} levels")
+            level_of[c] = [r.l for r in found] or [""]
+    code = lambda c: F.nullif(F.array_position(F.array(*[F.lit(x) for x in level_of[c]]), F.col(c).cast("string")), F.lit(0)) - 1
+    x = df.select(key, *[(code(c) if c in level_of else finite(c)).cast("double").alias(c) for c in names])
+    levels = [len(level_of.get(c, ())) for c in names]
+    rows = x.orderBy(F.xxhash64(F.lit(seed), key), key).limit(max(SAMPLE, pool)).select(*names).collect()
+    sample = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, len(names))
+    rng = np.random.default_rng(seed)
+    m = min(size, len(sample))
+    forest = Forest([_grow(sample[rng.choice(len(sample), m, replace=False)], levels, rng, int(np.ceil(np.log2(max(m, 2))))) for _ in range(ntrees)], levels, m)
+
+    def blocks(a: np.ndarray) -> np.ndarray:
+        return forest.score(a)[:, None]
+
+    def grams(a: np.ndarray) -> np.ndarray:
+        z = design_rows(a, levels)
+        z = z[~np.isnan(z).any(1)]
+        return z.T @ z
+
+    scored = materialize(project(x, key, list(names), blocks, ["score"]), "iforest")
+    limit = quantiles(scored, ["score"], (), [1 - alpha]).first()["q"][0]
+    expected = Expected(matrix_sum(x, list(names), grams), levels, sample[:pool], near)
+
+    def drivers(a: np.ndarray) -> np.ndarray:
+        real, drop = forest.score(a), []
+        for c in range(len(names)):
+            b = a.copy()
+            b[:, c] = expected.of(a, c)
+            drop.append(real - forest.score(b))
+        return np.argmax(np.column_stack(drop), 1)[:, None].astype(float)
+
+    odd = x.join(scored.where(F.col("score") > F.lit(limit)).select(key), key, "left_semi")
+    driver = project(odd, key, list(names), drivers, ["at"]).select(F.col(key).alias("__key"), F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1).alias("driver"))
+    out = scored.withColumn("flag", F.col("score") > F.lit(limit))
+    return out.join(driver, F.col(key) == F.col("__key"), "left").select(key, "score", "flag", "driver")
+
+
+def score_table(found: DataFrame, bins: int = 40) -> DataFrame:
+    """(bin, lower, n, n_flagged) of the scores: the table behind their histogram."""
+    lo, hi = found.agg(F.min("score"), F.max("score")).first()
+    width = (hi - lo) / bins if lo is not None and hi > lo else 1.0
+    at = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.lit(lo)) / F.lit(width))).cast("long").alias("bin")
+    return found.groupBy(at).agg(F.count("*").alias("n"), F.count_if("flag").alias("n_flagged")).select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"), "n", "n_flagged")
+
+
+def driver_table(found: DataFrame) -> DataFrame:
+    """(driver, n) of the flagged rows."""
+    return found.where("flag").groupBy("driver").agg(F.count("*").alias("n"))
+
+
+def row_table(found: DataFrame, df: DataFrame, key: str, value: object, names: Sequence[str]) -> DataFrame:
+    """(variable, value, mean, z) of one row: how far each of its numbers is from the column's mean."""
+    numbers = [c for c in names if class_of(df.schema[c].dataType) == "numeric"]
+    stats = df.agg(*[F.struct(F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")).alias(f"c{i}") for i, c in enumerate(numbers)])
+    one = found.where(F.col(key) == F.lit(value)).select(key).join(df, key).crossJoin(stats.limit(1))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), finite(c).alias("value"), F.col(f"c{i}.m").alias("mean"), F.try_divide(finite(c) - F.col(f"c{i}.m"), F.col(f"c{i}.s")).alias("z")) for i, c in enumerate(numbers)]))
+    return one.select(each.alias("x")).select("x.*")
 
 
 def anomalous(found: DataFrame, df: DataFrame, key: str, flagged: bool = True) -> DataFrame:

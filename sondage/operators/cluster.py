@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce as reduce_columns
 from statistics import NormalDist
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondage.functions.dist import hyper_upper_log, p_adjust
+from sondage.operators.counts import missing
 from sondage.operators.describe import cells, finite
 from sondage.operators.linalg import project
-from sondage.operators.reduce import Reduction, na_markers, reduce
+from sondage.operators.reduce import Reduction, na_markers, reduce, reduce_na
 from sondage.operators.select import class_of
+from sondage.plans.shared import materialize
 
 
 @dataclass
@@ -101,6 +104,7 @@ def stability(coords: DataFrame, key: str, fit: Clusters, B: int = 20, seed: int
     """Mean Jaccard similarity of each cluster with its best match in B refits on
     bootstrap weights (Hennig 2007)."""
     names = [c for c in coords.columns if c != key]
+    coords = materialize(coords, "stability")
     total = np.zeros(fit.k)
     for b in range(B):
         u = F.xxhash64(key, F.lit(seed), F.lit(b)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
@@ -118,6 +122,21 @@ def stability(coords: DataFrame, key: str, fit: Clusters, B: int = 20, seed: int
     return pd.DataFrame({"cluster": np.arange(1, fit.k + 1), "jaccard": j, "stability": np.where(j > 0.75, "stable", np.where(j > 0.5, "moderate", "unstable"))})
 
 
+def cluster_na(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, **args) -> Clusters:
+    """Clusters of rows by which of their values are missing."""
+    return cluster(reduce_na(df, key, names, ndim).coords, key, **args)
+
+
+def incomplete_note(df: DataFrame, names: Sequence[str]) -> tuple[int, int, list[tuple[str, int]]]:
+    """(rows, complete rows, columns with the complete rows that leaving each out would
+    add, most first): which column costs most."""
+    holes = [missing(df, c).cast("int") for c in names]
+    total = reduce_columns(lambda a, b: a + b, holes)
+    row = df.agg(F.count("*").alias("n"), F.count_if(total == 0).alias("full"), *[F.count_if((total == 1) & (h == 1)).alias(f"c{i}") for i, h in enumerate(holes)]).first()
+    gains = [(c, row[f"c{i}"]) for i, c in enumerate(names) if row[f"c{i}"]]
+    return row["n"], row["full"], sorted(gains, key=lambda x: -x[1])
+
+
 def vtest_mean(df: DataFrame, cluster_col: str, names: Sequence[str]) -> DataFrame:
     """(cluster, variable, v): (mean_c - mean) / sqrt(s2 / n_c (n - n_c) / (n - 1)), s2 of the population."""
     long = cells(df, names, [cluster_col])

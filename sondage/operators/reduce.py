@@ -38,18 +38,17 @@ def encode(df: DataFrame, key: str, names: Sequence[str]) -> tuple[DataFrame, li
     """(key, z0, z1, ...) and what each z is: (column, level or None)."""
     numbers = [c for c in names if class_of(df.schema[c].dataType) == "numeric"]
     factors = [c for c in names if c not in numbers]
-    aggs = [F.struct(F.avg(finite(c)).alias("m"), F.stddev_pop(finite(c)).alias("s")).alias(f"n{i}") for i, c in enumerate(numbers)]
+    aggs = [F.struct(F.avg(finite(c)).alias("m"), F.stddev_pop(finite(c)).alias("s"), F.count(finite(c)).alias("k")).alias(f"n{i}") for i, c in enumerate(numbers)]
     stats = df.agg(F.count("*").alias("n"), *aggs).first()
     cells: list[Column] = []
     what: list[tuple[str, str | None]] = []
     for i, c in enumerate(numbers):
-        m, s = stats[f"n{i}"]
+        m, s, held = stats[f"n{i}"]
         sd = s
         if m is None or not s:
             continue
-        holes = df.agg(F.count_if(finite(c).isNull())).first()[0]
-        if holes:  # missing values at the mean shrink the spread
-            sd = s * ((stats["n"] - holes) / stats["n"]) ** 0.5
+        if held < stats["n"]:  # missing values at the mean shrink the spread
+            sd = s * (held / stats["n"]) ** 0.5
         cells.append(F.coalesce((finite(c) - F.lit(m)) / F.lit(sd), F.lit(0.0)))
         what.append((c, None))
     for c in factors:
@@ -72,6 +71,8 @@ def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: s
     method = "pca" if kinds == {"numeric"} else "famd" if "numeric" in kinds else "mca"
     z, what = encode(df, key, names)
     cols = z.columns[1:]
+    if not cols:
+        raise ValueError("no column varies")
     got = matrix_sum(z, cols, lambda x: np.vstack([x.T @ x, x.sum(0), np.full((1, x.shape[1]), len(x))]))
     n = int(got[-1, 0])
     mean = got[-2] / n

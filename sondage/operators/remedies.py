@@ -19,7 +19,7 @@ from sondage.operators.frame import frame_issues
 
 TIERS = ("representation", "values", "rows")
 MODEL_TIERS = ("numerical", "structural", "estimand")
-STATUS = {"constant": "FAIL", "duplicate_columns": "FAIL", "rank_deficient": "FAIL", "aliased_factors": "FAIL", "collinear": "WARN", "redundant_categories": "WARN", "nested": "WARN", "id_like": "WARN"}
+STATUS = {"constant": "FAIL", "duplicate_columns": "FAIL", "rank_deficient": "FAIL", "aliased_factors": "FAIL", "collinear": "WARN", "redundant_categories": "WARN", "nested": "WARN", "id_like": "WARN", "unit_level": "WARN", "rank_unchecked": "WARN"}
 #: What a remedy may call: (table, **arguments) -> table.
 FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
     "drop_cols": lambda df, names: clean.drop_cols(df, names),
@@ -76,8 +76,9 @@ def check_frame(df: DataFrame, cor_cut: float = 0.999, v_cut: float = 0.95, targ
         names = r.columns.split(", ")
         if r.issue == "id_like":
             candidates.append(Remedy(remedy_key("as_key", names), ("frame",), status, "representation", r.remedy, None, {}, target))
-        elif r.issue == "nested":
-            candidates.append(Remedy(remedy_key("model_nesting", names), ("frame",), status, "representation", r.remedy, None, {}, target))
+        elif r.issue in ("nested", "unit_level", "rank_unchecked"):
+            kind = {"nested": "model_nesting", "unit_level": "group_by", "rank_unchecked": "check_fewer"}[r.issue]
+            candidates.append(Remedy(remedy_key(kind, names), ("frame",), status, "representation", r.remedy, None, {}, target))
         else:
             gone = names[-1]
             kind = "drop_cols" if len(names) == 1 else "keep_one"

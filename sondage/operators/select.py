@@ -61,7 +61,8 @@ def check_by(df: DataFrame, by: Sequence[str]) -> None:
 
 def subset(df: DataFrame, rows: Column | dict[str, str] | Sequence[int] | None = None, which=None, negate: bool = False, fixed: bool = False, key: str | None = None) -> DataFrame:
     """Rows by a condition (null is out either way), by patterns (all must match;
-    null never does, so negation keeps it), or by the values of ``key``; then columns."""
+    null never does, so negation keeps it), or by the values of ``key``; then columns.
+    Values that no row has, and a selection of no rows, are errors."""
     if isinstance(rows, Column):
         df = df.where(F.coalesce(~rows if negate else rows, F.lit(False)))
     elif isinstance(rows, dict):
@@ -74,7 +75,11 @@ def subset(df: DataFrame, rows: Column | dict[str, str] | Sequence[int] | None =
         if key is None or len(set(rows)) != len(rows) or any(r < 0 for r in rows):
             raise ValueError("positions are unique, not negative, and need 'key'")
         ids = df.sparkSession.createDataFrame([(r,) for r in rows], f"`{key}` long")
+        if (held := ids.join(df.select(key).distinct(), key, "left_semi").count()) < len(rows):
+            raise ValueError(f"{len(rows) - held} positions are not in the table")
         df = df.join(ids, key, "left_anti" if negate else "left_semi")
+    if rows is not None and df.isEmpty():
+        raise ValueError("no row is left")
     return df if which is None else df.select(*cols(df, which))
 
 
@@ -83,10 +88,26 @@ def _draw(keys: Sequence[str], seed: int) -> list[Column]:
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int | None = None, prop: float | None = None, seed: int = 1) -> DataFrame:
-    """Exactly ``n`` rows, or the rounded share of them, by a hash of the key: the same rows however the data are partitioned."""
+    """Exactly ``n`` rows, or the rounded share of them, by a hash of the key: the same
+    rows however the data are partitioned. Rows are counted by the first bits of the
+    hash; all below a threshold are taken, and only the bin that holds it is ordered."""
+    draw, *keys = _draw(key, seed)
+    bin_ = F.shiftright(draw, 48).alias("bin")
+    counts = sorted((r["bin"], r["n"]) for r in df.groupBy(bin_).agg(F.count("*").alias("n")).collect())
+    total = sum(k for _, k in counts)
     if n is None:
-        n = round(prop * df.count())
-    return df.orderBy(*_draw(key, seed)).limit(n)
+        if not 0 < prop <= 1:
+            raise ValueError("a share lies above 0 and is 1 at most")
+        n = round(prop * total)
+    if not 0 < n <= total:
+        raise ValueError(f"{n} rows can't be drawn from {total}")
+    below = 0
+    for at, k in counts:
+        if below + k > n:
+            rest = df.where(bin_ == at).orderBy(draw, *keys).limit(n - below)
+            return df.where(bin_ < at).unionByName(rest) if below else rest
+        below += k
+    return df
 
 
 def sample_groups(df: DataFrame, by: str, n: int | None = None, prop: float | None = None, seed: int = 1) -> DataFrame:
@@ -97,6 +118,8 @@ def sample_groups(df: DataFrame, by: str, n: int | None = None, prop: float | No
 
 def sample_crossed(df: DataFrame, by: dict[str, float | int | str], seed: int = 1) -> DataFrame:
     """Each factor's levels drawn on their own (a share below 1, a count, or "all"); rows with all levels drawn stay."""
+    if len(by) < 2 or any(size != "all" and not size > 0 for size in by.values()):
+        raise ValueError("two factors or more, each with a share, a count or 'all'")
     for c, size in by.items():
         if size == "all" or size == 1:
             continue

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one below /tmp only where
-    the session names none, as in local tests."""
+    """The folder named by ``spark.checkpoint.dir``; one below /tmp where the session
+    names none and its executors are in this process, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 

@@ -267,13 +267,30 @@ def frame_cramer_v(spark, sf):
     return rounded(frame.cramer_v(read(spark, sf, "part"), "p_brand", "p_type"))
 
 
-@query()
+_PARTS = "p AS (SELECT p_partkey, p_size, ((p_partkey * 7919) % 97)::DOUBLE noise, 1 AS k, p_size AS size2, p_size * 2.0 AS double, p_size + ((p_partkey * 7919) % 97) AS total, p_brand, floor(ascii(right(p_brand, 1)) / 2.0) AS code FROM part)"
+_SHARE = "(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) > 1 - 1e-10"
+
+
+@query(f"""WITH {_PARTS}, c AS (SELECT corr(p_size, double) sd, corr(p_size, total) st, corr(noise, total) nt, corr(p_size, noise) sn FROM p)
+SELECT 'constant' AS issue, 'k' AS columns FROM p HAVING count(DISTINCT k) = 1
+UNION ALL SELECT 'id_like', 'p_partkey' FROM p HAVING count(DISTINCT p_partkey) = count(*)
+UNION ALL SELECT 'duplicate_columns', 'p_size, size2' FROM p HAVING bool_and(p_size = size2)
+UNION ALL SELECT 'collinear', 'p_size, double' FROM c WHERE sd >= 0.999 UNION ALL SELECT 'collinear', 'size2, double' FROM c WHERE sd >= 0.999
+UNION ALL SELECT 'collinear', 'p_size, total' FROM c WHERE st >= 0.999 UNION ALL SELECT 'collinear', 'noise, total' FROM c WHERE nt >= 0.999
+UNION ALL SELECT 'rank_deficient', 'double' FROM c WHERE sd * sd > 1 - 1e-10
+UNION ALL SELECT 'rank_deficient', 'total' FROM (SELECT st r1, nt r2, sn r12 FROM c) WHERE {_SHARE}
+UNION ALL SELECT 'unit_level', 'code, p_brand' FROM (SELECT p_brand, min(code) = max(code) AS one, count(*) n FROM p GROUP BY 1) HAVING bool_and(one) AND avg(n) >= 2""")
 def frame_issues(spark, sf):
-    df = read(spark, sf, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("p_price"), F.lit(1).alias("k"), F.col("p_size").alias("size2"), (F.col("p_size") * 2.0).alias("double"), (F.col("p_size") + F.pmod(F.xxhash64("p_partkey"), F.lit(97))).alias("total"), F.pmod(F.xxhash64("p_partkey"), F.lit(97)).cast("double").alias("noise"))
-    df = df.select("p_partkey", "p_size", "noise", "k", "size2", "double", "total")
+    noise = F.pmod(F.col("p_partkey") * 7919, F.lit(97))
+    df = read(spark, sf, "part").select("p_partkey", "p_size", noise.cast("double").alias("noise"), F.lit(1).alias("k"), F.col("p_size").alias("size2"), (F.col("p_size") * 2.0).alias("double"), (F.col("p_size") + noise).alias("total"), "p_brand", F.floor(F.ascii(F.expr("right(p_brand, 1)")) / 2.0).alias("code"))
     return frame.frame_issues(df).select("issue", "columns")
 
 
+@query()
+def gauss_check(spark, sf):
+    return rounded(describe.gauss_check(read(spark, sf, "lineitem"), ["l_returnflag"], LINE))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS l_quantity, l_linenumber = 7 AS l_quantity_error FROM lineitem")
 def recode_errors(spark, sf):
     df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 7, F.lit(999.0)).otherwise(F.col("l_quantity")).alias("l_quantity"))
@@ -333,10 +350,15 @@ def smd_binary(spark, sf):
     return rounded(smd.smd_binary(read(spark, sf, "lineitem"), "l_returnflag", ["l_linestatus"]))
 
 
-@query()
+# d'S^-1 d by Woodbury's identity: S is the diagonal D of mean shares less half of pp' + qq'
+@query("""WITH t AS (SELECT o_orderstatus s, o_orderpriority l, count(*) n FROM orders GROUP BY 1, 2), g AS (SELECT DISTINCT s FROM t), k AS (SELECT DISTINCT l FROM t WHERE l > (SELECT min(l) FROM t)),
+p AS (SELECT g.s, k.l, coalesce(n, 0) / (sum(n) OVER (PARTITION BY g.s) + first0)::DOUBLE p FROM g CROSS JOIN k JOIN (SELECT s, sum(n) FILTER (l = (SELECT min(l) FROM t)) first0 FROM t GROUP BY 1) z ON z.s = g.s LEFT JOIN t ON t.s = g.s AND t.l = k.l),
+d AS (SELECT a.s, a.p, b.p q, (a.p + b.p) / 2 d FROM p a JOIN p b ON a.l = b.l AND b.s = (SELECT min(s) FROM g)),
+u AS (SELECT s, 1 - sum(p * p / d) / 2 a, -sum(p * q / d) / 2 b, 1 - sum(q * q / d) / 2 c, sum((p - q) * p / d) e, sum((p - q) * q / d) f, sum((p - q) * (p - q) / d) g FROM d GROUP BY s)
+SELECT s AS o_orderstatus, CASE WHEN s > (SELECT min(s) FROM g) THEN round(sqrt(g + (c * e * e - 2 * b * e * f + a * f * f) / (a * c - b * b) / 2), 6) END AS smd FROM u""")
 def smd_levels(spark, sf):
     got = smd.smd_levels(read(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
-    return spark.createDataFrame(list(got.items()), "o_orderstatus string, smd double")
+    return rounded(spark.createDataFrame(list(got.items()), "o_orderstatus string, smd double"))
 
 
 @query("WITH k AS (SELECT l_orderkey, count(*) k FROM lineitem GROUP BY 1) SELECT 'l_orderkey' AS cluster, count(*) AS n_clusters, sum(k)::BIGINT AS n_rows, 0::BIGINT AS n_no_cluster, round(avg(k), 6) AS rows_mean, min(k) AS rows_min, quantile_cont(k, 0.25)::DOUBLE AS rows_p25, quantile_cont(k, 0.5)::DOUBLE AS rows_p50, quantile_cont(k, 0.75)::DOUBLE AS rows_p75, max(k) AS rows_max FROM k")

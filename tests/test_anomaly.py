@@ -19,3 +19,46 @@ def test_one_extreme_row_among_many(spark):
     assert got.count() == n and top.flag and np.isclose(top.p, 1 / (n * 39 + 1))
     mid = got.agg({"p": "avg"}).first()[0]
     assert 0.45 < mid < 0.55 and got.where("flag").count() < 10
+
+
+def test_forest_of_numbers_and_categories(spark):
+    """An odd number and an odd category are flagged, each with its own column as the driver."""
+    rng = np.random.default_rng(5)
+    n = 1500
+    a = rng.normal(size=n)
+    kind = np.where(a > 0, "hi", "lo").astype(object)
+    data = [[i, float(a[i]), float(2 * a[i] + rng.normal(0, 0.1)), str(kind[i])] for i in range(n)]
+    data[10][2] = 40.0
+    data[11][1:] = [2.5, 5.0, "lo"]
+    data[12][1] = data[13][3] = None
+    df = spark.createDataFrame(data, "id long, a double, b double, kind string")
+    got = {r.id: r for r in anomaly.iforest(df, "id", ["a", "b", "kind"], ntrees=80, size=n, alpha=0.02).collect()}
+    assert len(got) == n and sum(r.flag for r in got.values()) == 30
+    assert got[10].flag and got[10].driver == "b" and got[10].score == max(r.score for r in got.values())
+    assert got[11].flag and got[11].driver == "kind"
+    assert all((r.driver is not None) == r.flag for r in got.values())
+    found = spark.createDataFrame(list(got.values()))
+    assert sum(r.n for r in anomaly.score_table(found).collect()) == n and sum(r.n for r in anomaly.driver_table(found).collect()) == 30
+    row = {r.variable: r for r in anomaly.row_table(found, df, "id", 10, ["a", "b", "kind"]).collect()}
+    assert row["b"].value == 40 and row["b"].z > 10 and set(row) == {"a", "b"}
+    assert anomaly.anomalous(found, df, "id").count() == 30
+
+
+def test_trees_isolate_by_path_length():
+    """Against walking each tree by hand."""
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=60), rng.integers(0, 3, 60).astype(float)])
+    x[3, 0] = x[4, 1] = np.nan
+    trees = [anomaly._grow(x, [0, 3], rng, 6) for _ in range(7)]
+    forest = anomaly.Forest(trees, [0, 3], 60)
+
+    def walk(nodes, row):
+        at = 0
+        while nodes[at][0] >= 0:
+            c, cut, go, left, right, most, _ = nodes[at]
+            v = row[c]
+            at = left if (most if np.isnan(v) else go[int(v)] if go is not None else v < cut) else right
+        return nodes[at][6]
+
+    want = [2 ** (-np.mean([walk(t, r) for t in trees]) / forest.norm) for r in x]
+    assert np.allclose(forest.score(x), want)

@@ -83,3 +83,21 @@ def test_profile(spark, blobs):
     assert got.var_contrib.verdict.isin(["defines", "carries"]).all() and len(got.summary) == 3
     assert sorted(got.by_cluster) == ["categorical", "constant", "numeric"]
     assert got.cluster.clusters.count() == 3 and all(s.startswith("Cluster ") for s in got.summary)
+
+
+def test_clusters_of_what_is_missing(spark):
+    rows = [(i, None if i % 3 == 0 else 1.0, None if i % 3 == 0 else "a", None if i % 3 == 1 else 2.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b string, c double")
+    fit = cluster.cluster_na(df, "id", ["a", "b", "c"], 2, k=3)
+    got = {}
+    for r in fit.rows.collect():
+        got.setdefault(r.cluster, set()).add(r.id % 3)
+    assert sorted(map(tuple, got.values())) == [(0,), (1,), (2,)]
+    n, full, gains = cluster.incomplete_note(df, ["a", "b", "c"])
+    assert (n, full, gains) == (90, 30, [("c", 30)])
+
+
+def test_stability_of_blobs(spark, blobs):
+    coords = spark.createDataFrame(blobs[["id", "a", "b"]])
+    t = cluster.stability(coords, "id", cluster.cluster(coords, "id", 3), B=3)
+    assert (t.stability == "stable").all()

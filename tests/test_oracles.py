@@ -18,5 +18,6 @@ def test_query_equals_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_query_runs(spark, name):
+    """What these return is held against other computations in the tests of their operators."""
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
