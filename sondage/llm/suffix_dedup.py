@@ -265,7 +265,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(cols, ["gram", "doc_id", "sub", "at", "left", "slice"])
 
 
-def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as a number that orders as they do; zeros follow the end."""
+    word = np.zeros(len(data) + 8, np.uint64)
+    word[: len(data)] = data
+    for width in (1, 2, 4):
+        word[:-width] = (word[:-width] << np.uint64(8 * width)) | word[width:]
+    return word[: len(data)]
+
+
+def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int = LENGTH, shallow: int = SHALLOW, word: np.ndarray | None = None) -> np.ndarray:
     """Which of the suffixes at ``start`` equal, over ``depth`` bytes, one that is
     listed before in the same ``group``.
 
@@ -274,10 +283,7 @@ def repeats(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int =
     group. Its first suffix is the path; each other one is compared with it once,
     and hangs at the depth and byte where it leaves the path; those that hang at
     one place are a trie of their own. One that never leaves shares its leaf."""
-    pad = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | pad[i : i + len(data)]
+    word = words_of(data) if word is None else word
     out = np.zeros(len(start), bool)
     rows = np.arange(len(start))
 
@@ -334,13 +340,13 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
         most, least = np.zeros(len(g), np.int64), np.full(len(g), LENGTH)
         # offsets never meet each other, so a large gram is sorted a few offsets at a time
-        step = max(1, (4 * SLICES) // len(g))
+        step, word = max(1, (4 * SLICES) // len(g)), words_of(data)
         for o0 in range(0, reach + 1, step):
             k = np.arange(o0, min(o0 + step, reach + 1))
             row, o = np.repeat(np.arange(len(g)), len(k)), np.tile(k, len(g))
             fits = (o <= left[row]) & (left[row] - o + LENGTH <= size[row])
             row, o = row[fits], o[fits]
-            found = repeats(data, begin[row] + left[row] - o, g[row] * (reach + 1) + o)
+            found = repeats(data, begin[row] + left[row] - o, g[row] * (reach + 1) + o, word=word)
             np.maximum.at(most, row[found], o[found])
             np.minimum.at(least, row[found], o[found])
         gone = least < LENGTH
