@@ -6,9 +6,10 @@ Groups with a null key are left out of grouped output.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,8 @@ def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) ->
 
 #: A key of more different values than the first number is counted in so many parts.
 WIDE, CUTS = 20_000, 256
+#: Cuts are compared in two steps, of this many each.
+STEP = 16
 
 
 def running(values: DataFrame, keys: Sequence[str], with_n: bool = False) -> DataFrame:
@@ -143,7 +146,10 @@ def running(values: DataFrame, keys: Sequence[str], with_n: bool = False) -> Dat
     parts meet by key. Where the cuts lie doesn't matter for the counts, and they are
     written, so that a task that runs again finds the same ones."""
     cuts = F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 2000)
-    held = values.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.when(F.count("*") > WIDE, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    held = values.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.when(F.count("*") > WIDE, cuts).alias("cuts"))
+    coarse = F.array(*[F.get("cuts", F.lit(i - 1)) for i in range(STEP, CUTS, STEP)])
+    fine = F.array(*[F.slice("cuts", i + 1, STEP - 1) for i in range(0, CUTS, STEP)])
+    held = held.select(*keys, "n", F.when(F.col("cuts").isNotNull(), coarse).alias("coarse"), F.when(F.col("cuts").isNotNull(), fine).alias("fine"))
     held = materialize(held, "running-cuts")
 
     def with_keys(a: DataFrame, b: DataFrame, more: Sequence[str] = ()) -> DataFrame:
@@ -152,8 +158,12 @@ def running(values: DataFrame, keys: Sequence[str], with_n: bool = False) -> Dat
             on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
         return a.alias("a").join(b.alias("b"), on).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in (*keys, *more)])
 
-    part = F.size(F.filter("cuts", lambda c: c < F.col("x")))
-    parts = with_keys(values.select(*keys, "x", "cnt"), held).withColumn("part", part).drop("cuts")
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < F.col("x")))
+
+    parts = with_keys(values.select(*keys, "x", "cnt"), held).withColumn("first", below(F.col("coarse")))
+    part = F.when(F.col("coarse").isNotNull(), F.col("first") * STEP + below(F.get("fine", F.col("first")))).otherwise(0)
+    parts = parts.withColumn("part", part).drop("coarse", "fine", "first")
     sums = parts.groupBy(*keys, "part").agg(F.sum("cnt").alias("held"))
     before = sums.select(*keys, "part", (F.sum("held").over(Window.partitionBy(*keys).orderBy("part")) - F.col("held")).alias("before"))
     here = F.sum("cnt").over(Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
@@ -287,9 +297,7 @@ def gauss_check(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int =
     bins = values.join(doubtful, keys).groupBy(*keys, "n", "s", "lo", "hi", "q1", "q3", slot).agg(F.sum("cnt").alias("cnt"))
     types = {f.name: f.dataType.simpleString() for f in values.schema}
 
-    def count_modes(key: tuple, rows):
-        import pandas as pd
-
+    def count_modes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.iloc[0]
         h = bandwidth(r["n"], r["s"], r["q3"] - r["q1"])
         mid = r["lo"] + (rows["slot"].to_numpy() + 0.5) * (r["hi"] - r["lo"]) / 1024
@@ -299,9 +307,7 @@ def gauss_check(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int =
     modes = bins.groupBy(*keys).applyInPandas(count_modes, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "modes long"]))
     both = seen.join(modes, keys, "left")
 
-    def tell(parts):
-        import pandas as pd
-
+    def tell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for r in p.to_dict("records"):

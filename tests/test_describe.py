@@ -195,7 +195,8 @@ def test_cut_counts(spark, monkeypatch):
     pdf = pd.DataFrame({"g": rng.choice(["p", "q"], 5000), "x": np.round(rng.lognormal(0, 2, 5000), 2)})
     df = spark.createDataFrame(pdf)
     monkeypatch.setattr(describe, "WIDE", 50)
-    monkeypatch.setattr(describe, "CUTS", 16)
+    monkeypatch.setattr(describe, "CUTS", 32)
+    monkeypatch.setattr(describe, "STEP", 8)
     probs = (0.1, 0.25, 0.5, 0.9, 0.999)
     got = {r.g: r.q for r in describe.quantiles(df, ["x"], ["g"], probs).collect()}
     for g, q in got.items():
