@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators.describe import finite, keyed
 
 
-def smd_numeric(df: DataFrame, by: str, names: list[str], reference=None) -> DataFrame:
-    """(by, variable, smd): (m1 - m0) / sqrt((v1 + v0) / 2); the reference row is null."""
-    df = keyed(df, [by])
+def smd_numeric(df: DataFrame, by: str, names: list[str], reference=None, within: Sequence[str] = ()) -> DataFrame:
+    """(within..., by, variable, smd): (m1 - m0) / sqrt((v1 + v0) / 2); the reference row
+    is null. With modifiers in ``within``, groups are held against the reference group
+    at the same levels; where it has no rows, all are null."""
+    df = keyed(df, [*within, by])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), finite(c).alias("x")) for c in names]))
-    m = df.select(by, each.alias("c")).groupBy(by, F.col("c.variable").alias("variable")).agg(F.avg("c.x").alias("m"), F.var_samp("c.x").alias("v"))
-    return _against(m, by, reference, (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2))
+    m = df.select(*within, by, each.alias("c")).groupBy(*within, by, F.col("c.variable").alias("variable")).agg(F.avg("c.x").alias("m"), F.var_samp("c.x").alias("v"))
+    return _against(m, by, reference, (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2), within)
 
 
 def smd_binary(df: DataFrame, by: str, names: list[str], reference=None) -> DataFrame:
@@ -28,11 +32,11 @@ def smd_binary(df: DataFrame, by: str, names: list[str], reference=None) -> Data
     return _against(p, by, reference, (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2))
 
 
-def _against(m: DataFrame, by: str, reference, diff) -> DataFrame:
+def _against(m: DataFrame, by: str, reference, diff: Column, within: Sequence[str] = ()) -> DataFrame:
     if reference is None:
         reference = m.agg(F.min(by)).first()[0]
-    base = m.where(F.col(by) == F.lit(reference)).select("variable", F.col("m").alias("m0"), F.col("v").alias("v0"))
-    return m.join(base, "variable").select(by, "variable", F.when(F.col(by) != F.lit(reference), diff).alias("smd"))
+    base = m.where(F.col(by) == F.lit(reference)).select(*within, "variable", F.col("m").alias("m0"), F.col("v").alias("v0"))
+    return m.join(base, [*within, "variable"], "left").select(*within, by, "variable", F.when(F.col(by) != F.lit(reference), diff).alias("smd"))
 
 
 def smd_levels(df: DataFrame, by: str, col: str, reference=None) -> dict[object, float | None]:

@@ -345,6 +345,11 @@ def smd_numeric(spark, sf):
     return rounded(smd.smd_numeric(read(spark, sf, "lineitem"), "l_returnflag", list(LINE)))
 
 
+@query(" UNION ALL ".join(f"SELECT g.l_linestatus, l_returnflag, '{c}' AS variable, CASE WHEN l_returnflag <> 'A' THEN round((m - m0) / sqrt((v + v0) / 2), 6) END AS smd FROM (SELECT l_linestatus, l_returnflag, avg({c}) m, var_samp({c}) v FROM lineitem GROUP BY 1, 2) g LEFT JOIN (SELECT l_linestatus, avg({c}) m0, var_samp({c}) v0 FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b ON g.l_linestatus = b.l_linestatus" for c in LINE[:2]))
+def smd_within(spark, sf):
+    return rounded(smd.smd_numeric(read(spark, sf, "lineitem"), "l_returnflag", list(LINE[:2]), within=["l_linestatus"]))
+
+
 @query("WITH g AS (SELECT l_returnflag, avg((l_linestatus = 'O')::INT) m FROM lineitem GROUP BY 1) SELECT l_returnflag, 'l_linestatus' AS variable, CASE WHEN l_returnflag <> 'A' THEN round((m - m0) / sqrt((m * (1 - m) + m0 * (1 - m0)) / 2), 6) END AS smd FROM g, (SELECT m m0 FROM g WHERE l_returnflag = 'A')")
 def smd_binary(spark, sf):
     return rounded(smd.smd_binary(read(spark, sf, "lineitem"), "l_returnflag", ["l_linestatus"]))
