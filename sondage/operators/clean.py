@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,12 +69,36 @@ def retype(df: DataFrame, which=None) -> DataFrame:
     return df.withColumns({c: text[c] if kind == "string" else text[c].cast("double").cast("int") if kind == "int" else text[c].cast(kind) for c, kind in retype_plan(df, names).items()})
 
 
-def wash(df: DataFrame, clean_names: bool = True, retype_text: bool = True, drop_empty: bool = True) -> DataFrame:
-    """Blank columns go, then blank rows; text that is all numbers or flags is retyped; names become snake_case."""
+def _kept(df: DataFrame, drop_empty: bool) -> list[str]:
+    """The columns that aren't blank throughout."""
+    if not drop_empty or not df.columns:
+        return df.columns
+    types = dict(df.dtypes)
+    row = df.agg(*[F.count_if(~_blank(c, types[c] == "string")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return [c for i, c in enumerate(df.columns) if row[i]]
+
+
+def wash(df: DataFrame, clean_names: bool = True, retype_text: bool = True, drop_empty: bool = True, names_col: str | None = None) -> DataFrame:
+    """Blank columns go, then blank rows; text that is all numbers or flags is retyped;
+    names become snake_case. ``names_col`` names the rows: it comes first, as text, is
+    neither retyped nor renamed, and a row of nothing else is blank. Equal names stay
+    as they are, as rows have no order by which to number them."""
+    if names_col is not None:
+        if names_col not in df.columns:
+            raise ValueError(f"unknown column {names_col!r}")
+        key = f"__{uuid.uuid4().hex}"
+        rest = [c for c in df.columns if c != names_col]
+        label = F.col(names_col).cast("string").alias(key)
+        if drop_empty and rest:
+            types = dict(df.dtypes)
+            df = df.where(reduce(lambda a, b: a | b, [~_blank(c, types[c] == "string") for c in rest]))
+        kept = _kept(df.select(*rest), drop_empty)
+        out = df.select(label, *kept)
+        out = retype(out, kept) if retype_text and kept else out
+        return out.toDF(names_col, *(snake(kept) if clean_names else kept))
     types = dict(df.dtypes)
     if drop_empty:
-        row = df.agg(*[F.count_if(~_blank(c, types[c] == "string")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-        df = df.select(*[c for i, c in enumerate(df.columns) if row[i]])
+        df = df.select(*_kept(df, drop_empty))
         if df.columns:
             keep = F.lit(False)
             for c in df.columns:
@@ -91,7 +118,8 @@ def translate(df: DataFrame, col: str, old: Sequence, new: Sequence, default=Non
     entries wins, a missing entry gives ``default`` and null stays null."""
     table: dict[str, object] = {}
     for o, n in zip(old, new, strict=True):
-        table.setdefault(str(o), n)
+        if table.setdefault(str(o), n) != n:
+            warnings.warn(f"{o!r} has several translations; the first is taken", stacklevel=2)
     kind = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     value = F.coalesce(kind[F.col(col).cast("string")], F.lit(default))
     return df.withColumn(to or col, F.when(F.col(col).isNotNull(), value))

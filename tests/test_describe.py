@@ -209,3 +209,14 @@ def test_no_such_columns(spark):
     for f, frame_ in ((describe.numeric, spark.createDataFrame([("a",)], "t string")), (describe.categorical, spark.createDataFrame([(1,)], "n int"))):
         with pytest.raises(ValueError):
             f(frame_)
+
+
+def test_wash_with_row_names(spark):
+    df = spark.createDataFrame([(1, " 3", None, "x "), (2, None, None, " "), (3, "4", None, "y")], "Row int, `A b` string, gone string, T string")
+    out = clean.wash(df, names_col="Row")
+    assert out.columns == ["Row", "a_b", "t"] and dict(out.dtypes)["a_b"] == "int"
+    assert sorted(map(tuple, out.collect())) == [("1", 3, "x"), ("3", 4, "y")]
+    with pytest.raises(ValueError):
+        clean.wash(df, names_col="none")
+    with pytest.warns(UserWarning):
+        clean.translate(df, "T", ["x ", "x "], ["p", "q"])
