@@ -141,7 +141,7 @@ def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: floa
     loss, p = enc.loss, len(enc.names)
     cols = [f"a{i}" for i in range(p)]
     rows = df.select(key, *[F.coalesce(x, F.lit(float("nan"))).alias(c) for c, x in zip(cols, enc.cells, strict=True)]).persist()
-    start = np.array([tuple(r) for r in sample_rows(rows, [key], n=2000, seed=seed).select(*cols).collect()]).reshape(-1, p)
+    start = np.array([tuple(r) for r in sample_rows(rows, [key], most=2000, seed=seed).orderBy(key).select(*cols).collect()]).reshape(-1, p)
     y = np.zeros((p, rank))
     if len(start):
         filled = np.where(np.isnan(start), np.nan_to_num(np.nanmean(start, axis=0, keepdims=True)), start)

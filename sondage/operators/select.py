@@ -87,15 +87,20 @@ def _draw(keys: Sequence[str], seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *keys), *map(F.col, keys)]
 
 
-def sample_rows(df: DataFrame, key: Sequence[str], n: int | None = None, prop: float | None = None, seed: int = 1) -> DataFrame:
-    """Exactly ``n`` rows, or the rounded share of them, by a hash of the key: the same
-    rows however the data are partitioned. Rows are counted by the first bits of the
-    hash; all below a threshold are taken, and only the bin that holds it is ordered."""
+def sample_rows(df: DataFrame, key: Sequence[str], n: int | None = None, prop: float | None = None, seed: int = 1, most: int | None = None) -> DataFrame:
+    """Exactly ``n`` rows, or the rounded share of them, or all but ``most`` at most, by a
+    hash of the key: the same rows however the data are partitioned. Rows are counted by
+    the first bits of the hash; all below a threshold are taken, and only the bin that
+    holds it is ordered."""
     draw, *keys = _draw(key, seed)
     bin_ = F.shiftright(draw, 48).alias("bin")
     counts = sorted((r["bin"], r["n"]) for r in df.groupBy(bin_).agg(F.count("*").alias("n")).collect())
     total = sum(k for _, k in counts)
-    if n is None:
+    if most is not None:
+        if most >= total:
+            return df
+        n = most
+    elif n is None:
         if not 0 < prop <= 1:
             raise ValueError("a share lies above 0 and is 1 at most")
         n = round(prop * total)

@@ -133,7 +133,7 @@ def encode(df: DataFrame, key: str, names: Sequence[str], time: str = "cycles")
         found: dict[str, tuple[bool, list[str]]] = {a: (True, []) for a in can}
         if others and can:
             cells = [finite(o) if class_of(df.schema[o].dataType) in ("numeric", "logical") else F.col(o).cast("string") for o in others]
-            pdf = sample_rows(df.where(F.col(c).isNotNull()), [key], n=SAMPLE).select(*[x.alias(f"o{i}") for i, x in enumerate(cells)], *[p.bin.alias(f"b_{a}") for a, p in can.items()]).toPandas()
+            pdf = sample_rows(df.where(F.col(c).isNotNull()), [key], most=SAMPLE).select(*[x.alias(f"o{i}") for i, x in enumerate(cells)], *[p.bin.alias(f"b_{a}") for a, p in can.items()]).toPandas()
             table = {}
             for i, o in enumerate(others):
                 number = class_of(df.schema[o].dataType) == "numeric"
