@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import chat_format, decontaminate, html_extract, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, url_filters
+from sondage.llm import chat_format, decontaminate, html_extract, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, url_filters, word_bpe
 from sondage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The piece model of the queries and the pipeline; operators take its path as a parameter.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_MODEL = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +64,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = word_bpe.encoded(table(spark, sf_dir, "documents"), WORD_MODEL)
+    written = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    texts = word_bpe.decoded(ids.withColumn("ids_sha256", written), WORD_MODEL)
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_url_filters, op3_suffix_dedup, op4_secret_scan, op5_chat_format,
         op6_simhash, op7_decontaminate, op8_quality_classifier, op9_html_extract, op10_quality_rules,
+        op11_word_bpe,
     )
 }
 
