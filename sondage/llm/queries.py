@@ -157,10 +157,10 @@ h AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform
 x AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
   CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(CASE way WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) FROM h),
-y AS (SELECT conv_id, turn, role, text, row_number() OVER t AS i, count(*) OVER (PARTITION BY conv_id) AS n,
-  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
-  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, left(role, 1) AS r, lag(left(role, 1)) OVER t AS p FROM x
-  WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM x),
+y AS (SELECT conv_id, turn, role, text, nth, row_number() OVER t AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, left(role, 1) AS r, lag(left(role, 1)) OVER t AS p FROM w
+  WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth)),
 f AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
   p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au') AS illegal FROM y),
 s AS (

@@ -67,7 +67,7 @@ def flagged(rows: DataFrame) -> DataFrame:
     """Rows with ``fault`` (blank, duplicate, truncated or null) and ``illegal``. All windows
     use one partitioning, by conversation."""
     trimmed = F.rtrim("text", F.lit(BLANKS))
-    by_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    by_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text", "nth")
     again = Window.partitionBy("conv_id", "role", "text").orderBy(F.asc_nulls_first("turn"))
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _text("role").alias("role"), _text("text").alias("text")).repartition("conv_id")
     rows = rows.withColumn("nth", F.row_number().over(again)).withColumn("initial", F.substring("role", 1, 1))
