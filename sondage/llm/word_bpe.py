@@ -46,7 +46,7 @@ from sondage.plans.shared import shared_root
 #: Words that are compiled, and the longest of them in bytes.
 LEXICON, LONGEST = 1 << 16, 64
 #: Chunks that a task counts or remembers, the longest remembered, and bytes of text taken at once.
-REMEMBERED, LONGEST_KNOWN, PIECE = 1 << 18, 1 << 10, 1 << 22
+REMEMBERED, LONGEST_KNOWN, PIECE = 1 << 18, 1 << 10, 1 << 21
 WORD_END = "</w>"
 
 
@@ -71,12 +71,25 @@ class Model:
     touching: bytes
     special: dict[str, int]
     words: regex.Pattern
+    #: The same, and ends of lines.
+    lines: regex.Pattern
     #: The model file without its vocabulary, for characters that Python's tables don't know.
     frame: str
     known: dict[bytes, bytes] = field(default_factory=dict)
+    arrays: tuple[np.ndarray, ...] = ()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "arrays": ()}
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Pairs in order, their ranks, the id made at each rank, and the ids of bytes within and at the end of a word."""
+        if not self.arrays:
+            pairs = np.array(sorted(self.merges), np.int64)
+            found = np.array([self.merges[p] for p in pairs.tolist()], np.int64).reshape(-1, 2)
+            made = np.zeros(len(pairs), np.int64)
+            made[found[:, 0]] = found[:, 1]
+            self.arrays = (pairs, found[:, 0], made, np.array(self.inner, np.int64), np.array(self.last, np.int64))
+        return self.arrays
 
 
 def load(path: str) -> Model:
@@ -102,10 +115,11 @@ def load(path: str) -> Model:
             for a, b in zip(spelled, spelled[1:], strict=False):
                 touching[256 * a + b] = 1
     frame = json.dumps(spec | {"model": bpe | {"vocab": {}, "merges": []}, "added_tokens": []})
+    pattern = cut[0]["pattern"]["Regex"]
     merges: dict[int, tuple[int, int]] = {}
     for rank, (a, b) in enumerate(bpe["merges"]):
         merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
-    return Model(path, pieces, [vocab[c] for c in letters], [vocab[c + WORD_END] for c in letters], merges, bytes(touching), special, regex.compile(cut[0]["pattern"]["Regex"]), frame)
+    return Model(path, pieces, [vocab[c] for c in letters], [vocab[c + WORD_END] for c in letters], merges, bytes(touching), special, regex.compile(pattern), regex.compile(pattern + r"|\n"), frame)
 
 
 def merged(model: Model, word: bytes) -> list[int]:
@@ -155,6 +169,65 @@ def _merge(model: Model, ids: list[int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def merged_all(model: Model, words: Sequence[bytes]) -> list[bytes]:
+    """``merged`` of many words as the bytes of 32-bit numbers. Words of like length are
+    merged side by side, one pair of each a round."""
+    out: list[bytes] = [b""] * len(words)
+    length = np.array([len(w) for w in words], np.int64)
+    low = 0
+    for width in (4, 8, 16, 32):
+        at = np.flatnonzero((length > low) & (length <= width))
+        low = width
+        for first in range(0, len(at), 1 << 14):
+            some = at[first : first + (1 << 14)]
+            for i, ids in zip(some.tolist(), _merge_side_by_side(model, [words[i] for i in some.tolist()], width), strict=True):
+                out[i] = ids
+    for i in np.flatnonzero(length > low).tolist():
+        out[i] = np.array(merged(model, words[i]), np.int32).tobytes()
+    return out
+
+
+def _merge_side_by_side(model: Model, words: list[bytes], width: int) -> list[bytes]:
+    pairs, ranks, made, inner, last = model.tables()
+    none = np.int64(len(made))
+    length = np.array([len(w) for w in words], np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    row = np.repeat(np.arange(len(words)), length)
+    # two columns more than letters, so that what comes after the last is there to be read
+    ids = np.full((len(words), width + 2), -1, np.int64)
+    ids[row, np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)] = inner[data]
+    ids[np.arange(len(words)), length - 1] = last[data[np.cumsum(length) - 1]]
+
+    def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, ranks[at], none)
+
+    rank = np.full(ids.shape, none)
+    rank[:, :width] = rank_of(ids[:, :width], ids[:, 1 : width + 1])
+    done = np.empty_like(ids)
+    live, cols = np.arange(len(words)), np.arange(width + 1)
+    while len(live):
+        # the first of the least ranks is the leftmost
+        best = rank.argmin(1)
+        least = rank[np.arange(len(live)), best]
+        go = least < none
+        done[live[~go]] = ids[~go]
+        live, ids, rank, best, least = live[go], ids[go], rank[go], best[go], least[go]
+        each = np.arange(len(live))
+        after = cols[None] > best[:, None]
+        ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+        rank[:, :-1] = np.where(after, rank[:, 1:], rank[:, :-1])
+        ids[each, best] = made[least]
+        rank[each, best] = rank_of(ids[each, best], ids[each, best + 1])
+        has = np.flatnonzero(best > 0)
+        rank[has, best[has] - 1] = rank_of(ids[has, best[has] - 1], ids[has, best[has]])
+    kept = done >= 0
+    edge = 4 * np.r_[0, np.cumsum(kept.sum(1))]
+    flat = done[kept].astype(np.int32).tobytes()
+    return [flat[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
 class Transducer:
     """Arcs by (state, byte), sorted, each with its target and the ids it writes;
     states with the ids that end a word there, or none if no word does."""
@@ -202,13 +275,20 @@ class Transducer:
             state[live] = self.target[arc]
         ended = (state >= 0) & (length > 0)
         ended[ended] = self.ends[state[ended]] == 1
+        found = np.flatnonzero(ended)
+        if not len(found):
+            return [None] * len(words)
+        # what the arcs of each path write, then what the last state does
+        arcs, last = arcs[found], state[found]
+        inside = arcs >= 0
+        first = np.column_stack([np.where(inside, self.arc_start[arcs], 0), self.end_start[last]]).ravel()
+        size = np.column_stack([np.where(inside, self.arc_start[arcs + 1] - self.arc_start[arcs], 0), self.end_start[last + 1] - self.end_start[last]])
+        edge = 4 * np.r_[0, np.cumsum(size.sum(1))]
+        size = size.ravel()
+        ids = self.pool[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
         out: list[bytes | None] = [None] * len(words)
-        pool, starts, ends = self.pool, self.arc_start, self.end_start
-        for i in np.flatnonzero(ended).tolist():
-            path = arcs[i, : length[i]]
-            writes = path[starts[path + 1] > starts[path]]
-            s = state[i]
-            out[i] = b"".join([*(pool[starts[a] : starts[a + 1]].tobytes() for a in writes.tolist()), pool[ends[s] : ends[s + 1]].tobytes()])
+        for i, x, y in zip(found.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            out[i] = ids[x:y]
         return out
 
 
@@ -286,23 +366,55 @@ def compile_lexicon(entries: Iterable[tuple[bytes, Sequence[int]]]) -> Transduce
     )
 
 
+#: Characters met so far that Python's tables know.
+_ASSIGNED: set[str] = set()
+
+
+def _newer(text: str) -> bool:
+    """Whether a text holds a character that Python's tables don't know."""
+    fresh = set(text) - _ASSIGNED
+    if any(unicodedata.category(c) == "Cn" for c in fresh):
+        return True
+    _ASSIGNED.update(fresh)
+    return False
+
+
 def cut(model: Model, chunk: bytes) -> list[bytes | int]:
     """The words of a text without ASCII blanks, as UTF-8, and the ids of its special tokens."""
-    if chunk.isascii() and b"<" not in chunk:
-        return [w.encode() for w in model.words.findall(chunk.decode().lower())]
+    text = chunk.decode()
     out: list[bytes | int] = []
-    for piece in regex.split("(" + "|".join(map(regex.escape, model.special)) + ")", chunk.decode()) if model.special else [chunk.decode()]:
+    for piece in regex.split("(" + "|".join(map(regex.escape, model.special)) + ")", text) if model.special else [text]:
         if piece in model.special:
             out.append(model.special[piece])
-        elif piece.isascii() or not any(unicodedata.category(c) == "Cn" for c in piece):
-            # lower-casing is by character: no sigma is final
-            plain = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()
-            out += [w.encode() for w in model.words.findall(plain)]
-        else:
+        elif _newer(piece):
             out += _cut_newer(model.frame, piece)
+        else:
+            out += [w.encode() for w in model.words.findall(_plain(piece))]
     return out
 
 
+def _plain(text: str) -> str:
+    """NFC and lower case, which is by character: no sigma is final."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+
+def cut_all(model: Model, chunks: Sequence[bytes]) -> list[list[bytes | int]]:
+    """``cut`` of many chunks, which are normalised and matched as one text of lines."""
+    odd = [s.encode() for s in model.special]
+    text = b"\n".join(chunks).decode()
+    if _newer(text) or any(s in text for s in model.special):
+        return [cut(model, c) if _newer(c.decode()) or any(s in c for s in odd) else [w.encode() for w in model.words.findall(_plain(c.decode()))] for c in chunks]
+    out: list[list[bytes | int]] = []
+    here: list[bytes | int] = []
+    for w in model.lines.findall(_plain(text)):
+        if w == "\n":
+            out.append(here)
+            here = []
+        else:
+            here.append(w.encode())
+    return [*out, here] if chunks else []
+
+
 def _cut_newer(frame: str, piece: str) -> list[bytes]:
     """Words of a text with characters newer than Python's tables, by those of the public library."""
     from tokenizers import Tokenizer
@@ -314,33 +426,29 @@ def _cut_newer(frame: str, piece: str) -> list[bytes]:
 
 def ids_of(model: Model, lexicon: Transducer, chunks: list[bytes]) -> list[bytes]:
     """The ids of chunks, as the bytes of 32-bit numbers."""
-    cuts = [cut(model, c) for c in chunks]
+    cuts = cut_all(model, chunks)
     words = list(dict.fromkeys(w for ws in cuts for w in ws if isinstance(w, bytes)))
-    known: dict[bytes | int, bytes] = {}
     short = [w for w in words if len(w) <= LONGEST]
-    known.update((w, found) for w, found in zip(short, lexicon.look_up(short), strict=True) if found is not None)
-    for w in words:
-        if w not in known:
-            known[w] = np.array(merged(model, w), np.int32).tobytes()
+    known: dict[bytes | int, bytes] = {w: found for w, found in zip(short, lexicon.look_up(short), strict=True) if found is not None}
+    unseen = [w for w in words if w not in known]
+    known.update(zip(unseen, merged_all(model, unseen), strict=True))
     known.update((i, np.int32(i).tobytes()) for i in model.special.values())
     return [b"".join(map(known.__getitem__, ws)) for ws in cuts]
 
 
 def encode(model: Model, lexicon: Transducer, texts: Sequence[bytes]) -> list[np.ndarray]:
-    """Ids of UTF-8 texts. Chunks between blanks are remembered."""
+    """Ids of UTF-8 texts. Chunks between blanks are remembered, up to a number of them."""
     split = [t.split() for t in texts]
     known = model.known
-    new = list(dict.fromkeys(c for cs in split for c in cs if c not in known))
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(dict.fromkeys(c for cs in split for c in cs))
-    long: dict[bytes, bytes] = {}
+    new = list(set().union(*split).difference(known))
+    forget = [c for c in new[: max(0, REMEMBERED - len(known))] if len(c) > LONGEST_KNOWN] + new[max(0, REMEMBERED - len(known)) :]
     for at in range(0, len(new), 1 << 14):
-        some = new[at : at + (1 << 14)]
-        for c, ids in zip(some, ids_of(model, lexicon, some), strict=True):
-            (known if len(c) <= LONGEST_KNOWN else long)[c] = ids
-    get = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
-    return [np.frombuffer(b"".join(map(get, cs)), np.int32) for cs in split]
+        part = new[at : at + (1 << 14)]
+        known.update(zip(part, ids_of(model, lexicon, part), strict=True))
+    out = [np.frombuffer(b"".join(map(known.__getitem__, cs)), np.int32) for cs in split]
+    for c in forget:
+        del known[c]
+    return out
 
 
 def decode(pieces: list[str], ids: np.ndarray) -> str:
@@ -362,11 +470,15 @@ def _word_counts(model: Model):
         seen: Counter[bytes] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words: Counter[bytes] = Counter()
-            for chunk, n in seen.items():
-                for w in cut(model, chunk):
-                    if isinstance(w, bytes) and len(w) <= LONGEST:
-                        words[w] += n
+            words: dict[bytes, int] = {}
+            chunks = list(seen)
+            for at in range(0, len(chunks), 1 << 14):
+                part = chunks[at : at + (1 << 14)]
+                for c, ws in zip(part, cut_all(model, part), strict=True):
+                    n = seen[c]
+                    for w in ws:
+                        if isinstance(w, bytes) and len(w) <= LONGEST:
+                            words[w] = words.get(w, 0) + n
             seen.clear()
             rows = list(words.items())
             for at in range(0, len(rows), 10_000):

@@ -94,6 +94,7 @@ def test_merging_as_pair_by_pair(model):
             i = min(found)[1]
             ids[i : i + 2] = [model.merges[ids[i] << 32 | ids[i + 1]][1]]
         assert w.merged(model, word) == ids
+        assert np.frombuffer(w.merged_all(model, [b"x", word, word[:3]])[1], np.int32).tolist() == ids
 
 
 def check(spark, df, library, most=w.LEXICON):
