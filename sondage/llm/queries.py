@@ -66,10 +66,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = word_bpe.encoded(table(spark, sf_dir, "documents"), WORD_MODEL)
-    written = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    texts = word_bpe.decoded(ids.withColumn("ids_sha256", written), WORD_MODEL)
-    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = word_bpe.encoded(table(spark, sf_dir, "documents"), WORD_MODEL, back=True)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return ids.select("doc_id", "n_tokens", F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

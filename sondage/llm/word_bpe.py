@@ -45,8 +45,8 @@ from sondage.plans.shared import shared_root
 
 #: Words that are compiled, and the longest of them in bytes.
 LEXICON, LONGEST = 1 << 16, 64
-#: Chunks that a task counts or remembers, the longest remembered, and bytes of text taken at once.
-REMEMBERED, LONGEST_KNOWN, PIECE = 1 << 18, 1 << 10, 1 << 21
+#: Chunks that a task counts at once, those that it remembers, the longest of them, bytes of text and ids taken at once.
+COUNTED, REMEMBERED, LONGEST_KNOWN, PIECE, AT_ONCE = 1 << 18, 1 << 17, 1 << 10, 1 << 21, 1 << 19
 WORD_END = "</w>"
 
 
@@ -489,7 +489,7 @@ def _word_counts(model: Model):
             for _, _, texts in _blocks(b["bytes"]):
                 for t in texts:
                     seen.update(c for c in t.split() if len(c) <= LONGEST_KNOWN)
-                if len(seen) > REMEMBERED:
+                if len(seen) > COUNTED:
                     yield from flush()
         yield from flush()
 
@@ -529,7 +529,7 @@ def share(spark: SparkSession, lexicon: Transducer) -> str:
 _USED: dict[str, tuple[Model, Transducer]] = {}
 
 
-def _encode(model: Model, name: str):
+def _encode(model: Model, name: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _USED:
             _USED.clear()
@@ -540,17 +540,19 @@ def _encode(model: Model, name: str):
                 ids = encode(here, lexicon, texts)
                 n = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, last - first), lists, pa.array(n)], ["doc_id", "ids", "n_tokens"])
+                more = {"decoded": pa.array([decode(here.pieces, x) for x in ids], pa.string())} if back else {}
+                yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].slice(first, last - first), "ids": lists, "n_tokens": pa.array(n), **more})
 
     return run
 
 
-def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = LEXICON) -> DataFrame:
-    """(doc_id, ids, n_tokens) of each row, with a lexicon of ``df``'s own words."""
+def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = LEXICON, back: bool = False) -> DataFrame:
+    """(doc_id, ids, n_tokens) of each row, with a lexicon of ``df``'s own words; with
+    ``back`` also ``decoded``, what the ids give when they are decoded."""
     model = load(path)
     name = share(df.sparkSession, lexicon_of(df, model, most, text_col))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("bytes"))
-    return rows.mapInArrow(_encode(model, name), "doc_id long, ids array<int>, n_tokens long")
+    return rows.mapInArrow(_encode(model, name, back), "doc_id long, ids array<int>, n_tokens long" + ", decoded string" * back)
 
 
 def decoded(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -559,9 +561,14 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b[ids_col]
-            texts = pa.array([decode(pieces, np.asarray(x.values)) if x.is_valid else "" for x in lists], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, out_col])
+            sizes = np.array([len(x) if x.is_valid else 0 for x in b[ids_col]], np.int64)
+            upto, first = np.cumsum(sizes), 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] - sizes[first] + AT_ONCE, "right")))
+                some = b.slice(first, last - first)
+                texts = [decode(pieces, np.asarray(x.values)) if x.is_valid else "" for x in some[ids_col]]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
+                first = last
 
     if out_col in df.columns:
         raise ValueError(f"there is a column {out_col!r} already")

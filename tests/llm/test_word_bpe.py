@@ -97,6 +97,13 @@ def test_merging_as_pair_by_pair(model):
         assert np.frombuffer(w.merged_all(model, [b"x", word, word[:3]])[1], np.int32).tolist() == ids
 
 
+def test_ids_are_decoded_a_block_at_a_time(spark, monkeypatch, library):
+    monkeypatch.setattr(w, "AT_ONCE", 50)
+    df = spark.createDataFrame([(i, None if i == 3 else [320, i, 512] * (i % 40), "x") for i in range(200)], "doc_id long, ids array<int>, text string")
+    for r in w.decoded(df, WORD_MODEL).collect():
+        assert r.decoded == library.decode(r.ids or [], skip_special_tokens=False) and r.text == "x"
+
+
 def check(spark, df, library, most=w.LEXICON):
     rows = df.select("doc_id", "text").collect()
     ids = theirs(library, [r.text or "" for r in rows])
@@ -104,6 +111,8 @@ def check(spark, df, library, most=w.LEXICON):
     got = w.decoded(w.encoded(df, WORD_MODEL, most=most), WORD_MODEL).collect()
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == want
     assert all(r.n_tokens == len(r.ids) for r in got)
+    both = w.encoded(df, WORD_MODEL, most=most, back=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in both) == want
 
 
 def test_documents_as_the_library(spark, library):
