@@ -3,10 +3,18 @@
 Only the column factors Y are kept between passes. A pass solves each row's scores
 given Y in its task, and adds up the normal equations of every column, p matrices
 of rank + 1; so the scores are never stored or shuffled, and come from Y at the end.
+The start is the leading directions of all rows, from one more pass, which solve the
+problem already where all losses are quadratic and no cell is missing. Passes go on to
+``tol``, each from a mixture of the last ones (Anderson 1965, type II); a mixture that
+doesn't lower the objective is dropped for the plain step, so it never rises.
 
 Numbers (standardised) have quadratic loss, flags and two levels logistic loss, more
 levels multinomial loss over one column each, and counts Poisson loss if asked for.
-Each loss is divided by that of the best constant, so that columns weigh alike."""
+Each loss is divided by that of the best constant, so that columns weigh alike.
+
+``rotated`` turns the product of scores and archetypes into orthogonal dimensions: the
+R of the centred scores comes from a QR that tasks make of their rows (TSQR), and the
+singular value decomposition of R times the archetypes, rank x columns, is small."""
 
 from __future__ import annotations
 
@@ -18,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators.describe import finite
+from sondage.operators.frame import tall_r
 from sondage.operators.linalg import matrix_sum, project
-from sondage.operators.select import class_of, sample_rows
+from sondage.operators.select import class_of
 from sondage.plans.shared import materialize
 
 GRID = (0.1, 0.5, 1, 2, 5, 10, 20, 50, 100)
@@ -56,7 +65,7 @@ class Loss:
         w = np.select([self.kind == "logistic", self.kind == "multinomial", self.kind == "poisson"], [0.25, 0.5, np.maximum(np.maximum(mu, y), 0.01)], 1.0)
         return w * self.weight * seen, eta + (y - mu) / w
 
-    def total(self, a: np.ndarray, eta: np.ndarray) -> float:
+    def total(self, a: np.ndarray, eta: np.ndarray, row: np.ndarray | None = None) -> float:
         seen = ~np.isnan(a)
         y = np.where(seen, a, 0.0)
         e = np.clip(eta, -30, 30)
@@ -65,24 +74,37 @@ class Loss:
         for at in self.levels():
             top = eta[:, at].max(1, keepdims=True)
             cell[:, at] = -y[:, at] * (eta[:, at] - top - np.log(np.exp(eta[:, at] - top).sum(1, keepdims=True)))
-        return float((cell * self.weight * seen).sum())
+        cell = cell * self.weight * seen
+        return float((cell if row is None else cell * row[:, None]).sum())
 
-    def scores(self, a: np.ndarray, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 12) -> np.ndarray:
+    def scores(self, a: np.ndarray, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 40, row: np.ndarray | None = None) -> np.ndarray:
+        """The best scores of rows; ``row`` are weights of the rows."""
         k = y.shape[1]
         x = np.zeros((len(a), k))
+        squares = (y[:, :, None] * y[:, None, :]).reshape(len(y), k * k)
         for _ in range(1 if (self.kind == "quadratic").all() else steps):
             w, t = self.working(x @ y.T + offset, a)
-            left = np.einsum("np,pk,pl->nkl", w, y, y) + lam * np.eye(k)
-            x = np.linalg.solve(left, np.einsum("np,pk->nk", w * (t - offset), y)[:, :, None])[:, :, 0]
+            if row is not None:
+                w = w * row[:, None]
+            left = (w @ squares).reshape(-1, k, k) + lam * np.eye(k)
+            last, x = x, np.linalg.solve(left, ((w * (t - offset)) @ y)[:, :, None])[:, :, 0]
+            if np.abs(x - last).max(initial=0.0) <= 1e-6 * (1 + np.abs(x).max(initial=0.0)):
+                break
         return x
 
 
 @dataclass
 class Encoding:
+    """Columns of the matrix: names, the data's columns they belong to, cells and losses;
+    where a number's cell is (x - centre) / scale, and the level that a column stands for."""
+
     names: list[str]
     of: list[str]
     cells: list[Column]
     loss: Loss
+    centre: np.ndarray
+    scale: np.ndarray
+    levels: dict[str, list[str]]
 
 
 @dataclass
@@ -94,14 +116,19 @@ class Glrm:
     objective: list[float]
     lam: float
     scores: DataFrame
+    key: str
+    encoding: Encoding
+    converged: bool
 
 
 def encode(df: DataFrame, names: Sequence[str], poisson: Sequence[str] = ()) -> Encoding:
     """One pass for all numbers and flags, one small count of levels for each category."""
-    labels, of, cells, kind, block, weight, offset = [], [], [], [], [], [], []
+    labels, of, cells, kind, block, weight, offset, centre, scale = [], [], [], [], [], [], [], [], []
+    levels: dict[str, list[str]] = {}
 
-    def add(c: str, label: str, cell: Column, k: str, best: float, start: float, b: int) -> None:
+    def add(c: str, label: str, cell: Column, k: str, best: float, start: float, b: int, mid: float = 0.0, width: float = 1.0) -> None:
         labels.append(label), of.append(c), cells.append(cell), kind.append(k), block.append(b), weight.append(1 / max(best, 1e-12)), offset.append(start)  # noqa: B018
+        centre.append(mid), scale.append(width)  # noqa: B018
 
     numbers = [c for c in names if class_of(df.schema[c].dataType) in ("numeric", "logical")]
     aggs = [F.struct(F.avg(finite(c)).alias("m"), F.stddev_pop(finite(c)).alias("s"), F.avg(F.when(finite(c) > 0, finite(c) * F.log(finite(c))).otherwise(F.when(finite(c) == 0, 0.0))).alias("e"), F.min(finite(c)).alias("lo")).alias(f"c{i}") for i, c in enumerate(numbers)]
@@ -119,12 +146,13 @@ def encode(df: DataFrame, names: Sequence[str], poisson: Sequence[str] = ()) ->
                 p = min(max(m, 1e-6), 1 - 1e-6)
                 add(c, c, finite(c), "logistic", -(p * np.log(p) + (1 - p) * np.log(1 - p)), float(np.log(p / (1 - p))), b)
             else:
-                add(c, c, (finite(c) - F.lit(m)) / F.lit(s or 1.0), "quadratic", 0.5, 0.0, b)
+                add(c, c, (finite(c) - F.lit(m)) / F.lit(s or 1.0), "quadratic", 0.5, 0.0, b, m, s or 1.0)
             continue
         text = F.col(c).cast("string")
         rows = df.select(text.alias("l")).where("l is not null").groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(MOST_LEVELS + 1).collect()
         if not 2 <= len(rows) <= MOST_LEVELS:
             raise ValueError(f"{c} must have 2 to {MOST_LEVELS} levels")
+        levels[c] = [r.l for r in rows]
         share = np.array([r.n for r in rows], float) / sum(r.n for r in rows)
         best = float(-(share * np.log(share)).sum())
         if len(rows) == 2:
@@ -132,62 +160,191 @@ def encode(df: DataFrame, names: Sequence[str], poisson: Sequence[str] = ()) ->
             continue
         for r, p in zip(rows, share, strict=True):
             add(c, f"{c}={r.l}", (text == F.lit(r.l)).cast("double"), "multinomial", best, float(np.log(p)), b)
-    return Encoding(labels, of, cells, Loss(np.array(kind), np.array(block), np.array(weight), np.array(offset)))
+    return Encoding(labels, of, cells, Loss(np.array(kind), np.array(block), np.array(weight), np.array(offset)), np.array(centre), np.array(scale), levels)
+
+
+class Mixer:
+    """Anderson mixing of a fixed-point map: of the last points and what the map makes of
+    them, the combination whose steps cancel best."""
+
+    def __init__(self, depth: int = 6) -> None:
+        self.depth, self.points, self.images = depth, [], []
+
+    def next(self, point: np.ndarray, image: np.ndarray) -> np.ndarray:
+        self.points, self.images = [*self.points[-self.depth :], point], [*self.images[-self.depth :], image]
+        if len(self.points) < 2:
+            return image
+        steps = np.array(self.images) - np.array(self.points)
+        change = np.diff(steps, axis=0).T
+        gram = change.T @ change
+        coef = np.linalg.lstsq(gram + 1e-10 * np.trace(gram) * np.eye(len(gram)), change.T @ steps[-1], rcond=None)[0]
+        return image - np.diff(np.array(self.images), axis=0).T @ coef
+
+    def forget(self) -> None:
+        self.points, self.images = [], []
 
 
-def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: float = 1.0, maxit: int = 50, tol: float = 1e-7, seed: int = 1, poisson: Sequence[str] = (), encoding: Encoding | None = None) -> Glrm:
-    """Scores of rows and archetypes of columns. ``lam`` penalises both."""
+def _start(rows: DataFrame, cols: Sequence[str], loss: Loss, rank: int, lam: float) -> np.ndarray:
+    """Leading directions of all rows, with missing cells at the column's centre."""
+    centre = loss.means(loss.offset[None].copy())[0]
+
+    def sums(a: np.ndarray) -> np.ndarray:
+        d = np.where(np.isnan(a), 0.0, a - centre)
+        return d.T @ d
+
+    gram = matrix_sum(rows, cols, sums)
+    y = np.zeros((len(cols), rank))
+    if gram is None:
+        return y
+    wide = np.where(gram.diagonal() > 0, np.sqrt(np.maximum(gram.diagonal(), 1e-300)), 1.0)
+    # quadratic columns have one scale already; others are brought to it
+    n = np.median(gram.diagonal()[loss.kind == "quadratic"]) if (loss.kind == "quadratic").any() else 1.0
+    to = np.where(loss.kind == "quadratic", 1.0, np.sqrt(max(n, 1e-300)) / wide)
+    values, vectors = np.linalg.eigh(gram * np.outer(to, to))
+    top = np.argsort(-values)[:rank]
+    v = vectors[:, top]
+    v = v * np.where(v[np.abs(np.round(v, 12)).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+    d = np.sqrt(np.maximum(values[top], 0))
+    y[:, : len(top)] = v * np.sqrt(np.maximum(d - lam / 2, 1e-3 * d))
+    return y
+
+
+def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: float = 1.0, maxit: int = 300, tol: float = 1e-7, poisson: Sequence[str] = (), encoding: Encoding | None = None, weights: str | None = None) -> Glrm:
+    """Scores of rows and archetypes of columns. ``lam`` penalises both; ``weights`` names
+    a column by which rows weigh, none of it missing or negative."""
     enc = encoding or encode(df, names, poisson)
     loss, p = enc.loss, len(enc.names)
+    if not 1 <= rank < p:
+        raise ValueError(f"the rank is {rank} and there are {p} encoded columns; it must be below that")
     cols = [f"a{i}" for i in range(p)]
-    rows = df.select(key, *[F.coalesce(x, F.lit(float("nan"))).alias(c) for c, x in zip(cols, enc.cells, strict=True)]).persist()
-    start = np.array([tuple(r) for r in sample_rows(rows, [key], most=2000, seed=seed).orderBy(key).select(*cols).collect()]).reshape(-1, p)
-    y = np.zeros((p, rank))
-    if len(start):
-        filled = np.where(np.isnan(start), np.nan_to_num(np.nanmean(start, axis=0, keepdims=True)), start)
-        filled = (filled - filled.mean(0)) / np.maximum(filled.std(0), 1e-9)
-        top = np.linalg.svd(filled, full_matrices=False)[2][:rank].T
-        y[:, : top.shape[1]] = top
-    offset = loss.offset.copy()
+    more = []
+    if weights is not None:
+        bad = df.where(F.col(weights).isNull() | ~(F.col(weights).cast("double") >= 0) | (F.col(weights).cast("double") == float("inf")))
+        if not bad.isEmpty():
+            raise ValueError("a weight is missing, negative or infinite")
+        more = [F.col(weights).cast("double").alias("w")]
+    rows = materialize(df.select(key, *[F.coalesce(x, F.lit(float("nan"))).alias(c) for c, x in zip(cols, enc.cells, strict=True)], *more), "glrm-cells")
+    k1, weigh = rank + 1, ["w"] if more else []
+    weighted = bool(weigh)
+
+    def passed(y: np.ndarray, offset: np.ndarray) -> tuple[float, np.ndarray]:
+        """The objective at (y, offset), and where a plain step leads."""
+
+        def sums(cells: np.ndarray) -> np.ndarray:
+            a, row = cells[:, :p], cells[:, p] if weighted else None
+            x = loss.scores(a, y, offset, lam, row=row)
+            eta = x @ y.T + offset
+            w, t = loss.working(eta, a)
+            if row is not None:
+                w = w * row[:, None]
+            z = np.column_stack([x, np.ones(len(x))])
+            left = w.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), k1 * k1)
+            cost = np.zeros((p, 1))
+            cost[0] = loss.total(a, eta, row) + lam / 2 * (x**2).sum()
+            return np.column_stack([left, (w * t).T @ z, cost])
+
+        got = matrix_sum(rows, [*cols, *weigh], sums)
+        if got is None:
+            return 0.0, np.column_stack([y, offset])
+        left, right = got[:, : k1 * k1].reshape(p, k1, k1), got[:, k1 * k1 : -1]
+        new = np.linalg.solve(left + lam * np.diag([1.0] * rank + [1e-9]), right[:, :, None])[:, :, 0]
+        return float(got[0, -1] + lam / 2 * (y**2).sum()), new
+
+    here = np.column_stack([_start(rows, cols, loss, rank, lam), loss.offset])
     trace: list[float] = []
-    try:
-        for _ in range(maxit):
-
-            def sums(a: np.ndarray, y: np.ndarray = y, offset: np.ndarray = offset) -> np.ndarray:
-                x = loss.scores(a, y, offset, lam)
-                eta = x @ y.T + offset
-                w, t = loss.working(eta, a)
-                z = np.column_stack([x, np.ones(len(x))])
-                left = np.einsum("np,nk,nl->pkl", w, z, z).reshape(p, -1)
-                right = np.einsum("np,nk->pk", w * t, z)
-                cost = np.zeros((p, 1))
-                cost[0] = loss.total(a, eta) + lam / 2 * (x**2).sum()
-                return np.column_stack([left, right, cost])
-
-            got = matrix_sum(rows, cols, sums)
-            k1 = rank + 1
-            left, right, cost = got[:, : k1 * k1].reshape(p, k1, k1), got[:, k1 * k1 : -1], got[0, -1] + lam / 2 * float((y**2).sum())
-            trace.append(cost)
-            if len(trace) > 1 and trace[-2] - cost <= tol * abs(trace[-2]):
+    best, plain, mixer, converged, mixed = here, here, Mixer(), False, False
+    for _ in range(maxit):
+        cost, image = passed(here[:, :rank], here[:, rank])
+        if trace and not cost <= trace[-1]:
+            if not mixed:
+                # no plain step from the last good point lowers it any more
+                converged = True
                 break
-            new = np.linalg.solve(left + lam * np.diag([1.0] * rank + [1e-9]), right[:, :, None])[:, :, 0]
-            y, offset = new[:, :rank], new[:, rank]
-        out = project(rows, key, cols, lambda a: loss.scores(a, y, offset, lam), [f"dim{i + 1}" for i in range(rank)])
-        return Glrm(y, offset, loss.kind.tolist(), enc.names, trace, lam, materialize(out, "glrm"))
-    finally:
-        rows.unpersist()
+            # the mixture went too far: on from the last good point by a plain step
+            mixer.forget()
+            here, mixed = plain, False
+            continue
+        best, plain = here, image
+        trace.append(cost)
+        if len(trace) > 1 and trace[-2] - cost <= tol * max(1.0, abs(cost)):
+            converged = True
+            break
+        here = mixer.next(here.ravel(), image.ravel()).reshape(image.shape)
+        mixed = len(mixer.points) > 1
+    y, offset = best[:, :rank], best[:, rank]
+    out = project(rows, key, [*cols, *weigh], lambda a: loss.scores(a[:, :p], y, offset, lam, row=a[:, p] if weighted else None), [f"dim{i + 1}" for i in range(rank)])
+    return Glrm(y, offset, loss.kind.tolist(), enc.names, trace, lam, materialize(out, "glrm"), key, enc, converged)
+
+
+@dataclass
+class Rotation:
+    """The centred product of scores and archetypes as orthogonal dimensions: the means
+    of the scores, singular values, loadings by encoded column, and how many of the
+    fitted dimensions carry variation."""
+
+    mean: np.ndarray
+    values: np.ndarray
+    vectors: np.ndarray
+    fitted: int
+
+    @property
+    def kept(self) -> int:
+        return len(self.values)
+
+
+def rotated(m: Glrm) -> Rotation:
+    """A singular value at or below the root of the machine's precision times the first
+    is zero to rounding, and its direction arbitrary, so it is left out."""
+    rank = m.archetypes.shape[1]
+    dims = [f"dim{i + 1}" for i in range(rank)]
+    row = m.scores.agg(*[F.avg(c) for c in dims]).first()
+    mean = np.array([x or 0.0 for x in row])
+    r = tall_r(m.scores.select(*[(F.col(c) - F.lit(float(x))).alias(c) for c, x in zip(dims, mean, strict=True)]), dims)
+    _, d, vt = np.linalg.svd(r @ m.archetypes.T, full_matrices=False)
+    k = max(1, int((d[:rank] > np.sqrt(np.finfo(float).eps) * max(d.max(initial=0.0), 0.0)).sum()))
+    v = vt[:k].T
+    top = np.abs(np.round(v, 12)).argmax(0)
+    return Rotation(mean, d[:k], v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0), rank)
+
+
+def fitted(m: Glrm) -> DataFrame:
+    """(key, columns...): what the model says of every cell, on the columns' own scales;
+    a category is its likeliest level."""
+    enc, loss, rank = m.encoding, m.encoding.loss, m.archetypes.shape[1]
+    own = list(dict.fromkeys(enc.of))
+    at = {c: [i for i, o in enumerate(enc.of) if o == c] for c in own}
+    y, offset, scale, centre = m.archetypes, m.offset, enc.scale, enc.centre
+
+    def values(x: np.ndarray) -> np.ndarray:
+        mu = loss.means(x @ y.T + offset)
+        out = []
+        for c in own:
+            i = at[c][0]
+            kind = loss.kind[i]
+            out.append(mu[:, at[c]].argmax(1) if kind == "multinomial" else (mu[:, i] > 0.5) * 1.0 if kind == "logistic" else mu[:, i] * scale[i] + centre[i])
+        return np.column_stack(out)
+
+    found = project(m.scores, m.key, [f"dim{i + 1}" for i in range(rank)], values, [f"c{i}" for i in range(len(own))])
+
+    def shown(i: int, c: str) -> Column:
+        x = F.col(f"c{i}")
+        if c in enc.levels:
+            return F.element_at(F.array(*[F.lit(v) for v in enc.levels[c]]), x.cast("int") + 1)
+        return x > 0.5 if loss.kind[at[c][0]] == "logistic" else x
+
+    return found.select(m.key, *[shown(i, c).alias(c) for i, c in enumerate(own)])
 
 
-def choose_lambda(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, held: float = 0.1, seed: int = 1, poisson: Sequence[str] = ()) -> float:
+def choose_lambda(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, held: float = 0.1, seed: int = 1, poisson: Sequence[str] = (), maxit: int = 300, tol: float = 1e-5) -> float:
     """The penalty with the least loss on held-out cells, from large to small; stops after two worse."""
     hide = lambda c: F.pmod(F.xxhash64(key, F.lit(c), F.lit(seed)), F.lit(1000)) < int(1000 * held)
     enc = encode(df, names, poisson)
     loss, p = enc.loss, len(enc.names)
-    parts = [Encoding(enc.names, enc.of, [F.when(~hide(c) if open_ else hide(c), x) for c, x in zip(enc.of, enc.cells, strict=True)], enc.loss) for open_ in (True, False)]
+    parts = [Encoding(enc.names, enc.of, [F.when(~hide(c) if open_ else hide(c), x) for c, x in zip(enc.of, enc.cells, strict=True)], enc.loss, enc.centre, enc.scale, enc.levels) for open_ in (True, False)]
     both = df.select(*[F.coalesce(x, F.lit(float("nan"))).alias(f"b{i}") for i, x in enumerate([*parts[0].cells, *parts[1].cells])])
     best, pick, worse = np.inf, GRID[-1], 0
     for lam in reversed(GRID):
-        m = glrm(df, key, names, rank, lam, maxit=15, seed=seed, encoding=parts[0])
+        m = glrm(df, key, names, rank, lam, maxit, tol, encoding=parts[0])
 
         def error(a: np.ndarray, y: np.ndarray = m.archetypes, off: np.ndarray = m.offset, lam: float = lam) -> np.ndarray:
             eta = loss.scores(a[:, :p], y, off, lam) @ y.T + off

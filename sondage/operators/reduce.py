@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from sondage.operators.counts import missing
 from sondage.operators.describe import finite
+from sondage.operators.glrm import Glrm, rotated
+from sondage.operators.glrm import glrm as low_rank
 from sondage.operators.linalg import matrix_sum, project
 from sondage.operators.select import class_of
 from sondage.operators.timecode import encode as encode_time
@@ -32,6 +34,17 @@ class Reduction:
     contrib: pd.DataFrame
     vectors: np.ndarray
     n: int
+    #: Of a low-rank model: the model, and the dimensions that were fitted, of which ``eig`` has those that carry variation.
+    fit: Glrm | None = None
+    fitted: int | None = None
+
+    @property
+    def note(self) -> str:
+        """Which of the fitted dimensions carry no variation."""
+        if self.fitted is None or len(self.eig) == self.fitted:
+            return ""
+        first, last = len(self.eig) + 1, self.fitted
+        return f"dimension {first} of {last} carries no variation" if first == last else f"dimensions {first} to {last} carry no variation"
 
 
 def encode(df: DataFrame, key: str, names: Sequence[str]) -> tuple[DataFrame, list[tuple[str, str | None]]]:
@@ -62,9 +75,14 @@ def encode(df: DataFrame, key: str, names: Sequence[str]) -> tuple[DataFrame, li
     return df.select(key, *[x.alias(f"z{i}") for i, x in enumerate(cells)]), what
 
 
-def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: str = "cycles") -> Reduction:
-    """pca, mca or famd by the classes of the columns. A dimension's sign makes its largest
-    loading positive. Time columns become numbers as ``timecode.encode`` says."""
+def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: str = "cycles", method: str = "famd", **fit) -> Reduction:
+    """pca, mca or famd by the classes of the columns, or the rotation of a low-rank model
+    (``method="glrm"``, with the model's own arguments). A dimension's sign makes its
+    largest loading positive. Time columns become numbers as ``timecode.encode`` says."""
+    if method == "glrm":
+        return reduce_glrm(df, key, names, ndim, time, **fit)
+    if method != "famd" or fit:
+        raise ValueError(f"the method is famd or glrm, and only glrm takes {sorted(fit)}" if fit else f"the method is famd or glrm, not {method!r}")
     coded = encode_time(df, key, names, time)
     df, names = coded.df, coded.names
     kinds = {class_of(df.schema[c].dataType) for c in names}
@@ -99,6 +117,36 @@ def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: s
     return Reduction(method, eig, coords, pd.DataFrame(rows, columns=["variable", "dim", "sqload"]), vectors, n)
 
 
+def reduce_glrm(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: str = "cycles", **fit) -> Reduction:
+    """A low-rank model's product of scores and archetypes, rotated to orthogonal
+    dimensions; it and what it reconstructs stay the same. ``pct_var`` is a dimension's
+    share of the variation of the numeric columns (quadratic and Poisson losses),
+    ``pct_categorical`` its share of what was fitted to categories, which have no scale
+    in common with their indicators. Loadings' squares sum to one a dimension."""
+    coded = encode_time(df, key, names, time)
+    m = low_rank(coded.df, key, coded.names, rank=ndim, **fit)
+    turn = rotated(m)
+    enc, k = m.encoding, turn.kept
+    number = np.isin(enc.loss.kind, ["quadratic", "poisson"])
+    cells = [F.coalesce(c, F.lit(0.0)) for c, is_number in zip(enc.cells, number, strict=True) if is_number]
+    row = coded.df.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cells)]).first()
+    n, size = row["n"], turn.values**2
+
+    def part(of: np.ndarray) -> np.ndarray:
+        return size * (turn.vectors[of] ** 2).sum(0) if of.any() else np.full(k, np.nan)
+
+    total = n * sum(row[i + 1] or 0.0 for i in range(len(cells)))
+    pct, categories = 100 * part(number) / max(total, np.finfo(float).eps), part(~number)
+    share = 100 * categories / max(np.nansum(categories), np.finfo(float).eps)
+    eig = pd.DataFrame({"dim": np.arange(1, k + 1), "eigenvalue": size, "pct_var": pct, "cum_pct_var": np.cumsum(pct), "pct_categorical": share, "cum_pct_categorical": np.cumsum(share)})
+    squares = turn.vectors**2
+    rows = [(c, d + 1, float(squares[[i for i, o in enumerate(enc.of) if o == c], d].sum())) for d in range(k) for c in dict.fromkeys(enc.of)]
+    to = m.archetypes.T @ turn.vectors
+    dims = [f"dim{i + 1}" for i in range(m.archetypes.shape[1])]
+    coords = project(m.scores, key, dims, lambda x: (x - turn.mean) @ to, [f"dim{i + 1}" for i in range(k)])
+    return Reduction("glrm", eig, coords, pd.DataFrame(rows, columns=["variable", "dim", "sqload"]), turn.vectors, n, m, turn.fitted)
+
+
 def na_markers(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """present/missing markers of partly missing columns."""
     row = df.agg(F.count("*").alias("n"), *[F.count_if(missing(df, c)).alias(f"c{i}") for i, c in enumerate(names)]).first()

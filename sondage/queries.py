@@ -531,14 +531,29 @@ def iforest(spark, sf):
 @query()
 def glrm(spark, sf):
     df = read(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), *LINE, (F.col("l_linestatus") == "O").alias("open"))
-    return low_rank.glrm(df, "id", [*LINE, "open"], maxit=15).scores
+    return low_rank.glrm(df, "id", [*LINE, "open"]).scores
 
 
 @query()
 def glrm_mixed(spark, sf):
     """Poisson, multinomial and quadratic losses together."""
     df = read(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
-    return low_rank.glrm(df, "id", ["l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"], maxit=10, poisson=["l_linenumber"]).scores
+    return low_rank.glrm(df, "id", ["l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"], poisson=["l_linenumber"]).scores
+
+
+@query("SELECT 1::BIGINT AS dim, round((sqrt(n * (1 + abs(r))) - 0.5) ** 2 / n, 5) AS per_row, round(100 * (sqrt(n * (1 + abs(r))) - 0.5) ** 2 / (2 * n), 4) AS pct_var FROM (SELECT corr(l_quantity, l_extendedprice) r, count(*) n FROM lineitem)")
+def glrm_reduce(spark, sf):
+    """Of two standardised columns, penalised by 1, the fitted singular value is that of the data less 1/2."""
+    df = read(spark, sf, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber"))
+    got = reduce.reduce(df, "id", ["l_quantity", "l_extendedprice"], 1, method="glrm")
+    out = spark.createDataFrame(got.eig.assign(per_row=got.eig.eigenvalue / got.n)[["dim", "per_row", "pct_var"]])
+    return out.select("dim", F.round("per_row", 5).alias("per_row"), F.round("pct_var", 4).alias("pct_var"))
+
+
+@query()
+def glrm_reduce_mixed(spark, sf):
+    got = reduce.reduce(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice", "p_type"], 3, method="glrm")
+    return spark.createDataFrame(got.eig)
 
 
 @query("SELECT o_orderkey, round(epoch_us(o_orderdate) / 86400e6 - min(epoch_us(o_orderdate) / 86400e6) OVER (), 6) AS o_orderdate_elapsed FROM orders")

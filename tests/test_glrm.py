@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sondage.operators.glrm import choose_lambda, glrm
+from sondage.operators.glrm import choose_lambda, encode, fitted, glrm, rotated
+from sondage.operators.reduce import reduce
 
 
 def planted(spark, n=600):
@@ -43,3 +45,69 @@ def test_partitions_and_bad_columns(spark):
     with pytest.raises(ValueError):
         glrm(df, "id", ["x", "y"], 1, poisson=["x"])
     assert choose_lambda(df, "id", names, 1, poisson=["visits"]) < 50
+
+
+def coordinates(red):
+    return red.coords.toPandas().set_index("id").sort_index()
+
+
+def test_rotation_of_quadratic_losses_is_the_reduction(spark):
+    df, _ = planted(spark)
+    df = df.dropna().select("id", "x", "y", "visits", (df.x * df.visits + df.id % 7).alias("w"))
+    names = ["x", "y", "visits", "w"]
+    a = reduce(df, "id", names, 3)
+    b = reduce(df, "id", names, 3, method="glrm", lam=1e-9, tol=1e-14)
+    assert np.allclose(coordinates(a), coordinates(b), atol=1e-6)
+    assert np.allclose(a.eig.eigenvalue * a.n, b.eig.eigenvalue, rtol=1e-6) and np.allclose(a.eig.pct_var, b.eig.pct_var, rtol=1e-6)
+    assert np.allclose(np.abs(a.vectors), np.abs(b.vectors), atol=1e-6) and b.eig.pct_categorical.isna().all()
+    assert np.allclose(b.contrib.groupby("dim").sqload.sum(), 1)
+
+
+def test_rotation_keeps_the_product(spark):
+    df, _ = planted(spark)
+    names = ["x", "y", "flag", "visits", "kind"]
+    m = glrm(df, "id", names, 3, poisson=["visits"])
+    assert m.converged
+    turn = rotated(m)
+    x = m.scores.toPandas().set_index("id").sort_index().to_numpy()
+    whole = (x - x.mean(0)) @ m.archetypes.T
+    assert np.allclose(turn.values, np.linalg.svd(whole, compute_uv=False)[: turn.kept], rtol=1e-6)
+    red = reduce(df, "id", names, 3, method="glrm", poisson=["visits"])
+    assert np.allclose(coordinates(red).to_numpy() @ red.vectors.T, whole, atol=1e-6)
+    dims = coordinates(red).to_numpy()
+    assert np.allclose(dims.T @ dims, np.diag(red.eig.eigenvalue), atol=1e-6 * red.eig.eigenvalue.max())
+    assert abs(red.eig.pct_categorical.sum() - 100) < 1e-6 and red.eig.pct_var.sum() <= 100
+    assert set(red.contrib.variable) == set(names) and red.fitted == 3
+
+
+def test_shrunk_dimensions_are_left_out(spark):
+    df, _ = planted(spark)
+    red = reduce(df, "id", ["x", "y", "visits"], 2, method="glrm", lam=60.0, tol=1e-12, maxit=300)
+    assert len(red.eig) == 1 and red.note == "dimension 2 of 2 carries no variation"
+    with pytest.raises(ValueError):
+        reduce(df, "id", ["x", "y"], 2, method="glrm")
+    with pytest.raises(ValueError):
+        reduce(df, "id", ["x", "y"], 2, lam=1.0)
+
+
+def test_weights_are_repeated_rows(spark):
+    df, _ = planted(spark, 120)
+    df = df.where("id <> 5").withColumn("times", (df.id % 3).cast("int"))
+    names = ["x", "y", "visits"]
+    enc = encode(df, names)
+    a = glrm(df, "id", names, 1, lam=1e-8, weights="times", encoding=enc, tol=1e-14)
+    copies = df.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    b = glrm(copies, "id", names, 1, lam=1e-8, encoding=enc, tol=1e-14)
+    u, v = a.archetypes[:, 0], b.archetypes[:, 0]
+    assert abs(u @ v) / np.linalg.norm(u) / np.linalg.norm(v) > 1 - 1e-8
+    with pytest.raises(ValueError):
+        glrm(df.withColumn("bad", F.lit(-1.0)), "id", names, 1, weights="bad")
+
+
+def test_fitted_values_are_on_the_columns_scales(spark):
+    df, f = planted(spark)
+    got = fitted(glrm(df, "id", ["x", "y", "flag", "visits", "kind"], 2, poisson=["visits"])).toPandas().set_index("id")
+    want = df.toPandas().set_index("id").drop(5)
+    got = got.loc[want.index]
+    assert np.corrcoef(got.x, want.x)[0, 1] > 0.9 and abs(got.x.mean() - want.x.mean()) < 0.05
+    assert (got.flag == want.flag).mean() > 0.7 and (got.kind == want.kind).mean() > 0.6 and got.visits.min() > 0
