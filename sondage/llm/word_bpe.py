@@ -2,8 +2,8 @@
 
 A text is split at special tokens, brought to NFC, lower-cased and cut into words,
 which the model's merges turn into ids. Nearly all words of a corpus are frequent ones,
-so all words are counted first, the ``LEXICON`` most frequent are merged once, and
-compiled into a transducer over their bytes: states with the same continuations are
+so all words are counted first, the most frequent, at most ``LEXICON``, are merged once,
+and compiled into a transducer over their bytes: states with the same continuations are
 one (its suffixes are shared), and ids are written on the earliest arc that settles
 them. The transducer is one file that executors fetch and map into memory, so all
 workers of a machine share its pages. A block of words walks through it side by side,
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.llm.common import buffers, text_of
-from sondage.plans.shared import shared_root
+from sondage.plans.shared import materialize, shared_root
 
 #: Words that are compiled, and the longest of them in bytes.
 LEXICON, LONGEST = 1 << 16, 64
@@ -503,9 +503,18 @@ def word_counts(df: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
 
 def lexicon_of(df: DataFrame, model: Model, most: int = LEXICON, text_col: str = "text") -> Transducer:
-    """The ``most`` most frequent words that stand twice or more, compiled. What comes to
-    the driver is bounded by ``most`` and ``LONGEST``."""
-    words = word_counts(df, model, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    """The most frequent words that stand twice or more, compiled: as many classes of
+    counts, eight a doubling, as hold at most ``most`` words. What comes to the driver is
+    bounded by ``most`` and ``LONGEST``."""
+    class_ = F.floor(F.log2("n") * 8).alias("class")
+    counts = materialize(word_counts(df, model, text_col).where("n > 1").select("word", class_), "words")
+    held, least = 0, None
+    for r in counts.groupBy("class").agg(F.count("*").alias("k")).orderBy(F.desc("class")).collect():
+        held += r.k
+        if held > most:
+            break
+        least = r["class"]
+    words = counts.where(F.col("class") >= F.lit(least)).select("word").collect() if least is not None else []
     return compile_lexicon((bytes(r.word), merged(model, bytes(r.word))) for r in words)
 
 
