@@ -4,23 +4,30 @@ Reconstruction: principal components fitted to the most regular rows; the score
 is the squared distance from their span, judged against ``B`` data sets of all n
 rows simulated from the fitted structure: blocks of them are drawn in the tasks,
 keyed by block, and meet the scores in ranges of the score, where they are sorted
-and counted. Noise scale and covariance come from all rows. Isolation forest: trees grown on the driver from bounded hashed
-samples, scores in the tasks."""
+and counted. Noise scale and covariance come from all rows, cuts and medians from
+histograms that are refined pass by pass. The tails of residuals are held against those
+of the simulated sets, blocks of at most ``BLOCK`` rows at a time: of up to one block
+that is the ratio of two percentiles of all rows, of more the mean over blocks, for real
+rows (dealt at random) and simulated ones alike. Isolation forest: trees grown on the
+driver from bounded hashed samples, scores in the tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.operators.cluster import bh
 from sondage.operators.describe import finite, quantiles
-from sondage.operators.linalg import matrix_sum, project
-from sondage.operators.select import class_of, sample_rows
+from sondage.operators.linalg import interpolated, matrix_sum, order_statistics, project, quantile_of
+from sondage.operators.parallel import Parallel, dealt, parallel_analysis
+from sondage.operators.select import class_of
 from sondage.plans.shared import materialize
 
 SAMPLE, MOST_LEVELS = 20_000, 200
@@ -28,9 +35,8 @@ SAMPLE, MOST_LEVELS = 20_000, 200
 BLOCK, RANGE = 1 << 15, 1 << 18
 
 
-def _gram(z: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    got = matrix_sum(z, cols, lambda x: np.vstack([x.T @ x, np.full((1, x.shape[1]), len(x))]))
-    return got[:-1] / got[-1, 0]
+#: What a scan says where residuals' tails are heavier than those it simulates.
+HEAVY_TAILS = "residuals have heavier tails than the reference (p = {:.3g}): flagged rows are rows to look at, not findings"
 
 
 def _span(gram: np.ndarray, rank: int) -> np.ndarray:
@@ -38,119 +44,230 @@ def _span(gram: np.ndarray, rank: int) -> np.ndarray:
     return v[:, np.argsort(-w)[:rank]]
 
 
-def rank_of(x: np.ndarray, B: int = 30, q: float = 0.95, seed: int = 1) -> int:
-    """Horn's parallel analysis: components above those of permuted columns."""
-    rng = np.random.default_rng(seed)
-    null = [np.sort(np.linalg.eigvalsh(np.corrcoef(np.column_stack([rng.permutation(c) for c in x.T]).T)))[::-1] for _ in range(B)]
-    return _above(np.corrcoef(x.T), null, q)
-
-
-def _above(corr: np.ndarray, null: list[np.ndarray], q: float) -> int:
-    real = np.sort(np.linalg.eigvalsh(corr))[::-1]
-    above = real > np.quantile(null, q, axis=0)
-    k = int(np.argmin(above)) if not above.all() else len(real)
-    return min(max(1, k), len(real) - 1)
-
-
-def rank_of_many(corr: np.ndarray, n: int, B: int = 30, q: float = 0.95, seed: int = 1) -> int:
-    """The same from the correlations of all ``n`` rows: over permutations a correlation
-    has mean 0 and variance 1/(n - 1), and is normal in the limit."""
-    rng = np.random.default_rng(seed)
-    null = []
-    for _ in range(B):
-        e = np.triu(rng.normal(0, (n - 1) ** -0.5, corr.shape), 1)
-        null.append(np.sort(np.linalg.eigvalsh(e + e.T + np.eye(len(corr))))[::-1])
-    return _above(corr, null, q)
-
-
-def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None, trim: float = 0.25, B: int = 39, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """(key, score, driver, p, p_adj, flag) of complete rows, most anomalous first to sort by ``score``."""
+def tail_of(r: np.ndarray, k: int, trim: float) -> float:
+    """How heavy the tails of residuals are: the 99th over the 75th percentile of their
+    sizes, each column centred and scaled robustly, over the rows that fit best."""
+    s = (r**2).sum(1)
+    r = r[np.argsort(s, kind="stable")[: max(k + 2, int(len(r) * (1 - trim)))]]
+    mid = np.median(r, 0)
+    wide = 1.4826 * np.median(np.abs(r - mid), 0)
+    hi, lo = np.quantile(np.abs(r - mid) / np.where(wide > 0, wide, 1.0), [0.99, 0.75])
+    return float(hi / lo) if lo > 0 else float("inf")
+
+
+@dataclass
+class Structure:
+    """What is simulated: directions, the variance along them, the columns' noise, and
+    the factor that brings simulated scores to the level of the real ones."""
+
+    n: int
+    v: np.ndarray
+    common: np.ndarray
+    scale: np.ndarray
+    trim: float
+    seed: int
+    #: Rows that one generator draws.
+    block: int
+    ratio: float = 1.0
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.n // self.block)
+
+    def residuals(self, a: np.ndarray) -> np.ndarray:
+        return a - a @ self.v @ self.v.T
+
+    def drawn(self, rep: int, block: int) -> np.ndarray:
+        """Residuals of one block of the simulated data set ``rep``."""
+        rows, (p, k) = min(self.block, self.n - block * self.block), self.v.shape
+        rng = np.random.default_rng([self.seed, rep, block])
+        y = rng.multivariate_normal(np.zeros(k), self.common, rows) @ self.v.T + rng.normal(0, 1, (rows, p)) * self.scale
+        return self.residuals(y) * self.ratio**0.5
+
+    def simulated(self, spark: SparkSession, reps: range, f: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+        """``f`` of the number of a data set and the residuals of one of its blocks, over all blocks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b["id"].to_numpy().tolist():
+                    rep = reps[i // self.blocks]
+                    yield f(rep, self.drawn(rep, i % self.blocks))
+
+        many = len(reps) * self.blocks
+        return spark.range(many).repartition(min(many, 4 * spark.sparkContext.defaultParallelism), "id").mapInArrow(run, schema)
+
+
+@dataclass
+class Scan:
+    """``found`` has (key, score, driver, p, p_adj, flag); ``parallel`` is None where the
+    rank was given; ``note`` says what the tail check found, if it found something."""
+
+    found: DataFrame
+    rank: int
+    parallel: Parallel | None
+    tail_p: float
+    note: str
+    structure: Structure
+    B: int
+
+
+def _batch(**x) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in x.values()], list(x))
+
+
+def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None, trim: float = 0.25, B: int = 39, alpha: float = 0.05, seed: int = 1) -> Scan:
+    """Complete rows judged by their distance from the span of ``rank`` directions, which
+    parallel analysis chooses where it isn't given."""
     p = len(names)
     if p < 3:
         raise ValueError("at least three numeric columns are needed")
+    if not 0 <= trim < 0.5:
+        raise ValueError("the share of rows left out of the fit lies from 0 to below one half")
     x = df.select(key, *[finite(c).alias(c) for c in names]).dropna(subset=list(names))
     stats = x.agg(F.count("*").alias("n"), *[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")) for c in names]).first()
     n = stats["n"]
     if n < 20:
         raise ValueError("at least 20 complete rows are needed")
-    z = x.select(key, *[((F.col(c) - F.lit(stats[i + 1].m)) / F.lit(stats[i + 1].s or 1.0)).alias(c) for i, c in enumerate(names)])
-    z = z.persist()
-    try:
-        gram = _gram(z, names)
-        if rank is not None:
-            k = rank
-        elif n <= SAMPLE:
-            k = rank_of(np.array([tuple(r) for r in sample_rows(z, [key], n=n, seed=seed).select(*names).collect()]), seed=seed)
-        else:
-            k = rank_of_many(gram / np.sqrt(np.outer(gram.diagonal(), gram.diagonal())), n, seed=seed)
-        v = _span(gram, k)
-        for _ in range(3):  # refit on the rows that fit best
-            s = project(z, key, list(names), lambda a, v=v: ((a - a @ v @ v.T) ** 2).sum(1, keepdims=True), ["s"])
-            cut = s.agg(F.percentile("s", F.lit(1 - trim))).first()[0]
-            v = _span(_gram(z.join(s.where(F.col("s") <= cut), key, "left_semi"), names), k)
-        proj = v @ v.T
-        rs = [f"r{i}" for i in range(p)]
-        res = project(z, key, list(names), lambda a: np.column_stack([a - a @ proj, ((a - a @ proj) ** 2).sum(1)]), [*rs, "s"])
-        *mid, real_mid = res.agg(*[F.percentile(c, F.lit(0.5)) for c in [*rs, "s"]]).first()
-        mad = res.agg(*[F.percentile(F.abs(F.col(c) - F.lit(m)), F.lit(0.5)) for c, m in zip(rs, mid, strict=True)]).first()
-        scale = 1.4826 * np.array(mad, float) * np.sqrt(p / (p - k))
-        common = v.T @ gram @ v * n / (n - 1)
-        spark = df.sparkSession
-
-        def drawn(rep: int, block: int) -> np.ndarray:
-            """Scores of one block of the simulated data set ``rep``."""
-            rows = min(BLOCK, n - block * BLOCK)
-            rng = np.random.default_rng([seed, rep, block])
-            y = rng.multivariate_normal(np.zeros(k), common, rows) @ v.T + rng.normal(0, 1, (rows, p)) * scale
-            return ((y - y @ proj) ** 2).sum(1)
-
-        blocks = -(-n // BLOCK)
-
-        def simulated(first: int, reps: int, f, schema: str) -> DataFrame:
-            """``f`` of each block's number and scores, over data sets ``first`` and following."""
-
-            def run(batches):
-                for b in batches:
-                    for i in b["id"].to_numpy().tolist():
-                        yield f(first + i // blocks, drawn(first + i // blocks, i % blocks))
-
-            many = spark.range(reps * blocks)
-            return many.repartition(min(reps * blocks, 4 * spark.sparkContext.defaultParallelism), "id").mapInArrow(run, schema)
-
-        batch = lambda **x: pa.RecordBatch.from_arrays([pa.array(c) for c in x.values()], list(x))
-        trial = simulated(B, 3, lambda rep, s: batch(rep=np.full(len(s), rep), s=s), "rep long, s double")
-        ratio = real_mid / max(np.median([r.m for r in trial.groupBy("rep").agg(F.percentile("s", F.lit(0.5)).alias("m")).collect()]), 1e-300)
-
-        # ranges of the score that hold about RANGE simulated values each
-        parts = max(1, n * B // RANGE)
-        at = np.linspace(0, 1, parts + 1)[1:-1]
-        edges = np.unique(np.quantile(drawn(B + 3, 0) * ratio, at)) if len(at) else np.empty(0)
-        place = lambda s: np.searchsorted(edges, s, "right")
-        tally = simulated(0, B, lambda _, s: batch(cell=np.arange(len(edges) + 1), n=np.bincount(place(s * ratio), minlength=len(edges) + 1)), "cell long, n long")
-        held = {r.cell: r.n for r in tally.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-        count = np.array([held[i] for i in range(len(edges) + 1)])
-        higher = count.sum() - np.cumsum(count)
-        null = simulated(0, B, lambda _, s: batch(cell=place(s * ratio), s=s * ratio), "cell long, s double")
-
-        def judge(a: np.ndarray) -> np.ndarray:
-            r = a - a @ proj
-            s = (r**2).sum(1)
-            return np.column_stack([s, np.abs(r).argmax(1), place(s)])
-
-        def compare(real: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
-            s = np.sort(sims["s"].to_numpy())
-            cell = real["cell"].to_numpy().astype(int)
-            above = len(s) - np.searchsorted(s, real["score"].to_numpy(), "left") + higher[cell]
-            return pd.DataFrame({key: real[key], "score": real["score"], "at": real["at"], "p": (1 + above) / (n * B + 1)})
-
-        real = project(z, key, list(names), judge, ["score", "at", "cell"]).withColumn("cell", F.col("cell").cast("long"))
-        kind = dict(df.dtypes)[key]
-        out = real.groupBy("cell").cogroup(null.groupBy("cell")).applyInPandas(compare, f"`{key}` {kind}, score double, at double, p double")
-        out = bh(materialize(out, "anomaly-p"), "p", n)
-        driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
-        return materialize(out.select(key, "score", driver.alias("driver"), "p", "p_adj", (F.col("p_adj") < alpha).alias("flag")), "anomaly")
-    finally:
-        z.unpersist()
+    cols, spark = list(names), df.sparkSession
+    z = x.select(key, *[((F.col(c) - F.lit(stats[i + 1].m)) / F.lit(stats[i + 1].s or 1.0)).alias(c) for i, c in enumerate(cols)])
+    z = materialize(z, "anomaly-z")
+    gram = matrix_sum(z, cols, lambda a: a.T @ a) / n
+    found = None
+    if rank is None:
+        found = parallel_analysis(z, key, cols, n, seed=seed)
+        rank = found.ndim
+    k = max(1, min(rank, p - 1))
+    v = _span(gram, k)
+    keep = max(k + 2, int(n * (1 - trim)))
+    for _ in range(2 if trim > 0 and keep < n else 0):  # refit on the rows that fit best
+        size = lambda a, v=v: ((a - a @ v @ v.T) ** 2).sum(1)
+        cut = order_statistics(z, cols, lambda a, size=size: size(a)[:, None], [lambda _: [keep - 1]])[0][0][0]
+
+        def held(a: np.ndarray, size=size, cut=cut) -> np.ndarray:
+            a = a[size(a) <= cut]
+            return a.T @ a
+
+        v = _span(matrix_sum(z, cols, held), k)
+
+    def residual(a: np.ndarray) -> np.ndarray:
+        r = a - a @ v @ v.T
+        return np.column_stack([r, (r**2).sum(1)])
+
+    half = interpolated(0.5)
+    pairs, sizes = order_statistics(z, cols, residual, [half] * (p + 1))
+    mid = np.array([quantile_of(x, 0.5, m) for x, m in zip(pairs, sizes, strict=True)])
+    pairs, sizes = order_statistics(z, cols, lambda a: np.abs(residual(a)[:, :p] - mid[:p]), [half] * p)
+    mad = np.array([quantile_of(x, 0.5, m) for x, m in zip(pairs, sizes, strict=True)])
+    made = Structure(n, v, v.T @ gram @ v * n / (n - 1), 1.4826 * mad * np.sqrt(p / (p - k)), trim, seed, BLOCK)
+    # scores of three data sets say how far simulated scores lie from the real ones
+    trial = spark.range(made.blocks).select(F.col("id").cast("double").alias("id"))
+    scores = lambda ids: np.vstack([np.column_stack([(made.drawn(B + r, int(i)) ** 2).sum(1) for r in range(3)]) for i in ids[:, 0]])
+    pairs, sizes = order_statistics(trial, ["id"], scores, [half] * 3)
+    level = np.median([quantile_of(x, 0.5, m) for x, m in zip(pairs, sizes, strict=True)])
+    made.ratio = mid[p] / max(level, 1e-300)
+
+    # ranges of the score, cut where either real or simulated ones are many
+    parts = max(1, n * B // RANGE)
+    at = np.linspace(0, 1, parts + 1)[1:-1]
+    real = materialize(project(z, key, cols, lambda a: np.column_stack([residual(a)[:, p], np.abs(residual(a)[:, :p]).argmax(1)]), ["score", "at"]), "anomaly-scores")
+    edges = np.empty(0)
+    if len(at):
+        own = real.agg(F.percentile_approx("score", [float(q) for q in np.linspace(0, 1, min(parts, 4096) + 1)[1:-1]], 10_000)).first()[0]
+        edges = np.unique(np.r_[np.quantile((made.drawn(B + 3, 0) ** 2).sum(1), at), own])
+    place = lambda s: np.searchsorted(edges, s, "right")
+
+    def summed(rep: int, r: np.ndarray) -> pa.RecordBatch:
+        cell, m = np.unique(place((r**2).sum(1)), return_counts=True)
+        return _batch(rep=np.full(len(cell), rep), cell=cell, n=m, tail=np.r_[tail_of(r, k, trim) * len(r), np.zeros(len(cell) - 1)])
+
+    tally = materialize(made.simulated(spark, range(B), summed, "rep long, cell long, n long, tail double"), "anomaly-tally")
+    count = np.zeros(len(edges) + 1, np.int64)
+    for r in tally.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        count[r.cell] = r.n
+    higher = count.sum() - np.cumsum(count)
+
+    # tails block by block, of real rows dealt at random and of simulated ones
+    def own_tail(t: pa.Table) -> pa.Table:
+        r = made.residuals(np.column_stack([t[c].to_numpy() for c in cols]))
+        return pa.table({"tail": [tail_of(r, k, trim) * len(r)]})
+
+    strata = dealt(z, key, n, seed).select("stratum", *cols).groupBy("stratum").applyInArrow(own_tail, "tail double")
+    heavy = strata.agg(F.sum("tail")).first()[0] / n
+    tails = [r.t / n for r in tally.groupBy("rep").agg(F.sum("tail").alias("t")).collect()]
+    tail_p = (1 + sum(t >= heavy for t in tails)) / (B + 1)
+
+    null = made.simulated(spark, range(B), lambda _, r: _batch(cell=place((r**2).sum(1)), s=(r**2).sum(1)), "cell long, s double")
+
+    def compare(real: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
+        s = np.sort(sims["s"].to_numpy())
+        above = len(s) - np.searchsorted(s, real["score"].to_numpy(), "left") + higher[real["cell"].to_numpy()]
+        return pd.DataFrame({key: real[key], "score": real["score"], "at": real["at"], "p": (1 + above) / (n * B + 1)})
+
+    @F.pandas_udf("long")
+    def cell_of(s: pd.Series) -> pd.Series:
+        return pd.Series(place(s.to_numpy()))
+
+    kind = dict(df.dtypes)[key]
+    out = real.withColumn("cell", cell_of("score")).groupBy("cell").cogroup(null.groupBy("cell")).applyInPandas(compare, f"`{key}` {kind}, score double, at double, p double")
+    out = bh(materialize(out, "anomaly-p"), "p", n)
+    driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
+    out = materialize(out.select(key, "score", driver.alias("driver"), "p", "p_adj", (F.col("p_adj") < alpha).alias("flag")), "anomaly")
+    return Scan(out, k, found, tail_p, HEAVY_TAILS.format(tail_p) if tail_p <= 0.05 else "", made, B)
+
+
+def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None, trim: float = 0.25, B: int = 39, alpha: float = 0.05, seed: int = 1) -> DataFrame:
+    """(key, score, driver, p, p_adj, flag) of complete rows, most anomalous first to sort by
+    ``score``. What the tail check says is a warning."""
+    got = scan(df, key, names, rank, trim, B, alpha, seed)
+    if got.note:
+        warnings.warn(got.note, stacklevel=2)
+    return got.found
+
+
+def rank_band(got: Scan, ranks: Sequence[int] | None = None, points: int = 1000) -> DataFrame:
+    """(rank, score, lo, mid, hi): the real score at each rank from the largest, and what
+    simulated data sets have there: the 2.5 %, 50 % and 97.5 % quantiles. ``ranks`` may be
+    given; else all of up to ``points`` rows, or that many by ratio.
+
+    Scores are dealt by data set and range, and only rows at a wanted rank leave their
+    range, with the rows of higher ranges counted before: no data set meets in one task."""
+    made, spark, n = got.structure, got.found.sparkSession, got.structure.n
+    wanted = np.unique(np.asarray(ranks) if ranks is not None else np.arange(1, n + 1) if n <= points else np.geomspace(1, n, points).round().astype(np.int64))
+    if len(wanted) and not 1 <= wanted[0] <= wanted[-1] <= n:
+        raise ValueError(f"ranks run from 1 to {n}")
+    parts = max(1, n // RANGE)
+    edges = np.unique(np.quantile((made.drawn(got.B + 3, 0) ** 2).sum(1), np.linspace(0, 1, parts + 1)[1:-1])) if parts > 1 else np.empty(0)
+    own = [float(q) for q in np.linspace(0, 1, min(parts, 4096) + 1)[1:-1]]
+    if own:
+        edges = np.unique(np.r_[edges, got.found.agg(F.percentile_approx("score", own, 10_000)).first()[0]])
+
+    def scored(rep: int, r: np.ndarray) -> pa.RecordBatch:
+        s = (r**2).sum(1)
+        return _batch(rep=np.full(len(s), rep), cell=np.searchsorted(edges, s, "right"), s=s)
+
+    @F.pandas_udf("long")
+    def cell_of(s: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, s.to_numpy(), "right"))
+
+    sims = made.simulated(spark, range(got.B), scored, "rep long, cell long, s double")
+    real = got.found.select(F.lit(-1).cast("long").alias("rep"), cell_of("score").alias("cell"), F.col("score").alias("s"))
+    every = sims.unionByName(real)
+    before = np.zeros((got.B + 1, len(edges) + 1), np.int64)
+    for r in every.groupBy("rep", "cell").agg(F.count("*").alias("n")).collect():
+        before[r.rep, r.cell] = r.n
+    before = before.sum(1, keepdims=True) - np.cumsum(before, 1)
+
+    def at_ranks(t: pa.Table) -> pa.Table:
+        rep, cell = t["rep"][0].as_py(), t["cell"][0].as_py()
+        s = np.sort(t["s"].to_numpy())[::-1]
+        first = before[rep, cell]
+        mine = wanted[(wanted > first) & (wanted <= first + len(s))]
+        return pa.table({"rep": np.full(len(mine), rep), "rank": mine, "s": s[mine - first - 1]})
+
+    rows = every.groupBy("rep", "cell").applyInArrow(at_ranks, "rep long, rank long, s double")
+    sim = F.when(F.col("rep") >= 0, F.col("s"))
+    band = rows.groupBy("rank").agg(F.max(F.when(F.col("rep") < 0, F.col("s"))).alias("score"), F.percentile(sim, [0.025, 0.5, 0.975]).alias("q"))
+    return band.select("rank", "score", *[F.col("q")[i].alias(c) for i, c in enumerate(("lo", "mid", "hi"))])
 
 
 #: A node: its column (-1 for a leaf), the cut of a number, the levels of a category that go left, both ways on, where a gap goes, and the path length of a leaf.

@@ -520,7 +520,13 @@ def profile(spark, sf):
 @query()
 def anomaly(spark, sf):
     df = read(spark, sf, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return anom.anomaly(df, "id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], rank=2)
+    return anom.anomaly(df, "id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query()
+def anomaly_band(spark, sf):
+    df = read(spark, sf, "part").withColumn("weight", F.col("p_size") * F.col("p_retailprice"))
+    return anom.rank_band(anom.scan(df, "p_partkey", ["p_size", "p_retailprice", "weight"]))
 
 
 @query()

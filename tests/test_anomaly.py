@@ -62,3 +62,54 @@ def test_trees_isolate_by_path_length():
 
     want = [2 ** (-np.mean([walk(t, r) for t in trees]) / forest.norm) for r in x]
     assert np.allclose(forest.score(x), want)
+
+
+def normal(spark, n, p=6, df=None):
+    rng = np.random.default_rng(8)
+    f = rng.normal(size=(n, 2))
+    noise = rng.standard_t(df, size=(n, p)) if df else rng.normal(size=(n, p))
+    x = f @ rng.normal(size=(2, p)) + 0.5 * noise
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"c{j} double" for j in range(p)))
+
+
+def test_heavy_tails_are_told(spark, monkeypatch):
+    cols = [f"c{j}" for j in range(6)]
+    even = anomaly.scan(normal(spark, 1500), "id", cols)
+    assert even.rank == 2 and even.parallel.ndim == 2 and even.note == "" and even.tail_p > 0.05
+    heavy = anomaly.scan(normal(spark, 1500, df=2.5), "id", cols, rank=2)
+    assert heavy.tail_p == 1 / 40 and heavy.note and heavy.parallel is None
+
+
+def test_tail_of_a_matrix():
+    rng = np.random.default_rng(3)
+    r = rng.normal(size=(4000, 3)) * [1, 5, 0.2]
+    kept = r[np.argsort((r**2).sum(1))[:3000]]
+    z = np.abs(kept - np.median(kept, 0)) / (1.4826 * np.median(np.abs(kept - np.median(kept, 0)), 0))
+    assert np.isclose(anomaly.tail_of(r, 2, 0.25), np.quantile(z, 0.99) / np.quantile(z, 0.75))
+
+
+def test_band_by_rank(spark, monkeypatch):
+    """Against sorting every simulated data set, with scores dealt to many ranges and blocks."""
+    monkeypatch.setattr(anomaly, "BLOCK", 300)
+    monkeypatch.setattr(anomaly, "RANGE", 256)
+    n = 2000
+    got = anomaly.scan(normal(spark, n), "id", [f"c{j}" for j in range(6)], rank=2, B=19)
+    made = got.structure
+    sims = []
+    for b in range(19):
+        s = []
+        for i in range(-(-n // 300)):
+            rows = min(300, n - i * 300)
+            rng = np.random.default_rng([made.seed, b, i])
+            y = rng.multivariate_normal(np.zeros(2), made.common, rows) @ made.v.T + rng.normal(0, 1, (rows, 6)) * made.scale
+            s += (((y - y @ made.v @ made.v.T) ** 2).sum(1) * made.ratio).tolist()
+        sims.append(np.sort(s)[::-1])
+    want = np.quantile(sims, [0.025, 0.5, 0.975], axis=0).T
+    band = anomaly.rank_band(got, points=n).toPandas().set_index("rank").sort_index()
+    assert len(band) == n and np.allclose(band[["lo", "mid", "hi"]], want)
+    assert np.allclose(band.score, np.sort(got.found.toPandas().score)[::-1])
+    few = anomaly.rank_band(got, ranks=[1, 10, 2000]).toPandas().set_index("rank").sort_index()
+    assert np.allclose(few, band.loc[[1, 10, 2000]])
+    pooled = np.concatenate(sims)
+    rows = got.found.toPandas()
+    assert np.allclose(rows.p, [(1 + (pooled >= s).sum()) / (n * 19 + 1) for s in rows.score])
