@@ -13,13 +13,16 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sondage.functions.dist import hyper_upper_log, p_adjust
+from sondage.functions.fmt import join_and, percent, signif
 from sondage.operators.counts import missing
-from sondage.operators.describe import cells, finite
+from sondage.operators.describe import cells, finite, running, value_counts
 from sondage.operators.linalg import project
 from sondage.operators.reduce import Reduction, na_markers, reduce, reduce_na
 from sondage.operators.select import class_of
+from sondage.operators.timecode import arcs, days
 from sondage.plans.shared import materialize
 
 
@@ -281,24 +284,90 @@ def var_contrib(df: DataFrame, cluster_col: str, key: str, names: Sequence[str],
     return out.sort_values("separation", ascending=False, kind="stable")
 
 
-def characterize(df: DataFrame, cluster_col: str, names: Sequence[str], threshold: float = 1.96) -> pd.DataFrame:
-    """What is distinctive in each cluster: means by ``vtest_mean``, categories by their most extreme level."""
-    numbers = [c for c in names if class_of(df.schema[c].dataType) == "numeric"]
-    factors = [c for c in names if c not in numbers]
-    rows = [(r[cluster_col], r.variable, "mean", r.v) for r in vtest_mean(df, cluster_col, numbers).collect()] if numbers else []
+#: The least difference worth naming, in standard deviations of a number and in shares.
+LEAST_SIZE = {"number": 0.2, "share": 0.1}
+#: The cycles of a time column, in words.
+CYCLES = {"hour": "time of day", "wday": "day of the week", "mday": "day of the month", "yday": "time of year"}
+
+
+def _middles(df: DataFrame, cluster_col: str, names: Sequence[str]) -> dict[tuple[object, str], tuple[float, float]]:
+    """By (cluster, variable), and (None, variable) for all rows: the quartiles, as values that occur."""
+    values = value_counts(df, names, [cluster_col])
+    every = values.groupBy("variable", "x").agg(F.sum("cnt").alias("cnt"))
+    out = {}
+    for keys, table in (([cluster_col, "variable"], values.where(F.col(cluster_col).isNotNull())), (["variable"], every)):
+        rows = running(table, keys, with_n=True)
+        at = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * q), F.col("x"))).alias(f"q{i}") for i, q in enumerate((0.25, 0.75))]
+        for r in rows.groupBy(*keys).agg(*at).collect():
+            out[r[cluster_col] if len(keys) == 2 else None, r.variable] = (r.q0, r.q1)
+    return out
+
+
+def _of_them(share: float, every: float) -> str:
+    own = "none of them" if round(100 * share) == 0 else f"{'only ' if share < every else ''}{percent(share)} of them"
+    return f"{own}, of all rows {percent(every)}"
+
+
+def characterize(df: DataFrame, cluster_col: str, names: Sequence[str], threshold: float = 1.96, cycles: dict[str, Sequence[str]] | None = None, missing: bool = False) -> pd.DataFrame:
+    """(cluster, variable, aspect, kind, v, size, eligible, distinctive, description): means by
+    ``vtest_mean``, categories by their most extreme level, times by their place on the
+    line and by the stretch of each of their ``cycles`` in which a cluster stands out.
+    ``size`` is a difference in standard deviations (kind number) or of shares (share);
+    ``distinctive`` asks for both a v-test and a size, and of a stretch, which is chosen
+    to differ, for three standard errors too. ``missing`` words markers of missingness."""
+    kind = {c: class_of(df.schema[c].dataType) for c in names}
+    times = [c for c in names if kind[c] == "time"]
+    lengths = [c for c in times if isinstance(df.schema[c].dataType, T.DayTimeIntervalType)]
+    numbers = [c for c in names if kind[c] == "numeric"]
+    factors = [c for c in names if c not in numbers and c not in times]
+    rows = []
+    if numbers or times:
+        line = df.select(cluster_col, *numbers, *[days(df, c).alias(c) for c in times])
+        spread = {r.variable: r.s for r in cells(line, [*numbers, *times]).groupBy("variable").agg(F.stddev_samp("x").alias("s")).collect()}
+        mean = {(r[cluster_col], r.variable): r.m for r in cells(line, [*numbers, *times], [cluster_col]).groupBy(cluster_col, "variable").agg(F.avg("x").alias("m")).collect()}
+        every = {r.variable: r.m for r in cells(line, [*numbers, *times]).groupBy("variable").agg(F.avg("x").alias("m")).collect()}
+        middle = _middles(line, cluster_col, [*numbers, *times])
+        for r in vtest_mean(line, cluster_col, [*numbers, *times]).collect():
+            c, g = r.variable, r[cluster_col]
+            if g is None:
+                continue
+            up = r.v is not None and r.v > 0
+            say = (lambda x: signif(x, 4)) if c in numbers else (lambda x: f"{signif(x, 4)} days") if c in lengths else lambda x: str((pd.Timestamp(0) + pd.Timedelta(days=x)).round("min")).removesuffix(" 00:00:00")
+            word = ("higher" if up else "lower") if c in numbers else ("longer" if up else "shorter") if c in lengths else "later" if up else "earlier"
+            own, of_all = middle[g, c], middle[None, c]
+            said = f"{c} is {word}: the middle half {say(own[0])} to {say(own[1])}, of all rows {say(of_all[0])} to {say(of_all[1])}"
+            size = abs(mean[g, c] - every[c]) / spread[c] if spread[c] else float("nan")
+            rows.append((g, c, "" if c in numbers else "length" if c in lengths else "time line", "number", r.v, size, True, said))
+    for (g, c, a), (arc, n_group, n_all) in arcs(df, cluster_col, {c: (cycles or {}).get(c, []) for c in times if c not in lengths}).items():
+        v = vtest_share(arc.n_group, arc.n_all, n_group, n_all)
+        rows.append((g, c, CYCLES[a], "share", v, abs(arc.share - arc.share_all), arc.stands_out, f"{c} falls {arc.label} for {_of_them(arc.share, arc.share_all)}"))
     if factors:
         t = frequencies(df, cluster_col, factors).toPandas()
         totals = t.groupby("variable").n.sum()
         per = t.groupby([cluster_col, "variable"]).n.sum()
         level = t.groupby(["variable", "value"]).n.sum()
-        for r in t.itertuples():
-            c = getattr(r, cluster_col)
-            rows.append((c, r.variable, r.value, vtest_share(int(r.n), int(level[r.variable, r.value]), int(per[c, r.variable]), int(totals[r.variable]))))
-    out = pd.DataFrame(rows, columns=["cluster", "variable", "aspect", "v"])
-    out["size"] = out.v.abs()
-    out = out.sort_values(["cluster", "variable", "size", "aspect"], ascending=[True, True, False, True]).groupby(["cluster", "variable"], as_index=False).first()
-    out["distinctive"] = out["size"] >= threshold
-    return out
+        best: dict[tuple[object, str], tuple] = {}
+        # a level that a cluster lacks is one of its shares, too
+        for c in totals.index:
+            held = {(getattr(r, cluster_col), r.value): int(r.n) for r in t[t.variable == c].itertuples()}
+            for g in sorted(t[t.variable == c][cluster_col].unique()):
+                for value in sorted(level[c].index):
+                    n_group, n_all = int(per[g, c]), int(totals[c])
+                    own, of_all = held.get((g, value), 0) / n_group, int(level[c, value]) / n_all
+                    v = vtest_share(held.get((g, value), 0), int(level[c, value]), n_group, n_all)
+                    if (g, c) not in best or abs(v) > abs(best[g, c][0]):
+                        best[g, c] = (v, value, own, of_all)
+        for (g, c), (v, value, own, of_all) in best.items():
+            if kind[c] == "logical" and value == "false":
+                v, value, own, of_all = -v, "true", 1 - own, 1 - of_all
+            what = "is missing" if missing else "is true" if kind[c] == "logical" else f"is '{value}'"
+            if missing and value == "present":
+                v, own, of_all = -v, 1 - own, 1 - of_all
+            rows.append((g, c, "" if kind[c] == "logical" or missing else value, "share", v, abs(own - of_all), True, f"{c} {what} for {_of_them(own, of_all)}"))
+    out = pd.DataFrame(rows, columns=["cluster", "variable", "aspect", "kind", "v", "size", "eligible", "description"]).astype({"v": float, "size": float, "eligible": bool})
+    floor = out["kind"].map(LEAST_SIZE).astype(float)
+    out["distinctive"] = (out.v.abs() >= threshold) & (out["size"] >= floor) & out.eligible
+    return out.assign(far=-out.v.abs()).sort_values(["cluster", "far", "variable", "aspect"], kind="stable").drop(columns="far").reset_index(drop=True)
 
 
 @dataclass
@@ -312,26 +381,23 @@ class Profile:
     summary: list[str]
 
 
-def profile(df: DataFrame, key: str, names: Sequence[str], k: int | None = None, ndim: int = 5, B: int = 199, seed: int = 1) -> Profile:
+def profile(df: DataFrame, key: str, names: Sequence[str], k: int | None = None, ndim: int = 5, B: int = 199, seed: int = 1, missing: bool = False) -> Profile:
     """reduce, cluster, describe."""
     from sondage.operators.describe import describe_all
 
     red = reduce(df, key, names, ndim)
     fit = cluster(red.coords, key, k, seed=seed)
     rows = df.join(fit.rows.select(key, "cluster"), key)
-    what = characterize(rows, "cluster", names)
-    factors = [c for c in names if class_of(df.schema[c].dataType) != "numeric"]
-    lines = []
-    for c, part in what[what.distinctive].sort_values("size", ascending=False).groupby("cluster"):
-        said = [f"{'higher' if r.v > 0 else 'lower'} {r.variable}" if r.aspect == "mean" else f"{'more' if r.v > 0 else 'less'} often {r.variable} = {r.aspect}" for r in part.head(4).itertuples()]
-        lines.append(f"Cluster {c}: " + (" and ".join([", ".join(said[:-1]), said[-1]]) if len(said) > 1 else said[0]) + ".")
+    what = characterize(rows, "cluster", names, cycles=red.cycles, missing=missing)
+    factors = [c for c in names if class_of(df.schema[c].dataType) not in ("numeric", "time")]
+    lines = [f"Cluster {c}: {join_and(list(part.description.head(4)))}." for c, part in what[what.distinctive].groupby("cluster")]
     return Profile(red, fit, what, frequencies(rows, "cluster", factors) if factors else None, describe_all(rows, ["cluster"], list(names)), var_contrib(rows, "cluster", key, names, B, seed), lines)
 
 
 def profile_na(df: DataFrame, key: str, names: Sequence[str], **args) -> Profile:
     """``profile`` of which values are missing."""
     marks = na_markers(df, key, names)
-    return profile(marks, key, marks.columns[1:], **args)
+    return profile(marks, key, marks.columns[1:], missing=True, **args)
 
 
 def bh(df: DataFrame, p: str, n: int | None = None, alpha: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ is the number of columns and levels."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ class Reduction:
     #: Of a low-rank model: the model, and the dimensions that were fitted, of which ``eig`` has those that carry variation.
     fit: Glrm | None = None
     fitted: int | None = None
+    #: The cycles of time columns that were used.
+    cycles: dict[str, list[str]] = field(default_factory=dict)
 
     @property
     def note(self) -> str:
@@ -114,7 +116,7 @@ def reduce(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: s
             rows.append((c, d + 1, float((w**2).sum() / values[d])))
     pct = 100 * values / total
     eig = pd.DataFrame({"dim": np.arange(1, k + 1), "eigenvalue": values, "pct_var": pct, "cum_pct_var": np.cumsum(pct)})
-    return Reduction(method, eig, coords, pd.DataFrame(rows, columns=["variable", "dim", "sqload"]), vectors, n)
+    return Reduction(method, eig, coords, pd.DataFrame(rows, columns=["variable", "dim", "sqload"]), vectors, n, cycles=coded.used)
 
 
 def reduce_glrm(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, time: str = "cycles", **fit) -> Reduction:
@@ -144,7 +146,7 @@ def reduce_glrm(df: DataFrame, key: str, names: Sequence[str], ndim: int = 5, ti
     to = m.archetypes.T @ turn.vectors
     dims = [f"dim{i + 1}" for i in range(m.archetypes.shape[1])]
     coords = project(m.scores, key, dims, lambda x: (x - turn.mean) @ to, [f"dim{i + 1}" for i in range(k)])
-    return Reduction("glrm", eig, coords, pd.DataFrame(rows, columns=["variable", "dim", "sqload"]), turn.vectors, n, m, turn.fitted)
+    return Reduction("glrm", eig, coords, pd.DataFrame(rows, columns=["variable", "dim", "sqload"]), turn.vectors, n, m, turn.fitted, coded.used)
 
 
 def na_markers(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sondage.functions.fmt import ordinal
 from sondage.operators.describe import finite
 from sondage.operators.select import class_of, sample_rows
 
@@ -59,6 +60,86 @@ def places(df: DataFrame, c: str) -> dict[str, Place]:
     }
 
 
+#: The bins in which a stretch of a cycle is looked for, and their names.
+ARC_BINS = {"hour": 24, "wday": 7, "mday": 31, "yday": 12}
+DAYS, MONTHS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"), ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+#: A stretch stands out by this difference of shares, and by so many standard errors.
+ARC_LEAST, ARC_ERRORS = 0.15, 3.0
+
+
+def arc_bin(c: str, cycle: str) -> Column:
+    """The bin of a time in a cycle, from 0."""
+    x = F.col(c)
+    return {"hour": lambda: F.hour(x), "wday": lambda: F.dayofweek(x) - 1, "mday": lambda: F.dayofmonth(x) - 1, "yday": lambda: F.month(x) - 1}[cycle]()
+
+
+@dataclass
+class Arc:
+    """A stretch of a cycle, which may wrap: its first bin, its length, how many of the
+    group's and of all rows fall in it, and their shares."""
+
+    cycle: str
+    first: int
+    length: int
+    n_group: int
+    n_all: int
+    share: float
+    share_all: float
+    stands_out: bool
+
+    @property
+    def label(self) -> str:
+        last = (self.first + self.length - 1) % ARC_BINS[self.cycle]
+        if self.cycle == "hour":
+            return f"between {self.first:02d}:00 and {last:02d}:59"
+        if self.cycle == "mday":
+            return f"on the {ordinal(self.first + 1)} of the month" if self.length == 1 else f"from the {ordinal(self.first + 1)} to the {ordinal(last + 1)} of the month"
+        names = DAYS if self.cycle == "wday" else MONTHS
+        said = names[self.first] if self.length == 1 else f"{names[self.first]}-{names[last]}"
+        return f"{'on' if self.cycle == 'wday' else 'in'} {said}"
+
+
+def best_arc(cycle: str, group: np.ndarray, every: np.ndarray) -> Arc | None:
+    """Of all stretches up to half a cycle, the one in which the group's share differs most
+    from that of all rows, shortest first; it may be one where the group is absent. The
+    counts go once around and once more, so that stretches that wrap are plain sums."""
+    if not group.sum():
+        return None
+    nb = len(group)
+    a, b = (np.r_[0, np.cumsum(np.tile(x, 2))] for x in (group, every))
+    best = None
+    for length in range(1, nb // 2 + 1):
+        first = np.arange(nb)
+        in_group, in_all = a[first + length] - a[first], b[first + length] - b[first]
+        far = np.abs(in_group / group.sum() - in_all / every.sum())
+        for s in first.tolist():
+            if best is None or far[s] > best[0] + 1e-12:
+                best = (far[s], s, length, int(in_group[s]), int(in_all[s]))
+    far, s, length, n_group, n_all = best
+    share, share_all = n_group / int(group.sum()), n_all / int(every.sum())
+    error = math.sqrt(share_all * (1 - share_all) / int(group.sum()))
+    return Arc(cycle, s, length, n_group, n_all, share, share_all, bool(far >= max(ARC_LEAST, ARC_ERRORS * error)))
+
+
+def arcs(df: DataFrame, group: str, cycles: dict[str, Sequence[str]]) -> dict[tuple[object, str, str], tuple[Arc, int, int]]:
+    """By (group, column, cycle): the best arc, and how many of the group's and of all rows
+    have a time. One pass counts rows by group and bin, of which few come to the driver."""
+    cells = [F.struct(F.lit(c).alias("c"), F.lit(a).alias("a"), arc_bin(c, a).alias("b")) for c, names in cycles.items() for a in names]
+    if not cells:
+        return {}
+    held = df.select(F.col(group).alias("g"), F.explode(F.array(*cells)).alias("x")).where("x.b is not null").groupBy("g", "x.c", "x.a", "x.b").agg(F.count("*").alias("n")).collect()
+    tables: dict[tuple[str, str], dict[object, np.ndarray]] = {}
+    for r in held:
+        tables.setdefault((r.c, r.a), {}).setdefault(r.g, np.zeros(ARC_BINS[r.a], np.int64))[r.b] += r.n
+    out = {}
+    for (c, a), by in tables.items():
+        every = sum(by.values())
+        for g, own in by.items():
+            if g is not None and (arc := best_arc(a, own, every)):
+                out[g, c, a] = (arc, int(own.sum()), int(every.sum()))
+    return out
+
+
 def _separation(cell: np.ndarray, number: bool, bins: np.ndarray) -> float:
     """Eta squared of a number, Cramér's V of codes; missing cells are out."""
     ok = ~np.isnan(cell)
@@ -98,6 +179,12 @@ class TimeCode:
     #: One row a cycle that the data span: column, cycle, used, columns that are the cycle.
     cycles: pd.DataFrame
 
+    @property
+    def used(self) -> dict[str, list[str]]:
+        """The cycles that became columns, by time column."""
+        on = self.cycles[self.cycles["used"].astype(bool)] if len(self.cycles) else self.cycles
+        return {c: list(g["cycle"]) for c, g in on.groupby("column")}
+
 
 def encode(df: DataFrame, key: str, names: Sequence[str], time: str = "cycles") -> TimeCode:
     """``names`` with time columns replaced by numbers (``cycles``), by the elapsed days

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.sqlmath import norm_cdf
 from sondage.operators import anomaly as anom
-from sondage.operators import boot, clean, cluster, counts, describe, frame, outliers, plotdata, reduce, remedies, select, smd, timecode
+from sondage.operators import boot, clean, cluster, counts, describe, frame, outliers, plotdata, record, reduce, remedies, select, smd, timecode
 from sondage.operators import glrm as low_rank
 from sondage.operators import missing as miss
 from sondage.sources import example
@@ -326,6 +326,55 @@ def sample_within_counts(spark, sf):
     return select.sample_within(read(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"], prop=0.1).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+_CLERKS = "SELECT r_name, n_name, c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def _customers(spark, sf):
+    nation = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "c_custkey", "c_nationkey")
+
+
+@query(f"SELECT r_name, n_name, least(k, greatest(round_even(k * 0.15, 0)::BIGINT, least(2, k))) AS n, round(least(k, greatest(round_even(k * 0.15, 0)::BIGINT, least(2, k))) / k, 6) AS inclusion FROM (SELECT r_name, n_name, count(*) k FROM ({_CLERKS}) GROUP BY ALL)")
+def sample_nested(spark, sf):
+    """Customers by nation within region."""
+    got = select.sample_within(_customers(spark, sf), ["r_name", "n_name"], ["c_custkey"], prop=0.15)
+    return got.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.first("inclusion"), 6).alias("inclusion"))
+
+
+@query("SELECT count(*)::BIGINT AS clusters, sum(w)::BIGINT AS floors, 400::BIGINT AS n FROM (SELECT floor(400 * count(*) / (SELECT count(*) FROM orders)) AS w FROM orders GROUP BY o_orderpriority)")
+def sample_dealt(spark, sf):
+    """A number of rows dealt to clusters by largest remainder: none gets less than its whole part."""
+    df = read(spark, sf, "orders")
+    got = select.sample_within(df, "o_orderpriority", ["o_orderkey"], n=400).groupBy("o_orderpriority").agg(F.count("*").alias("got"))
+    whole = df.groupBy("o_orderpriority").agg(F.count("*").alias("k")).withColumn("w", F.floor(400 * F.col("k") / df.count()))
+    both = got.join(whole, "o_orderpriority").where("got between w and w + 1")
+    return both.agg(F.count("*").alias("clusters"), F.sum("w").cast("long").alias("floors"), F.sum("got").cast("long").alias("n"))
+
+
+_KEPT = "SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1"
+_LEVELS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM lineitem) AS levels_given, count(*) AS levels_kept, coalesce(min(n), 0)::BIGINT AS rows_min, coalesce(median(n), 0)::DOUBLE AS rows_median, count(*) FILTER (n < 2) AS levels_below_2 FROM (SELECT {c}, count(*) n FROM ({_KEPT}) GROUP BY 1)" for c in ("l_suppkey", "l_partkey"))
+
+
+@query(_LEVELS)
+def sample_report_columns(spark, sf):
+    df = read(spark, sf, "lineitem")
+    return record.sample_report(df, df.where("l_quantity = 50 and l_discount = 0.1"), ["l_suppkey", "l_partkey"]).columns
+
+
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM ({_KEPT})), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(x, y) AS (SELECT u, u FROM b UNION SELECT r.x, b.v FROM r JOIN b ON r.y = b.u) SELECT 'l_suppkey' AS a, 'l_partkey' AS b, count(DISTINCT m) AS pieces, count(DISTINCT m) = 1 AS connected FROM (SELECT x, min(y) m FROM r GROUP BY x)")
+def sample_report_pairs(spark, sf):
+    df = read(spark, sf, "lineitem")
+    return record.sample_report(df, df.where("l_quantity = 50 and l_discount = 0.1"), ["l_suppkey", "l_partkey"]).pairs
+
+
+@query("SELECT count(*) FILTER (o_totalprice > 100000) AS n_kept, count(*) AS n_given FROM orders")
+def selection_record(spark, sf):
+    """Rows counted while the selection itself is computed."""
+    rows, note = record.recorded(read(spark, sf, "orders"), F.col("o_totalprice") > 100000, ["o_orderkey", "o_totalprice"])
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(note.n_rows_kept, note.n_rows_given)], "n_kept long, n_given long")
+
+
 @query("SELECT round(count(*) * 0.2)::BIGINT AS n FROM orders")
 def sample_rows_count(spark, sf):
     return select.sample_rows(read(spark, sf, "orders"), ["o_orderkey"], prop=0.2).agg(F.count("*").alias("n"))
@@ -581,6 +630,23 @@ def reduce_time(spark, sf):
     return spark.createDataFrame(got.eig)
 
 
+_ARC_ROWS = "SELECT o_orderstatus AS g, dayofweek(o_orderdate)::INT AS b FROM orders"
+
+
+@query(f"WITH c AS (SELECT g, b, count(*) AS n FROM ({_ARC_ROWS}) GROUP BY ALL), k AS (SELECT s, len, x.b FROM range(0, 7) AS s(s), range(1, 4) AS l(len), range(0, 7) AS x(b) WHERE (x.b - s + 7) % 7 < len), a AS (SELECT g, s, len, sum(n) AS i FROM c JOIN k USING (b) GROUP BY ALL), z AS (SELECT q.g, s.s, l.len, coalesce(i, 0) / (SELECT sum(n) FROM c WHERE c.g = q.g) AS share FROM (SELECT DISTINCT g FROM c) q, range(0, 7) AS s(s), range(1, 4) AS l(len) LEFT JOIN a ON a.g = q.g AND a.s = s.s AND a.len = l.len), e AS (SELECT s, len, sum(i) / (SELECT sum(n) FROM c) AS share_all FROM a GROUP BY ALL) SELECT g AS o_orderstatus, s::BIGINT AS first, len::BIGINT AS length, round(share, 6) AS share, round(share_all, 6) AS share_all FROM z JOIN e USING (s, len) QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(abs(share - share_all), 11) DESC, len, s) = 1")
+def time_arcs(spark, sf):
+    """The days of the week on which orders of a status stand out."""
+    found = timecode.arcs(read(spark, sf, "orders"), "o_orderstatus", {"o_orderdate": ["wday"]})
+    rows = [(g, a.first, a.length, a.share, a.share_all) for (g, _, _), (a, _, _) in found.items()]
+    return rounded(spark.createDataFrame(rows, "o_orderstatus string, first long, length long, share double, share_all double"))
+
+
+@query()
+def characterize_times(spark, sf):
+    what = cluster.characterize(read(spark, sf, "orders"), "o_orderstatus", ["o_orderdate", "o_totalprice", "o_orderpriority"], cycles={"o_orderdate": ["wday", "mday", "yday"]})
+    return spark.createDataFrame(what)
+
+
 @query()
 def cleaning_loop(spark, sf):
     df = read(spark, sf, "part").withColumns({"k": F.lit(1), "size2": F.col("p_size")})

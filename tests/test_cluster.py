@@ -1,8 +1,11 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from sondage.operators import cluster
+from sondage.operators.timecode import best_arc
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +104,46 @@ def test_stability_of_blobs(spark, blobs):
     coords = spark.createDataFrame(blobs[["id", "a", "b"]])
     t = cluster.stability(coords, "id", cluster.cluster(coords, "id", 3), B=3)
     assert (t.stability == "stable").all()
+
+
+def test_a_night_shift_is_named_by_its_hours(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        g = i % 3
+        hour = int(rng.choice([22, 23, 0, 1, 2, 3])) if g == 1 else int(rng.integers(0, 24))
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=int(rng.integers(0, 28)) + (200 if g == 2 else 0))
+        rows.append((i, g, dt.datetime.combine(day, dt.time(hour, int(rng.integers(0, 60)))), dt.timedelta(hours=i % 50 + 30 * (g == 0)), bool(i % 2), "ab"[int(g == 2 or rng.random() < 0.5)]))
+    df = spark.createDataFrame(rows, "id long, g int, at timestamp, long interval day to second, flag boolean, kind string")
+    got = cluster.characterize(df, "g", ["at", "long", "flag", "kind"], cycles={"at": ["hour", "wday"]})
+    one = got.set_index(["cluster", "variable", "aspect"])
+    night = one.loc[(1, "at", "time of day")]
+    assert night.distinctive and "between 22:00 and 03:59" in night.description and night.v > 10 and "100% of them" in night.description
+    assert "only" in one.loc[(0, "at", "time of day")].description and one.loc[(0, "at", "time of day")].v < -5
+    assert not one.loc[(1, "at", "day of the week")].distinctive
+    late, soon = one.loc[(2, "at", "time line")], one.loc[(0, "at", "time line")]
+    assert late.distinctive and "later" in late.description and "2024-07" in late.description and late["kind"] == "number" and "earlier" in soon.description
+    assert one.loc[(0, "long", "length")].distinctive and "longer" in one.loc[(0, "long", "length")].description
+    assert one.loc[(2, "kind", "a")].description.endswith("none of them, of all rows " + one.loc[(2, "kind", "a")].description.split()[-1])
+    assert list(got.cluster) == sorted(got.cluster) and "is true for" in one.loc[(0, "flag", "")].description
+
+
+def test_best_arc_by_hand():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        every = rng.integers(0, 9, 12)
+        group = np.minimum(every, rng.integers(0, 5, 12))
+        got = best_arc("yday", group, every)
+        if not group.sum():
+            assert got is None
+            continue
+        want = None
+        for length in range(1, 7):
+            for s in range(12):
+                idx = [(s + i) % 12 for i in range(length)]
+                far = abs(group[idx].sum() / group.sum() - every[idx].sum() / every.sum())
+                if want is None or far > want[0] + 1e-12:
+                    want = (far, s, length)
+        assert (got.first, got.length) == want[1:]
+    assert best_arc("wday", np.array([5, 0, 0, 0, 0, 0, 5]), np.full(7, 10)).label == "on Sat-Sun"
+    assert best_arc("mday", np.eye(31, dtype=int)[20] * 9, np.full(31, 10)).label == "on the 21st of the month"
