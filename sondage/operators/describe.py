@@ -12,9 +12,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sondage.functions.sqlmath import norm_cdf
 from sondage.operators.counts import long_text, numeric_names
+from sondage.operators.levels import declared
 from sondage.operators.select import check_by, class_of, cols, columns_of
 from sondage.plans.shared import materialize
 
@@ -333,8 +335,9 @@ def gauss_check(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int =
 
 
 def categorical(df: DataFrame, by: Sequence[str] = (), which=None, rare_n: int = 5) -> DataFrame:
-    """(by..., variable, obs, n, na, n_empty, n_unique, p_max, n_rare, case_variants,
-    counts_tb). The three most frequent values are picked among those of each of
+    """(by..., variable, obs, n, na, n_empty, n_unique, ordered, p_max, n_rare, n_unused,
+    case_variants, counts_tb, note). Levels are those that ``levels.declare`` gave; of an
+    ordered column a pile at its first or last level is noted first. The three most frequent values are picked among those of each of
     ``CUTS`` parts of the values, so no column is ordered in one task."""
     df = keyed(df, by)
     names = [c for c in cols(df, which, by=by) if class_of(df.schema[c].dataType) == "categorical"]
@@ -350,13 +353,54 @@ def categorical(df: DataFrame, by: Sequence[str] = (), which=None, rare_n: int =
     folded = F.lower(F.trim(F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", "")))
     variants = value.where("value is not null").groupBy(*keys, folded.alias("f")).agg(F.count("*").alias("k")).groupBy(*keys).agg(F.count_if(F.col("k") > 1).alias("case_variants"))
     there = F.col("value").isNotNull()
+    known = {c: d for c in names if (d := declared(df, c))}
+
+    def of(each: dict[str, Column], otherwise: Column) -> Column:
+        out = otherwise
+        for c, x in each.items():
+            out = F.when(F.col("variable") == c, x).otherwise(out)
+        return out
+
+    none = F.lit(None)
+    code = of({c: F.nullif(F.array_position(F.array(*[F.lit(v) for v in d.values]), F.col("value")), F.lit(0)) for c, d in known.items()}, none.cast("long"))
+    value = value.withColumn("code", code)
     out = value.groupBy(*keys).agg(
+        F.count("code").alias("used"), F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "n")))).alias("codes"),
         F.sum("n").alias("obs"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("na"),
         F.sum(F.when(F.trim(F.regexp_replace("value", r"[ \t\r\n]", "")) == "", F.col("n")).otherwise(0)).alias("n_empty"), F.count_if(there).alias("n_unique"),
         F.max(F.when(there, F.col("n"))).alias("most"), F.count_if(there & (F.col("n") < rare_n)).alias("n_rare"),
     )
     out = out.join(variants, keys, "left").join(top, keys, "left").withColumn("counts_tb", F.coalesce("counts_tb", F.lit("")))
-    return out.select(*keys, "obs", "n", "na", "n_empty", "n_unique", (F.col("most") / F.col("n")).alias("p_max"), "n_rare", F.coalesce("case_variants", F.lit(0)).alias("case_variants"), "counts_tb")
+    n_levels = of({c: F.lit(len(d.values)) for c, d in known.items()}, F.lit(0))
+    ordered = {c: d for c, d in known.items() if d.ordered}
+    out = out.withColumns({"ordered": of({c: F.lit(True) for c in ordered}, F.lit(False)), "n_unused": (n_levels - F.col("used")).cast("long"), "p_max": F.col("most") / F.col("n"), "case_variants": F.coalesce("case_variants", F.lit(0).cast("long"))})
+    ends = []
+    if ordered:
+        last = F.size("codes")
+        for name, a, b, end in (("floor", F.lit(0), F.lit(1), F.lit(1)), ("ceiling", last - 1, last - 2, n_levels)):
+            c1, c2 = (F.get("codes", x) for x in (a, b))
+            fair = _fair_split(c1["n"], c2["n"])
+            least, share, ratio, alpha = FLOOR
+            fires = F.col("ordered") & (last >= 4) & (c1["code"] == end) & (c1["n"] >= least) & (c1["n"] / F.col("n") >= share) & (c1["n"] >= ratio * c2["n"]) & (fair <= alpha)
+            label = of({c: F.element_at(F.array(*[F.lit(v) for v in d.values]), c1["code"].cast("int")) for c, d in ordered.items()}, none.cast("string"))
+            words = REASONS[f"rating_{name}"].split("{share}")[1].split("{end}")
+            said = F.concat(F.round(100 * c1["n"] / F.col("n"), 0).cast("int").cast("string"), F.lit(words[0]), label, F.lit(words[1]))
+            ends.append(F.when(fires, said))
+
+    def told(c: str, words: str) -> Column:
+        return F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {words}")))
+
+    notes = F.array(*ends, told("n_empty", "empty texts"), told("n_unused", "unused levels"), told("case_variants", "variants by case or space"), told("n_rare", "rare levels"), F.when(F.col("p_max") > 0.99, "nearly one value"))
+    note = F.array_join(F.slice(F.filter(notes, lambda x: x.isNotNull()), 1, TOLD), "; ")
+    return out.select(*keys, "obs", "n", "na", "n_empty", "n_unique", "ordered", "p_max", "n_rare", "n_unused", "case_variants", "counts_tb", note.alias("note"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _fair_split(c1: pd.Series, c2: pd.Series) -> pd.Series:
+    """The chance that a fair coin gives the first count or more; of the few rows of a result."""
+    from sondage.functions.dist import binom_half_upper
+
+    return pd.Series([binom_half_upper(int(a), int(a + b)) if a == a and b == b else 1.0 for a, b in zip(c1.astype(float), c2.astype(float), strict=True)])
 
 
 def logical(df: DataFrame, by: Sequence[str] = (), which=None) -> DataFrame:

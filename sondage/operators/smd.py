@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators.describe import finite, keyed
+from sondage.operators.levels import declared, first_present
 
 
 def smd_numeric(df: DataFrame, by: str, names: list[str], reference=None, within: Sequence[str] = ()) -> DataFrame:
@@ -26,10 +27,24 @@ def smd_binary(df: DataFrame, by: str, names: list[str], reference=None) -> Data
     df = keyed(df, [by])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("x")) for c in names]))
     long = df.select(by, each.alias("c")).select(by, "c.*").where("x is not null")
-    second = long.groupBy("variable").agg(F.max("x").alias("top"))
+    # of declared levels the second, else the later of those that occur
+    given = {c: d.values[1] for c in names if (d := declared(df, c)) and len(d.values) > 1}
+    top = F.max("x")
+    for c, v in given.items():
+        top = F.when(F.first("variable") == c, F.lit(v)).otherwise(top)
+    second = long.groupBy("variable").agg(top.alias("top"))
     p = long.join(second, "variable").groupBy(by, "variable").agg(F.avg((F.col("x") == F.col("top")).cast("int")).alias("m"))
     p = p.withColumn("v", F.col("m") * (1 - F.col("m")))
-    return _against(p, by, reference, (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2))
+    return _against(p, by, _reference(df, by, reference), (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2))
+
+
+def _reference(df: DataFrame, by: str, reference):
+    """The group given, or the first declared level that occurs; None for the least value."""
+    known = declared(df, by)
+    if reference is not None or known is None:
+        return reference
+    there = {r[by] for r in df.where(F.col(by).isin(list(known.values))).select(by).distinct().collect()}
+    return next((v for v in known.values if v in there), None)
 
 
 def _against(m: DataFrame, by: str, reference, diff: Column, within: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +62,7 @@ def smd_levels(df: DataFrame, by: str, col: str, reference=None) -> dict[object,
     for r in t:
         n[groups.index(r[by]), levels.index(r[col])] = r["n"]
     p = n / n.sum(1, keepdims=True)
-    ref = groups.index(reference) if reference is not None else 0
+    ref = groups.index(reference if reference is not None else first_present(df, by, groups)) if groups else 0
     out: dict[object, float | None] = {}
     for i, g in enumerate(groups):
         if i == ref:

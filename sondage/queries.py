@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.sqlmath import norm_cdf
 from sondage.operators import anomaly as anom
-from sondage.operators import boot, clean, cluster, counts, describe, frame, outliers, plotdata, record, reduce, remedies, select, smd, timecode
+from sondage.operators import boot, clean, cluster, counts, describe, frame, levels, outliers, plotdata, record, reduce, remedies, select, smd, timecode
 from sondage.operators import glrm as low_rank
 from sondage.operators import missing as miss
 from sondage.sources import example
@@ -84,7 +84,7 @@ def describe_dispersion(spark, sf):
 def _cat(table: str, c: str, by: str = "") -> str:
     head, on = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
     group = f" GROUP BY {by}" if by else ""
-    return f"SELECT {head}'{c}' AS variable, sum(k)::BIGINT AS obs, sum(k)::BIGINT AS n, 0::BIGINT AS na, coalesce(sum(k) FILTER (trim(v) = ''), 0)::BIGINT AS n_empty, count(*) AS n_unique, round(max(k) / sum(k), 6) AS p_max, count(*) FILTER (k < 5) AS n_rare, 0::BIGINT AS case_variants, string_agg(v || '_' || k, ', ' ORDER BY r) FILTER (r <= 3) AS counts_tb FROM (SELECT *, row_number() OVER ({on}ORDER BY k DESC, v) r FROM (SELECT {head}{c} v, count(*) k FROM {table} GROUP BY {head}{c})){group}"
+    return f"SELECT {head}'{c}' AS variable, sum(k)::BIGINT AS obs, sum(k)::BIGINT AS n, 0::BIGINT AS na, coalesce(sum(k) FILTER (trim(v) = ''), 0)::BIGINT AS n_empty, count(*) AS n_unique, round(max(k) / sum(k), 6) AS p_max, count(*) FILTER (k < 5) AS n_rare, 0::BIGINT AS case_variants, false AS ordered, 0::BIGINT AS n_unused, array_to_string(list_filter([CASE WHEN count(*) FILTER (k < 5) > 0 THEN count(*) FILTER (k < 5) || ' rare levels' END, CASE WHEN max(k) / sum(k) > 0.99 THEN 'nearly one value' END], lambda x: x IS NOT NULL), '; ') AS note, string_agg(v || '_' || k, ', ' ORDER BY r) FILTER (r <= 3) AS counts_tb FROM (SELECT *, row_number() OVER ({on}ORDER BY k DESC, v) r FROM (SELECT {head}{c} v, count(*) k FROM {table} GROUP BY {head}{c})){group}"
 
 
 @query(" UNION ALL ".join(_cat("part", c) for c in ("p_name", "p_brand", "p_type")))
@@ -97,6 +97,15 @@ def describe_categorical_by(spark, sf):
     return rounded(describe.categorical(read(spark, sf, "orders"), ["o_orderstatus"], ["o_orderpriority"]))
 
 
+_PRIORITY = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE", "7-NEVER")
+
+
+@query(f"WITH d(v) AS (VALUES {', '.join(f"('{v}')" for v in _PRIORITY)}), c AS (SELECT o_orderpriority AS v, count(*) AS k FROM orders GROUP BY 1) SELECT 'o_orderpriority' AS variable, sum(k)::BIGINT AS n, count(*) AS n_unique, true AS ordered, (SELECT count(*) FROM d WHERE v NOT IN (SELECT v FROM c)) AS n_unused, (SELECT count(*) FROM d WHERE v NOT IN (SELECT v FROM c)) || ' unused levels' AS note FROM c")
+def describe_levels(spark, sf):
+    df = levels.declare(read(spark, sf, "orders"), "o_orderpriority", _PRIORITY, ordered=True)
+    return describe.categorical(df.select("o_orderkey", "o_orderpriority")).select("variable", "n", "n_unique", "ordered", "n_unused", "note")
+
+
 @query("SELECT l_returnflag, 'high_tax' AS variable, count(*) AS obs, count(*) AS n, 0::BIGINT AS na, count(*) FILTER (l_tax > 0.04) AS \"n_TRUE\", count(*) FILTER (l_tax <= 0.04) AS \"n_FALSE\", round(avg((l_tax > 0.04)::INT), 6) AS \"p_TRUE\", CASE WHEN avg((l_tax > 0.04)::INT) < 0.01 OR avg((l_tax > 0.04)::INT) > 0.99 THEN 'near-constant' END AS note FROM lineitem GROUP BY l_returnflag")
 def describe_logical(spark, sf):
     return rounded(describe.logical(read(spark, sf, "lineitem").select("l_returnflag", (F.col("l_tax") > 0.04).alias("high_tax")), ["l_returnflag"]))

@@ -9,8 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from sondage.operators.levels import declare
+
 SCHEMA = "id int, date date, grp string, site string, flag boolean, consented boolean, score double, income double, visits int, claims int, downtime int, cohort string, lab_value double"
 
+#: The declared levels of grp, the last of which no row has.
+LEVELS = ("alpha", "beta", "gamma", "delta", "epsilon")
+
 
 def example_data(spark: SparkSession, n_id: int = 75, n_period: int = 12, seed: int = 2026) -> DataFrame:
     """``n_id`` units by ``n_period`` months. Rows are drawn by unit, so the table is the same in any partitioning."""
@@ -31,4 +36,4 @@ def example_data(spark: SparkSession, n_id: int = 75, n_period: int = 12, seed:
                     "downtime": np.where(rng.random(n) < 0.65, 0, rng.poisson(4, n)).astype(np.int32), "cohort": "2024", "lab_value": lab,
                 })
 
-    return spark.range(n_id).mapInPandas(run, SCHEMA)
+    return declare(spark.range(n_id).mapInPandas(run, SCHEMA), "grp", LEVELS)
