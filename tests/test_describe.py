@@ -131,6 +131,17 @@ def test_fingerprint(spark):
     assert clean.data_id(df.withColumn("x", F.when(F.col("id") == 7, 0).otherwise(F.col("x")))) != clean.data_id(df)
 
 
+def test_copies_of_a_frequent_key(spark, monkeypatch):
+    """Numbered in parts as by one window, null keys too, and rows without an order."""
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "often" if i % 5 < 4 else f"k{i}", i % 7) for i in range(3000)], "id long, k string, v int").repartition(9)
+    want = sorted(map(tuple, counts.copies(df, ["k"], row_id=["v", "id"]).collect()), key=repr)
+    monkeypatch.setattr(counts, "WIDE", 100)
+    assert sorted(map(tuple, counts.copies(df, ["k"], row_id=["v", "id"]).collect()), key=repr) == want
+    loose = counts.copies(df, ["k"]).toPandas()
+    assert sorted(loose[loose.k == "often"].copy_number) == list(range(1, 1801)) and sorted(loose[loose.k.isna()].copy_number) == list(range(1, 601))
+    assert counts.copies(df, ["k"], "unique").count() == 600 and counts.dupes(df, ["k"]).count() == 2400
+
+
 def test_copies(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 1), (4, None, None)], "id long, k string, v int")
     t = {r.id: (r.copy_number, r.n_copies) for r in counts.copies(df, ["k", "v"], row_id=["id"]).collect()}
