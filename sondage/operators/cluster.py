@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce as reduce_columns
@@ -190,11 +191,76 @@ def separation(df: DataFrame, cluster_col: str, names: Sequence[str]) -> DataFra
 PART = 1 << 16
 
 
+#: The generator's own draws take fewer objects than this.
+MANY = 1_000_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn without return are good; any numbers. Beyond the generator's
+    limit by the ratio of uniforms (Stadlober 1990): a hat of fixed shape over the mode,
+    scaled by the standard deviation, and log factorials for the exact acceptance."""
+    if good + bad < MANY:
+        return int(rng.hypergeometric(good, bad, n))
+    total, few, many = good + bad, min(good, bad), max(good, bad)
+    m = min(n, total - n)
+    if not m or not few:
+        x = 0
+    else:
+        share = few / total
+        centre = m * share + 0.5
+        spread = math.sqrt((total - m) / (total - 1) * m * share * (1 - share) + 0.5)
+        width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+        stop = min(min(m, few) + 1, math.floor(centre + 16 * spread))
+
+        def log_p(k: int) -> float:
+            return -(math.lgamma(k + 1) + math.lgamma(few - k + 1) + math.lgamma(m - k + 1) + math.lgamma(many - m + k + 1))
+
+        top = log_p((m + 1) * (few + 1) // (total + 2))
+        while True:
+            u, v = rng.random(), rng.random()
+            at = centre + width * (v - 0.5) / u if u else -1.0
+            if not 0 <= at < stop:
+                continue
+            x = int(at)
+            if 2 * math.log(u) <= log_p(x) - top:
+                break
+    # back from the smaller kind and the smaller of drawn and left
+    if good > bad:
+        x = m - x
+    return good - x if m < n else x
+
+
+def split(rng: np.random.Generator, labels: np.ndarray, n: int) -> np.ndarray:
+    """How many of each label are among ``n`` drawn without return."""
+    if labels.sum() < MANY:
+        return rng.multivariate_hypergeometric(labels, n, method="marginals")
+    out, left, rest = np.zeros_like(labels), int(labels.sum()), n
+    for i, k in enumerate(labels.tolist()):
+        out[i] = hypergeometric(rng, k, left - k, rest) if rest else 0
+        left, rest = left - k, rest - int(out[i])
+    return out
+
+
+def dealt_to(seed: Sequence[int], labels: np.ndarray, ends: np.ndarray, at: int) -> np.ndarray:
+    """How many of each label fall in part ``at`` when all rows are shuffled; ``ends`` are
+    running sums of the parts' sizes. Parts are halved, and the draw at each halving is
+    seeded by it, so every part finds its own in as many draws as halvings lead to it."""
+    lo, hi = 0, len(ends)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = split(np.random.default_rng([*seed, lo, hi]), labels, int(ends[mid - 1] - (ends[lo - 1] if lo else 0)))
+        if at < mid:
+            hi, labels = mid, left
+        else:
+            lo, labels = mid, labels - left
+    return labels
+
+
 def _deal(rng: np.random.Generator, labels: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """How many of each label fall in each part when all rows are shuffled."""
+    """How many of each label fall in each of a few parts when all rows are shuffled."""
     left, out = labels.copy(), np.empty((len(parts), len(labels)), np.int64)
     for i, n in enumerate(parts):
-        out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals") if i + 1 < len(parts) else left
+        out[i] = split(rng, left, int(n)) if i + 1 < len(parts) else left
         left = left - out[i]
     return out
 
@@ -202,8 +268,8 @@ def _deal(rng: np.random.Generator, labels: np.ndarray, parts: np.ndarray) -> np
 def shuffled_separations(df: DataFrame, cluster_col: str, key: str, names: Sequence[str], B: int, seed: int) -> dict[str, np.ndarray]:
     """For each number the separation of the clusters, and of B shufflings of all rows'
     labels. Rows are parted by a hash of their key; a shuffling first deals the labels
-    over the parts (the same in every task, as it is seeded by the shuffling) and then
-    shuffles those of each part, which is a shuffling of all rows."""
+    over the parts, by halvings that all tasks draw alike, and then shuffles those of
+    each part, which is a shuffling of all rows."""
     x = [finite(c).alias(f"x{i}") for i, c in enumerate(names)]
     rows = df.where(F.col(cluster_col).isNotNull())
     n = rows.count()
@@ -217,7 +283,7 @@ def shuffled_separations(df: DataFrame, cluster_col: str, key: str, names: Seque
     by_part = {i: held.pivot_table(index="part", columns="g", values=f"n{i}", aggfunc="sum", fill_value=0).reindex(columns=groups, fill_value=0) for i in range(len(names))}
     order = by_part[0].index.to_numpy() if names else np.empty(0)
     label_n = {i: t.sum().to_numpy().astype(np.int64) for i, t in by_part.items()}
-    part_n = {i: t.sum(axis=1).to_numpy().astype(np.int64) for i, t in by_part.items()}
+    ends = {i: np.cumsum(t.sum(axis=1).to_numpy().astype(np.int64)) for i, t in by_part.items()}
     means = [m.m or 0.0 for m in moments]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,10 +298,10 @@ def shuffled_separations(df: DataFrame, cluster_col: str, key: str, names: Seque
             sums[0] = np.bincount(code[there], v, len(groups))
             own = np.random.default_rng([seed, 7, i, at])
             for b in range(1, B + 1):
-                counts = _deal(np.random.default_rng([seed, b, i]), label_n[i], part_n[i])[at]
+                counts = dealt_to([seed, b, i], label_n[i], ends[i], at)
                 edge = np.concatenate([[0], np.cumsum(own.permutation(v))])
-                ends = np.cumsum(counts)
-                sums[b] = edge[ends] - edge[ends - counts]
+                stops = np.cumsum(counts)
+                sums[b] = edge[stops] - edge[stops - counts]
             out.append(pd.DataFrame({"variable": i, "rep": np.repeat(np.arange(B + 1), len(groups)), "g": np.tile(np.arange(len(groups)), B + 1), "s": sums.ravel()}))
         return pd.concat(out)
 

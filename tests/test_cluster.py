@@ -147,3 +147,40 @@ def test_best_arc_by_hand():
         assert (got.first, got.length) == want[1:]
     assert best_arc("wday", np.array([5, 0, 0, 0, 0, 0, 5]), np.full(7, 10)).label == "on Sat-Sun"
     assert best_arc("mday", np.eye(31, dtype=int)[20] * 9, np.full(31, 10)).label == "on the 21st of the month"
+
+
+def test_draws_of_any_number(monkeypatch):
+    """Small draws by ratio of uniforms against the generator's own, large ones by their moments."""
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((40, 25, 30), (7, 90, 60), (90, 7, 60), (500, 600, 1000), (3, 3, 6), (0, 9, 4), (9, 0, 4)):
+        own = rng.hypergeometric(good, bad, n, 20000)
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "MANY", 1)
+            got = np.array([cluster.hypergeometric(rng, good, bad, n) for _ in range(20000)])
+        lo, hi = min(own.min(), got.min()), max(own.max(), got.max())
+        a, b = (np.bincount(x - lo, minlength=hi - lo + 1) for x in (own, got))
+        there = a + b > 0
+        chi2 = ((a - b)[there] ** 2 / (a + b)[there]).sum()
+        assert chi2 < there.sum() + 6 * np.sqrt(2 * there.sum())
+    good, bad, n = 3_000_000_000, 2_000_000_000, 1_000_000_000
+    got = np.array([cluster.hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    sd = np.sqrt(n * 0.6 * 0.4 * (good + bad - n) / (good + bad - 1))
+    assert abs(got.mean() - 0.6 * n) < 5 * sd / np.sqrt(4000) and 0.93 < got.std() / sd < 1.07
+
+
+def test_labels_are_dealt_by_halvings():
+    rng = np.random.default_rng(1)
+    labels, sizes = np.array([300, 150, 50]), rng.integers(1, 20, 100)
+    sizes[-1] += 500 - sizes.sum() if sizes.sum() < 500 else 0
+    labels[0] += sizes.sum() - labels.sum()
+    ends = np.cumsum(sizes)
+    dealt = np.array([cluster.dealt_to([1, 2, 3], labels, ends, i) for i in range(100)])
+    assert (dealt.sum(1) == sizes).all() and (dealt.sum(0) == labels).all() and (dealt >= 0).all()
+    many = np.array([cluster.dealt_to([1, b, 3], labels, ends, 40) for b in range(3000)])
+    assert np.allclose(many.mean(0), sizes[40] * labels / labels.sum(), atol=0.15)
+    # five thousand million labels in 80,000 parts: seventeen draws lead to a part
+    parts = np.full(80_000, 62_500)
+    whole = np.array([3_000_000_000, 1_999_000_000, 1_000_000])
+    for at in (0, 41_234, 79_999):
+        own = cluster.dealt_to([1, 2, 3], whole, np.cumsum(parts), at)
+        assert own.sum() == 62_500 and abs(own[0] - 37_500) < 800 and own[2] < 100
