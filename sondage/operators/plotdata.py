@@ -14,7 +14,8 @@ from sondage.functions.dist import t_ppf
 from sondage.functions.kernel import bandwidth, peaks
 from sondage.functions.kernel import density as kernel_density
 from sondage.operators.counts import na_counts
-from sondage.operators.describe import finite, keyed, quantiles
+from sondage.functions.fmt import fixed
+from sondage.operators.describe import categorical, finite, gauss_check, keyed, logical, quantiles
 from sondage.operators.outliers import hinges
 from sondage.operators.select import class_of
 
@@ -137,3 +138,38 @@ def na_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Missing counts with a "a / b" label of the group."""
     t = na_counts(df, by)
     return t.withColumn("group", F.concat_ws(" / ", *[F.col(c).cast("string") for c in by])) if by else t
+
+
+def verdict_line(df: DataFrame, x: str, y: str | None = None) -> str:
+    """What a plot says under its title of the column that it shows: how far a number is
+    from normal and why, or the note of another column. Empty where there is nothing to say."""
+    c = y or x
+    kind = class_of(df.schema[c].dataType)
+    one = df.select(c)
+    if kind == "numeric":
+        r = gauss_check(one).first()
+        if r is None:
+            return ""
+        return r.gauss_note if r.gauss is None else f"gauss {fixed(r.gauss, 2)}" + (f": {r.gauss_note}" if r.gauss_note else "")
+    if kind == "logical":
+        r = logical(one).first()
+        return f"p(true) = {fixed(r.p_TRUE, 3)}: {r.note}" if r.note else ""
+    return (categorical(one).first().note if kind == "categorical" else "") or ""
+
+
+def diff_density(result: pd.DataFrame, draws: np.ndarray, row: int = 0, ref: float = 0.0, grid: int = 512) -> tuple[pd.DataFrame, dict[str, object]]:
+    """For one comparison of ``boot_diff``: (x, y) of the density of its replicates, and
+    what is marked on it: the share above ``ref``, the ends of the interval, the title.
+    The replicates are as few as they were asked to be."""
+    if not 0 <= row < len(result):
+        raise ValueError(f"there are {len(result)} comparisons")
+    d, r = draws[:, row], result.iloc[row]
+    share = float((d > ref).mean())
+    q1, q3 = np.quantile(d, [0.25, 0.75])
+    h = bandwidth(len(d), float(d.std(ddof=1)), float(q3 - q1))
+    marks = {"share_above": share, "ref": ref, "lower": r.lower, "upper": r.upper, "label": f"{r['to']} - {r['from']} ({r['stat']})", "title": f"{len(d)} replicates; {fixed(100 * share, 0)}% above {ref:g}"}
+    if not h:
+        return pd.DataFrame({"x": [d[0]], "y": [np.inf]}), marks
+    value, count = np.unique(d, return_counts=True)
+    at, y = kernel_density(value, count, h, value[0], value[-1], grid)
+    return pd.DataFrame({"x": at, "y": y}), marks

@@ -530,6 +530,14 @@ def boot_diff(spark, sf):
     return spark.createDataFrame(boot.boot_diff(read(spark, sf, "lineitem"), "l_tax", "l_returnflag")[0])
 
 
+@query("SELECT 'true - false (mean)' AS label, (avg(l_quantity) FILTER (l_quantity > 25) > avg(l_quantity) FILTER (l_quantity <= 25))::INT::DOUBLE AS share_above FROM lineitem")
+def diff_density(spark, sf):
+    """Groups so far apart that all replicates lie on one side."""
+    df = read(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") > 25).cast("string").alias("many"))
+    _, marks = plotdata.diff_density(*boot.boot_diff(df, "l_quantity", "many", R=200))
+    return spark.createDataFrame([(marks["label"], marks["share_above"])], "label string, share_above double")
+
+
 @query("SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, 0::BIGINT AS na, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY ALL")
 def stream_windowed(spark, sf):
     schema = read(spark, sf, "events").schema

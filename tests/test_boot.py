@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import boot
+from sondage.operators import boot, plotdata
 
 
 STATS = {"mean": np.mean, "median": np.median, "var": lambda v: np.var(v, ddof=1), "sd": lambda v: np.std(v, ddof=1)}
@@ -83,3 +83,25 @@ def test_differences(spark):
         t, draws = boot.boot_diff(df, "x", "g", R=500, adjust="bonferroni", ci_type=kind)
         assert draws.shape == (500, 3) and t.excludes_zero.tolist() == [False, True, True]
         assert ((t.lower < t.observed) & (t.observed < t.upper)).all()
+
+
+def test_density_of_a_difference(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(g, float(rng.normal(m, 1))) for g, m in (("a", 0), ("b", 0.1), ("c", 3)) for _ in range(100)], "g string, x double")
+    t, draws = boot.boot_diff(df, "x", "g", R=400)
+    table, marks = plotdata.diff_density(t, draws, 0, ref=0.05)
+    assert marks["label"] == "b - a (mean)" and np.isclose(marks["share_above"], (draws[:, 0] > 0.05).mean())
+    assert abs(np.trapezoid(table.y, table.x) - 1) < 0.01 and abs(table.x[table.y.idxmax()] - draws[:, 0].mean()) < 0.2
+    assert marks["title"].startswith("400 replicates; ") and marks["lower"] == t.lower[0]
+    with np.testing.assert_raises(ValueError):
+        plotdata.diff_density(t, draws, 3)
+
+
+def test_verdict_lines(spark):
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.lognormal(0, 1)), float(rng.normal()), True, "one" if i else "two", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "skewed double, even double, flag boolean, kind string, none double")
+    assert plotdata.verdict_line(df, "skewed").startswith("gauss 0.") and "skewed to the right" in plotdata.verdict_line(df, "kind", "skewed")
+    assert plotdata.verdict_line(df, "even").startswith("gauss ") and ":" not in plotdata.verdict_line(df, "even")
+    assert plotdata.verdict_line(df, "flag") == "p(true) = 1.000: near-constant"
+    assert plotdata.verdict_line(df, "kind") == "1 rare levels; nearly one value" and plotdata.verdict_line(df, "none") == ""
