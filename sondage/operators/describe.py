@@ -136,7 +136,7 @@ def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) ->
 
 
 #: A key of more different values than the first number is counted in so many parts.
-WIDE, CUTS = 20_000, 256
+WIDE, CUTS = 1_000_000, 256
 #: Cuts are compared in two steps, of this many each.
 STEP = 16
 
@@ -146,7 +146,13 @@ def running(values: DataFrame, keys: Sequence[str], with_n: bool = False) -> Dat
     the key (and ``n``, the count of all). A key of very many values is cut at its
     approximate quantiles, so that it is counted in many tasks; only the sums of the
     parts meet by key. Where the cuts lie doesn't matter for the counts, and they are
-    written, so that a task that runs again finds the same ones."""
+    written, so that a task that runs again finds the same ones. Where no key has very
+    many values, which their table says, they are summed as they are."""
+    if values.groupBy(*keys).agg(F.count("*").alias("k")).where(F.col("k") > WIDE).isEmpty():
+        group = Window.partitionBy(*keys)
+        rows = values.dropna(subset=list(keys)) if keys else values
+        out = rows.withColumn("upto", F.sum("cnt").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+        return out.select(*keys, "x", "cnt", "upto", *([F.sum("cnt").over(group).alias("n")] if with_n else []))
     cuts = F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 2000)
     held = values.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.when(F.count("*") > WIDE, cuts).alias("cuts"))
     coarse = F.array(*[F.get("cuts", F.lit(i - 1)) for i in range(STEP, CUTS, STEP)])

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sondage.operators import clean, counts, describe, frame, outliers, select
@@ -142,6 +143,17 @@ def test_copies_of_a_frequent_key(spark, monkeypatch):
     assert counts.copies(df, ["k"], "unique").count() == 600 and counts.dupes(df, ["k"]).count() == 2400
 
 
+def test_values_checked_for_outliers(spark):
+    rows = [(i, "a" if i < 30 else "b" if i < 39 else "c", float(i % 7) if i % 4 else None, 900.0 if i == 5 else float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    for method in ("iqr", "mad", "zscore"):
+        seen = Observation()
+        found = outliers.outliers_all(df, "id", ["g"], method=method, checked=seen).collect()
+        assert [(r.id, r.variable) for r in found if r.variable == "y" and r.value == 900] == [(5, "y")]
+        # the only row of c can't be judged
+        assert seen.get == {"x": sum(i % 4 > 0 for i in range(39)), "y": 39}
+
+
 def test_copies(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 1), (4, None, None)], "id long, k string, v int")
     t = {r.id: (r.copy_number, r.n_copies) for r in counts.copies(df, ["k", "v"], row_id=["id"]).collect()}
