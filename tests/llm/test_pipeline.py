@@ -97,4 +97,4 @@ def test_awkward_rows(spark):
     ids = [r.doc_id for r in one.collect()]
     assert ids.count(0) == 1 and 1 not in ids and ids.count(None) == 1
     assert corpus_pipeline.near_duplicates(spark, frames.empty(spark), SF).count() == 0
-    assert queries.QUERIES.keys() == {f"op{n}_{x}" for n, x in enumerate(("sentencepiece", "url_filters", "suffix_dedup", "secret_scan", "chat_format", "simhash", "decontaminate", "quality_classifier", "html_extract", "quality_rules"), 1)}
+    assert queries.QUERIES.keys() == {f"op{n}_{x}" for n, x in enumerate(("sentencepiece", "url_filters", "suffix_dedup", "secret_scan", "chat_format", "simhash", "decontaminate", "quality_classifier", "html_extract", "quality_rules", "word_bpe", "filter_audit", "turn_repair"), 1)}
