@@ -459,25 +459,48 @@ def constants(df: DataFrame) -> DataFrame:
     return out.select("c.variable", "c.class", "obs", "c.x.n", (F.col("obs") - F.col("c.x.n")).alias("na"), F.col("c.x.lo").alias("value"))
 
 
-def describe_all(df: DataFrame, by: Sequence[str] = (), which=None, **numeric_args) -> dict[str, DataFrame]:
-    """One table per class of the columns, in the order in which classes first appear, and the constants."""
+def _beside(table: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` with the other columns of ``more`` at the same keys."""
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
+    named = more.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *[c for c in more.columns if c not in keys])
+    return table.join(named, on, "left").drop(*[f"__{i}" for i in range(len(keys))])
+
+
+def describe_all(df: DataFrame, by: Sequence[str] = (), which=None, gauss: bool = False, smd: bool = False, reference=None, **numeric_args) -> dict[str, DataFrame]:
+    """One table per class of the columns, in the order in which classes first appear, and
+    the constants. With ``gauss`` numbers have their index and its reasons; with ``smd``
+    and one grouping column, numbers, flags and categories have the standardised
+    difference from the reference group, the first one if none is given."""
+    from sondage.operators import smd as differences
+
+    if smd and len(by) != 1:
+        raise ValueError("differences are between the groups of one column")
     use = df.select(*by, *cols(df, which, by=by))
     tables: dict[str, DataFrame] = {}
+    of: dict[str, list[str]] = {}
     for c in cols(use, None, by=by):
-        kind = class_of(use.schema[c].dataType)
-        if kind in tables or kind == "nested":
-            continue
+        of.setdefault(class_of(use.schema[c].dataType), []).append(c)
+    keys = [*by, "variable"]
+    for kind, names in of.items():
         if kind == "numeric":
             tables[kind] = numeric(use, by, **numeric_args)
+            if gauss:
+                told = gauss_check(use, by, names).select(*keys, "gauss", "gauss_kind", "gauss_note")
+                tables[kind] = _beside(tables[kind], told, keys)
+            if smd:
+                tables[kind] = _beside(tables[kind], differences.smd_numeric(use, by[0], names, reference), keys)
         elif kind == "categorical":
             tables[kind] = categorical(use, by)
+            if smd:
+                found = [(g, c, x) for c in names for g, x in differences.smd_levels(use, by[0], c, reference).items()]
+                group = use.schema[by[0]].dataType.simpleString()
+                tables[kind] = _beside(tables[kind], df.sparkSession.createDataFrame(found, f"`{by[0]}` {group}, variable string, smd double"), keys)
         elif kind == "logical":
             tables[kind] = logical(use, by)
-        else:
-            times = [t for t in columns_of(use, "time") if t not in by]
-            tables[kind] = time(use, times[0], by)
-            for t in times[1:]:
-                tables[kind] = tables[kind].unionByName(time(use, t, by))
+            if smd:
+                tables[kind] = _beside(tables[kind], differences.smd_binary(use, by[0], names, reference), keys)
+        elif kind == "time":
+            tables[kind] = reduce(DataFrame.unionByName, [time(use, t, by) for t in names])
     tables["constant"] = constants(use)
     return tables
 

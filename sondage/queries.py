@@ -97,6 +97,13 @@ def describe_categorical_by(spark, sf):
     return rounded(describe.categorical(read(spark, sf, "orders"), ["o_orderstatus"], ["o_orderpriority"]))
 
 
+@query(" UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS variable, n, round(m, 6) AS mean, CASE WHEN l_returnflag <> 'A' THEN round((m - m0) / sqrt((v + v0) / 2), 6) END AS smd, true AS assessed FROM (SELECT l_returnflag, count({c}) n, avg({c}) m, var_samp({c}) v FROM lineitem GROUP BY 1), (SELECT avg({c}) m0, var_samp({c}) v0 FROM lineitem WHERE l_returnflag = 'A')" for c in LINE))
+def describe_all(spark, sf):
+    """Numbers of every group with their difference from the first and how normal they are."""
+    table = describe.describe_all(read(spark, sf, "lineitem"), ["l_returnflag"], list(LINE), gauss=True, smd=True)["numeric"]
+    return rounded(table.select("l_returnflag", "variable", "n", "mean", "smd", F.col("gauss").between(0, 1).alias("assessed")))
+
+
 _PRIORITY = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE", "7-NEVER")
 
 

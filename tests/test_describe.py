@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from sondage.operators import clean, counts, describe, frame, outliers, select
+from sondage.operators import clean, counts, describe, frame, outliers, select, smd
 from sondage.sources.example import example_data
 
 
@@ -154,6 +154,21 @@ def test_values_checked_for_outliers(spark):
         assert seen.get == {"x": sum(i % 4 > 0 for i in range(39)), "y": 39}
 
 
+def test_all_tables_with_differences(spark):
+    rows = [(("a", "b", None)[i % 3], float(i % 11), "uvw"[i % 3 if i % 2 else 0], i % 5 == 0, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x double, kind string, flag boolean, at int").withColumn("at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("at")))
+    got = describe.describe_all(df, ["g"], gauss=True, smd=True)
+    assert set(got) == {"numeric", "categorical", "logical", "time", "constant"}
+    for kind, column in (("numeric", "x"), ("categorical", "kind"), ("logical", "flag")):
+        found = {r.g: r.smd for r in got[kind].where(F.col("variable") == column).collect()}
+        assert found["a"] is None and found["b"] is not None and set(found) == {"a", "b"}
+    assert got["numeric"].where("gauss between 0 and 1 and gauss_note is not null").count() == 2
+    levels = smd.smd_levels(df, "g", "kind")
+    assert abs({r.g: r.smd for r in got["categorical"].collect()}["b"] - levels["b"]) < 1e-12
+    with pytest.raises(ValueError):
+        describe.describe_all(df, smd=True)
+
+
 def test_copies(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 1), (4, None, None)], "id long, k string, v int")
     t = {r.id: (r.copy_number, r.n_copies) for r in counts.copies(df, ["k", "v"], row_id=["id"]).collect()}
