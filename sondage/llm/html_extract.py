@@ -72,6 +72,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset("ad ads adsbygoogle advert advertisement adverts sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist respond responses discussion disqus replies share sharing social related recommended newsletter subscribe signup popup modal footer".split())
 PLAIN = frozenset("top bottom left right site page post entry global header inner outer box block area wrap wrapper container section widget bar list items item links buttons posts form reader user the main".split())
 CONTENT = ("article", "main")
+#: Class names with one of these words and a number name what the page holds, not its kind: the number isn't part of the label.
+NUMBERED = frozenset("post postid page pageid entry article item node id comment topic thread story product attachment author".split())
 #: Parts into which a host's streams are folded, one step after the other; each divides the one before.
 SALTS = (4096, 64, 1)
 #: Tasks among which the rows of one host are parted where they meet what is known of it.
@@ -87,13 +89,18 @@ def _marked(name: str) -> bool:
     return not MARKS.isdisjoint(words) and all(w in MARKS or w in PLAIN for w in words)
 
 
+def _kind(name: str) -> str:
+    """A class name without the number of what it names; a column's or a heading's stays."""
+    return re.sub(r"[0-9]+", "0", name) if re.search(r"[0-9]", name) and not NUMBERED.isdisjoint(re.split(r"[^a-z]+", name)) else name
+
+
 def _label(tag: str, attrs: str, parent: str) -> str:
     """The element's name with its class names, and how it is marked."""
     found = {}
     for m in LABELS.finditer(attrs) if attrs else ():
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     names = found.get("class", "").split()
-    label = ".".join(["main" if found.get("role") == "main" and tag in ("div", "section") else tag, *sorted(names[:3])]).translate(_SAFE)
+    label = ".".join(["main" if found.get("role") == "main" and tag in ("div", "section") else tag, *sorted(map(_kind, names[:3]))]).translate(_SAFE)
     if tag in BOILERPLATE or found.get("role") in ROLES or (tag == "header" and parent in ("", "html", "body")):
         return label + GOES
     return label + MAY_GO if tag == "form" or (tag not in ("html", "body") and any(map(_marked, [*names, found.get("id", "")]))) else label

@@ -113,6 +113,19 @@ def test_layouts_without_article(spark):
     assert {r[0]: r[1] for r in texts(spark, rows)} == want
 
 
+def test_numbered_class_names(spark):
+    """A number in a class name doesn't make every page's element another one."""
+    for tag in ("div", "article"):
+        page = "<body class='postid-{0} single'><div class='col-4'><p>Box {1} of the day</p></div><" + tag + " class='post-{0} post type-post'><p>Text {0} says more of it.</p><p>And {1} ends it.</p></" + tag + "><div class='col-8'><p>Seen {1} times today</p></div></body>"
+        rows = [(i, f"http://h/{i}", page.format(1000 + i, i * 7 % 61)) for i in range(60)]
+        got = {r[0]: r[1] for r in texts(spark, rows)}
+        assert all(got[i].startswith(f"Text {1000 + i} says") or f"\n\nText {1000 + i} says" in got[i] for i in range(60))
+        df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], PAGE)
+        known = h.wrappers(h._pages(df, "page_id", "url", "html")).first()
+        assert len(known.wrapper) < 400 and "post-0" in known.wrapper.replace("_", "-")
+    assert [h._kind(x) for x in ("post-17", "postid-1", "col-4", "h2", "page-item-3", "w50", "id-9-x-2", "type-post")] == ["post-0", "postid-0", "col-4", "h2", "page-item-0", "w50", "id-0-x-0", "type-post"]
+
+
 def test_without_wrappers_the_notes_stay(spark):
     for kind in LAYOUTS:
         alone = h.main_text(layout(kind, 1), None)
