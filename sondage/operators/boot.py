@@ -78,10 +78,10 @@ def _sum_draws(vals: DataFrame, by: Sequence[str], stat: str, R: int, seed: int)
     dealt = materialize(dealt, "boot-values")
     weights = dealt.groupBy(*by, "part").agg(F.sum("cnt").alias("held"))
     weights = weights.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "held"))).alias("weights"))
-    rows = dealt.alias("v").join(weights.alias("w"), _same("v", "w", by)).select(*[F.col(f"v.{c}").alias(c) for c in by], "part", "x", "cnt", "centre", "weights")
-    # a part's weights are needed once, on its first row
-    first = F.row_number().over(_window([*by, "part"], "x")) == 1
-    rows = rows.select(*by, "part", "x", "cnt", "centre", F.when(first, F.col("weights")).alias("weights"))
+    # a part's weights are one more row of it, so that no value carries them
+    known = dealt.groupBy(*by, "part").agg(F.first("centre").alias("centre")).alias("p").join(weights.alias("w"), _same("p", "w", by))
+    known = known.select(*[F.col(f"p.{c}").alias(c) for c in by], "part", F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("cnt"), "centre", "weights")
+    rows = dealt.select(*by, "part", "x", "cnt", "centre", F.lit(None).cast(known.schema["weights"].dataType).alias("weights")).unionByName(known)
     types = {f.name: f.dataType.simpleString() for f in vals.schema}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +89,7 @@ def _sum_draws(vals: DataFrame, by: Sequence[str], stat: str, R: int, seed: int)
         listed = rows["weights"].dropna().iloc[0]
         held = np.array([e["held"] for e in listed])
         at = [e["part"] for e in listed].index(part)
-        got = _sums(rows, held, R, seed, group, at)
+        got = _sums(rows[rows["weights"].isna()].astype({"cnt": "int64"}), held, R, seed, group, at)
         return pd.DataFrame({**dict(zip(by, group, strict=True)), "rep": np.arange(R), "s0": got[:, 0], "s1": got[:, 1], "s2": got[:, 2], "centre": rows["centre"].iloc[0]})
 
     got = rows.groupBy(*by, "part").applyInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in by), "rep long, s0 double, s1 double, s2 double, centre double"]))
@@ -100,12 +100,6 @@ def _sum_draws(vals: DataFrame, by: Sequence[str], stat: str, R: int, seed: int)
     return sums.select(*by, "rep", value.alias("value"))
 
 
-def _window(by: Sequence[str], order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by).orderBy(order)
-
-
 #: Cells in which ranks and values meet.
 CELLS = 1024
 
@@ -198,18 +192,18 @@ def _middle(upto: DataFrame, by: Sequence[str]) -> DataFrame:
 def acceleration(df: DataFrame, col: str, by: Sequence[str], stat: str) -> DataFrame:
     """(by..., acc) of the BCa interval (Efron 1987): from the statistic without one
     copy of each value, in closed form, weighted by its count."""
-    vals = values(df, col, by)
     if stat == "median":
-        upto = running(vals, by)
+        upto = running(values(df, col, by), by)
         rows = upto.alias("v").join(_middle(upto, by).alias("g"), _same("v", "g", by))
         gone = F.col("upto") - 1
         low, high = F.floor((F.col("n") - 2) / 2), F.floor((F.col("n") - 1) / 2)
         jack = (F.when(low < gone, F.col("a0")).otherwise(F.col("a1")) + F.when(high < gone, F.col("c0")).otherwise(F.col("c1"))) / 2
     else:
-        n, mean = F.sum("cnt"), F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")
-        m = vals.groupBy(*by).agg(n.alias("n"), mean.alias("m"))
-        far = vals.alias("v").join(m.alias("g"), _same("v", "g", by)).select(*[F.col(f"v.{c}").alias(c) for c in by], "cnt", "n", "m", (F.col("x") - F.col("m")).alias("d"))
-        ss = far.groupBy(*by, "n", "m").agg(F.sum(F.col("d") * F.col("d") * F.col("cnt")).alias("ss"))
+        # sums over the rows themselves: without order, nothing has to be counted or shuffled first
+        vals = keyed(df, by).select(*by, finite(col).alias("x"), F.lit(1).alias("cnt")).where("x is not null")
+        m = vals.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("m"))
+        far = vals.alias("v").join(m.alias("g"), _same("v", "g", by)).select(*[F.col(f"v.{c}").alias(c) for c in by], "n", "m", (F.col("x") - F.col("m")).alias("d"))
+        ss = materialize(far.groupBy(*by, "n", "m").agg(F.sum(F.col("d") * F.col("d")).alias("ss")), "boot-squares")
         rows = vals.alias("v").join(ss.alias("g"), _same("v", "g", by))
         d, size = F.col("x") - F.col("m"), F.col("n")
         var = F.when(size > 2, F.greatest(F.lit(0.0), F.col("ss") - size / (size - 1) * d * d) / (size - 2)).otherwise(0.0)

@@ -105,3 +105,13 @@ def test_verdict_lines(spark):
     assert plotdata.verdict_line(df, "even").startswith("gauss ") and ":" not in plotdata.verdict_line(df, "even")
     assert plotdata.verdict_line(df, "flag") == "p(true) = 1.000: near-constant"
     assert plotdata.verdict_line(df, "kind") == "1 rare levels; nearly one value" and plotdata.verdict_line(df, "none") == ""
+
+
+def test_values_do_not_carry_the_weights_of_parts(spark):
+    """Else what is shuffled grows with the square of the different values."""
+    df = spark.range(20_000).select(F.lit("a").alias("g"), (F.col("id") * 1.5).alias("x"))
+    plan = boot.draws(df, "x", ["g"], "sd", R=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Window" not in plan and plan.count("Join") == 1
+    # the acceleration needs no table of value counts
+    plan = boot.acceleration(df, "x", ["g"], "sd")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "x#" in line.split("], [")[0] for line in plan.splitlines())
