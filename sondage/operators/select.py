@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,10 +190,11 @@ def _dealt(sizes: DataFrame, fine: str, n: int, seed: int) -> DataFrame:
 DRAW_BITS = 12
 
 
-def sample_within(df: DataFrame, by: str | Sequence[str], key: Sequence[str], prop: float | None = None, n: int | None = None, least: int = 2, seed: int = 1) -> DataFrame:
+def sample_within(df: DataFrame, by: str | Sequence[str], key: Sequence[str], prop: float | None = None, n: int | None = None, least: int = 2, seed: int = 1, half: str = "even") -> DataFrame:
     """Rows within every cluster, the values of ``by`` or the finest of nested columns: a
     rounded share, or ``n`` in all dealt out by largest remainder, but ``least`` at least
-    where a cluster has them. ``inclusion`` is the probability.
+    where a cluster has them. ``inclusion`` is the probability. A share that ends in one
+    half goes to the ``even`` number, or ``up``; it is taken of the share as written.
 
     A cluster's rows are counted by the leading bits of a hash of their key, and bins
     below the one in which its share ends are taken whole; only rows of that bin are
@@ -203,7 +205,10 @@ def sample_within(df: DataFrame, by: str | Sequence[str], key: Sequence[str], pr
     if prop is not None:
         if not 0 < prop <= 1:
             raise ValueError("a share lies above 0 and is 1 at most")
-        wanted = sizes.withColumn("__want", F.bround(F.col("__size") * prop).cast("long"))
+        if half not in ("even", "up"):
+            raise ValueError("a half goes to 'even' or 'up'")
+        share = F.col("__size").cast("decimal(19,0)") * F.lit(Decimal(str(prop)))
+        wanted = sizes.withColumn("__want", (F.bround if half == "even" else F.round)(share).cast("long"))
     else:
         wanted = _dealt(sizes, fine, n, seed)
     take = F.least(F.col("__size"), F.greatest(F.col("__want"), F.least(F.lit(least), F.col("__size"))))

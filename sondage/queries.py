@@ -339,7 +339,7 @@ def row_patterns(spark, sf):
 
 @query("SELECT o_orderstatus, least(count(*), greatest(round(count(*) * 0.1), least(2, count(*))))::BIGINT AS n FROM orders GROUP BY 1")
 def sample_within_counts(spark, sf):
-    return select.sample_within(read(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"], prop=0.1).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return select.sample_within(read(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"], prop=0.1, half="up").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 _CLERKS = "SELECT r_name, n_name, c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"

@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from sondage.operators import record, select
+from sondage.queries import QUERIES
 
 
 def panel(spark, n=900):
@@ -104,3 +105,13 @@ def test_rows_that_a_model_used(spark):
 
     rows, note = record.model_rows(df, Fitted(), ["id"], negate=True)
     assert rows.count() == 890 and note.lines() == ["890 of 900 rows (model, negated)"]
+
+
+def test_a_share_of_one_half_follows_the_rule_given(spark, tmp_path):
+    df = spark.range(80).select("id", F.when(F.col("id") < 45, "a").otherwise("b").alias("g"))
+    for half, n in (("even", [4, 4]), ("up", [5, 4])):
+        got = select.sample_within(df, "g", ["id"], prop=0.1, half=half).groupBy("g").count().orderBy("g").collect()
+        assert [r["count"] for r in got] == n
+    df.select(F.col("id").alias("o_orderkey"), F.col("g").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["sample_within_counts"](spark, str(tmp_path)).orderBy("o_orderstatus").collect()
+    assert [tuple(r) for r in got] == [("a", 5), ("b", 4)]
