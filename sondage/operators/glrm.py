@@ -33,6 +33,8 @@ from sondage.plans.shared import materialize
 
 GRID = (0.1, 0.5, 1, 2, 5, 10, 20, 50, 100)
 MOST_LEVELS = 200
+#: Times that a step of a row's scores is halved.
+HALVINGS = 12
 
 
 @dataclass
@@ -46,8 +48,11 @@ class Loss:
     offset: np.ndarray
 
     def means(self, eta: np.ndarray) -> np.ndarray:
-        mu = np.where(self.kind == "logistic", 1 / (1 + np.exp(-np.clip(eta, -30, 30))), eta)
-        mu = np.where(self.kind == "poisson", np.exp(np.clip(eta, -30, 30)), mu)
+        mu = np.array(eta, float)
+        at = self.kind == "logistic"
+        mu[:, at] = 1 / (1 + np.exp(-np.clip(eta[:, at], -30, 30)))
+        at = self.kind == "poisson"
+        mu[:, at] = np.exp(np.clip(eta[:, at], -30, 30))
         for at in self.levels():
             e = np.exp(eta[:, at] - eta[:, at].max(1, keepdims=True))
             mu[:, at] = e / e.sum(1, keepdims=True)
@@ -65,31 +70,84 @@ class Loss:
         w = np.select([self.kind == "logistic", self.kind == "multinomial", self.kind == "poisson"], [0.25, 0.5, np.maximum(np.maximum(mu, y), 0.01)], 1.0)
         return w * self.weight * seen, eta + (y - mu) / w
 
-    def total(self, a: np.ndarray, eta: np.ndarray, row: np.ndarray | None = None) -> float:
+    def costs(self, a: np.ndarray, eta: np.ndarray) -> np.ndarray:
+        """The loss of each row."""
         seen = ~np.isnan(a)
         y = np.where(seen, a, 0.0)
-        e = np.clip(eta, -30, 30)
-        count = np.exp(e) - y * e + np.where(y > 0, y * np.log(np.maximum(y, 1e-300)) - y, 0.0)
-        cell = np.select([self.kind == "logistic", self.kind == "poisson"], [np.logaddexp(0, eta) - y * eta, count], (y - eta) ** 2 / 2)
+        cell = (y - eta) ** 2 / 2
+        at = self.kind == "logistic"
+        cell[:, at] = np.logaddexp(0, eta[:, at]) - y[:, at] * eta[:, at]
+        at = self.kind == "poisson"
+        e, n = np.clip(eta[:, at], -30, 30), y[:, at]
+        cell[:, at] = np.exp(e) - n * e + np.where(n > 0, n * np.log(np.maximum(n, 1e-300)) - n, 0.0)
         for at in self.levels():
             top = eta[:, at].max(1, keepdims=True)
             cell[:, at] = -y[:, at] * (eta[:, at] - top - np.log(np.exp(eta[:, at] - top).sum(1, keepdims=True)))
-        cell = cell * self.weight * seen
-        return float((cell if row is None else cell * row[:, None]).sum())
+        return (cell * self.weight * seen).sum(1)
+
+    def total(self, a: np.ndarray, eta: np.ndarray, row: np.ndarray | None = None) -> float:
+        cost = self.costs(a, eta)
+        return float((cost if row is None else cost * row).sum())
+
+    def curvature(self, eta: np.ndarray, a: np.ndarray, y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes of each row's loss by its scores, and its second derivatives."""
+        k = y.shape[1]
+        seen = ~np.isnan(a)
+        mu = self.means(eta)
+        weight = self.weight * seen * row[:, None]
+        h = np.where(self.kind == "quadratic", 1.0, mu)
+        at = self.kind == "logistic"
+        h[:, at] = mu[:, at] * (1 - mu[:, at])
+        h = h * weight
+        second = (h @ (y[:, :, None] * y[:, None, :]).reshape(len(y), k * k)).reshape(-1, k, k)
+        for at in self.levels():
+            # levels of a block share their weight and are missing together
+            v, w = h[:, at] @ y[at], weight[:, at[0]]
+            second -= v[:, :, None] * v[:, None, :] / np.where(w > 0, w, 1.0)[:, None, None]
+        return ((np.where(seen, a, 0.0) - mu) * weight) @ y, second
 
     def scores(self, a: np.ndarray, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 40, row: np.ndarray | None = None) -> np.ndarray:
-        """The best scores of rows; ``row`` are weights of the rows."""
+        """The best scores of rows; ``row`` are weights of the rows. A row's problem is
+        convex: Newton's steps, halved where they don't lower the loss, and at last replaced
+        by the step of the quadratic above it, which does; rows that are there drop out."""
         k = y.shape[1]
         x = np.zeros((len(a), k))
         squares = (y[:, :, None] * y[:, None, :]).reshape(len(y), k * k)
-        for _ in range(1 if (self.kind == "quadratic").all() else steps):
+        row = np.ones(len(a)) if row is None else row
+
+        def upper(x: np.ndarray, a: np.ndarray, row: np.ndarray) -> np.ndarray:
             w, t = self.working(x @ y.T + offset, a)
-            if row is not None:
-                w = w * row[:, None]
+            w = w * row[:, None]
             left = (w @ squares).reshape(-1, k, k) + lam * np.eye(k)
-            last, x = x, np.linalg.solve(left, ((w * (t - offset)) @ y)[:, :, None])[:, :, 0]
-            if np.abs(x - last).max(initial=0.0) <= 1e-6 * (1 + np.abs(x).max(initial=0.0)):
+            return np.linalg.solve(left, ((w * (t - offset)) @ y)[:, :, None])[:, :, 0]
+
+        def cost(x: np.ndarray, a: np.ndarray, row: np.ndarray) -> np.ndarray:
+            return self.costs(a, x @ y.T + offset) * row + lam / 2 * (x**2).sum(1)
+
+        if (self.kind == "quadratic").all():
+            return upper(x, a, row)
+        at, held = np.arange(len(a)), cost(x, a, row)
+        for _ in range(steps):
+            if not len(at):
                 break
+            here, b, r = x[at], a[at], row[at]
+            slope, second = self.curvature(here @ y.T + offset, b, y, r)
+            new = here + np.linalg.solve(second + lam * np.eye(k), (slope - lam * here)[:, :, None])[:, :, 0]
+            now = cost(new, b, r)
+            most = held + 1e-12 * (1 + np.abs(held))
+            worse = np.flatnonzero(~(now <= most))
+            for _ in range(HALVINGS):
+                if not len(worse):
+                    break
+                new[worse] = (here[worse] + new[worse]) / 2
+                now[worse] = cost(new[worse], b[worse], r[worse])
+                worse = worse[~(now[worse] <= most[worse])]
+            if len(worse):
+                new[worse] = upper(here[worse], b[worse], r[worse])
+                now[worse] = cost(new[worse], b[worse], r[worse])
+            x[at] = new
+            left = np.abs(new - here).max(1) > 1e-6 * (1 + np.abs(new).max(1))
+            at, held = at[left], now[left]
         return x
 
 
@@ -224,6 +282,10 @@ def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: floa
             raise ValueError("a weight is missing, negative or infinite")
         more = [F.col(weights).cast("double").alias("w")]
     rows = materialize(df.select(key, *[F.coalesce(x, F.lit(float("nan"))).alias(c) for c, x in zip(cols, enc.cells, strict=True)], *more), "glrm-cells")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:
+        # a table of few files would keep few cores busy in every pass
+        rows = materialize(rows.repartition(cores), "glrm-cells")
     k1, weigh = rank + 1, ["w"] if more else []
     weighted = bool(weigh)
 

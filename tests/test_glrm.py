@@ -111,3 +111,20 @@ def test_fitted_values_are_on_the_columns_scales(spark):
     got = got.loc[want.index]
     assert np.corrcoef(got.x, want.x)[0, 1] > 0.9 and abs(got.x.mean() - want.x.mean()) < 0.05
     assert (got.flag == want.flag).mean() > 0.7 and (got.kind == want.kind).mean() > 0.6 and got.visits.min() > 0
+
+
+def test_scores_are_at_their_minimum(spark):
+    """Archetypes far from zero, where steps of bounds above the loss need thousands."""
+    from sondage.operators.glrm import Loss
+
+    rng = np.random.default_rng(2)
+    kind = np.array(["poisson", "quadratic", "quadratic", *["multinomial"] * 3, "logistic"])
+    loss = Loss(kind, np.array([0, 1, 2, 3, 3, 3, 4]), np.array([1.4, 2, 2, 0.9, 0.9, 0.9, 1.4]), np.zeros(7))
+    y = np.array([[0.02, -0.04], [1.3, -5.0], [-0.7, 16.2], [-25.9, -6.1], [-0.1, 8.6], [26.0, -2.4], [9.0, 3.0]])
+    offset, lam = np.array([1.4, 0.5, -1.4, -2.2, 1.0, -2.1, 0.0]), 1.0
+    a = np.column_stack([rng.integers(1, 8, 300), rng.normal(size=(300, 2)), np.eye(3)[rng.integers(0, 3, 300)], rng.integers(0, 2, 300)]).astype(float)
+    a[7], a[8, 3:6] = np.nan, np.nan
+    x = loss.scores(a, y, offset, lam)
+    mu = loss.means(x @ y.T + offset)
+    slope = (np.where(np.isnan(a), 0, a - mu) * loss.weight) @ y - lam * x
+    assert np.abs(slope).max() < 1e-3 and not x[7].any()
