@@ -32,8 +32,10 @@ def smd_binary(df: DataFrame, by: str, names: list[str], reference=None) -> Data
     top = F.max("x")
     for c, v in given.items():
         top = F.when(F.first("variable") == c, F.lit(v)).otherwise(top)
-    second = long.groupBy("variable").agg(top.alias("top"))
-    p = long.join(second, "variable").groupBy(by, "variable").agg(F.avg((F.col("x") == F.col("top")).cast("int")).alias("m"))
+    # levels are counted where the rows are; a join of the rows would bring a variable's into one task
+    counts = long.groupBy(by, "variable", "x").agg(F.count("*").alias("n"))
+    second = counts.groupBy("variable").agg(top.alias("top"))
+    p = counts.join(second, "variable").groupBy(by, "variable").agg((F.sum(F.when(F.col("x") == F.col("top"), F.col("n")).otherwise(0)) / F.sum("n")).alias("m"))
     p = p.withColumn("v", F.col("m") * (1 - F.col("m")))
     return _against(p, by, _reference(df, by, reference), (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2))
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from sondage.operators import describe, levels, smd
@@ -54,3 +56,12 @@ def test_first_level_is_the_reference(spark):
 def test_example_declares_a_level_that_no_row_has(spark):
     got = {r.variable: r for r in describe.categorical(example_data(spark)).collect()}["grp"]
     assert got.n_unused == 1 and got.n_unique == 4
+
+
+def test_rows_are_counted_before_they_meet_their_second_level(spark):
+    """A join of the rows brings all those of a variable into one task."""
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "y"), ("b", "x"), ("b", None)], "g string, s string")
+    got = smd.smd_binary(df, "g", ["s"])
+    assert {r.g: r.smd and round(r.smd, 6) for r in got.collect()} == {"a": None, "b": round((2 / 3 - 0.5) / ((2 / 9 + 0.25) / 2) ** 0.5, 6)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[g#\d+, variable#\d+, x#\d+\]", plan)
