@@ -1,19 +1,19 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 A text's shingles are XXH64 hashes of five ASCII-lowered words in a row (of all
-words, if there are fewer). Equal texts after that are one node. Candidates meet
-by MinHash: ``BANDS`` keys of ``DEEP`` minima each, so that a pair of similarity
-0.8 shares no key with probability (1 - 0.8^DEEP)^BANDS, which is below 1e-6, and
-a more similar pair with less. Each bucket is one star, and the components of the
-stars are clusters; the shingles of a cluster's nodes meet in one task, and there the
+words, if there are fewer). Equal texts after that are one node. Candidates are, first,
+the links of op6: SimHash fingerprints (of the different shingles) that differ in two
+bits at most, found by its groupings and trie join. At similarity 0.8 two fingerprints
+of 64 bits are 9 to 10 bits apart on average, beyond what blocks of equal bits can bring
+together, so candidates also meet by MinHash: ``BANDS`` keys of ``DEEP`` minima each, so
+that a pair of similarity 0.8 shares no key with probability (1 - 0.8^DEEP)^BANDS, which
+is below 1e-6, and a more similar pair with less. Each bucket is one star, and the
+components of links and stars are clusters; the shingles of a cluster's nodes meet in one task, and there the
 links are those of a similarity join of all of them: its prefix filter takes shingles
 from the rarest on, so texts that share much but not enough (headers, licences,
 navigation) meet nobody. Pairs are not listed, so rows stay in proportion to the nodes;
 the task of a cluster grows with the cluster.
 
-SimHash can't do this: at similarity 0.8 two fingerprints of 64 bits are 9 to 10
-bits apart on average, beyond what blocks of equal bits can bring together.
-
 Defined results: null and blank texts are one node; texts of fewer than five words
 are near only if equal; rows with a null id get a component, whose id is null if no
 member has one; an empty table gives an empty result; other columns are ignored.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm.common import LOWER_BYTES, text_of, whole_keys
 from sondage.llm.components import components
+from sondage.llm.simhash import links, majority
 from sondage.plans.shared import materialize
 
 SHINGLE, SEED = 5, 42
@@ -73,12 +74,13 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, keys = [], []
+        nodes, prints, keys = [], [], []
         for t in b["text"].to_pylist():
             node, found = shingles(t)
             nodes.append(node)
+            prints.append(majority(found.view(np.uint8)))
             keys.append(band_keys(found))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["tid"], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tid", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["tid"], pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tid", "node", "print", "keys"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -163,15 +165,27 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
 
 
+def print_links(nodes: DataFrame) -> DataFrame:
+    """From (node, print) the links (u, v) of nodes whose fingerprints differ in two bits
+    at most: a fingerprint's nodes are a star, and its first node stands for it in the join."""
+    heads = materialize(nodes.groupBy("print").agg(F.min("node").alias("head")), "near-prints")
+    stars = nodes.join(heads, "print").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    near = links(heads.select("print"))
+    for end in ("u", "v"):
+        near = near.join(heads.select(F.col("print").alias(end), F.col("head").alias(f"{end}_head")), end)
+    return stars.unionByName(near.select(F.col("u_head").alias("u"), F.col("v_head").alias("v")))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tid, root, component_id) of each row, ``tid`` being the xxhash64 of its text."""
     text = text_of(text_col)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
-    rows = materialize(texts.mapInArrow(_sketches, "doc_id long, tid long, node long, keys array<long>"), "near-sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.min_by(F.struct("tid", "keys"), "tid").alias("x")).select("node", "x.*"), "near-nodes")
+    rows = materialize(texts.mapInArrow(_sketches, "doc_id long, tid long, node long, print long, keys array<long>"), "near-sketches")
+    nodes = materialize(rows.groupBy("node").agg(F.min_by(F.struct("tid", "print", "keys"), "tid").alias("x")).select("node", "x.*"), "near-nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     stars = buckets.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    clusters = components(buckets.join(stars, "key").where("u <> node").select("u", F.col("node").alias("v")))
+    met = buckets.join(stars, "key").where("u <> node").select("u", F.col("node").alias("v"))
+    clusters = components(print_links(nodes.select("node", "print")).unionByName(met))
     held = materialize(nodes.join(clusters, "node").select(F.col("root").alias("cluster"), "node", "tid"), "near-clusters")
     first = texts.join(held.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
     judged = held.join(first, "tid").select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster", "node")

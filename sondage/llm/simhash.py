@@ -49,7 +49,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         h = digest(joined, seed)
     else:
         h = b"".join([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[shingle - 1 :])])  # noqa: B905
-    bits = np.frombuffer(h, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(h, np.uint8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit value of the bits set in over half of the hashes, given as bytes."""
+    bits = hashes.reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(bits), 1 << 16):
         ones += np.unpackbits(bits[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)

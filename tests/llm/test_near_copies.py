@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from sondage.llm import near_copies
@@ -144,3 +145,30 @@ def test_very_many_near_copies_of_one_text():
     start = time.perf_counter()
     assert set(near_copies.linked(sets)) == {0}
     assert time.perf_counter() - start < 30
+
+
+def test_fingerprints_link_without_minhash(spark, monkeypatch):
+    """Fingerprints up to two bits apart bring copies together, even where no MinHash key does."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        w = frames.words(rng, 1500, 5000).split()
+        for at in (None, 3, 700, 1400):
+            texts.append(" ".join(w if at is None else [*w[:at], "changed", *w[at + 1 :]]))
+    sketches = near_copies._sketches
+
+    def without_keys(batches):
+        for b in sketches(batches):
+            yield b.set_column(b.num_columns - 1, "keys", pa.array([[]] * b.num_rows, pa.list_(pa.int64())))
+
+    monkeypatch.setattr(near_copies, "_sketches", without_keys)
+    found = [near_copies.shingles(t)[1] for t in texts]
+    prints = [near_copies.majority(x.view(np.uint8)) & (1 << 64) - 1 for x in found]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and near_copies.similar(found[i], found[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frames.documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == up and len(set(up)) < len(texts)
