@@ -4,7 +4,9 @@ Reconstruction: principal components fitted to the most regular rows; the score
 is the squared distance from their span, judged against ``B`` data sets of all n
 rows simulated from the fitted structure: blocks of them are drawn in the tasks,
 keyed by block, and meet the scores in ranges of the score, where they are sorted
-and counted. Noise scale and covariance come from all rows, cuts and medians from
+and counted. Ranges are of bounded size and tasks get a few each, so a task's memory
+doesn't grow with the rows; p falls with the score, so adjusted values (Benjamini-Hochberg)
+come from ranks within ranges and the counts and minima of the other ranges. Noise scale and covariance come from all rows, cuts and medians from
 histograms that are refined pass by pass. The tails of residuals are held against those
 of the simulated sets, blocks of at most ``BLOCK`` rows at a time: of up to one block
 that is the ratio of two percentiles of all rows, of more the mean over blocks, for real
@@ -20,19 +22,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.operators.cluster import bh
 from sondage.operators.describe import finite, quantiles
 from sondage.operators.linalg import interpolated, matrix_sum, order_statistics, project, quantile_of
-from sondage.operators.parallel import Parallel, dealt, parallel_analysis
+from sondage.operators.parallel import STRATUM, Parallel, dealt, parallel_analysis
 from sondage.operators.select import class_of
-from sondage.plans.shared import materialize
+from sondage.plans.shared import in_parts, materialize
 
 SAMPLE, MOST_LEVELS = 20_000, 200
 #: Simulated rows drawn by one generator; simulated values in a range of the score.
 BLOCK, RANGE = 1 << 15, 1 << 18
+#: Simulated values that a task holds before it deals them to ranges.
+PACK = 1 << 20
 
 
 #: What a scan says where residuals' tails are heavier than those it simulates.
@@ -84,18 +88,20 @@ class Structure:
         y = rng.multivariate_normal(np.zeros(k), self.common, rows) @ self.v.T + rng.normal(0, 1, (rows, p)) * self.scale
         return self.residuals(y) * self.ratio**0.5
 
-    def simulated(self, spark: SparkSession, reps: range, f: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-        """``f`` of the number of a data set and the residuals of one of its blocks, over all blocks."""
+    def folded(self, spark: SparkSession, reps: range, f: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """``f`` of a task's pairs of the number of a data set and the residuals of one of its blocks."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in b["id"].to_numpy().tolist():
-                    rep = reps[i // self.blocks]
-                    yield f(rep, self.drawn(rep, i % self.blocks))
+            ids = (i for b in batches for i in b["id"].to_numpy().tolist())
+            yield from f((reps[i // self.blocks], self.drawn(reps[i // self.blocks], i % self.blocks)) for i in ids)
 
         many = len(reps) * self.blocks
         return spark.range(many).repartition(min(many, 4 * spark.sparkContext.defaultParallelism), "id").mapInArrow(run, schema)
 
+    def simulated(self, spark: SparkSession, reps: range, f: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+        """``f`` of the number of a data set and the residuals of one of its blocks, over all blocks."""
+        return self.folded(spark, reps, lambda pairs: (f(rep, r) for rep, r in pairs), schema)
+
 
 @dataclass
 class Scan:
@@ -176,42 +182,84 @@ def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None,
         edges = np.unique(np.r_[np.quantile((made.drawn(B + 3, 0) ** 2).sum(1), at), own])
     place = lambda s: np.searchsorted(edges, s, "right")
 
-    def summed(rep: int, r: np.ndarray) -> pa.RecordBatch:
-        cell, m = np.unique(place((r**2).sum(1)), return_counts=True)
-        return _batch(rep=np.full(len(cell), rep), cell=cell, n=m, tail=np.r_[tail_of(r, k, trim) * len(r), np.zeros(len(cell) - 1)])
+    def summed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held, tails = np.zeros(len(edges) + 1, np.int64), {}
+        for rep, r in pairs:
+            held += np.bincount(place((r**2).sum(1)), minlength=len(held))
+            tails[rep] = tails.get(rep, 0.0) + tail_of(r, k, trim) * len(r)
+        cell, none = np.flatnonzero(held), [None]
+        yield _batch(rep=pa.array(none * len(cell), pa.int64()), cell=cell, n=held[cell], tail=pa.array(none * len(cell), pa.float64()))
+        yield _batch(rep=pa.array(list(tails), pa.int64()), cell=pa.array(none * len(tails), pa.int64()), n=pa.array(none * len(tails), pa.int64()), tail=pa.array(list(tails.values()), pa.float64()))
+
+    def by_cell(rows: DataFrame) -> np.ndarray:
+        out = np.zeros(len(edges) + 1, np.int64)
+        for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[r.cell] = r.n
+        return out
 
-    tally = materialize(made.simulated(spark, range(B), summed, "rep long, cell long, n long, tail double"), "anomaly-tally")
-    count = np.zeros(len(edges) + 1, np.int64)
-    for r in tally.groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        count[r.cell] = r.n
+    @F.pandas_udf("long")
+    def cell_of(s: pd.Series) -> pd.Series:
+        return pd.Series(place(s.to_numpy()))
+
+    tally = materialize(made.folded(spark, range(B), summed, "rep long, cell long, n long, tail double"), "anomaly-tally")
+    count = by_cell(tally.where("cell is not null"))
     higher = count.sum() - np.cumsum(count)
+    placed = real.withColumn("cell", cell_of("score"))
+    own_higher = n - np.cumsum(by_cell(placed.withColumn("n", F.lit(1))))
 
     # tails block by block, of real rows dealt at random and of simulated ones
     def own_tail(t: pa.Table) -> pa.Table:
         r = made.residuals(np.column_stack([t[c].to_numpy() for c in cols]))
         return pa.table({"tail": [tail_of(r, k, trim) * len(r)]})
 
-    strata = dealt(z, key, n, seed).select("stratum", *cols).groupBy("stratum").applyInArrow(own_tail, "tail double")
+    strata = in_parts(dealt(z, key, n, seed).select("stratum", *cols), "stratum", -(-n // STRATUM)).groupBy("stratum").applyInArrow(own_tail, "tail double")
     heavy = strata.agg(F.sum("tail")).first()[0] / n
-    tails = [r.t / n for r in tally.groupBy("rep").agg(F.sum("tail").alias("t")).collect()]
+    tails = [r.t / n for r in tally.where("rep is not null").groupBy("rep").agg(F.sum("tail").alias("t")).collect()]
     tail_p = (1 + sum(t >= heavy for t in tails)) / (B + 1)
 
-    null = made.simulated(spark, range(B), lambda _, r: _batch(cell=place((r**2).sum(1)), s=(r**2).sum(1)), "cell long, s double")
+    def packed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The scores of many blocks, one row for each range: few rows are shuffled."""
+        held: list[np.ndarray] = []
+
+        def dealt_out() -> pa.RecordBatch:
+            s = np.sort(np.concatenate(held))
+            cell, first = np.unique(place(s), return_index=True)
+            return _batch(cell=cell, s=pa.ListArray.from_arrays(pa.array(np.r_[first, len(s)], pa.int32()), pa.array(s)))
+
+        for _, r in pairs:
+            held.append((r**2).sum(1))
+            if sum(map(len, held)) >= PACK:
+                yield dealt_out()
+                held.clear()
+        if held:
+            yield dealt_out()
+
+    def compare(real: pa.Table, sims: pa.Table) -> pa.Table:
+        score, cell = real["score"].to_numpy(), real["cell"].to_numpy()
+        s, own = np.sort(pc.list_flatten(sims["s"]).to_numpy()), np.sort(score)
+        p = (1 + len(s) - np.searchsorted(s, score, "left") + higher[cell]) / (n * B + 1)
+        # of rows that share p the lowest score has the last rank, and the minimum over lower scores finds it
+        raw, order = p * n / (len(own) - np.searchsorted(own, score, "left") + own_higher[cell]), np.argsort(score, kind="stable")
+        adj = np.empty(len(raw))
+        adj[order] = np.minimum.accumulate(raw[order])
+        return pa.table({key: real[key], "score": score, "at": real["at"], "p": p, "cell": cell, "adj": adj})
+
+    null, cells = made.folded(spark, range(B), packed, "cell long, s array<double>"), len(edges) + 1
+    kind = dict(df.dtypes)[key]
+    both = in_parts(placed, "cell", cells).groupBy("cell").cogroup(in_parts(null, "cell", cells).groupBy("cell"))
+    out = materialize(both.applyInArrow(compare, f"`{key}` {kind}, score double, at double, p double, cell long, adj double"), "anomaly-p")
+    lower = np.full(cells + 1, 1.0)
+    for r in out.groupBy("cell").agg(F.min("adj").alias("adj")).collect():
+        lower[r.cell + 1] = r.adj
+    lower = np.minimum.accumulate(np.minimum(lower, 1.0))
 
-    def compare(real: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
-        s = np.sort(sims["s"].to_numpy())
-        above = len(s) - np.searchsorted(s, real["score"].to_numpy(), "left") + higher[real["cell"].to_numpy()]
-        return pd.DataFrame({key: real[key], "score": real["score"], "at": real["at"], "p": (1 + above) / (n * B + 1)})
+    @F.pandas_udf("double")
+    def below(cell: pd.Series) -> pd.Series:
+        return pd.Series(lower[cell.to_numpy()])
 
-    @F.pandas_udf("long")
-    def cell_of(s: pd.Series) -> pd.Series:
-        return pd.Series(place(s.to_numpy()))
-
-    kind = dict(df.dtypes)[key]
-    out = real.withColumn("cell", cell_of("score")).groupBy("cell").cogroup(null.groupBy("cell")).applyInPandas(compare, f"`{key}` {kind}, score double, at double, p double")
-    out = bh(materialize(out, "anomaly-p"), "p", n)
     driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
-    out = materialize(out.select(key, "score", driver.alias("driver"), "p", "p_adj", (F.col("p_adj") < alpha).alias("flag")), "anomaly")
+    out = out.select(key, "score", driver.alias("driver"), "p", F.least("adj", below("cell")).alias("p_adj"))
+    out = materialize(out.withColumn("flag", F.col("p_adj") < alpha), "anomaly")
     return Scan(out, k, found, tail_p, HEAVY_TAILS.format(tail_p) if tail_p <= 0.05 else "", made, B)
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.plans.shared import in_parts
+
 STRATUM = 1 << 15
 
 
@@ -58,7 +60,7 @@ def permuted_grams(rows: DataFrame, key: str, cols: Sequence[str], owner: Sequen
         return pa.table({"b": pa.array(range(B + 1), pa.int32()), "v": pa.array([o.tolist() for o in out], pa.list_(pa.float64()))})
 
     few = dealt(rows.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), key, n, seed).drop(key)
-    each = few.groupBy("stratum").applyInArrow(products, "b int, v array<double>").select("b", F.posexplode("v").alias("at", "v"))
+    each = in_parts(few, "stratum", -(-n // STRATUM)).groupBy("stratum").applyInArrow(products, "b int, v array<double>").select("b", F.posexplode("v").alias("at", "v"))
     out = np.zeros((B + 1, p * p))
     for r in each.groupBy("b", "at").agg(F.sum("v").alias("v")).collect():
         out[r.b, r["at"]] = r.v

@@ -24,3 +24,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, tag: str) -> DataFrame:
+    """``materialize`` in as many files as there are cores, so that passes over rows that
+    come from few files use all of them."""
+    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism), tag)
+
+
+def in_parts(df: DataFrame, key: str, groups: int, most: int = 16) -> DataFrame:
+    """Dealt by ``key``, which has about ``groups`` values of bounded size, to tasks whose
+    number grows with them, so that a task gets about ``most`` groups at any size."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(groups, max(4 * cores, -(-groups // most)))), key)

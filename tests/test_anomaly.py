@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from sondage.operators import anomaly
 
@@ -113,3 +114,19 @@ def test_band_by_rank(spark, monkeypatch):
     pooled = np.concatenate(sims)
     rows = got.found.toPandas()
     assert np.allclose(rows.p, [(1 + (pooled >= s).sum()) / (n * 19 + 1) for s in rows.score])
+
+
+def test_adjusted_values_over_many_ranges(spark, monkeypatch):
+    """Ranges that are ranked apart give what Benjamini and Hochberg give for all rows at once,
+    and tasks grow in number with the ranges."""
+    from sondage.functions.dist import p_adjust
+    from sondage.plans.shared import in_parts
+
+    monkeypatch.setattr(anomaly, "BLOCK", 300)
+    monkeypatch.setattr(anomaly, "RANGE", 256)
+    monkeypatch.setattr(anomaly, "PACK", 500)
+    df = normal(spark, 1500, df=3).unionByName(normal(spark, 300, df=3).withColumn("id", F.col("id") + 5000))
+    got = anomaly.scan(df, "id", [f"c{j}" for j in range(6)], rank=2, B=19).found.toPandas()
+    want = np.array(p_adjust(got.p.tolist(), "BH"), float)
+    assert len(got) == 1800 and np.allclose(got.p_adj, want, rtol=1e-12) and 0 < got.flag.sum() == (want < 0.05).sum()
+    assert in_parts(spark.range(10), "id", 10_000).rdd.getNumPartitions() == 625
