@@ -15,6 +15,7 @@ driver from bounded hashed samples, scores in the tasks."""
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from sondage.operators.describe import finite, quantiles
 from sondage.operators.linalg import interpolated, matrix_sum, order_statistics, project, quantile_of
 from sondage.operators.parallel import STRATUM, Parallel, dealt, parallel_analysis
 from sondage.operators.select import class_of
-from sondage.plans.shared import in_parts, materialize
+from sondage.plans.shared import in_parts, materialize, spread
 
 SAMPLE, MOST_LEVELS = 20_000, 200
 #: Simulated rows drawn by one generator; simulated values in a range of the score.
@@ -356,13 +357,50 @@ def _grow(x: np.ndarray, levels: Sequence[int], rng: np.random.Generator, depth:
     return nodes
 
 
+#: The most cells of a tree's table.
+CELLS = 1 << 16
+
+
+def _table(nodes: list[Node], levels: Sequence[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+    """A tree as a table of its leaves by the place of each column: for a number how many of
+    the tree's cuts are at or below it, for a category its level, and last a gap. (cuts,
+    leaves, path lengths), or None where the table would be too large."""
+    cuts = [np.unique([x[1] for x in nodes if x[0] == c]) if not k else np.empty(0) for c, k in enumerate(levels)]
+    shape = [(k or len(cut) + 1) + 1 for k, cut in zip(levels, cuts, strict=True)]
+    if math.prod(shape) > CELLS:
+        return None
+    leaf, length = np.empty(shape, np.uint16), []
+    work = [(0, [np.arange(m) for m in shape])]
+    while work:
+        at, box = work.pop()
+        c, cut, go, left, right, most, path = nodes[at]
+        if c < 0:
+            leaf[np.ix_(*box)] = len(length)
+            length.append(path)
+            continue
+        own = np.zeros(shape[c], bool)
+        own[:-1] = go if go is not None else np.arange(shape[c] - 1) <= np.searchsorted(cuts[c], cut)
+        own[-1] = most
+        for to, side in ((left, own[box[c]]), (right, ~own[box[c]])):
+            if side.any():
+                work.append((to, [*box[:c], box[c][side], *box[c + 1 :]]))
+    return cuts, leaf.ravel(), np.array(length)
+
+
 class Forest:
-    """Trees as arrays, scored over blocks of rows."""
+    """Trees as tables of their leaves, or as arrays where those are too large, scored over
+    blocks of rows. A block's values are sorted once, so a tree's cuts are looked up among
+    them, not each value among the cuts."""
 
     def __init__(self, trees: Sequence[list[Node]], levels: Sequence[int], size: int) -> None:
+        self.levels = list(levels)
+        self.tables = [_table(nodes, levels) for nodes in trees]
         wide = max([1, *levels])
         self.trees = []
-        for nodes in trees:
+        for nodes, table in zip(trees, self.tables, strict=True):
+            if table:
+                self.trees.append(None)
+                continue
             go = np.zeros((len(nodes), wide), bool)
             for i, n in enumerate(nodes):
                 if n[2] is not None:
@@ -373,17 +411,41 @@ class Forest:
 
     def score(self, a: np.ndarray) -> np.ndarray:
         total = np.zeros(len(a))
-        for (col, cut, left, right, most, length), go in self.trees:
-            at = np.zeros(len(a), int)
-            while len(i := np.flatnonzero(col[at] >= 0)):
-                n = at[i]
-                v = a[i, col[n]]
-                gap = np.isnan(v)
-                code = np.where(self.category[col[n]] & ~gap, v, 0).astype(int)
-                go_left = np.where(gap, most[n], np.where(self.category[col[n]], go[n, code], v < cut[n]))
-                at[i] = np.where(go_left, left[n], right[n])
-            total += length[at]
-        return 2 ** (-total / len(self.trees) / self.norm)
+        order = [np.argsort(x, kind="stable") for x in a.T]
+        back, there, values = [np.empty_like(i) for i in order], [], []
+        for c, i in enumerate(order):
+            back[c][i] = np.arange(len(a))
+            there.append(len(a) - int(np.isnan(a[:, c]).sum()))
+            values.append(a[i[: there[c]], c])
+        for tree, table in zip(self.trees, self.tables, strict=True):
+            total += self._looked_up(a, table, back, there, values) if table else self._walked(a, *tree)
+        return 2 ** (-total / len(self.tables) / self.norm)
+
+    def _looked_up(self, a: np.ndarray, table: tuple[list[np.ndarray], np.ndarray, np.ndarray], back: list[np.ndarray], there: list[int], values: list[np.ndarray]) -> np.ndarray:
+        cuts, leaf, length = table
+        cell = np.zeros(len(a), np.int32)
+        for c, k in enumerate(self.levels):
+            n = k or len(cuts[c]) + 1
+            if k:
+                place = np.where(np.isnan(a[:, c]), n, np.nan_to_num(a[:, c])).astype(np.int32)
+            else:
+                ends = np.r_[0, np.searchsorted(values[c], cuts[c], "left"), there[c], len(a)]
+                place = np.repeat(np.arange(n + 1, dtype=np.int32), np.diff(ends))[back[c]]
+            cell *= n + 1
+            cell += place
+        return length[leaf[cell]]
+
+    def _walked(self, a: np.ndarray, arrays: list[np.ndarray], go: np.ndarray) -> np.ndarray:
+        col, cut, left, right, most, length = arrays
+        at = np.zeros(len(a), int)
+        while len(i := np.flatnonzero(col[at] >= 0)):
+            n = at[i]
+            v = a[i, col[n]]
+            gap = np.isnan(v)
+            code = np.where(self.category[col[n]] & ~gap, v, 0).astype(int)
+            go_left = np.where(gap, most[n], np.where(self.category[col[n]], go[n, code], v < cut[n]))
+            at[i] = np.where(go_left, left[n], right[n])
+        return length[at]
 
 
 class Expected:
@@ -454,6 +516,7 @@ def iforest(df: DataFrame, key: str, names: Sequence[str], ntrees: int = 500, si
             level_of[c] = [r.l for r in found] or [""]
     code = lambda c: F.nullif(F.array_position(F.array(*[F.lit(x) for x in level_of[c]]), F.col(c).cast("string")), F.lit(0)) - 1
     x = df.select(key, *[(code(c) if c in level_of else finite(c)).cast("double").alias(c) for c in names])
+    x = spread(x, "iforest-rows")
     levels = [len(level_of.get(c, ())) for c in names]
     rows = x.orderBy(F.xxhash64(F.lit(seed), key), key).limit(max(SAMPLE, pool)).select(*names).collect()
     sample = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, len(names))

@@ -130,3 +130,18 @@ def test_adjusted_values_over_many_ranges(spark, monkeypatch):
     want = np.array(p_adjust(got.p.tolist(), "BH"), float)
     assert len(got) == 1800 and np.allclose(got.p_adj, want, rtol=1e-12) and 0 < got.flag.sum() == (want < 0.05).sum()
     assert in_parts(spark.range(10), "id", 10_000).rdd.getNumPartitions() == 625
+
+
+def test_tables_and_walks_agree(monkeypatch):
+    """Trees as tables give each row the very score that walking gives, at cuts and gaps too."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=400).round(1), rng.integers(0, 4, 400).astype(float), rng.normal(size=400)])
+    x[::7, 0] = x[::11, 1] = x[::13, 2] = np.nan
+    trees = [anomaly._grow(x[:200], [0, 4, 0], rng, 8) for _ in range(20)]
+    for nodes in trees[:3]:
+        x = np.vstack([x, *[[n[1], 1.0, n[1]] for n in nodes if n[0] in (0, 2)]])
+    tables = anomaly.Forest(trees, [0, 4, 0], 200)
+    monkeypatch.setattr(anomaly, "CELLS", 0)
+    walks = anomaly.Forest(trees, [0, 4, 0], 200)
+    assert all(t is not None for t in tables.tables) and all(t is None for t in walks.tables)
+    assert (tables.score(x) == walks.score(x)).all() and len(tables.score(x[:0])) == 0
