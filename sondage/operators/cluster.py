@@ -24,7 +24,7 @@ from sondage.operators.linalg import project
 from sondage.operators.reduce import Reduction, na_markers, reduce, reduce_na
 from sondage.operators.select import class_of
 from sondage.operators.timecode import arcs, days
-from sondage.plans.shared import materialize
+from sondage.plans.shared import materialize, spread
 
 
 @dataclass
@@ -74,6 +74,7 @@ def cluster(coords: DataFrame, key: str, k: int | None = None, k_max: int = 6, B
     """k-means of the coordinates; clusters are numbered by size. The silhouette is the
     simplified one, from distances to the two nearest centres, so it costs one pass."""
     names = [c for c in coords.columns if c != key]
+    coords = spread(coords, "cluster-coords")
     x = VectorAssembler(inputCols=names, outputCol="features").transform(coords).persist()
     try:
         gap = None

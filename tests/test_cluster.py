@@ -29,6 +29,11 @@ def test_three_blobs(spark, blobs):
     assert table["size"].to_dict() == {1: 300, 2: 200, 3: 100} and np.isclose(table.pct[3], 100 / 6)
 
 
+def test_rows_of_one_file_use_all_cores(spark, blobs):
+    fit = cluster.cluster(spark.createDataFrame(blobs[["id", "a", "b"]]).coalesce(1), "id", 3)
+    assert fit.rows.rdd.getNumPartitions() > 1 and fit.rows.count() == 600
+
+
 def test_gap_finds_three(spark, blobs):
     assert cluster.cluster(spark.createDataFrame(blobs[["id", "a", "b"]]), "id", k_max=4, B=4).k == 3
 
