@@ -47,10 +47,11 @@ def quantile_name(q: float) -> str:
     return f"p{100 * q:g}"
 
 
-def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[float] = (0, 0.5, 1), skew: bool = False, kurt: bool = False, dispersion: bool = True, empty: float = 0, approx: bool = False) -> DataFrame:
+def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[float] = (0, 0.5, 1), skew: bool = False, kurt: bool = False, dispersion: bool = True, empty: float = 0, approx: bool = False, values: DataFrame | None = None) -> DataFrame:
     """(by..., variable, obs, n, na, n_inf, sum, mean, sd, se, p..., [skew, kurt,]
     p_zero, [dispersion]). Quantiles are exact, or KLL sketches with ``approx``;
-    skewness and kurtosis are the sample-adjusted G1 and G2 (Joanes & Gill 1998)."""
+    skewness and kurtosis are the sample-adjusted G1 and G2 (Joanes & Gill 1998).
+    ``values`` may be the columns' ``value_counts``, where they are known."""
     df, names = keyed(df, by), numeric_names(df, which, by)
     if not names:
         raise ValueError("no numeric column is left")
@@ -72,7 +73,7 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
     out = reduce(DataFrame.unionByName, parts)
     if not approx and any(0 < p < 1 for p in probs):
         # only the ends of a column come with its moments
-        inner = quantiles(df, names, by, probs).withColumnRenamed("q", "inner")
+        inner = quantiles_of(value_counts(df, names, by) if values is None else values, [*by, "variable"], probs).withColumnRenamed("q", "inner")
         out = out.join(inner, [*by, "variable"], "left").withColumn("q", F.coalesce("inner", "q")).drop("inner")
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     extra = []
@@ -81,7 +82,7 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
     if kurt:
         extra.append(F.when((n >= 4) & ~F.isnan(g2), ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"))
     if dispersion:
-        rating = rating_names(df, names)
+        rating = rating_names(df, names, values)
         fits = F.col("whole") & (F.col("mean") > 0) & ~F.col("variable").isin(rating or ["\0"])
         extra.append(F.when(fits, F.col("sd") * F.col("sd") / F.col("mean")).alias("dispersion"))
     total = F.when(n > 0, F.col("sum")).otherwise(F.coalesce("inf_sum", F.lit(float(empty))))
@@ -89,19 +90,21 @@ def numeric(df: DataFrame, by: Sequence[str] = (), which=None, probs: Sequence[f
     return out.select(*by, "variable", "obs", "n", "na", "n_inf", total.alias("sum"), "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), *at, *extra[: int(skew) + int(kurt)], "p_zero", *extra[int(skew) + int(kurt) :])
 
 
-def scales(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[str, float | None, float | None]]:
+def scales(df: DataFrame, names: Sequence[str], values: DataFrame | None = None) -> dict[str, tuple[str, float | None, float | None]]:
     """(kind, lowest, highest) of each column from all its values; the kind is
-    continuous, rating, either (a count or a rating) or count."""
+    continuous, rating, either (a count or a rating) or count. ``values`` may be the
+    columns' ``value_counts``."""
     if not names:
         return {}
-    aggs = []
-    for i, c in enumerate(names):
-        x = finite(c)
-        aggs.append(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.bool_and(F.abs(x - F.round(x)) <= 1e-8).alias("whole")).alias(f"c{i}"))
-    row = df.agg(*aggs).first()
+    ends = lambda x: F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.bool_and(F.abs(x - F.round(x)) <= 1e-8).alias("whole"))
+    if values is None:
+        row = df.agg(*[ends(finite(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        found = {c: row[f"c{i}"] for i, c in enumerate(names)}
+    else:
+        found = {r.variable: r.x for r in values.groupBy("variable").agg(ends(F.col("x")).alias("x")).collect()}
     kinds = {}
-    for i, c in enumerate(names):
-        lo, hi, whole = row[f"c{i}"]
+    for c in names:
+        lo, hi, whole = found.get(c, (None, None, None))
         if lo is None or not whole:
             kind = "continuous"
         elif (lo >= 1 or (lo < 0 and lo == -hi)) and hi - lo <= 10:
@@ -114,19 +117,23 @@ def scales(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[str, float |
     return kinds
 
 
-def scale_kinds(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+def scale_kinds(df: DataFrame, names: Sequence[str], values: DataFrame | None = None) -> dict[str, str]:
     """The kind of each column of ``scales``."""
-    return {c: x[0] for c, x in scales(df, names).items()}
+    return {c: x[0] for c, x in scales(df, names, values).items()}
 
 
-def rating_names(df: DataFrame, names: Sequence[str]) -> list[str]:
-    return [c for c, k in scale_kinds(df, names).items() if k == "rating"]
+def rating_names(df: DataFrame, names: Sequence[str], values: DataFrame | None = None) -> list[str]:
+    return [c for c, k in scale_kinds(df, names, values).items() if k == "rating"]
 
 
 def cells(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., variable, x): finite values of numeric columns, one row a cell."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), finite(c).alias("x")) for c in names]))
-    return df.select(*by, each.alias("c")).select(*by, "c.variable", "c.x").where("x is not null")
+    if not names:
+        return df.select(*by, F.lit("").alias("variable"), F.lit(0.0).alias("x")).where(F.lit(False))
+    wide = df.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *[finite(c).alias(c) for c in names])
+    # an unpivot is generated code; exploded arrays of structs are made row by row
+    long = wide.unpivot([f"`__by{i}`" for i in range(len(by))], [f"`{c}`" for c in names], "variable", "x").where("x is not null")
+    return long.toDF(*by, "variable", "x")
 
 
 def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -272,18 +279,18 @@ def ends_of(kind: str, distinct: int, n: int, low: tuple[float, int, int], high:
     return out
 
 
-def gauss_check(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int = MIN_N, cap: float = CAP) -> DataFrame:
+def gauss_check(df: DataFrame, by: Sequence[str] = (), which=None, min_n: int = MIN_N, cap: float = CAP, values: DataFrame | None = None) -> DataFrame:
     """``gauss`` with its reasons: (by..., variable, n, ks_d, gauss, gauss_kind,
     gauss_note). A floor or ceiling comes first, whatever the index; other reasons
     only below ``FINE``. With ``by``, a group is held against the scale of the whole
-    column. All comes from one table of value counts; modes from 1,024 bins a group."""
+    column. All comes from one table of value counts, which may be given; modes from 1,024 bins a group."""
     from sondage.functions.kernel import bandwidth, density, peaks
 
     df, names = keyed(df, by), numeric_names(df, which, by)
     keys = [*by, "variable"]
-    scale = scales(df, names)
+    values = value_counts(df, names, by) if values is None else values
+    scale = scales(df, names, values)
     held = materialize(moments(df, names, by), "moments")
-    values = value_counts(df, names, by)
     steps = _steps(values, held, keys)
 
     def rank(r: Column) -> Column:
@@ -483,9 +490,11 @@ def describe_all(df: DataFrame, by: Sequence[str] = (), which=None, gauss: bool
     keys = [*by, "variable"]
     for kind, names in of.items():
         if kind == "numeric":
-            tables[kind] = numeric(use, by, **numeric_args)
+            # what numbers and their shape both need is counted once
+            values = value_counts(keyed(use, by), names, by) if gauss else None
+            tables[kind] = numeric(use, by, values=values, **numeric_args)
             if gauss:
-                told = gauss_check(use, by, names).select(*keys, "gauss", "gauss_kind", "gauss_note")
+                told = gauss_check(use, by, names, values=values).select(*keys, "gauss", "gauss_kind", "gauss_note")
                 tables[kind] = _beside(tables[kind], told, keys)
             if smd:
                 tables[kind] = _beside(tables[kind], differences.smd_numeric(use, by[0], names, reference), keys)

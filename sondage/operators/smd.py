@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.operators.describe import finite, keyed
+from sondage.operators.describe import CHUNK, finite, keyed
 from sondage.operators.levels import declared, first_present
 
 
@@ -17,8 +18,12 @@ def smd_numeric(df: DataFrame, by: str, names: list[str], reference=None, within
     is null. With modifiers in ``within``, groups are held against the reference group
     at the same levels; where it has no rows, all are null."""
     df = keyed(df, [*within, by])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), finite(c).alias("x")) for c in names]))
-    m = df.select(*within, by, each.alias("c")).groupBy(*within, by, F.col("c.variable").alias("variable")).agg(F.avg("c.x").alias("m"), F.var_samp("c.x").alias("v"))
+    parts = []
+    for at in range(0, len(names), CHUNK):
+        chunk = names[at : at + CHUNK]
+        row = df.groupBy(*within, by).agg(*[F.struct(F.lit(c).alias("variable"), F.avg(finite(c)).alias("m"), F.var_samp(finite(c)).alias("v")).alias(f"c{i}") for i, c in enumerate(chunk)])
+        parts.append(row.select(*within, by, F.explode(F.array(*[F.col(f"c{i}") for i in range(len(chunk))])).alias("c")).select(*within, by, "c.*"))
+    m = reduce(DataFrame.unionByName, parts)
     return _against(m, by, reference, (F.col("m") - F.col("m0")) / F.sqrt((F.col("v") + F.col("v0")) / 2), within)
 
 

@@ -258,3 +258,17 @@ def test_wash_with_row_names(spark):
         clean.wash(df, names_col="none")
     with pytest.warns(UserWarning):
         clean.translate(df, "T", ["x ", "x "], ["p", "q"])
+
+
+def test_numbers_and_their_shape_are_counted_once(spark, monkeypatch):
+    df = spark.createDataFrame([("p" if i % 2 else "q", float(i % 37), i % 5 or None, float(i * i)) for i in range(400)], "g string, b0 double, variable int, x double")
+    apart = describe.numeric(df, ["g"]).join(describe.gauss_check(df, ["g"]).select("g", "variable", "gauss", "gauss_kind"), ["g", "variable"])
+    calls, real = [], describe.value_counts
+    monkeypatch.setattr(describe, "value_counts", lambda *a, **b: (calls.append(a), real(*a, **b))[1])
+    both = describe.describe_all(df, ["g"], gauss=True, smd=True)["numeric"]
+    assert len(calls) == 1
+    assert sorted(map(str, both.select(apart.columns).collect())) == sorted(map(str, apart.collect()))
+    means = {(r.g, r.variable): r for r in both.collect()}
+    for c in ("b0", "variable", "x"):
+        p, q = means["p", c], means["q", c]
+        assert p.smd is None and abs(q.smd - (q.mean - p.mean) / ((p.sd**2 + q.sd**2) / 2) ** 0.5) < 1e-9
