@@ -454,7 +454,8 @@ def profile(df: DataFrame, key: str, names: Sequence[str], k: int | None = None,
 
     red = reduce(df, key, names, ndim)
     fit = cluster(red.coords, key, k, seed=seed)
-    rows = df.join(fit.rows.select(key, "cluster"), key)
+    # joined once: a job that joins again sends a small side through the driver again
+    rows = spread(df.join(fit.rows.select(key, "cluster"), key), "profile-rows")
     what = characterize(rows, "cluster", names, cycles=red.cycles, missing=missing)
     factors = [c for c in names if class_of(df.schema[c].dataType) not in ("numeric", "time")]
     lines = [f"Cluster {c}: {join_and(list(part.description.head(4)))}." for c, part in what[what.distinctive].groupby("cluster")]

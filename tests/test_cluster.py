@@ -189,3 +189,12 @@ def test_labels_are_dealt_by_halvings():
     for at in (0, 41_234, 79_999):
         own = cluster.dealt_to([1, 2, 3], whole, np.cumsum(parts), at)
         assert own.sum() == 62_500 and abs(own[0] - 37_500) < 800 and own[2] < 100
+
+
+def test_profile_joins_its_rows_once(spark, blobs, monkeypatch):
+    """The rows that every step of a profile reads are a table, not a join made again by each job."""
+    seen = []
+    told = cluster.characterize
+    monkeypatch.setattr(cluster, "characterize", lambda df, *a, **b: (seen.append(df._jdf.queryExecution().toString()), told(df, *a, **b))[1])
+    got = cluster.profile(spark.createDataFrame(blobs[["id", "a", "b"]]), "id", ["a", "b"], 3, B=9)
+    assert len(seen) == 1 and "Join" not in seen[0] and got.cluster.k == 3
