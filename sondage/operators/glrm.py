@@ -1,12 +1,16 @@
-"""Generalised low-rank models (Udell et al. 2016) by alternating minimisation.
-
-Only the column factors Y are kept between passes. A pass solves each row's scores
-given Y in its task, and adds up the normal equations of every column, p matrices
-of rank + 1; so the scores are never stored or shuffled, and come from Y at the end.
-The start is the leading directions of all rows, from one more pass, which solve the
-problem already where all losses are quadratic and no cell is missing. Passes go on to
-``tol``, each from a mixture of the last ones (Anderson 1965, type II); a mixture that
-doesn't lower the objective is dropped for the plain step, so it never rises.
+"""Generalised low-rank models (Udell et al. 2016) by minimisation over the columns.
+
+Only the column factors Y and offsets are kept between passes. A pass solves each row's
+scores given them in its task, and adds up the objective, its slopes, the quadratics that
+lie above it (p matrices of rank + 1) and, of up to ``WIDE`` unknowns, its second derivatives
+with the scores following Y (Schur complement); so the scores are never stored or shuffled,
+and come from Y at the end. The start is the leading directions of all rows, from one more
+pass, which solve the problem already where all losses are quadratic and no cell is missing.
+Of large tables, hashed parts of the rows are solved first, from small to large, each from
+the last: they only say where to start. The result is a minimum over all rows, as passes
+over all of them go on to ``tol``, by damped Newton steps, or of more unknowns from mixtures
+of the last points (Anderson 1965, type II); a step that doesn't lower the objective is
+made shorter and at last the plain one, so it never rises. The minimum is a local one.
 
 Numbers (standardised) have quadratic loss, flags and two levels logistic loss, more
 levels multinomial loss over one column each, and counts Poisson loss if asked for.
@@ -18,6 +22,7 @@ singular value decomposition of R times the archetypes, rank x columns, is small
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,6 +40,12 @@ GRID = (0.1, 0.5, 1, 2, 5, 10, 20, 50, 100)
 MOST_LEVELS = 200
 #: Times that a step of a row's scores is halved.
 HALVINGS = 12
+#: Damped steps that are tried before the plain one.
+SHORTER = 4
+#: Most unknowns (archetypes and offsets) of which tasks add up second derivatives.
+WIDE = 100
+#: A part of the rows from which a start comes is so many times smaller than the next, and has so many rows at least.
+NESTED, FEWEST = 16, 1 << 17
 
 
 @dataclass
@@ -61,95 +72,197 @@ class Loss:
     def levels(self) -> list[np.ndarray]:
         return [np.flatnonzero(self.block == b) for b in np.unique(self.block[self.kind == "multinomial"])]
 
-    def working(self, eta: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and targets of the quadratic that touches each cell's loss and lies
-        above it between the two; missing cells weigh nothing."""
-        seen = ~np.isnan(a)
-        y = np.where(seen, a, 0.0)
-        mu = self.means(eta)
-        w = np.select([self.kind == "logistic", self.kind == "multinomial", self.kind == "poisson"], [0.25, 0.5, np.maximum(np.maximum(mu, y), 0.01)], 1.0)
-        return w * self.weight * seen, eta + (y - mu) / w
+    def total(self, a: np.ndarray, eta: np.ndarray, row: np.ndarray | None = None) -> float:
+        return float(Cells(self, a, row).losses(np.ascontiguousarray(eta.T))[1].sum())
 
-    def costs(self, a: np.ndarray, eta: np.ndarray) -> np.ndarray:
-        """The loss of each row."""
-        seen = ~np.isnan(a)
-        y = np.where(seen, a, 0.0)
-        cell = (y - eta) ** 2 / 2
-        at = self.kind == "logistic"
-        cell[:, at] = np.logaddexp(0, eta[:, at]) - y[:, at] * eta[:, at]
-        at = self.kind == "poisson"
-        e, n = np.clip(eta[:, at], -30, 30), y[:, at]
-        cell[:, at] = np.exp(e) - n * e + np.where(n > 0, n * np.log(np.maximum(n, 1e-300)) - n, 0.0)
-        for at in self.levels():
-            top = eta[:, at].max(1, keepdims=True)
-            cell[:, at] = -y[:, at] * (eta[:, at] - top - np.log(np.exp(eta[:, at] - top).sum(1, keepdims=True)))
-        return (cell * self.weight * seen).sum(1)
+    def scores(self, a: np.ndarray, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 40, row: np.ndarray | None = None) -> np.ndarray:
+        """The best scores of rows; ``row`` are weights of the rows."""
+        return Cells(self, a, row).scores(y, offset, lam, steps).T
 
-    def total(self, a: np.ndarray, eta: np.ndarray, row: np.ndarray | None = None) -> float:
-        cost = self.costs(a, eta)
-        return float((cost if row is None else cost * row).sum())
 
-    def curvature(self, eta: np.ndarray, a: np.ndarray, y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slopes of each row's loss by its scores, and its second derivatives."""
-        k = y.shape[1]
+class Cells:
+    """A block of rows, held by column: arrays are columns x rows, so that every step runs
+    along the rows. Missing cells weigh nothing."""
+
+    def __init__(self, loss: Loss, a: np.ndarray, row: np.ndarray | None = None) -> None:
+        self.loss, a = loss, np.ascontiguousarray(a.T)
         seen = ~np.isnan(a)
-        mu = self.means(eta)
-        weight = self.weight * seen * row[:, None]
-        h = np.where(self.kind == "quadratic", 1.0, mu)
-        at = self.kind == "logistic"
-        h[:, at] = mu[:, at] * (1 - mu[:, at])
-        h = h * weight
-        second = (h @ (y[:, :, None] * y[:, None, :]).reshape(len(y), k * k)).reshape(-1, k, k)
-        for at in self.levels():
+        self.y = np.where(seen, a, 0.0)
+        self.weight = loss.weight[:, None] * seen * (1.0 if row is None else row)
+        self.plain, self.logistic, self.poisson = (np.flatnonzero(loss.kind == k) for k in ("quadratic", "logistic", "poisson"))
+        self.blocks = loss.levels()
+
+    def at(self, rows: np.ndarray) -> Cells:
+        out = copy.copy(self)
+        out.y, out.weight = self.y[:, rows], self.weight[:, rows]
+        return out
+
+    def losses(self, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each cell's mean, and the loss of each row."""
+        mu, cell = eta.copy(), np.empty_like(eta)
+        at = self.plain
+        cell[at] = (self.y[at] - eta[at]) ** 2 / 2
+        at = self.logistic
+        if len(at):
+            e = np.exp(-np.abs(eta[at]))
+            mu[at] = np.where(eta[at] >= 0, 1.0, e) / (1 + e)
+            cell[at] = np.log1p(e) + np.maximum(eta[at], 0.0) - self.y[at] * eta[at]
+        at = self.poisson
+        if len(at):
+            e, n = np.clip(eta[at], -30, 30), self.y[at]
+            mu[at] = np.exp(e)
+            cell[at] = mu[at] - n * e + np.where(n > 0, n * np.log(np.maximum(n, 1e-300)) - n, 0.0)
+        for at in self.blocks:
+            low = eta[at] - eta[at].max(0)
+            e = np.exp(low)
+            all_ = e.sum(0)
+            mu[at] = e / all_
+            cell[at] = self.y[at] * (np.log(all_) - low)
+        return mu, np.einsum("ij,ij->j", cell, self.weight)
+
+    def bends(self, mu: np.ndarray) -> np.ndarray:
+        """Second derivatives of each cell's loss by its own place."""
+        h = mu.copy()
+        h[self.plain] = 1.0
+        h[self.logistic] *= 1 - mu[self.logistic]
+        return h * self.weight
+
+    def upper(self, eta: np.ndarray, mu: np.ndarray) -> np.ndarray:
+        """Weights of the quadratic that touches each cell's loss and lies above it
+        between the two."""
+        w = np.ones_like(eta)
+        w[self.logistic] = 0.25
+        w[self.poisson] = np.maximum(np.maximum(mu[self.poisson], self.y[self.poisson]), 0.01)
+        for at in self.blocks:
+            w[at] = 0.5
+        return w * self.weight
+
+    def shared(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each block of levels: where it is, and what its cells' second derivatives by
+        each other are made of, the outer product of the second array, to be taken away."""
+        out = []
+        for at in self.blocks:
             # levels of a block share their weight and are missing together
-            v, w = h[:, at] @ y[at], weight[:, at[0]]
-            second -= v[:, :, None] * v[:, None, :] / np.where(w > 0, w, 1.0)[:, None, None]
-        return ((np.where(seen, a, 0.0) - mu) * weight) @ y, second
+            w = self.weight[at[0]]
+            out.append((at, h[at] / np.sqrt(np.where(w > 0, w, 1.0))))
+        return out
 
-    def scores(self, a: np.ndarray, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 40, row: np.ndarray | None = None) -> np.ndarray:
-        """The best scores of rows; ``row`` are weights of the rows. A row's problem is
-        convex: Newton's steps, halved where they don't lower the loss, and at last replaced
-        by the step of the quadratic above it, which does; rows that are there drop out."""
+    def curvature(self, mu: np.ndarray, y: np.ndarray, lam: float, h: np.ndarray | None = None) -> np.ndarray:
+        """Second derivatives of each row's loss by its scores: k x k x rows."""
         k = y.shape[1]
-        x = np.zeros((len(a), k))
-        squares = (y[:, :, None] * y[:, None, :]).reshape(len(y), k * k)
-        row = np.ones(len(a)) if row is None else row
-
-        def upper(x: np.ndarray, a: np.ndarray, row: np.ndarray) -> np.ndarray:
-            w, t = self.working(x @ y.T + offset, a)
-            w = w * row[:, None]
-            left = (w @ squares).reshape(-1, k, k) + lam * np.eye(k)
-            return np.linalg.solve(left, ((w * (t - offset)) @ y)[:, :, None])[:, :, 0]
-
-        def cost(x: np.ndarray, a: np.ndarray, row: np.ndarray) -> np.ndarray:
-            return self.costs(a, x @ y.T + offset) * row + lam / 2 * (x**2).sum(1)
-
-        if (self.kind == "quadratic").all():
-            return upper(x, a, row)
-        at, held = np.arange(len(a)), cost(x, a, row)
+        weights = h is not None
+        h = self.bends(mu) if h is None else h
+        out = ((y[:, :, None] * y[:, None, :]).reshape(len(y), k * k).T @ h).reshape(k, k, -1)
+        for at, u in [] if weights else self.shared(h):
+            v = y[at].T @ u
+            out -= v[:, None] * v[None]
+        out[np.arange(k), np.arange(k)] += lam
+        return out
+
+    def scores(self, y: np.ndarray, offset: np.ndarray, lam: float, steps: int = 40) -> np.ndarray:
+        """The best scores, k x rows. A row's problem is convex: Newton's steps, halved where
+        they don't lower the loss, and at last replaced by the step of the quadratic above
+        it, which does; rows that are there drop out."""
+        x = np.zeros((y.shape[1], self.y.shape[1]))
+        offset = offset[:, None]
+
+        def reached(b: Cells, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            mu, cost = b.losses(y @ x + offset)
+            return mu, cost + lam / 2 * np.einsum("ij,ij->j", x, x)
+
+        def above(b: Cells, x: np.ndarray, mu: np.ndarray) -> np.ndarray:
+            slope = y.T @ ((mu - b.y) * b.weight) + lam * x
+            return x - solved(factor(b.curvature(mu, y, lam, b.upper(y @ x + offset, mu))), slope)
+
+        b, at, here = self, np.arange(x.shape[1]), x.copy()
+        mu, held = reached(b, here)
+        if len(self.plain) == len(y):
+            return above(b, here, mu)
         for _ in range(steps):
             if not len(at):
                 break
-            here, b, r = x[at], a[at], row[at]
-            slope, second = self.curvature(here @ y.T + offset, b, y, r)
-            new = here + np.linalg.solve(second + lam * np.eye(k), (slope - lam * here)[:, :, None])[:, :, 0]
-            now = cost(new, b, r)
+            slope = y.T @ ((mu - b.y) * b.weight) + lam * here
+            new = here - solved(factor(b.curvature(mu, y, lam)), slope)
+            to, now = reached(b, new)
             most = held + 1e-12 * (1 + np.abs(held))
             worse = np.flatnonzero(~(now <= most))
             for _ in range(HALVINGS):
                 if not len(worse):
                     break
-                new[worse] = (here[worse] + new[worse]) / 2
-                now[worse] = cost(new[worse], b[worse], r[worse])
+                new[:, worse] = (here[:, worse] + new[:, worse]) / 2
+                to[:, worse], now[worse] = reached(b.at(worse), new[:, worse])
                 worse = worse[~(now[worse] <= most[worse])]
             if len(worse):
-                new[worse] = upper(here[worse], b[worse], r[worse])
-                now[worse] = cost(new[worse], b[worse], r[worse])
-            x[at] = new
-            left = np.abs(new - here).max(1) > 1e-6 * (1 + np.abs(new).max(1))
-            at, held = at[left], now[left]
+                new[:, worse] = above(b.at(worse), here[:, worse], mu[:, worse])
+                to[:, worse], now[worse] = reached(b.at(worse), new[:, worse])
+            left = np.abs(new - here).max(0) > 1e-6 * (1 + np.abs(new).max(0))
+            here, mu, held = new, to, now
+            if not left.all():
+                x[:, at[~left]] = here[:, ~left]
+                left = np.flatnonzero(left)
+                at, b, here, mu, held = at[left], b.at(left), here[:, left], mu[:, left], held[left]
+        x[:, at] = here
         return x
 
+    def sums(self, y: np.ndarray, offset: np.ndarray, lam: float, bend: bool) -> np.ndarray:
+        """Added up over the rows, at their best scores: the objective; slopes by archetypes
+        and offsets; the normal equations of the quadratics above; and with ``bend`` the
+        second derivatives, in which the scores follow the archetypes (Schur complement)."""
+        p, k = y.shape
+        x = self.scores(y, offset, lam)
+        eta = y @ x + offset[:, None]
+        mu, cost = self.losses(eta)
+        z = np.vstack([x, np.ones(x.shape[1])])
+        zz = (z[:, None] * z[None]).reshape((k + 1) ** 2, -1)
+        slope = (mu - self.y) * self.weight
+        out = [[cost.sum() + lam / 2 * (x**2).sum()], (slope @ z.T).ravel(), (self.upper(eta, mu) @ zz.T).ravel()]
+        if bend:
+            h = self.bends(mu)
+            own = np.zeros((p, k + 1, p, k + 1))
+            own[np.arange(p), :, np.arange(p)] = (h @ zz.T).reshape(p, k + 1, k + 1)
+            # derivatives by archetypes and offsets, then scores
+            cross = np.einsum("jn,ja->ajn", h, y)
+            for at, u in self.shared(h):
+                v = (u[:, None] * z[None]).reshape(len(at) * (k + 1), -1)
+                own[np.ix_(at, range(k + 1), at, range(k + 1))] -= (v @ v.T).reshape(len(at), k + 1, len(at), k + 1)
+                cross[:, at] -= (y[at].T @ u)[:, None] * u[None]
+            cross = cross[:, :, None] * z
+            for a in range(k):
+                cross[a, :, a] += slope
+            low = factor(self.curvature(mu, y, lam))
+            through = solved(low, cross.reshape(k, p * (k + 1), -1), half=True)
+            own = own.reshape(p * (k + 1), -1)
+            for w in through:
+                own = own - w @ w.T
+            out.append(own.ravel())
+        return np.concatenate(out)
+
+
+def factor(a: np.ndarray) -> list[list[np.ndarray]]:
+    """Lower triangles of Cholesky factors of matrices that lie along the last axis."""
+    k = len(a)
+    low: list[list[np.ndarray]] = [[None] * k for _ in range(k)]
+    for j in range(k):
+        for i in range(j, k):
+            rest = a[i, j] - sum(low[i][m] * low[j][m] for m in range(j))
+            low[i][j] = np.sqrt(np.maximum(rest, 1e-300)) if i == j else rest / low[j][j]
+    return low
+
+
+def solved(low: list[list[np.ndarray]], b: np.ndarray, half: bool = False) -> list[np.ndarray] | np.ndarray:
+    """Solutions of the factors' equations, k x ... x rows; with ``half`` of the lower
+    triangles alone."""
+    k, x = len(low), list(b)
+    for i in range(k):
+        for m in range(i):
+            x[i] = x[i] - low[i][m] * x[m]
+        x[i] = x[i] / low[i][i]
+    for i in [] if half else range(k - 1, -1, -1):
+        for m in range(i + 1, k):
+            x[i] = x[i] - low[m][i] * x[m]
+        x[i] = x[i] / low[i][i]
+    return x if half else np.array(x)
+
 
 @dataclass
 class Encoding:
@@ -221,6 +334,62 @@ def encode(df: DataFrame, names: Sequence[str], poisson: Sequence[str] = ()) ->
     return Encoding(labels, of, cells, Loss(np.array(kind), np.array(block), np.array(weight), np.array(offset)), np.array(centre), np.array(scale), levels)
 
 
+class Descent:
+    """Points from one to the next, by Newton's steps in the metric of the plain steps: where
+    the objective is bent down along a direction, the step is turned round (Dauphin et al.
+    2014), and all are damped by what they gained last. The scores' turning together with
+    the archetypes and a common move of a block's offsets change nothing, so steps have no
+    part of them."""
+
+    def __init__(self, loss: Loss, rank: int) -> None:
+        self.loss, self.rank, self.damp, self.hoped = loss, rank, 0.0, 0.0
+
+    def still(self, here: np.ndarray) -> np.ndarray:
+        """Moves that change nothing, one a row."""
+        out = []
+        for a in range(self.rank):
+            for b in range(a):
+                move = np.zeros_like(here)
+                move[:, a], move[:, b] = here[:, b], -here[:, a]
+                out.append(move)
+        for at in self.loss.levels():
+            move = np.zeros_like(here)
+            move[at, -1] = 1.0
+            out.append(move)
+        return np.array(out).reshape(-1, *here.shape)
+
+    def look(self, here: np.ndarray, slope: np.ndarray, second: np.ndarray, metric: np.ndarray) -> float:
+        """Prepares steps from ``here``; how much one is expected to lower the objective,
+        or infinity where it isn't at the bottom of a bowl."""
+        p, k1 = here.shape
+        low = np.linalg.cholesky(metric)
+        into = np.linalg.inv(low)
+        turned = np.einsum("jab,jblc->jalc", into, second.reshape(p, k1, p, k1))
+        turned = np.einsum("jalc,ldc->jald", turned, into).reshape(p * k1, p * k1)
+        still = np.einsum("jba,mjb->mja", low, self.still(here)).reshape(-1, p * k1)
+        _, size, still = np.linalg.svd(still, full_matrices=False)
+        still = still[size > 1e-9 * size.max(initial=0.0)]
+        free = np.eye(p * k1) - still.T @ still
+        values, vectors = np.linalg.eigh(free @ turned @ free)
+        along = vectors.T @ free @ np.einsum("jab,jb->ja", into, slope).ravel()
+        bent = np.maximum(np.abs(values), 1e-10)
+        self.here, self.parts = here, (into, values, vectors, along, bent)
+        return float((along**2 / bent).sum() / 2) if values[0] >= -1e-8 else np.inf
+
+    def step(self) -> np.ndarray:
+        into, values, vectors, along, bent = self.parts
+        by = 1 / (bent + self.damp)
+        self.hoped = float((along**2 * by * (1 - values * by / 2)).sum())
+        return self.here - np.einsum("jba,jb->ja", into, (vectors @ (along * by)).reshape(self.here.shape))
+
+    def gained(self, gain: float) -> None:
+        """A step that gains much of what was hoped for is followed by a bolder one."""
+        if gain > 0.75 * self.hoped:
+            self.damp = self.damp / 10 if self.damp > 1e-3 else 0.0
+        elif gain < 0.25 * self.hoped:
+            self.damp = max(1e-3, 4 * self.damp)
+
+
 class Mixer:
     """Anderson mixing of a fixed-point map: of the last points and what the map makes of
     them, the combination whose steps cancel best."""
@@ -289,50 +458,64 @@ def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: floa
     k1, weigh = rank + 1, ["w"] if more else []
     weighted = bool(weigh)
 
-    def passed(y: np.ndarray, offset: np.ndarray) -> tuple[float, np.ndarray]:
-        """The objective at (y, offset), and where a plain step leads."""
+    bend = p * k1 <= WIDE
+
+    def passed(rows: DataFrame, here: np.ndarray, share: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Of rows that are a share of all: the objective, the quadratic above it, by column,
+        and the objective's slopes and second derivatives."""
+        y, offset, pull = here[:, :rank], here[:, rank], np.diag([lam * share] * rank + [0.0])
 
         def sums(cells: np.ndarray) -> np.ndarray:
-            a, row = cells[:, :p], cells[:, p] if weighted else None
-            x = loss.scores(a, y, offset, lam, row=row)
-            eta = x @ y.T + offset
-            w, t = loss.working(eta, a)
-            if row is not None:
-                w = w * row[:, None]
-            z = np.column_stack([x, np.ones(len(x))])
-            left = w.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), k1 * k1)
-            cost = np.zeros((p, 1))
-            cost[0] = loss.total(a, eta, row) + lam / 2 * (x**2).sum()
-            return np.column_stack([left, (w * t).T @ z, cost])
+            return Cells(loss, cells[:, :p], cells[:, p] if weighted else None).sums(y, offset, lam, bend)
 
         got = matrix_sum(rows, [*cols, *weigh], sums)
         if got is None:
-            return 0.0, np.column_stack([y, offset])
-        left, right = got[:, : k1 * k1].reshape(p, k1, k1), got[:, k1 * k1 : -1]
-        new = np.linalg.solve(left + lam * np.diag([1.0] * rank + [1e-9]), right[:, :, None])[:, :, 0]
-        return float(got[0, -1] + lam / 2 * (y**2).sum()), new
-
-    here = np.column_stack([_start(rows, cols, loss, rank, lam), loss.offset])
-    trace: list[float] = []
-    best, plain, mixer, converged, mixed = here, here, Mixer(), False, False
-    for _ in range(maxit):
-        cost, image = passed(here[:, :rank], here[:, rank])
-        if trace and not cost <= trace[-1]:
-            if not mixed:
-                # no plain step from the last good point lowers it any more
-                converged = True
-                break
-            # the mixture went too far: on from the last good point by a plain step
-            mixer.forget()
-            here, mixed = plain, False
-            continue
-        best, plain = here, image
-        trace.append(cost)
-        if len(trace) > 1 and trace[-2] - cost <= tol * max(1.0, abs(cost)):
-            converged = True
-            break
-        here = mixer.next(here.ravel(), image.ravel()).reshape(image.shape)
-        mixed = len(mixer.points) > 1
+            return 0.0, np.tile(np.eye(k1), (p, 1, 1)), np.zeros_like(here), np.eye(here.size) if bend else None
+        slope, left, second = np.split(got[1:], [here.size, here.size * (k1 + 1)])
+        slope = slope.reshape(here.shape) + here @ pull
+        metric = left.reshape(p, k1, k1) + pull + np.diag([0.0] * rank + [1e-9])
+        return float(got[0] + lam * share / 2 * (y**2).sum()), metric, slope, second.reshape(here.size, -1) + np.kron(np.eye(p), pull) if bend else None
+
+    def lowered(rows: DataFrame, here: np.ndarray, share: float, loose: float = 1.0) -> tuple[np.ndarray, list[float], bool]:
+        """The lowest point found from ``here``, the objective on the way, and whether it
+        ended there: no more, or ``loose`` times more, can be gained."""
+        trace: list[float] = []
+        descent, mixer, best, plain, fails = Descent(loss, rank), Mixer(), here, here, 0
+        for _ in range(maxit):
+            cost, metric, slope, second = passed(rows, here, share)
+            if trace and not cost <= trace[-1]:
+                if here is plain:
+                    # no plain step from the last good point lowers it any more
+                    return best, trace, True
+                # the step went too far: on from the last good point by a shorter one, at last the plain one
+                fails += 1
+                mixer.forget()
+                descent.damp = max(0.01, 10 * descent.damp)
+                here = descent.step() if bend and fails <= SHORTER else plain
+                continue
+            near = tol * max(1.0, abs(cost))
+            gain = trace[-1] - cost if trace else np.inf
+            if bend and trace and here is not plain:
+                descent.gained(gain)
+            best, plain = here, here - np.linalg.solve(metric, slope[:, :, None])[:, :, 0]
+            trace.append(cost)
+            if gain <= near or bend and descent.look(here, slope, second, metric) <= near * loose:
+                return best, trace, True
+            fails, here = 0, plain
+            if bend:
+                here = descent.step()
+            else:
+                mixed = mixer.next(best.ravel(), plain.ravel()).reshape(plain.shape)
+                here = mixed if len(mixer.points) > 1 else plain
+        return best, trace, False
+
+    best = np.column_stack([_start(rows, cols, loss, rank, lam), loss.offset])
+    n = rows.count()
+    for parts in [NESTED**i for i in range(12, 0, -1) if n >= FEWEST * NESTED**i]:
+        few = materialize(rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == 0), "glrm-cells")
+        # closer than chance in drawing the part is no nearer to the whole
+        best = lowered(few, best, 1 / parts, max(1.0, best.size * parts / n / tol))[0]
+    best, trace, converged = lowered(rows, best, 1.0)
     y, offset = best[:, :rank], best[:, rank]
     out = project(rows, key, [*cols, *weigh], lambda a: loss.scores(a[:, :p], y, offset, lam, row=a[:, p] if weighted else None), [f"dim{i + 1}" for i in range(rank)])
     return Glrm(y, offset, loss.kind.tolist(), enc.names, trace, lam, materialize(out, "glrm"), key, enc, converged)

@@ -128,3 +128,66 @@ def test_scores_are_at_their_minimum(spark):
     mu = loss.means(x @ y.T + offset)
     slope = (np.where(np.isnan(a), 0, a - mu) * loss.weight) @ y - lam * x
     assert np.abs(slope).max() < 1e-3 and not x[7].any()
+
+
+def unstructured(spark, n):
+    """Columns that have nothing in common, as a benchmark's: the objective is flat and far
+    from a bowl in many directions."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(1, 8)), float(rng.uniform(900, 105000)), float(rng.integers(1, 51)), "ANR"[rng.integers(0, 3)]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, number int, price double, quantity double, kind string"), ["number", "price", "quantity", "kind"]
+
+
+def test_passes_are_few(spark, monkeypatch):
+    from sondage.operators import glrm as module
+
+    passes, own = [], module.matrix_sum
+    monkeypatch.setattr(module, "matrix_sum", lambda *a: passes.append(1) or own(*a))
+    df, names = unstructured(spark, 3000)
+    m = glrm(df, "id", names, poisson=["number"])
+    assert m.converged and len(passes) < 40
+    assert all(b <= a for a, b in zip(m.objective[:-1], m.objective[1:], strict=True))
+
+
+@pytest.mark.parametrize("weights", [False, True])
+def test_sums_are_the_derivatives_of_the_objective(weights):
+    """Against differences, with scores that follow the archetypes."""
+    from sondage.operators.glrm import Cells, Loss
+
+    rng = np.random.default_rng(4)
+    loss = Loss(np.array(["quadratic", "logistic", "poisson", *["multinomial"] * 3]), np.array([0, 1, 2, 3, 3, 3]), np.array([2, 1.4, 0.8, 0.9, 0.9, 0.9]), np.zeros(6))
+    a = np.column_stack([rng.normal(size=40), rng.integers(0, 2, 40), rng.poisson(2, 40), np.eye(3)[rng.integers(0, 3, 40)]]).astype(float)
+    a[3, 0], a[4, 3:] = np.nan, np.nan
+    cells = Cells(loss, a, rng.uniform(0, 2, 40) if weights else None)
+    at = np.column_stack([rng.normal(size=(6, 2)), rng.normal(0, 0.3, 6)])
+
+    def found(at):
+        got = cells.sums(at[:, :2], at[:, 2], 0.7, True)
+        return got[0], got[1:19], got[-18 * 18 :].reshape(18, 18)
+
+    _, slope, second = found(at)
+    for i in range(18):
+        step = np.zeros(18)
+        step[i] = 1e-4
+        up, down = found(at + step.reshape(6, 3)), found(at - step.reshape(6, 3))
+        here = slope.copy()
+        assert np.isclose((up[0] - down[0]) / 2e-4, here[i], rtol=1e-5, atol=1e-5)
+        assert np.allclose((up[1] - down[1]) / 2e-4, second[i], rtol=1e-4, atol=1e-4)
+
+
+def test_parts_only_say_where_to_start(spark, monkeypatch):
+    """A start from parts of the rows, and mixing in place of second derivatives, end at the same minimum."""
+    from sondage.operators import glrm as module
+
+    df, _ = planted(spark)
+    names = ["x", "y", "flag", "visits", "kind"]
+    want = glrm(df, "id", names, 2, poisson=["visits"], tol=1e-10)
+    monkeypatch.setattr(module, "WIDE", 0)
+    mixed = glrm(df, "id", names, 2, poisson=["visits"], tol=1e-10)
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "NESTED", 3)
+    monkeypatch.setattr(module, "FEWEST", 60)
+    parts = glrm(df, "id", names, 2, poisson=["visits"], tol=1e-10)
+    for m in (mixed, parts):
+        assert m.converged and np.isclose(m.objective[-1], want.objective[-1], rtol=1e-6) and m.scores.count() == 600
+    assert len(parts.objective) < len(want.objective)
