@@ -5,7 +5,9 @@ is the squared distance from their span, judged against ``B`` data sets of all n
 rows simulated from the fitted structure: blocks of them are drawn in the tasks,
 keyed by block, and meet the scores in ranges of the score, where they are sorted
 and counted. Ranges are of bounded size and tasks get a few each, so a task's memory
-doesn't grow with the rows; p falls with the score, so adjusted values (Benjamini-Hochberg)
+doesn't grow with the rows. Simulated scores travel as the steps between sorted ones, to
+the last bit, and a few data sets at a time, of which only counts stay on disk; p falls with
+the score, so adjusted values (Benjamini-Hochberg)
 come from ranks within ranges and the counts and minima of the other ranges. Noise scale and covariance come from all rows, cuts and medians from
 histograms that are refined pass by pass. The tails of residuals are held against those
 of the simulated sets, blocks of at most ``BLOCK`` rows at a time: of up to one block
@@ -19,11 +21,11 @@ import math
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +33,15 @@ from sondage.operators.describe import finite, quantiles
 from sondage.operators.linalg import interpolated, matrix_sum, order_statistics, project, quantile_of
 from sondage.operators.parallel import STRATUM, Parallel, dealt, parallel_analysis
 from sondage.operators.select import class_of
-from sondage.plans.shared import in_parts, materialize, spread
+from sondage.plans.shared import in_parts, materialize, shuffles_removed, spread
 
 SAMPLE, MOST_LEVELS = 20_000, 200
 #: Simulated rows drawn by one generator; simulated values in a range of the score.
 BLOCK, RANGE = 1 << 15, 1 << 18
 #: Simulated values that a task holds before it deals them to ranges.
-PACK = 1 << 20
+PACK = 1 << 24
+#: Simulated values that are on their way at once, and the most parts that they go in.
+ROUND, ROUNDS = 1 << 26, 8
 
 
 #: What a scan says where residuals' tails are heavier than those it simulates.
@@ -122,9 +126,33 @@ def _batch(**x) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in x.values()], list(x))
 
 
+def packed_steps(s: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """Ascending numbers, none below zero, by the first one and steps of their bit patterns,
+    which ascend as well: the steps' bytes, the two highest compressed, as they are few."""
+    bits = s.view(np.int64)
+    steps = np.diff(bits)
+    wide = max(3, -(-int(steps.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T[:wide])
+    return int(bits[0]), wide, planes[:-2].tobytes(), pa.compress(planes[-2:].tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_steps(first: int, wide: int, low: bytes, high: bytes) -> np.ndarray:
+    many = len(low) // (wide - 2)
+    planes = np.zeros((8, many), np.uint8)
+    planes[: wide - 2] = np.frombuffer(low, np.uint8).reshape(wide - 2, many)
+    planes[wide - 2 : wide] = np.frombuffer(pa.decompress(high, 2 * many, "zstd", asbytes=True), np.uint8).reshape(2, many)
+    steps = np.ascontiguousarray(planes.T).view("<i8").ravel()
+    return np.cumsum(np.r_[np.int64(first), steps]).view(np.float64)
+
+
 def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None, trim: float = 0.25, B: int = 39, alpha: float = 0.05, seed: int = 1) -> Scan:
     """Complete rows judged by their distance from the span of ``rank`` directions, which
     parallel analysis chooses where it isn't given."""
+    with shuffles_removed(df.sparkSession):
+        return _scan(df, key, names, rank, trim, B, alpha, seed)
+
+
+def _scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None, trim: float, B: int, alpha: float, seed: int) -> Scan:
     p = len(names)
     if p < 3:
         raise ValueError("at least three numeric columns are needed")
@@ -176,13 +204,19 @@ def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None,
     # ranges of the score, cut where either real or simulated ones are many
     parts = max(1, n * B // RANGE)
     at = np.linspace(0, 1, parts + 1)[1:-1]
-    real = materialize(project(z, key, cols, lambda a: np.column_stack([residual(a)[:, p], np.abs(residual(a)[:, :p]).argmax(1)]), ["score", "at"]), "anomaly-scores")
     edges = np.empty(0)
     if len(at):
-        own = real.agg(F.percentile_approx("score", [float(q) for q in np.linspace(0, 1, min(parts, 4096) + 1)[1:-1]], 10_000)).first()[0]
+        own = project(z, key, cols, lambda a: residual(a)[:, p:], ["score"]).agg(F.percentile_approx("score", [float(q) for q in np.linspace(0, 1, min(parts, 4096) + 1)[1:-1]], 10_000)).first()[0]
         edges = np.unique(np.r_[np.quantile((made.drawn(B + 3, 0) ** 2).sum(1), at), own])
     place = lambda s: np.searchsorted(edges, s, "right")
 
+    def placed_in(a: np.ndarray) -> np.ndarray:
+        r = residual(a)
+        return np.column_stack([r[:, p], np.abs(r[:, :p]).argmax(1), place(r[:, p])])
+
+    placed = project(z, key, cols, placed_in, ["score", "at", "cell"]).withColumns({"at": F.col("at").cast("int"), "cell": F.col("cell").cast("int")})
+    placed = materialize(placed, "anomaly-scores")
+
     def summed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held, tails = np.zeros(len(edges) + 1, np.int64), {}
         for rep, r in pairs:
@@ -198,14 +232,9 @@ def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None,
             out[r.cell] = r.n
         return out
 
-    @F.pandas_udf("long")
-    def cell_of(s: pd.Series) -> pd.Series:
-        return pd.Series(place(s.to_numpy()))
-
     tally = materialize(made.folded(spark, range(B), summed, "rep long, cell long, n long, tail double"), "anomaly-tally")
     count = by_cell(tally.where("cell is not null"))
     higher = count.sum() - np.cumsum(count)
-    placed = real.withColumn("cell", cell_of("score"))
     own_higher = n - np.cumsum(by_cell(placed.withColumn("n", F.lit(1))))
 
     # tails block by block, of real rows dealt at random and of simulated ones
@@ -223,32 +252,51 @@ def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None,
         held: list[np.ndarray] = []
 
         def dealt_out() -> pa.RecordBatch:
-            s = np.sort(np.concatenate(held))
-            cell, first = np.unique(place(s), return_index=True)
-            return _batch(cell=cell, s=pa.ListArray.from_arrays(pa.array(np.r_[first, len(s)], pa.int32()), pa.array(s)))
+            s = np.concatenate(held)
+            held.clear()
+            s.sort()
+            first = np.r_[0, np.searchsorted(s, edges, "left"), len(s)]
+            cell = np.flatnonzero(np.diff(first))
+            rows = [packed_steps(s[first[c] : first[c + 1]]) for c in cell.tolist()]
+            return _batch(cell=pa.array(cell, pa.int32()), **{c: pa.array(x, t) for c, x, t in zip(("first", "wide", "low", "high"), zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
         for _, r in pairs:
             held.append((r**2).sum(1))
             if sum(map(len, held)) >= PACK:
                 yield dealt_out()
-                held.clear()
         if held:
             yield dealt_out()
 
-    def compare(real: pa.Table, sims: pa.Table) -> pa.Table:
+    def counted(real: pa.Table, sims: pa.Table) -> pa.Table:
+        """How many simulated scores lie between neighbours of a range's own."""
+        if not real.num_rows:
+            return pa.table({"cell": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "between": pa.array([], pa.binary())})
+        own = np.sort(real["score"].to_numpy())
+        s = np.sort(np.concatenate([np.empty(0), *(unpacked_steps(*(r[c] for c in ("first", "wide", "low", "high"))) for r in sims.to_pylist())]))
+        between = np.diff(np.searchsorted(s, own, "left"), prepend=0).astype("<i4")
+        return pa.table({"cell": pa.array([real["cell"][0].as_py()], pa.int32()), "n": pa.array([len(s)], pa.int64()), "between": pa.array([pa.compress(between.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    def compare(real: pa.Table, counts: pa.Table) -> pa.Table:
         score, cell = real["score"].to_numpy(), real["cell"].to_numpy()
-        s, own = np.sort(pc.list_flatten(sims["s"]).to_numpy()), np.sort(score)
-        p = (1 + len(s) - np.searchsorted(s, score, "left") + higher[cell]) / (n * B + 1)
+        own = np.sort(score)
+        at = np.searchsorted(own, score, "left")
+        reach = sum((r["n"] - np.cumsum(np.frombuffer(pa.decompress(r["between"], 4 * len(own), "zstd", asbytes=True), "<i4").astype(np.int64)) for r in counts.to_pylist()), np.zeros(len(own), np.int64))
+        p = (1 + reach[at] + higher[cell]) / (n * B + 1)
         # of rows that share p the lowest score has the last rank, and the minimum over lower scores finds it
-        raw, order = p * n / (len(own) - np.searchsorted(own, score, "left") + own_higher[cell]), np.argsort(score, kind="stable")
+        raw, order = p * n / (len(own) - at + own_higher[cell]), np.argsort(score, kind="stable")
         adj = np.empty(len(raw))
         adj[order] = np.minimum.accumulate(raw[order])
-        return pa.table({key: real[key], "score": score, "at": real["at"], "p": p, "cell": cell, "adj": adj})
-
-    null, cells = made.folded(spark, range(B), packed, "cell long, s array<double>"), len(edges) + 1
-    kind = dict(df.dtypes)[key]
-    both = in_parts(placed, "cell", cells).groupBy("cell").cogroup(in_parts(null, "cell", cells).groupBy("cell"))
-    out = materialize(both.applyInArrow(compare, f"`{key}` {kind}, score double, at double, p double, cell long, adj double"), "anomaly-p")
+        return pa.table({key: real[key], "score": score, "at": real["at"], "p": p, "cell": real["cell"], "adj": adj})
+
+    # a few data sets at a time are dealt to ranges, and only counts stay
+    kind, cells, few = dict(df.dtypes)[key], len(edges) + 1, max(-(-B // ROUNDS), ROUND // n, 1)
+    counts = []
+    for start in range(0, B, few):
+        null = made.folded(spark, range(start, min(start + few, B)), packed, "cell int, first long, wide int, low binary, high binary")
+        met = in_parts(placed.select("cell", "score"), "cell", cells).groupBy("cell").cogroup(in_parts(null, "cell", cells).groupBy("cell"))
+        counts.append(materialize(met.applyInArrow(counted, "cell int, n long, between binary"), "anomaly-counts"))
+    both = in_parts(placed, "cell", cells).groupBy("cell").cogroup(in_parts(reduce(DataFrame.unionByName, counts), "cell", cells).groupBy("cell"))
+    out = materialize(both.applyInArrow(compare, f"`{key}` {kind}, score double, at int, p double, cell int, adj double"), "anomaly-p")
     lower = np.full(cells + 1, 1.0)
     for r in out.groupBy("cell").agg(F.min("adj").alias("adj")).collect():
         lower[r.cell + 1] = r.adj
@@ -258,10 +306,9 @@ def scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None,
     def below(cell: pd.Series) -> pd.Series:
         return pd.Series(lower[cell.to_numpy()])
 
-    driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at").cast("int") + 1)
+    driver = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1)
     out = out.select(key, "score", driver.alias("driver"), "p", F.least("adj", below("cell")).alias("p_adj"))
-    out = materialize(out.withColumn("flag", F.col("p_adj") < alpha), "anomaly")
-    return Scan(out, k, found, tail_p, HEAVY_TAILS.format(tail_p) if tail_p <= 0.05 else "", made, B)
+    return Scan(out.withColumn("flag", F.col("p_adj") < alpha), k, found, tail_p, HEAVY_TAILS.format(tail_p) if tail_p <= 0.05 else "", made, B)
 
 
 def anomaly(df: DataFrame, key: str, names: Sequence[str], rank: int | None = None, trim: float = 0.25, B: int = 39, alpha: float = 0.05, seed: int = 1) -> DataFrame:

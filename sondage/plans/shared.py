@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,16 @@ def in_parts(df: DataFrame, key: str, groups: int, most: int = 16) -> DataFrame:
     number grows with them, so that a task gets about ``most`` groups at any size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(max(1, min(groups, max(4 * cores, -(-groups // most)))), key)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a job go when it has ended, in place of staying until
+    the driver's memory is collected; what is read again is in tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -145,3 +145,35 @@ def test_tables_and_walks_agree(monkeypatch):
     walks = anomaly.Forest(trees, [0, 4, 0], 200)
     assert all(t is not None for t in tables.tables) and all(t is None for t in walks.tables)
     assert (tables.score(x) == walks.score(x)).all() and len(tables.score(x[:0])) == 0
+
+
+def test_scores_travel_to_the_last_bit():
+    rng = np.random.default_rng(6)
+    for s in (rng.chisquare(3, 5000), rng.lognormal(0, 40, 300), np.r_[0.0, 0.0, 5e-324, 1.0, 1.0, 1e308], np.array([2.5]), np.full(70, 0.1)):
+        s = np.sort(s)
+        first, wide, low, high = anomaly.packed_steps(s)
+        assert (anomaly.unpacked_steps(first, wide, low, high) == s).all()
+    s = np.sort(rng.chisquare(3, 1 << 20))
+    assert sum(map(len, anomaly.packed_steps(s)[2:])) < 0.7 * s.nbytes
+
+
+def test_disk_of_simulated_scores(spark, monkeypatch):
+    """What lies in the shuffles of a job goes with it, data sets are dealt a few at a time,
+    and values are those of all at once."""
+    cols = [f"c{j}" for j in range(6)]
+    df = normal(spark, 6000)
+    whole = anomaly.scan(df, "id", cols, rank=2).found.toPandas().set_index("id").sort_index()
+    reps, own = [], anomaly.Structure.folded
+
+    def folded(self, spark, of, f, schema):
+        if "wide" in schema:
+            reps.append(list(of))
+        return own(self, spark, of, f, schema)
+
+    monkeypatch.setattr(anomaly, "ROUND", 1)
+    monkeypatch.setattr(anomaly.Structure, "folded", folded)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    parts = anomaly.scan(df, "id", cols, rank=2).found.toPandas().set_index("id").sort_index()
+    assert [len(r) for r in reps] == [5] * 7 + [4] and sum(reps, []) == list(range(39))
+    assert np.allclose(parts[["score", "p", "p_adj"]], whole[["score", "p", "p_adj"]]) and (parts.driver == whole.driver).all() and spark.conf.get(setting) == before
