@@ -56,11 +56,17 @@ def _span(gram: np.ndarray, rank: int) -> np.ndarray:
 def tail_of(r: np.ndarray, k: int, trim: float) -> float:
     """How heavy the tails of residuals are: the 99th over the 75th percentile of their
     sizes, each column centred and scaled robustly, over the rows that fit best."""
-    s = (r**2).sum(1)
-    r = r[np.argsort(s, kind="stable")[: max(k + 2, int(len(r) * (1 - trim)))]]
-    mid = np.median(r, 0)
-    wide = 1.4826 * np.median(np.abs(r - mid), 0)
-    hi, lo = np.quantile(np.abs(r - mid) / np.where(wide > 0, wide, 1.0), [0.99, 0.75])
+    s, many = (r**2).sum(1), max(k + 2, int(len(r) * (1 - trim)))
+    if many < len(r):
+        # of rows at the cut the first ones stay
+        cut = np.partition(s, many - 1)[many - 1]
+        held = s < cut
+        held[np.flatnonzero(s == cut)[: many - held.sum()]] = True
+        r = r[held]
+    r = np.ascontiguousarray(r.T)
+    off = np.abs(r - np.median(r, 1, keepdims=True))
+    wide = 1.4826 * np.median(off, 1, keepdims=True)
+    hi, lo = np.quantile(off / np.where(wide > 0, wide, 1.0), [0.99, 0.75])
     return float(hi / lo) if lo > 0 else float("inf")
 
 
@@ -217,25 +223,13 @@ def _scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None, trim:
     placed = project(z, key, cols, placed_in, ["score", "at", "cell"]).withColumns({"at": F.col("at").cast("int"), "cell": F.col("cell").cast("int")})
     placed = materialize(placed, "anomaly-scores")
 
-    def summed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        held, tails = np.zeros(len(edges) + 1, np.int64), {}
-        for rep, r in pairs:
-            held += np.bincount(place((r**2).sum(1)), minlength=len(held))
-            tails[rep] = tails.get(rep, 0.0) + tail_of(r, k, trim) * len(r)
-        cell, none = np.flatnonzero(held), [None]
-        yield _batch(rep=pa.array(none * len(cell), pa.int64()), cell=cell, n=held[cell], tail=pa.array(none * len(cell), pa.float64()))
-        yield _batch(rep=pa.array(list(tails), pa.int64()), cell=pa.array(none * len(tails), pa.int64()), n=pa.array(none * len(tails), pa.int64()), tail=pa.array(list(tails.values()), pa.float64()))
-
     def by_cell(rows: DataFrame) -> np.ndarray:
         out = np.zeros(len(edges) + 1, np.int64)
         for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
             out[r.cell] = r.n
         return out
 
-    tally = materialize(made.folded(spark, range(B), summed, "rep long, cell long, n long, tail double"), "anomaly-tally")
-    count = by_cell(tally.where("cell is not null"))
-    higher = count.sum() - np.cumsum(count)
-    own_higher = n - np.cumsum(by_cell(placed.withColumn("n", F.lit(1))))
+    own_higher = n - np.cumsum(by_cell(placed.select("cell", F.lit(1).alias("n"))))
 
     # tails block by block, of real rows dealt at random and of simulated ones
     def own_tail(t: pa.Table) -> pa.Table:
@@ -244,12 +238,16 @@ def _scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None, trim:
 
     strata = in_parts(dealt(z, key, n, seed).select("stratum", *cols), "stratum", -(-n // STRATUM)).groupBy("stratum").applyInArrow(own_tail, "tail double")
     heavy = strata.agg(F.sum("tail")).first()[0] / n
-    tails = [r.t / n for r in tally.where("rep is not null").groupBy("rep").agg(F.sum("tail").alias("t")).collect()]
-    tail_p = (1 + sum(t >= heavy for t in tails)) / (B + 1)
 
     def packed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """The scores of many blocks, one row for each range: few rows are shuffled."""
+        """The scores of many blocks, one row for each range: few rows are shuffled. Tails
+        are on rows of their own."""
         held: list[np.ndarray] = []
+        tails: dict[int, float] = {}
+        types = {"first": pa.int64(), "wide": pa.int32(), "low": pa.binary(), "high": pa.binary(), "rep": pa.int32(), "tail": pa.float64()}
+
+        def table(cell: np.ndarray, **found: Sequence) -> pa.RecordBatch:
+            return _batch(cell=pa.array(cell, pa.int32()), **{c: pa.array(found[c], t) if c in found else pa.nulls(len(cell), t) for c, t in types.items()})
 
         def dealt_out() -> pa.RecordBatch:
             s = np.concatenate(held)
@@ -258,23 +256,39 @@ def _scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None, trim:
             first = np.r_[0, np.searchsorted(s, edges, "left"), len(s)]
             cell = np.flatnonzero(np.diff(first))
             rows = [packed_steps(s[first[c] : first[c + 1]]) for c in cell.tolist()]
-            return _batch(cell=pa.array(cell, pa.int32()), **{c: pa.array(x, t) for c, x, t in zip(("first", "wide", "low", "high"), zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+            return table(cell, **dict(zip(("first", "wide", "low", "high"), zip(*rows, strict=True), strict=True)))
 
-        for _, r in pairs:
+        for rep, r in pairs:
             held.append((r**2).sum(1))
+            tails[rep] = tails.get(rep, 0.0) + tail_of(r, k, trim) * len(r)
             if sum(map(len, held)) >= PACK:
                 yield dealt_out()
         if held:
             yield dealt_out()
+        yield table(np.full(len(tails), -1), rep=list(tails), tail=list(tails.values()))
 
     def counted(real: pa.Table, sims: pa.Table) -> pa.Table:
-        """How many simulated scores lie between neighbours of a range's own."""
-        if not real.num_rows:
-            return pa.table({"cell": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "between": pa.array([], pa.binary())})
+        """How many simulated scores a range has, and how many lie between neighbours of its own."""
+        cell = (real if real.num_rows else sims)["cell"][0].as_py()
+        if cell < 0:
+            return pa.table({"cell": sims["cell"], "n": pa.nulls(sims.num_rows, pa.int64()), "between": pa.nulls(sims.num_rows, pa.binary()), "rep": sims["rep"], "tail": sims["tail"]})
         own = np.sort(real["score"].to_numpy())
         s = np.sort(np.concatenate([np.empty(0), *(unpacked_steps(*(r[c] for c in ("first", "wide", "low", "high"))) for r in sims.to_pylist())]))
         between = np.diff(np.searchsorted(s, own, "left"), prepend=0).astype("<i4")
-        return pa.table({"cell": pa.array([real["cell"][0].as_py()], pa.int32()), "n": pa.array([len(s)], pa.int64()), "between": pa.array([pa.compress(between.tobytes(), "zstd", asbytes=True)], pa.binary())})
+        return pa.table({"cell": pa.array([cell], pa.int32()), "n": pa.array([len(s)], pa.int64()), "between": pa.array([pa.compress(between.tobytes(), "zstd", asbytes=True) if len(own) else None], pa.binary()), "rep": pa.nulls(1, pa.int32()), "tail": pa.nulls(1, pa.float64())})
+
+    # a few data sets at a time are dealt to ranges, and only counts stay
+    kind, cells, few = dict(df.dtypes)[key], len(edges) + 1, max(-(-B // ROUNDS), ROUND // n, 1)
+    counts = []
+    for start in range(0, B, few):
+        null = made.folded(spark, range(start, min(start + few, B)), packed, "cell int, first long, wide int, low binary, high binary, rep int, tail double")
+        met = in_parts(placed.select("cell", "score"), "cell", cells).groupBy("cell").cogroup(in_parts(null, "cell", cells).groupBy("cell"))
+        counts.append(materialize(met.applyInArrow(counted, "cell int, n long, between binary, rep int, tail double"), "anomaly-counts"))
+    every = reduce(DataFrame.unionByName, counts)
+    tails = [r.t / n for r in every.where("cell < 0").groupBy("rep").agg(F.sum("tail").alias("t")).collect()]
+    tail_p = (1 + sum(t >= heavy for t in tails)) / (B + 1)
+    count = by_cell(every.where("cell >= 0"))
+    higher = count.sum() - np.cumsum(count)
 
     def compare(real: pa.Table, counts: pa.Table) -> pa.Table:
         score, cell = real["score"].to_numpy(), real["cell"].to_numpy()
@@ -288,14 +302,7 @@ def _scan(df: DataFrame, key: str, names: Sequence[str], rank: int | None, trim:
         adj[order] = np.minimum.accumulate(raw[order])
         return pa.table({key: real[key], "score": score, "at": real["at"], "p": p, "cell": real["cell"], "adj": adj})
 
-    # a few data sets at a time are dealt to ranges, and only counts stay
-    kind, cells, few = dict(df.dtypes)[key], len(edges) + 1, max(-(-B // ROUNDS), ROUND // n, 1)
-    counts = []
-    for start in range(0, B, few):
-        null = made.folded(spark, range(start, min(start + few, B)), packed, "cell int, first long, wide int, low binary, high binary")
-        met = in_parts(placed.select("cell", "score"), "cell", cells).groupBy("cell").cogroup(in_parts(null, "cell", cells).groupBy("cell"))
-        counts.append(materialize(met.applyInArrow(counted, "cell int, n long, between binary"), "anomaly-counts"))
-    both = in_parts(placed, "cell", cells).groupBy("cell").cogroup(in_parts(reduce(DataFrame.unionByName, counts), "cell", cells).groupBy("cell"))
+    both = in_parts(placed, "cell", cells).groupBy("cell").cogroup(in_parts(every.where("between is not null").select("cell", "n", "between"), "cell", cells).groupBy("cell"))
     out = materialize(both.applyInArrow(compare, f"`{key}` {kind}, score double, at int, p double, cell int, adj double"), "anomaly-p")
     lower = np.full(cells + 1, 1.0)
     for r in out.groupBy("cell").agg(F.min("adj").alias("adj")).collect():
