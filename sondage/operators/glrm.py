@@ -41,11 +41,11 @@ MOST_LEVELS = 200
 #: Times that a step of a row's scores is halved.
 HALVINGS = 12
 #: Damped steps that are tried before the plain one.
-SHORTER = 4
+SHORTER = 5
 #: Most unknowns (archetypes and offsets) of which tasks add up second derivatives.
 WIDE = 100
 #: A part of the rows from which a start comes is so many times smaller than the next, and has so many rows at least.
-NESTED, FEWEST = 16, 1 << 17
+NESTED, FEWEST = 4, 1 << 17
 
 
 @dataclass
@@ -385,7 +385,7 @@ class Descent:
     def gained(self, gain: float) -> None:
         """A step that gains much of what was hoped for is followed by a bolder one."""
         if gain > 0.75 * self.hoped:
-            self.damp = self.damp / 10 if self.damp > 1e-3 else 0.0
+            self.damp = self.damp / 10 if self.damp > 1e-6 else 0.0
         elif gain < 0.25 * self.hoped:
             self.damp = max(1e-3, 4 * self.damp)
 
@@ -490,7 +490,7 @@ def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: floa
                 # the step went too far: on from the last good point by a shorter one, at last the plain one
                 fails += 1
                 mixer.forget()
-                descent.damp = max(0.01, 10 * descent.damp)
+                descent.damp = max(1e-3, 10 * descent.damp)
                 here = descent.step() if bend and fails <= SHORTER else plain
                 continue
             near = tol * max(1.0, abs(cost))
@@ -514,7 +514,7 @@ def glrm(df: DataFrame, key: str, names: Sequence[str], rank: int = 2, lam: floa
     for parts in [NESTED**i for i in range(12, 0, -1) if n >= FEWEST * NESTED**i]:
         few = materialize(rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == 0), "glrm-cells")
         # closer than chance in drawing the part is no nearer to the whole
-        best = lowered(few, best, 1 / parts, max(1.0, best.size * parts / n / tol))[0]
+        best = lowered(few, best, 1 / parts, min(10.0, max(1.0, best.size * parts / n / tol)))[0]
     best, trace, converged = lowered(rows, best, 1.0)
     y, offset = best[:, :rank], best[:, rank]
     out = project(rows, key, [*cols, *weigh], lambda a: loss.scores(a[:, :p], y, offset, lam, row=a[:, p] if weighted else None), [f"dim{i + 1}" for i in range(rank)])
